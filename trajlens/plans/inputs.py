@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from trajlens.operators import ledger as L
+from trajlens.session import store
 from trajlens.sources import fixtures as X
 
 
@@ -23,6 +24,11 @@ class Inputs:
     def steps(self) -> DataFrame:
         return X.fixture_steps(self.spark, self.folder)
 
+    @cached_property
+    def stored_steps(self) -> DataFrame:
+        """The step log written once, for queries that read it in many branches."""
+        return store(self.steps)
+
     @cached_property
     def history(self) -> DataFrame:
         return L.with_history(self.steps)
