@@ -7,7 +7,7 @@ import importlib
 from trajlens.plans.inputs import Inputs
 from trajlens.plans.shape import flat
 
-_MODULES = ("catalog_ledger", "catalog_ranking", "catalog_edits")
+_MODULES = ("catalog_ledger", "catalog_ranking", "catalog_edits", "catalog_runs")
 
 
 def registry() -> dict:
