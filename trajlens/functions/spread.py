@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajlens.session import store
+
 INDEX_BUCKETS = 4096
 
 
@@ -52,3 +54,23 @@ def global_index(df: DataFrame, order_hash: Column, tie: Column) -> DataFrame:
         .withColumn("_index", F.col("_before") + F.col("_row"))
         .drop("_hash", "_bucket", "_before", "_row")
     )
+
+
+def ordered_index(df: DataFrame, column: str, index: str = "_index") -> DataFrame:
+    """Add the 0-based place of each row in the order of a unique column.
+
+    Rows are range-partitioned and written once, numbered inside their range, and shifted by the counts of
+    the ranges before: one small row per range is all that is ever summed in one place.
+    """
+    ranged = store(df.repartitionByRange(column).withColumn("_range", F.spark_partition_id()))
+    everything = Window.partitionBy(F.lit(0)).orderBy("_range")
+    before = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", (F.sum("_n").over(everything) - F.col("_n")).alias("_before")
+    )
+    inside = Window.partitionBy("_range").orderBy(column)
+    return (
+        ranged.withColumn("_row", F.row_number().over(inside) - 1)
+        .join(F.broadcast(before), "_range")
+        .withColumn(index, F.col("_before") + F.col("_row"))
+        .drop("_range", "_row", "_before")
+    )

@@ -7,7 +7,9 @@ import importlib
 from trajlens.plans.inputs import Inputs
 from trajlens.plans.shape import flat
 
-_MODULES = ("catalog_ledger", "catalog_ranking", "catalog_edits", "catalog_runs")
+_MODULES = (
+    "catalog_ledger", "catalog_ranking", "catalog_edits", "catalog_runs", "catalog_actions", "catalog_sources",
+)
 
 
 def registry() -> dict:
