@@ -9,7 +9,7 @@ from trajlens.plans.shape import flat
 
 _MODULES = (
     "catalog_ledger", "catalog_ranking", "catalog_edits", "catalog_runs", "catalog_actions", "catalog_sources",
-    "catalog_states",
+    "catalog_states", "catalog_learn",
 )
 
 
