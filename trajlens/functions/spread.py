@@ -11,16 +11,20 @@ INDEX_BUCKETS = 4096
 
 
 def salted_lookup(
-    left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str], salts: int = 8, how: str = "left"
+    left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str], salts: int = 8, how: str = "left",
+    hot: Column | None = None,
 ) -> DataFrame:
     """Join a large table to a lookup that is unique on ``on`` when one key may hold much of the table.
 
     Rows of a hot key go to ``salts`` partitions by a hash of ``spread_by``; each lookup row is copied as
-    often. The salt is a hash, not a random number, so a re-run task produces the same rows.
+    often. ``hot`` limits this to keys that can be hot (a condition on the key columns), so the others are
+    not copied. The salt is a hash, not a random number, so a re-run task produces the same rows.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    hot = F.lit(True) if hot is None else hot
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    salted = left.withColumn("_salt", F.when(hot, salt).otherwise(0))
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(right.withColumn("_salt", F.explode(copies)), [*on, "_salt"], how).drop("_salt")
 
 
 def hash_text(*parts: Column) -> Column:

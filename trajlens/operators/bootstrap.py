@@ -15,7 +15,7 @@ from trajlens.functions.ranks import ratio_or_null, safe_div
 from trajlens.functions.spread import global_index, hash_draw, hash_text
 from trajlens.operators.ledger import decomposition_metrics, decomposition_stats
 from trajlens.operators.ranking import evaluate_ranking, ranking_sums
-from trajlens.session import cut_lineage
+from trajlens.session import store
 
 DECOMPOSITION_METRICS = (
     "certified_misranking_step_rate",
@@ -50,7 +50,7 @@ def replicate_weights(clusters: DataFrame, iterations: int, seed: int, method: s
         return original.unionByName(drawn.withColumn("weight", count).filter("weight > 0"))
     if method != "multinomial":
         raise ValueError(f"unknown bootstrap method: {method}")
-    numbered = cut_lineage(global_index(clusters, hash_text(F.col("cluster")), F.col("cluster")))
+    numbered = store(global_index(clusters, hash_text(F.col("cluster")), F.col("cluster")))
     slots = numbered.select("_index", "_total", all_replicates.alias("replicate"))
     text = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("_index").cast("string"))
     draws = (

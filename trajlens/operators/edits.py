@@ -152,7 +152,16 @@ def label_edits(edits: DataFrame, outcomes: DataFrame, originals: DataFrame) ->
     ``originals``: trajectory key, original_success, original_len, signature of the replayed original.
     """
     first = originals.select(*TRACE, "original_success", "original_len", F.col("signature").alias("_start"))
-    rows = edits.join(outcomes, ["task_id", "seed", "edited_actions"]).join(first, TRACE)
+    # The hash makes a short sort key; the sequences themselves are still compared.
+    known = outcomes.select(
+        F.col("task_id").alias("_task"), F.col("seed").alias("_seed"), F.xxhash64("edited_actions").alias("_hash"),
+        F.col("edited_actions").alias("_sequence"), "valid", "success", "total_reward", "signature",
+    )
+    same_sequence = (
+        (F.col("task_id") == F.col("_task")) & (F.col("seed") == F.col("_seed"))
+        & (F.xxhash64("edited_actions") == F.col("_hash")) & (F.col("edited_actions") == F.col("_sequence"))
+    )
+    rows = edits.join(known, same_sequence).drop("_task", "_seed", "_hash", "_sequence").join(first, TRACE)
     won, lost = F.col("original_success"), ~F.col("original_success")
     good = F.col("success")
     same = F.col("signature") == F.col("_start")

@@ -381,7 +381,8 @@ def rerank_nn_memory(train: DataFrame, test: DataFrame, neighbors: int = 5, dept
     )
     long = test.select(*STEP, "history", F.posexplode("candidates").alias("pos", "action"))
     looked = salted_lookup(
-        endings(long, *STEP, "pos", "action"), memory, ["m", "ending", "action"], [*STEP, "pos", "m"]
+        endings(long, *STEP, "pos", "action"), memory, ["m", "ending", "action"], [*STEP, "pos", "m"],
+        hot=F.col("m") <= 1,
     )
     enough = (F.col("exemplars") >= neighbors) | (F.col("m") == 0)
     vote = F.struct("votes", "exemplars")

@@ -115,56 +115,53 @@ def step_ledger(
         "action", F.coalesce("action", F.lit(""))
     )
     use_repair = source in ("policy-repair", "both") and repairs is not None
+    use_gold = source in ("gold", "both")
+    found = {
+        "repair_action": "string", "repair_source": "string", "certificate_level": "string",
+        "repair_suffix_len": "int", "edited_action_len": "int", "original_action_len": "int",
+        "repaired_outcome": "string",
+    }
     if use_repair:
         rows = rows.join(
-            repairs.select(
-                *STEP,
-                F.struct(
-                    F.col("repair_action").alias("action"),
-                    F.col("repair_source").alias("source"),
-                    "certificate_level", "repair_suffix_len", "edited_action_len", "original_action_len",
-                    "repaired_outcome",
-                ).alias("repair"),
-            ),
+            repairs.select(*STEP, *[F.col(name).cast(kind).alias(f"_{name}") for name, kind in found.items()]),
             STEP,
             "left",
         )
-    nothing = F.lit(None).cast(
-        "struct<action:string,source:string,certificate_level:string,repair_suffix_len:int,"
-        "edited_action_len:int,original_action_len:int,repaired_outcome:string>"
-    )
-    gold = nothing
-    if source in ("gold", "both"):
-        gold = F.when(
-            F.col("gold_action").isNotNull(),
-            F.struct(
-                F.col("gold_action").alias("action"),
-                F.lit("gold_action").alias("source"),
-                F.lit("C0_candidate_only").alias("certificate_level"),
-                F.lit(0).alias("repair_suffix_len"),
-                F.lit(None).cast("int").alias("edited_action_len"),
-                F.lit(None).cast("int").alias("original_action_len"),
-                F.lit("unknown").alias("repaired_outcome"),
-            ),
-        )
-    rows = rows.withColumn("choice", F.coalesce(F.col("repair"), gold) if use_repair else gold)
-    preferred, executed = F.col("choice.action"), F.col("action")
-    rank = rank_of(F.col("candidates"), preferred)
-    too_long = F.lit(False) if max_suffix is None else F.col("choice.repair_suffix_len") > max_suffix
-    status = (
+    else:
+        rows = rows.withColumns({f"_{name}": F.lit(None).cast(kind) for name, kind in found.items()})
+
+    def pick(name: str, gold: Column) -> Column:
+        """The repair's value where there is a repair, else the value a gold action stands for."""
+        if not use_gold:
+            return F.col(f"_{name}")
+        other = F.when(F.col("gold_action").isNotNull(), gold)
+        return F.when(F.col("_repair_action").isNotNull(), F.col(f"_{name}")).otherwise(other)
+
+    none = F.lit(None).cast("int")
+    rows = rows.withColumns(
+        {
+            "_preferred": pick("repair_action", F.col("gold_action")),
+            "_suffix": pick("repair_suffix_len", F.lit(0)),
+            "_outcome": pick("repaired_outcome", F.lit("unknown")),
+        }
+    ).withColumn("_rank", rank_of(F.col("candidates"), F.col("_preferred")))
+    preferred, executed, rank = F.col("_preferred"), F.col("action"), F.col("_rank")
+    too_long = F.lit(False) if max_suffix is None else F.col("_suffix") > max_suffix
+    rows = rows.withColumn(
+        "status",
         F.when(F.size("candidates") == 0, "no_candidates_logged")
         .when(preferred.isNull(), "no_repair_found")
-        .when(F.col("choice.repaired_outcome") == "fail", "invalid_replay")
+        .when(F.col("_outcome") == "fail", "invalid_replay")
         .when(too_long, "suffix_too_long")
         .when(preferred == executed, "repair_same_as_executed")
         .when(rank.isNull(), "repair_not_in_candidates")
-        .otherwise("certified_preference")
+        .otherwise("certified_preference"),
     )
     extra = [name for name in steps.columns if name not in ("candidates", "candidates_before", "action", "success")]
     return rows.select(
         *extra,
         "candidates",
-        status.alias("status"),
+        "status",
         executed.alias("executed_action"),
         normalize_action(executed).alias("executed_action_norm"),
         preferred.alias("repair_action"),
@@ -174,14 +171,14 @@ def step_ledger(
         rank_of(F.col("candidates"), executed).alias("rejected_rank_before"),
         F.size("candidates").alias("candidate_count"),
         (F.size("candidates") > 0).alias("has_logged_candidates"),
-        F.col("choice.certificate_level").alias("certificate_level"),
-        F.col("choice.repair_suffix_len").alias("repair_suffix_len"),
-        F.col("choice.edited_action_len").alias("edited_action_len"),
-        F.col("choice.original_action_len").alias("original_action_len"),
-        F.col("choice.source").alias("source"),
+        pick("certificate_level", F.lit("C0_candidate_only")).alias("certificate_level"),
+        F.col("_suffix").alias("repair_suffix_len"),
+        pick("edited_action_len", none).alias("edited_action_len"),
+        pick("original_action_len", none).alias("original_action_len"),
+        pick("repair_source", F.lit("gold_action")).alias("source"),
         F.when(F.coalesce(F.col("success"), F.lit(False)), "success").otherwise("fail").alias("original_outcome"),
-        F.col("choice.repaired_outcome").alias("repaired_outcome"),
-        status_reason(status).alias("status_reason"),
+        F.col("_outcome").alias("repaired_outcome"),
+        status_reason(F.col("status")).alias("status_reason"),
     )
 
 

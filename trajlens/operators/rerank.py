@@ -98,7 +98,7 @@ def rerank_verb_prior(train: DataFrame, test: DataFrame) -> DataFrame:
 def rerank_exact_memory(train: DataFrame, test: DataFrame) -> DataFrame:
     """Votes of training steps with the very same history; without any, the logged order.
 
-    The empty history is shared by all first steps, so the lookup is salted.
+    Very short histories are shared by many steps, so their lookup is salted.
     """
     votes = train.select(
         "history",
@@ -109,7 +109,9 @@ def rerank_exact_memory(train: DataFrame, test: DataFrame) -> DataFrame:
             )
         ).alias("r"),
     ).groupBy("history", F.col("r.action").alias("action")).agg(F.sum("r.vote").alias("votes"))
-    scored = salted_lookup(_long(test, "history"), votes, ["history", "action"], [*STEP, "pos"])
+    scored = salted_lookup(
+        _long(test, "history"), votes, ["history", "action"], [*STEP, "pos"], hot=F.size("history") <= 2
+    )
     return _ranked_by_score(scored.withColumn("score", F.coalesce("votes", F.lit(0)).cast("double")))
 
 

@@ -15,12 +15,12 @@ QUERIES: dict = {}
 
 
 def traces(t):
-    return E.traces_of(t.stored_steps.withColumn("ord", F.col("event_id")))
+    return E.traces_of(t.steps.withColumn("ord", F.col("event_id")))
 
 
 def suffixes(t):
     """Known policy suffix per logged prefix."""
-    return t.stored_steps.select(
+    return t.steps.select(
         "task_id", "seed", F.col("step_index").alias("prefix_len"),
         F.expr(
             "if(gold_action is null, cast(array() as array<string>),"
@@ -31,7 +31,7 @@ def suffixes(t):
 
 
 def branches(t):
-    return t.stored_steps.select(
+    return t.steps.select(
         "task_id", "seed", "step_index", F.explode("candidates").alias("candidate"),
         F.expr("if(gold_action is null, cast(array() as array<string>), array(gold_action, 'look'))").alias("suffix"),
         F.expr("event_id % 17 <> 0").alias("valid"),
@@ -64,8 +64,8 @@ def all_edits(t):
     tr, su = traces(t), suffixes(t)
     out = E.deletion_edits(tr)
     for part in (
-        E.swap_edits(tr), E.replacement_edits(t.stored_steps, tr), E.policy_suffix_edits(tr, su),
-        E.suffix_match_edits(t.stored_steps, tr, su), E.candidate_branch_edits(t.stored_steps, tr, branches(t)),
+        E.swap_edits(tr), E.replacement_edits(t.steps, tr), E.policy_suffix_edits(tr, su),
+        E.suffix_match_edits(t.steps, tr, su), E.candidate_branch_edits(t.steps, tr, branches(t)),
     ):
         out = out.unionByName(part)
     return out
@@ -135,10 +135,10 @@ _EDIT_OUT = cols(
 for _name, _build, _text in (
     ("deletion_edits", lambda t: E.deletion_edits(traces(t)), _E1),
     ("swap_edits", lambda t: E.swap_edits(traces(t)), _E2),
-    ("replacement_edits", lambda t: E.replacement_edits(t.stored_steps, traces(t)), _E3),
+    ("replacement_edits", lambda t: E.replacement_edits(t.steps, traces(t)), _E3),
     ("policy_suffix_edits", lambda t: E.policy_suffix_edits(traces(t), suffixes(t)), _E4),
-    ("suffix_match_edits", lambda t: E.suffix_match_edits(t.stored_steps, traces(t), suffixes(t)), _E5),
-    ("candidate_branch_edits", lambda t: E.candidate_branch_edits(t.stored_steps, traces(t), branches(t)), _E6),
+    ("suffix_match_edits", lambda t: E.suffix_match_edits(t.steps, traces(t), suffixes(t)), _E5),
+    ("candidate_branch_edits", lambda t: E.candidate_branch_edits(t.steps, traces(t), branches(t)), _E6),
 ):
     QUERIES[_name] = (_build, f"with {O._STEPS}, {_TR}, al as ({_text}) select {_EDIT_OUT} from al")
 

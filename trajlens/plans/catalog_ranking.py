@@ -330,7 +330,7 @@ def _interval_sql(names, zero):
 
 for _name, _method, _text in (("bootstrap_metrics", "multinomial", _DRAW), ("bootstrap_metrics_poisson", "poisson", _POISSON)):
     QUERIES[_name] = (
-        lambda t, m=_method: B.bootstrap_metrics(t.ledger(), t.preferences(), REPLICATES, 0, m),
+        lambda t, m=_method: B.bootstrap_metrics(*t.compiled(), REPLICATES, 0, m),
         O.with_ledger(
             _interval_sql([*B.DECOMPOSITION_METRICS, "raw_mrr", "oracle_recap_mrr", "raw_ndcg", "oracle_recap_ndcg"], True),
             "both", None, _CLUSTERS, _text.format(n=REPLICATES), _REPS,

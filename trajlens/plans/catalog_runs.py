@@ -241,6 +241,6 @@ _REPORT = """, tr_ as (select trajectory_id, bool_or(original_outcome = 'fail')
    union all select 'interval', metric, point, ci_low, ci_high from iv)
 """ % _interval_sql([*DECOMPOSITION_METRICS, "raw_mrr", "oracle_recap_mrr", "raw_ndcg", "oracle_recap_ndcg"], True)
 QUERIES["run_report"] = (
-    lambda t: R.run_report(t.ledger(), t.preferences(), REPLICATES),
+    lambda t: R.run_report(*t.compiled(), REPLICATES),
     O.with_ledger(_REPORT + "select " + cols(raw="section; name", dbls="value; ci_low; ci_high") + " from out", "both", None, _CLUSTERS, _DRAW.format(n=REPLICATES), _REPS),
 )

@@ -47,11 +47,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write an intermediate table that several branches read, and return a scan of it.
 
     Unlike a checkpoint the scan keeps column pruning, filter pushdown and size statistics.
     """
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = path or new_table_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_table_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+
+
+def input_state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Size and modification time of an input, to notice that it changed."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getContentSummary(hadoop).getLength(), files.getFileStatus(hadoop).getModificationTime()
+
+
+def still_stored(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)

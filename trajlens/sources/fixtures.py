@@ -105,23 +105,21 @@ def fixture_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fixture_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fixture_trajectories(steps: DataFrame) -> DataFrame:
     """The same log as nested trajectories (at most ``HORIZON`` steps each)."""
     step = F.struct(
         "step_index", "action", F.col("candidates").alias("candidates_before"), "candidates", "gold_action",
         F.lit(True).alias("valid"), F.col("value").alias("reward"),
     )
     return (
-        fixture_steps(spark, sf_dir)
-        .groupBy("trajectory_id", "task_id", "seed", "rollout", "game_seed", "success")
+        steps.groupBy("trajectory_id", "task_id", "seed", "rollout", "game_seed", "success")
         .agg(F.array_sort(F.collect_list(step)).alias("steps"), F.min("event_id").alias("ord"))
         .withColumn("rollout_seed", F.col("seed"))
     )
 
 
-def fixture_edits(spark: SparkSession, sf_dir: str, steps: DataFrame | None = None) -> DataFrame:
+def fixture_edits(steps: DataFrame) -> DataFrame:
     """Replay evidence: up to two repair edits per step with a gold action, one in seven unsuccessful."""
-    steps = fixture_steps(spark, sf_dir) if steps is None else steps
     return (
         steps.filter("gold_action is not null")
         .withColumn("edit_pos", F.explode(F.sequence(F.lit(0), F.lit(1))))
@@ -157,9 +155,8 @@ def fixture_edits(spark: SparkSession, sf_dir: str, steps: DataFrame | None = No
     )
 
 
-def fixture_predictions(spark: SparkSession, sf_dir: str, steps: DataFrame | None = None) -> DataFrame:
+def fixture_predictions(steps: DataFrame) -> DataFrame:
     """Scores per candidate; one step in ten has none, one prediction in nine abstains."""
-    steps = fixture_steps(spark, sf_dir) if steps is None else steps
     scores = F.expr(
         "map_from_arrays(candidates, transform(sequence(0, 4),"
         " j -> cast((event_id * 17 + j * 29) % 100 as double) / 10))"
@@ -173,9 +170,8 @@ def fixture_predictions(spark: SparkSession, sf_dir: str, steps: DataFrame | Non
     )
 
 
-def fixture_transitions(spark: SparkSession, sf_dir: str, steps: DataFrame | None = None) -> DataFrame:
+def fixture_transitions(steps: DataFrame) -> DataFrame:
     """Logged transitions, one row per step; terminal when the goal state of the game is entered."""
-    steps = fixture_steps(spark, sf_dir) if steps is None else steps
     return steps.select(
         "task_id",
         "seed",
