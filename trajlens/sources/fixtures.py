@@ -45,7 +45,7 @@ def fixture_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.read.parquet(f"{sf_dir}/events.parquet")
         .select("event_id", "user_id", "value", "event_type", "ts")
         .withColumn("rollout", F.expr("cast((day(ts) - 1) div 10 as int)"))
-        .withColumn("minute", F.expr("unix_seconds(cast(ts as timestamp)) div 60"))
+        .withColumn("minute", F.expr("datediff(cast(ts as date), date'1970-01-01') * 1440 + hour(ts) * 60 + minute(ts)"))
         .withColumn(
             "action",
             F.expr(
