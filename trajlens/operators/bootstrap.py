@@ -42,16 +42,27 @@ def replicate_weights(clusters: DataFrame, iterations: int, seed: int, method: s
     """
     original = clusters.withColumn("replicate", F.lit(-1)).withColumn("weight", F.lit(1))
     all_replicates = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))
+    # A cluster row is small but stands for ``iterations`` draws: spread rows evenly before multiplying them.
+    tasks = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if method == "poisson":
-        drawn = clusters.withColumn("replicate", all_replicates)
-        text = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("cluster"))
-        uniform = hash_draw(text, F.lit(2**32)) / F.lit(float(2**32))
-        count = sum((F.when(uniform >= limit, 1).otherwise(0) for limit in POISSON_STEPS), F.lit(0))
-        return original.unionByName(drawn.withColumn("weight", count).filter("weight > 0"))
+        limits = F.array(*[F.lit(limit) for limit in POISSON_STEPS])
+
+        def draw(replicate: Column) -> Column:
+            text = F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), F.col("cluster"))
+            uniform = hash_draw(text, F.lit(2**32)) / F.lit(float(2**32))
+            # The one-item array makes the hash a bound value, computed once per draw.
+            count = F.transform(F.array(uniform), lambda u: F.size(F.filter(limits, lambda limit: limit <= u)))
+            return F.struct(replicate.alias("replicate"), F.get(count, 0).alias("weight"))
+
+        draws = F.transform(F.sequence(F.lit(0), F.lit(iterations - 1)), draw)
+        drawn = clusters.repartition(tasks, "cluster").select("*", F.inline(F.filter(draws, lambda d: d["weight"] > 0)))
+        return original.unionByName(drawn)
     if method != "multinomial":
         raise ValueError(f"unknown bootstrap method: {method}")
     numbered = store(global_index(clusters, hash_text(F.col("cluster")), F.col("cluster")))
-    slots = numbered.select("_index", "_total", all_replicates.alias("replicate"))
+    slots = numbered.select("_index", "_total").repartition(tasks, "_index").select(
+        "_index", "_total", all_replicates.alias("replicate")
+    )
     text = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("_index").cast("string"))
     draws = (
         slots.select("replicate", hash_draw(text, F.col("_total")).alias("_index"))

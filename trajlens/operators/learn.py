@@ -18,7 +18,16 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlens.functions.actions import action_verb, is_manipulation, is_navigation, is_recent_repeat, is_static
+from trajlens.functions.actions import (
+    MANIPULATION_VERBS,
+    NAVIGATION_VERBS,
+    STATIC_VERBS,
+    action_verb,
+    is_manipulation,
+    is_navigation,
+    is_recent_repeat,
+    is_static,
+)
 from trajlens.functions.prompts import context_text, joint_text
 from trajlens.functions.ranks import rank_of
 from trajlens.functions.spread import salted_lookup
@@ -50,34 +59,45 @@ FEATURE_SETS = {
 CERTIFICATE_WEIGHTS = {"C3_shorter_success": 1.0, "C3_failure_repair": 1.0, "C1_oracle_suffix": 0.7, "C0_candidate_only": 0.4}
 
 
-def candidate_features(action: Column, candidates: Column, history: Column, rejected: Column) -> dict[str, Column]:
-    """Features of one candidate as column expressions; they work on a column and inside an array lambda."""
+def candidate_features(
+    action: Column, candidates: Column, history: Column, rejected: Column, verb: Column | None = None
+) -> dict[str, Column]:
+    """Features of one candidate as column expressions; they work on a column and inside an array lambda.
+
+    Pass ``verb`` inside a lambda, where repeated parts of an expression are not shared.
+    """
     rank = rank_of(candidates, action).cast("double")
+    verb = action_verb(action) if verb is None else verb
 
     def flag(condition: Column) -> Column:
         return F.when(F.coalesce(condition, F.lit(False)), 1.0).otherwise(0.0)
 
-    verb = action_verb(action)
     return {
         "is_raw_top1": flag(rank == 1),
         "raw_rank_reciprocal": F.coalesce(1.0 / rank, F.lit(0.0)),
         "raw_rank_from_bottom": F.coalesce((F.size(candidates) - rank + 1) / F.size(candidates), F.lit(0.0)),
         "is_rejected_action": flag(action == rejected),
-        "is_navigation": flag(is_navigation(action)),
-        "is_manipulation": flag(is_manipulation(action)),
-        "is_static": flag(is_static(action)),
+        "is_navigation": flag(verb.isin(*NAVIGATION_VERBS)),
+        "is_manipulation": flag(verb.isin(*MANIPULATION_VERBS)),
+        "is_static": flag(verb.isin(*STATIC_VERBS)),
         "is_recent_repeat": flag(is_recent_repeat(action, history)),
         "is_last_action": flag(F.get(history, F.size(history) - 1) == action),
         **{f"verb_{name}": flag(verb == name) for name in VERBS},
     }
 
 
-def _vector(action: Column, names: tuple[str, ...] = FEATURES) -> Column:
-    features = candidate_features(action, F.col("candidates"), F.col("history"), F.col("rejected_action"))
+def _vector(action: Column, names: tuple[str, ...] = FEATURES, verb: Column | None = None) -> Column:
+    features = candidate_features(action, F.col("candidates"), F.col("history"), F.col("rejected_action"), verb)
     return F.array(*[features[name] for name in names])
 
 
-def pairwise_rows(preferences: DataFrame, negative_scope: str = "all") -> DataFrame:
+def _with_verbs(candidates: Column) -> Column:
+    return F.transform(candidates, lambda a: F.struct(a.alias("action"), action_verb(a).alias("verb")))
+
+
+def pairwise_rows(
+    preferences: DataFrame, negative_scope: str = "all", names: tuple[str, ...] = FEATURES
+) -> DataFrame:
     """Preferred against each other candidate (or only the rejected one): feature differences."""
     if negative_scope not in ("all", "rejected"):
         raise ValueError(f"unknown negative scope: {negative_scope}")
@@ -85,7 +105,9 @@ def pairwise_rows(preferences: DataFrame, negative_scope: str = "all") -> DataFr
     if negative_scope == "rejected":
         others = F.array_intersect(others, F.array("rejected_action"))
     rows = preferences.withColumn("other", F.explode(others))
-    delta = F.zip_with(_vector(F.col("preferred_action")), _vector(F.col("other")), lambda a, b: a - b)
+    delta = F.zip_with(
+        _vector(F.col("preferred_action"), names), _vector(F.col("other"), names), lambda a, b: a - b
+    )
     weights = F.create_map(*[F.lit(x) for pair in CERTIFICATE_WEIGHTS.items() for x in pair])
     weight = F.coalesce(F.try_element_at(weights, F.col("certificate_level")), F.lit(0.5))
     return rows.select(*STEP, "preferred_action", "other", delta.alias("delta"), weight.alias("weight"))
@@ -116,13 +138,13 @@ def score_predictions(preferences: DataFrame, weights: dict[str, float], abstain
     """
     names = tuple(name for name in FEATURES if weights.get(name))
 
-    def score(action: Column) -> Column:
-        features = candidate_features(action, F.col("candidates"), F.col("history"), F.col("rejected_action"))
+    def score(action: Column, verb: Column) -> Column:
+        features = candidate_features(action, F.col("candidates"), F.col("history"), F.col("rejected_action"), verb)
         return sum((F.lit(float(weights[name])) * features[name] for name in names), F.lit(0.0))
 
     keyed = F.transform(
-        "candidates",
-        lambda a, i: F.struct((-score(a)).alias("down"), i.alias("pos"), a.alias("action")),
+        _with_verbs(F.col("candidates")),
+        lambda s, i: F.struct((-score(s["action"], s["verb"])).alias("down"), i.alias("pos"), s["action"].alias("action")),
     )
     rows = preferences.withColumn("_items", F.array_sort(keyed))
     raw = F.filter("_items", lambda x: x["pos"] == 0)
@@ -174,20 +196,14 @@ def train_feature_reranker(
         )
     if loss != "pairwise":
         raise ValueError(f"unknown loss: {loss}")
-    places = F.array(*[F.lit(FEATURES.index(name) + 1) for name in names])
-    rows = pairwise_rows(train, negative_scope).withColumn(
-        "x", F.transform(places, lambda i: F.element_at("delta", i))
-    )
+    rows = pairwise_rows(train, negative_scope, names)
     weight = F.col("weight") if certificate_weight else F.lit(1.0)
-    both = rows.select(
-        weight.alias("weight"),
-        F.explode(
-            F.array(
-                F.struct(F.lit(1.0).alias("label"), F.col("x").alias("x")),
-                F.struct(F.lit(0.0).alias("label"), F.transform("x", lambda v: -v).alias("x")),
-            )
-        ).alias("r"),
-    ).select("weight", "r.label", array_to_vector("r.x").alias("features"))
+    both = rows.select(weight.alias("weight"), "delta", F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("sign"))
+    both = both.select(
+        "weight",
+        F.when(F.col("sign") > 0, 1.0).otherwise(0.0).alias("label"),
+        array_to_vector(F.transform("delta", lambda v: v * F.col("sign"))).alias("features"),
+    )
     model = _fit(_logistic(l2, False, weightCol="weight"), both)
     learned = dict(zip(names, model.coefficients.toArray().tolist()))
     return {name: learned.get(name, 0.0) for name in FEATURES}
@@ -250,7 +266,7 @@ def _policy_rows(preferences: DataFrame, names: tuple[str, ...]) -> DataFrame:
     weights = F.create_map(*[F.lit(x) for pair in CERTIFICATE_WEIGHTS.items() for x in pair])
     return preferences.filter(F.array_contains("candidates", F.col("preferred_action"))).select(
         F.size(c).alias("k"),
-        F.flatten(F.transform(c, lambda a: _vector(a, names))).alias("x"),
+        F.flatten(F.transform(_with_verbs(c), lambda s: _vector(s["action"], names, s["verb"]))).alias("x"),
         rewards.alias("reward"),
         F.transform(c, lambda _a, i: 1.0 / ((i + 1) * total)).alias("prior"),
         (F.array_position(c, F.col("preferred_action")) - 1).cast("int").alias("preferred"),

@@ -17,6 +17,7 @@ def build_session(cpus: int | str = "*", app: str = "trajlens") -> SparkSession:
         .config("spark.sql.shuffle.partitions", parallelism)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
