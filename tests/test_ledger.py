@@ -145,7 +145,7 @@ def test_top_k_and_suffix_budget(spark):
     frame = spark.createDataFrame(data, LEDGER)
     got = {r["top_k"]: r for r in rows(L.top_k_sensitivity(frame, (3, 5)))}
     assert [got[k]["certified_preferences_retained"] for k in (3, 5)] == [1, 2]
-    assert abs(got[3]["candidate_absent_step_rate"] - 2 / 3) < 1e-12 and got[3]["recappable_trajectories"] == 1
+    assert abs(got[3]["candidate_absent_step_rate"] - 2 / 3) < 1e-12 and got[3]["repairable_trajectories"] == 1
     got = {r["suffix_budget"]: r for r in rows(L.suffix_budget_sensitivity(spark.createDataFrame(data[:2], LEDGER), (5,)))}
     assert (got["5"]["certified_preferences_retained"], got["5"]["certified_preferences_lost"], got["5"]["suffix_too_long_step_rate"]) == (1, 1, 0.5)
     assert got["full"]["certified_preferences_retained"] == 2

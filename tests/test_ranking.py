@@ -21,7 +21,7 @@ def preds(spark, *items):
 
 def test_without_predictions(spark):
     row = one(R.ranking_summary(R.evaluate_ranking(prefs(spark, ONE))))
-    assert (row["raw_mrr"], row["oracle_recap_mrr"], row["learned_mrr"], row["learned_abstain_rate"]) == (0.5, 1.0, None, None)
+    assert (row["raw_mrr"], row["oracle_mrr"], row["learned_mrr"], row["learned_abstain_rate"]) == (0.5, 1.0, None, None)
 
 
 def test_scores_last_prediction_and_abstention(spark):

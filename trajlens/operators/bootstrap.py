@@ -130,9 +130,9 @@ def bootstrap_metrics(
     metrics = {name: all_metrics[name] for name in DECOMPOSITION_METRICS}
     metrics |= {
         "raw_mrr": safe_div(F.col("raw_rr"), F.col("n")),
-        "oracle_recap_mrr": safe_div(F.col("found"), F.col("n")),
+        "oracle_mrr": safe_div(F.col("found"), F.col("n")),
         "raw_ndcg": safe_div(F.col("raw_gain"), F.col("n")),
-        "oracle_recap_ndcg": safe_div(F.col("found"), F.col("n")),
+        "oracle_ndcg": safe_div(F.col("found"), F.col("n")),
     }
     return intervals(replicate_sums(clusters, iterations, seed, method), metrics, null_as_zero=True)
 

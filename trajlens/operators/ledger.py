@@ -483,7 +483,7 @@ def top_k_sensitivity(ledger: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5)) ->
         lost.alias("certified_preferences_lost"),
         safe_div(F.col("kept"), F.col("candidate_steps")).alias("certified_misranking_step_rate"),
         safe_div(F.col("base") + lost, F.col("candidate_steps")).alias("candidate_absent_step_rate"),
-        F.col("trajectories").alias("recappable_trajectories"),
+        F.col("trajectories").alias("repairable_trajectories"),
         safe_div(F.col("size_sum"), F.col("kept")).alias("avg_preferred_rank"),
     )
 
@@ -497,7 +497,7 @@ def suffix_budget_sensitivity(ledger: DataFrame, budgets: tuple[int, ...] = (3,
         lost.alias("certified_preferences_lost"),
         safe_div(F.col("kept"), F.col("candidate_steps")).alias("certified_misranking_step_rate"),
         safe_div(F.col("base") + lost, F.col("candidate_steps")).alias("suffix_too_long_step_rate"),
-        F.col("trajectories").alias("recappable_trajectories"),
+        F.col("trajectories").alias("repairable_trajectories"),
     )
 
 

@@ -69,9 +69,9 @@ def evaluate_ranking(preferences: DataFrame, predictions: DataFrame | None = Non
         raw_rank.isNotNull().alias("preferred_in_candidates"),
         raw_top.alias("raw_top1_is_preferred"),
         reciprocal_rank(raw_rank).alias("raw_mrr"),
-        found.alias("oracle_recap_mrr"),
+        found.alias("oracle_mrr"),
         single_ndcg(raw_rank).alias("raw_ndcg"),
-        found.alias("oracle_recap_ndcg"),
+        found.alias("oracle_ndcg"),
         F.col("prediction").isNotNull().alias("has_learned_prediction"),
         F.col("prediction.abstain").alias("learned_abstained"),
         learned_rank.alias("learned_rank"),
@@ -122,10 +122,10 @@ def ranking_metrics(suffix: str = "") -> dict[str, Column]:
         "preferred_top1_before": col("raw_top"),
         "avg_preferred_rank_before": safe_div(col("rank_total"), col("found")),
         "raw_mrr": safe_div(col("raw_rr"), col("n")),
-        "oracle_recap_mrr": safe_div(col("found"), col("n")),
+        "oracle_mrr": safe_div(col("found"), col("n")),
         "learned_mrr": ratio_or_null(col("learned_rr"), col("active")),
         "raw_ndcg": safe_div(col("raw_gain"), col("n")),
-        "oracle_recap_ndcg": safe_div(col("found"), col("n")),
+        "oracle_ndcg": safe_div(col("found"), col("n")),
         "learned_ndcg": ratio_or_null(col("learned_gain"), col("active")),
         "learned_predictions": col("predicted"),
         "learned_evaluated_preferences": col("active"),
@@ -231,9 +231,9 @@ def evaluate_against_run(run_steps: DataFrame, preferences: DataFrame) -> DataFr
         rank.isNotNull().alias("would_make_preferred_top1"),
         F.coalesce(rank > 1, F.lit(False)).alias("preferred_misranked"),
         reciprocal_rank(rank).alias("raw_mrr"),
-        found.alias("oracle_recap_mrr"),
+        found.alias("oracle_mrr"),
         single_ndcg(rank).alias("raw_ndcg"),
-        found.alias("oracle_recap_ndcg"),
+        found.alias("oracle_ndcg"),
         "source",
         F.col("step").isNull().alias("missing_step"),
     )
@@ -268,10 +268,10 @@ def run_preference_summary(records: DataFrame) -> DataFrame:
         safe_div(F.col("repairable"), found).alias("oracle_top1_repairable_rate"),
         safe_div(F.col("rank_total"), found).alias("avg_preferred_rank_before"),
         safe_div(F.col("raw_mrr"), n).alias("raw_mrr"),
-        safe_div(found, n).alias("oracle_recap_mrr"),
+        safe_div(found, n).alias("oracle_mrr"),
         nothing.alias("learned_mrr"),
         safe_div(F.col("raw_ndcg"), n).alias("raw_ndcg"),
-        safe_div(found, n).alias("oracle_recap_ndcg"),
+        safe_div(found, n).alias("oracle_ndcg"),
         nothing.alias("learned_ndcg"),
         nothing.alias("learned_top1_correction_rate"),
         nothing.alias("learned_abstain_rate"),
@@ -294,7 +294,7 @@ def method_table(summaries: dict[str, DataFrame]) -> DataFrame:
         )
 
     first = next(iter(summaries.values()))
-    out = row(first, F.lit("raw"), "raw").unionByName(row(first, F.lit("oracle"), "oracle_recap"))
+    out = row(first, F.lit("raw"), "raw").unionByName(row(first, F.lit("oracle"), "oracle"))
     for name, summary in summaries.items():
         out = out.unionByName(row(summary, F.lit(name), "learned"))
     return out

@@ -46,10 +46,10 @@ def step_diagnostics(steps: DataFrame) -> DataFrame:
         before.alias("gold_rank_before"),
         rank_of(F.col("candidates"), F.col("gold_action")).alias("gold_rank_after"),
         is_gold.alias("selected_is_gold"),
-        (controlled & F.coalesce(before != 1, F.lit(False)) & is_gold).alias("recap_recovered_gold"),
-        (controlled & F.coalesce(before == 1, F.lit(False)) & ~is_gold).alias("recap_demoted_gold"),
+        (controlled & F.coalesce(before != 1, F.lit(False)) & is_gold).alias("recovered_gold"),
+        (controlled & F.coalesce(before == 1, F.lit(False)) & ~is_gold).alias("demoted_gold"),
         top.alias("top1_action"),
-        (controlled & F.col("top1_bad") & F.coalesce(F.col("action") != top, F.lit(False))).alias("recap_blocked_bad_top1"),
+        (controlled & F.col("top1_bad") & F.coalesce(F.col("action") != top, F.lit(False))).alias("blocked_bad_top1"),
     )
 
 
@@ -75,10 +75,10 @@ def episode_metrics(steps: DataFrame, keys: list[str]) -> DataFrame:
         "gold_steps": F.col("gold_action").isNotNull(),
         "gold_in_candidates": F.col("gold_in_candidates"),
         "selected_gold": gold,
-        "recap_recovered_gold": F.col("recap_recovered_gold"),
-        "recap_demoted_gold": F.col("recap_demoted_gold"),
+        "recovered_gold": F.col("recovered_gold"),
+        "demoted_gold": F.col("demoted_gold"),
         "top1_structural_bad": F.col("top1_bad"),
-        "recap_blocked_bad_top1": F.col("recap_blocked_bad_top1"),
+        "blocked_bad_top1": F.col("blocked_bad_top1"),
         "reranker_steps": F.col("reranker_used"),
         "reranker_interventions": acted,
         "reranker_abstentions": F.col("reranker_abstained"),
@@ -91,7 +91,7 @@ def episode_metrics(steps: DataFrame, keys: list[str]) -> DataFrame:
         "gold_in_candidate_rate": ("gold_in_candidates", "gold_steps"),
         "selected_gold_rate": ("selected_gold", "gold_steps"),
         "top1_structural_bad_rate": ("top1_structural_bad", "steps"),
-        "recap_blocked_bad_top1_rate": ("recap_blocked_bad_top1", "top1_structural_bad"),
+        "blocked_bad_top1_rate": ("blocked_bad_top1", "top1_structural_bad"),
         "reranker_intervention_rate": ("reranker_interventions", "reranker_steps"),
         "reranker_abstain_rate": ("reranker_abstentions", "reranker_steps"),
         "reranker_gold_demotion_rate": ("reranker_demoted_gold", "gold_steps"),
@@ -112,9 +112,9 @@ def episode_metrics(steps: DataFrame, keys: list[str]) -> DataFrame:
 METRICS = (
     "steps", "invalid_actions", "invalid_action_rate", "repeated_actions", "repeated_action_rate", "noop_penalized",
     "seen_state_penalized", "inverse_penalized", "absorbed_penalized", "gold_steps", "gold_in_candidates",
-    "gold_in_candidate_rate", "selected_gold", "selected_gold_rate", "recap_recovered_gold", "recap_demoted_gold",
+    "gold_in_candidate_rate", "selected_gold", "selected_gold_rate", "recovered_gold", "demoted_gold",
     "avg_gold_rank_before", "avg_gold_rank_after", "top1_structural_bad", "top1_structural_bad_rate",
-    "recap_blocked_bad_top1", "recap_blocked_bad_top1_rate", "reranker_steps", "reranker_interventions",
+    "blocked_bad_top1", "blocked_bad_top1_rate", "reranker_steps", "reranker_interventions",
     "reranker_intervention_rate", "reranker_abstentions", "reranker_abstain_rate", "reranker_recovered_gold",
     "reranker_demoted_gold", "reranker_gold_demotion_rate", "avg_reranker_margin",
 )
@@ -255,11 +255,11 @@ def gold_diagnostics(steps: DataFrame, by: str = "run") -> DataFrame:
         F.count_if(has_gold & F.col("gold_in_candidates")).alias("_found"),
         F.count_if(has_gold & F.col("selected_is_gold")).alias("_selected"),
         F.count_if(has_gold & F.coalesce(rank != 1, F.lit(False))).alias("recovery_opps"),
-        F.count_if(has_gold & F.col("recap_recovered_gold")).alias("_recovered"),
+        F.count_if(has_gold & F.col("recovered_gold")).alias("_recovered"),
         F.count_if(has_gold & F.coalesce(rank == 1, F.lit(False))).alias("demotion_opps"),
-        F.count_if(has_gold & F.col("recap_demoted_gold")).alias("_demoted"),
+        F.count_if(has_gold & F.col("demoted_gold")).alias("_demoted"),
         F.count_if("top1_bad").alias("bad_top1_steps"),
-        F.count_if("recap_blocked_bad_top1").alias("_blocked"),
+        F.count_if("blocked_bad_top1").alias("_blocked"),
     )
     return total.select(
         by,
@@ -283,13 +283,13 @@ def gold_selector_summary(records: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("states"),
         F.count(rank).alias("gold_in_topk"),
         F.count_if(F.col("base_selected_gold")).alias("base_selected_gold"),
-        F.count_if(F.col("recap_selected_gold")).alias("recap_selected_gold"),
+        F.count_if(F.col("controlled_selected_gold")).alias("controlled_selected_gold"),
         F.count_if(rank != 1).alias("recovery_opportunities"),
-        F.count_if(F.col("recap_recovered_gold")).alias("recap_recovered_gold"),
+        F.count_if(F.col("recovered_gold")).alias("recovered_gold"),
         F.count_if(rank == 1).alias("demotion_opportunities"),
-        F.count_if(F.col("recap_demoted_gold")).alias("recap_demoted_gold"),
+        F.count_if(F.col("demoted_gold")).alias("demoted_gold"),
         F.count_if(F.col("top1_bad")).alias("top1_structural_bad"),
-        F.count_if(F.col("recap_blocked_bad_top1")).alias("recap_blocked_bad_top1"),
+        F.count_if(F.col("blocked_bad_top1")).alias("blocked_bad_top1"),
         F.coalesce(F.avg(rank), F.lit(0.0)).alias("avg_gold_rank_before"),
         F.coalesce(F.avg("gold_rank_after"), F.lit(0.0)).alias("avg_gold_rank_after"),
         F.count_if(F.col("valid_gold_step")).alias("_valid"),
@@ -297,11 +297,11 @@ def gold_selector_summary(records: DataFrame) -> DataFrame:
     rates = {
         "gold_in_topk_rate": ("gold_in_topk", n),
         "base_selected_gold_rate": ("base_selected_gold", n),
-        "recap_selected_gold_rate": ("recap_selected_gold", n),
-        "recap_recovery_rate": ("recap_recovered_gold", F.col("recovery_opportunities")),
-        "recap_demotion_rate": ("recap_demoted_gold", F.col("demotion_opportunities")),
+        "controlled_selected_gold_rate": ("controlled_selected_gold", n),
+        "recovery_rate": ("recovered_gold", F.col("recovery_opportunities")),
+        "demotion_rate": ("demoted_gold", F.col("demotion_opportunities")),
         "top1_structural_bad_rate": ("top1_structural_bad", n),
-        "recap_blocked_bad_top1_rate": ("recap_blocked_bad_top1", F.col("top1_structural_bad")),
+        "blocked_bad_top1_rate": ("blocked_bad_top1", F.col("top1_structural_bad")),
         "valid_gold_step_rate": ("_valid", n),
     }
     return total.select("*", *[safe_div(F.col(a), b).alias(name) for name, (a, b) in rates.items()]).drop("_valid")
@@ -413,8 +413,8 @@ def run_report(
         F.bool_or(F.col("status") == "certified_preference").alias("certified"),
     ).agg(
         F.count_if(~F.col("failed")).alias("successful_trajectories"),
-        F.count_if(F.col("failed") & F.col("certified")).alias("recappable_failed_trajectories"),
-        safe_div(F.count_if(F.col("failed") & F.col("certified")), F.count_if("failed")).alias("recappable_failed_trajectory_rate"),
+        F.count_if(F.col("failed") & F.col("certified")).alias("repairable_failed_trajectories"),
+        safe_div(F.count_if(F.col("failed") & F.col("certified")), F.count_if("failed")).alias("repairable_failed_trajectory_rate"),
     )
     ranking = R.ranking_summary(R.evaluate_ranking(preferences))
     certificates = preferences.groupBy(F.coalesce("certificate_level", F.lit("unknown")).alias("name")).agg(
@@ -422,7 +422,7 @@ def run_report(
     )
     parts = [
         long(decomposition, "data", ["trajectories", "failed_trajectories", "candidate_steps", "certified_preferences", "invalid_replay"]),
-        long(clusters, "repairable", ["successful_trajectories", "recappable_failed_trajectories", "recappable_failed_trajectory_rate"]),
+        long(clusters, "repairable", ["successful_trajectories", "repairable_failed_trajectories", "repairable_failed_trajectory_rate"]),
         long(ranking, "oracle", ["preferences", "preferred_in_candidates", "preferred_top1_before", "avg_preferred_rank_before"]),
         long(number_summary(preferences, "repair_suffix_len"), "suffix", ["mean", "median", "p90"]),
         certificates.select(F.lit("certificate").alias("section"), "name", "value", nothing.alias("ci_low"), nothing.alias("ci_high")),

@@ -201,7 +201,7 @@ QUERIES["top_k_sensitivity"] = (
           count(distinct tid) filter (where preferred_rank is not null) as tr from kv left join
           (select * from tgt where status = 'certified_preference') x on x.preferred_rank <= k group by k)
         select """ + cols(
-            ints="top_k := k; certified_preferences_retained := n; certified_preferences_lost := cp - n; recappable_trajectories := tr",
+            ints="top_k := k; certified_preferences_retained := n; certified_preferences_lost := cp - n; repairable_trajectories := tr",
             dbls="certified_misranking_step_rate := n / cs; candidate_absent_step_rate := (ca + cp - n) / cs;"
             "avg_preferred_rank := coalesce(s / n, 0)",
         ) + " from r, b"
@@ -215,7 +215,7 @@ QUERIES["suffix_budget_sensitivity"] = (
           (select * from tgt where status = 'certified_preference') x on x.repair_suffix_len <= k group by k)
         select """ + cols(
             raw="suffix_budget := case when k = 1000000 then 'full' else cast(k as varchar) end",
-            ints="certified_preferences_retained := n; certified_preferences_lost := cp - n; recappable_trajectories := tr",
+            ints="certified_preferences_retained := n; certified_preferences_lost := cp - n; repairable_trajectories := tr",
             dbls="certified_misranking_step_rate := n / cs; suffix_too_long_step_rate := (st + cp - n) / cs",
         ) + " from r, b",
         "both", 7,

@@ -41,8 +41,8 @@ QUERIES["evaluate_ranking"] = (
             "learned_top1 := lt; learned_top1_is_preferred := case when act then coalesce(lr = 1, false) end;"
             "learned_demoted_raw_gold := coalesce(r = 1, false) and act and not coalesce(lr = 1, false)",
             ints="seed; step_index; preferred_rank_before := r; rejected_rank_before := rr; learned_rank := lr",
-            dbls="raw_mrr := coalesce(1.0 / r, 0); oracle_recap_mrr := case when r is null then 0 else 1 end;"
-            "raw_ndcg := coalesce(1.0 / log2(r + 1), 0); oracle_recap_ndcg := case when r is null then 0 else 1 end;"
+            dbls="raw_mrr := coalesce(1.0 / r, 0); oracle_mrr := case when r is null then 0 else 1 end;"
+            "raw_ndcg := coalesce(1.0 / log2(r + 1), 0); oracle_ndcg := case when r is null then 0 else 1 end;"
             "learned_mrr := case when act then coalesce(1.0 / lr, 0) end;"
             "learned_ndcg := case when act then coalesce(1.0 / log2(lr + 1), 0) end",
         ) + " from rk"
@@ -53,9 +53,9 @@ _SUMMARY = cols(
     ints="preferences := count(*); preferred_in_candidates := count(r); preferred_top1_before := count(*) filter (where r = 1);"
     "learned_predictions := count(*) filter (where has_p); learned_evaluated_preferences := count(*) filter (where act)",
     dbls="candidate_coverage_rate := coalesce(count(r) / nullif(count(*), 0), 0); avg_preferred_rank_before := coalesce(avg(r), 0);"
-    "raw_mrr := coalesce(avg(coalesce(1.0 / r, 0)), 0); oracle_recap_mrr := coalesce(count(r) / nullif(count(*), 0), 0);"
+    "raw_mrr := coalesce(avg(coalesce(1.0 / r, 0)), 0); oracle_mrr := coalesce(count(r) / nullif(count(*), 0), 0);"
     "learned_mrr := avg(coalesce(1.0 / lr, 0)) filter (where act); raw_ndcg := coalesce(avg(coalesce(1.0 / log2(r + 1), 0)), 0);"
-    "oracle_recap_ndcg := coalesce(count(r) / nullif(count(*), 0), 0); learned_ndcg := avg(coalesce(1.0 / log2(lr + 1), 0)) filter (where act);"
+    "oracle_ndcg := coalesce(count(r) / nullif(count(*), 0), 0); learned_ndcg := avg(coalesce(1.0 / log2(lr + 1), 0)) filter (where act);"
     "learned_prediction_coverage_rate := coalesce(count(*) filter (where has_p) / nullif(count(*), 0), 0);"
     "learned_abstain_rate := count(*) filter (where has_p and abstain) / nullif(count(*) filter (where has_p), 0);"
     "learned_top1_correction_rate := count(*) filter (where act and lr = 1) / nullif(count(*) filter (where act), 0);"
@@ -83,7 +83,7 @@ QUERIES["method_table"] = (
         ", s as (select " + _SUMMARY + " from rk) select " + cols(
             raw="method", dbls="mrr; ndcg; top1; abstain_rate") +
         """ from (select 'raw' as method, raw_mrr as mrr, raw_ndcg as ndcg, preferred_top1_before / preferences as top1, 0.0 as abstain_rate from s
-            union all select 'oracle', oracle_recap_mrr, oracle_recap_ndcg, candidate_coverage_rate, 0.0 from s
+            union all select 'oracle', oracle_mrr, oracle_ndcg, candidate_coverage_rate, 0.0 from s
             union all select 'scores', learned_mrr, learned_ndcg, learned_top1_correction_rate, learned_abstain_rate from s)"""
     ),
 )
@@ -165,8 +165,8 @@ QUERIES["evaluate_against_run"] = (
             "selected_was_rejected := coalesce(sel = rej, false); preferred_in_candidates := r is not null;"
             "would_make_preferred_top1 := r is not null; preferred_misranked := coalesce(r > 1, false)",
             ints="seed; step_index; preferred_rank_before := r; rejected_rank_before := rr",
-            dbls="raw_mrr := coalesce(1.0 / r, 0); oracle_recap_mrr := case when r is null then 0 else 1 end;"
-            "raw_ndcg := coalesce(1.0 / log2(r + 1), 0); oracle_recap_ndcg := case when r is null then 0 else 1 end",
+            dbls="raw_mrr := coalesce(1.0 / r, 0); oracle_mrr := case when r is null then 0 else 1 end;"
+            "raw_ndcg := coalesce(1.0 / log2(r + 1), 0); oracle_ndcg := case when r is null then 0 else 1 end",
         ) + " from ag",
         "both", None, O.PREFS, _AGAINST,
     ),
@@ -181,7 +181,7 @@ QUERIES["run_preference_summary"] = (
             "preferred_top1_before := top; preferred_misranked := mis; would_make_preferred_top1 := f",
             dbls="candidate_coverage_rate := f / n; candidate_absent_rate := (m - f) / m; selected_is_rejected_rate := sr / m;"
             "misranking_rate := mis / f; oracle_top1_repairable_rate := f / f; avg_preferred_rank_before := ar; raw_mrr := rr / n;"
-            "oracle_recap_mrr := f / n; learned_mrr := null; raw_ndcg := rn / n; oracle_recap_ndcg := f / n; learned_ndcg := null;"
+            "oracle_mrr := f / n; learned_mrr := null; raw_ndcg := rn / n; oracle_ndcg := f / n; learned_ndcg := null;"
             "learned_top1_correction_rate := null; learned_abstain_rate := null; learned_harm_rate := null",
         ) + " from z",
         "both", None, O.PREFS, _AGAINST,
@@ -313,7 +313,7 @@ _REPS = """rp as (select b, """ + ", ".join(
    case when sf > 0 then rsf / nullif(cf, 0) else rsa / nullif(ca, 0) end as repair_same_as_executed_step_rate,
    case when sf > 0 then nrf / nullif(cf, 0) else nra / nullif(ca, 0) end as no_repair_found_step_rate,
    ps / nullif(pn, 0) as avg_preferred_rank_on_certified_preferences, rr / nullif(pn, 0) as raw_mrr,
-   pn / nullif(pn, 0) as oracle_recap_mrr, rg / nullif(pn, 0) as raw_ndcg, pn / nullif(pn, 0) as oracle_recap_ndcg from rp)"""
+   pn / nullif(pn, 0) as oracle_mrr, rg / nullif(pn, 0) as raw_ndcg, pn / nullif(pn, 0) as oracle_ndcg from rp)"""
 
 
 def _interval_sql(names, zero):
@@ -332,7 +332,7 @@ for _name, _method, _text in (("bootstrap_metrics", "multinomial", _DRAW), ("boo
     QUERIES[_name] = (
         lambda t, m=_method: B.bootstrap_metrics(*t.compiled(), REPLICATES, 0, m),
         O.with_ledger(
-            _interval_sql([*B.DECOMPOSITION_METRICS, "raw_mrr", "oracle_recap_mrr", "raw_ndcg", "oracle_recap_ndcg"], True),
+            _interval_sql([*B.DECOMPOSITION_METRICS, "raw_mrr", "oracle_mrr", "raw_ndcg", "oracle_ndcg"], True),
             "both", None, _CLUSTERS, _text.format(n=REPLICATES), _REPS,
         ),
     )

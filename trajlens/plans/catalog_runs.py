@@ -64,10 +64,10 @@ _LOG = """rl as (select *, value as reward, case when event_id % 4 <> 0 then lis
      controlled and top1_bad and action <> cb[1] as blk from sd)"""
 QUERIES["step_diagnostics"] = (
     lambda t: diagnosed(t).select("trajectory_id", "step_index", "candidates_before", "gold_in_candidates", "gold_rank_before", "gold_rank_after",
-                                  "selected_is_gold", "recap_recovered_gold", "recap_demoted_gold", "top1_action", "recap_blocked_bad_top1"),
+                                  "selected_is_gold", "recovered_gold", "demoted_gold", "top1_action", "blocked_bad_top1"),
     f"with {O._STEPS}, {_LOG} select " + cols(
-        raw="trajectory_id; gold_in_candidates := gb is not null; selected_is_gold := sg; recap_recovered_gold := rec; recap_demoted_gold := dem;"
-        "top1_action := cb[1]; recap_blocked_bad_top1 := blk", ints="step_index; gold_rank_before := gb; gold_rank_after := ga",
+        raw="trajectory_id; gold_in_candidates := gb is not null; selected_is_gold := sg; recovered_gold := rec; demoted_gold := dem;"
+        "top1_action := cb[1]; blocked_bad_top1 := blk", ints="step_index; gold_rank_before := gb; gold_rank_after := ga",
         arrs="candidates_before := cb") + " from sx",
 )
 
@@ -80,8 +80,8 @@ _EP = """ep as (select trajectory_id, task_id, seed, rollout, success, min(event
     f"{_n(c)} as {n}" for n, c in (
         ("invalid_actions", "not valid"), ("repeated_actions", "rep"), ("noop_penalized", "event_id % 5 = 0"), ("seen_state_penalized", "event_id % 6 = 0"),
         ("inverse_penalized", "event_id % 8 = 0"), ("absorbed_penalized", "event_id % 9 = 0"), ("gold_steps", "gold_action is not null"),
-        ("gold_in_candidates", "gb is not null"), ("selected_gold", "sg"), ("recap_recovered_gold", "rec"), ("recap_demoted_gold", "dem"),
-        ("top1_structural_bad", "top1_bad"), ("recap_blocked_bad_top1", "blk"), ("reranker_steps", "ru"), ("reranker_interventions", "ri"),
+        ("gold_in_candidates", "gb is not null"), ("selected_gold", "sg"), ("recovered_gold", "rec"), ("demoted_gold", "dem"),
+        ("top1_structural_bad", "top1_bad"), ("blocked_bad_top1", "blk"), ("reranker_steps", "ru"), ("reranker_interventions", "ri"),
         ("reranker_abstentions", "ra"), ("reranker_recovered_gold", "ri and gb <> 1 and sg"), ("reranker_demoted_gold", "ri and gb = 1 and not sg"),
     )
 ) + """, coalesce(avg(gb), 0) as avg_gold_rank_before, coalesce(avg(ga), 0) as avg_gold_rank_after, coalesce(avg(margin), 0) as avg_reranker_margin
@@ -90,7 +90,7 @@ _EP = """ep as (select trajectory_id, task_id, seed, rollout, success, min(event
     f"coalesce({a} / nullif({b}, 0), 0) as {n}" for n, a, b in (
         ("invalid_action_rate", "invalid_actions", "steps"), ("repeated_action_rate", "repeated_actions", "steps"),
         ("gold_in_candidate_rate", "gold_in_candidates", "gold_steps"), ("selected_gold_rate", "selected_gold", "gold_steps"),
-        ("top1_structural_bad_rate", "top1_structural_bad", "steps"), ("recap_blocked_bad_top1_rate", "recap_blocked_bad_top1", "top1_structural_bad"),
+        ("top1_structural_bad_rate", "top1_structural_bad", "steps"), ("blocked_bad_top1_rate", "blocked_bad_top1", "top1_structural_bad"),
         ("reranker_intervention_rate", "reranker_interventions", "reranker_steps"), ("reranker_abstain_rate", "reranker_abstentions", "reranker_steps"),
         ("reranker_gold_demotion_rate", "reranker_demoted_gold", "gold_steps"),
     )
@@ -172,14 +172,14 @@ QUERIES["gold_diagnostics"] = (
 QUERIES["gold_selector_summary"] = (
     lambda t: R.gold_selector_summary(
         diagnosed(t).filter("gold_action is not null").withColumn("base_selected_gold", F.coalesce(F.col("gold_rank_before") == 1, F.lit(False)))
-        .withColumn("recap_selected_gold", F.col("selected_is_gold")).withColumn("valid_gold_step", F.col("valid"))),
+        .withColumn("controlled_selected_gold", F.col("selected_is_gold")).withColumn("valid_gold_step", F.col("valid"))),
     f"with {O._STEPS}, {_LOG}, g as (select count(*) as n, " + ", ".join(f"{_n(c)} as {n}" for n, c in (
         ("f", "gb is not null"), ("b1", "gb = 1"), ("s", "sg"), ("ro", "gb <> 1"), ("rc", "rec"), ("dm", "dem"), ("bt", "top1_bad"), ("bl", "blk"), ("vl", "valid"),
     )) + ", avg(gb) as ab, avg(ga) as aa from sx where gold_action is not null) select " + cols(
-        ints="states := n; gold_in_topk := f; base_selected_gold := b1; recap_selected_gold := s; recovery_opportunities := ro; recap_recovered_gold := rc;"
-        "demotion_opportunities := b1; recap_demoted_gold := dm; top1_structural_bad := bt; recap_blocked_bad_top1 := bl",
-        dbls="gold_in_topk_rate := f / n; base_selected_gold_rate := b1 / n; recap_selected_gold_rate := s / n; recap_recovery_rate := rc / ro;"
-        "recap_demotion_rate := dm / b1; top1_structural_bad_rate := bt / n; recap_blocked_bad_top1_rate := bl / bt; valid_gold_step_rate := vl / n;"
+        ints="states := n; gold_in_topk := f; base_selected_gold := b1; controlled_selected_gold := s; recovery_opportunities := ro; recovered_gold := rc;"
+        "demotion_opportunities := b1; demoted_gold := dm; top1_structural_bad := bt; blocked_bad_top1 := bl",
+        dbls="gold_in_topk_rate := f / n; base_selected_gold_rate := b1 / n; controlled_selected_gold_rate := s / n; recovery_rate := rc / ro;"
+        "demotion_rate := dm / b1; top1_structural_bad_rate := bt / n; blocked_bad_top1_rate := bl / bt; valid_gold_step_rate := vl / n;"
         "avg_gold_rank_before := ab; avg_gold_rank_after := aa") + " from g",
 )
 
@@ -232,14 +232,14 @@ _REPORT = """, tr_ as (select trajectory_id, bool_or(original_outcome = 'fail')
  out as (select 'data' as section, 'trajectories' as name, n::double as value, null::double as ci_low, null::double as ci_high from ff
    union all select 'data', 'failed_trajectories', f, null, null from ff union all select 'data', 'candidate_steps', cs, null, null from fl
    union all select 'data', 'certified_preferences', cp, null, null from fl union all select 'data', 'invalid_replay', ir, null, null from fl
-   union all select 'repairable', 'successful_trajectories', n - f, null, null from ff union all select 'repairable', 'recappable_failed_trajectories', rc, null, null from ff
-   union all select 'repairable', 'recappable_failed_trajectory_rate', rc / f, null, null from ff
+   union all select 'repairable', 'successful_trajectories', n - f, null, null from ff union all select 'repairable', 'repairable_failed_trajectories', rc, null, null from ff
+   union all select 'repairable', 'repairable_failed_trajectory_rate', rc / f, null, null from ff
    union all select 'oracle', 'preferences', n, null, null from px union all select 'oracle', 'preferred_in_candidates', n, null, null from px
    union all select 'oracle', 'preferred_top1_before', t1, null, null from px union all select 'oracle', 'avg_preferred_rank_before', ar, null, null from px
    union all select 'suffix', 'mean', sm, null, null from px union all select 'suffix', 'median', sd, null, null from px union all select 'suffix', 'p90', sp, null, null from px
    union all select 'certificate', level, count(*), null, null from led where status = 'certified_preference' group by level
    union all select 'interval', metric, point, ci_low, ci_high from iv)
-""" % _interval_sql([*DECOMPOSITION_METRICS, "raw_mrr", "oracle_recap_mrr", "raw_ndcg", "oracle_recap_ndcg"], True)
+""" % _interval_sql([*DECOMPOSITION_METRICS, "raw_mrr", "oracle_mrr", "raw_ndcg", "oracle_ndcg"], True)
 QUERIES["run_report"] = (
     lambda t: R.run_report(*t.compiled(), REPLICATES),
     O.with_ledger(_REPORT + "select " + cols(raw="section; name", dbls="value; ci_low; ci_high") + " from out", "both", None, _CLUSTERS, _DRAW.format(n=REPLICATES), _REPS),

@@ -4,8 +4,8 @@ STEP = (
     "struct<step_index:int,action:string,candidates_before:array<string>,candidates:array<string>,"
     "gold_action:string,valid:boolean,reward:double,done:boolean,selected_score:double,"
     "controller_reasons:array<string>,gold_in_candidates:boolean,gold_rank_before:int,gold_rank_after:int,"
-    "selected_is_gold:boolean,recap_recovered_gold:boolean,recap_demoted_gold:boolean,top1_action:string,"
-    "top1_structural_reasons:array<string>,top1_structural_bad:boolean,recap_blocked_bad_top1:boolean,"
+    "selected_is_gold:boolean,top1_action:string,"
+    "top1_structural_reasons:array<string>,top1_structural_bad:boolean,"
     "reranker_used:boolean,reranker_abstained:boolean,reranker_intervened:boolean,reranker_margin:double,"
     "reranker_safety_reason:string>"
 )
