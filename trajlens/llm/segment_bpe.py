@@ -29,6 +29,9 @@ REMEMBERED_WORDS = 300_000
 TREE_SYMBOLS = 1 << 17
 _NONE = np.iinfo(np.int64).max
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+_LATIN = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-z0-9ªµºß-öø-ÿ²³¹¼-¾]+"
+)
 _ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
 
@@ -43,7 +46,12 @@ def words_of(text: str) -> list[str]:
     """Normalized pre-tokens of a text that holds no special token."""
     if text.isascii():
         return _ASCII.findall(text.lower())
-    text = unicodedata.normalize("NFC", text)
+    try:
+        text.encode("latin-1")
+        # These are composed already.
+        return _LATIN.findall(text.lower())
+    except UnicodeEncodeError:
+        text = unicodedata.normalize("NFC", text)
     # One character at a time: a final sigma gets no form of its own.
     low = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
     return _ANY.findall(low)

@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from trajlens.llm.common import keep, pieces, shard_edges, shard_of, ship
-from trajlens.llm.segment_bpe import words_of
+from trajlens.llm.segment_bpe import byte_symbols, words_of
 from trajlens.session import shared_folder
 
 END_ID = 1
 REMEMBERED_WORDS = 300_000
 MASK = 0xA282EAD8
 #: Bytes whose checksums are made together.
-BLOCK = 1024
+BLOCK = 2048
 HEAD = 9
 
 
@@ -62,7 +62,7 @@ def crc32c(data: bytes | np.ndarray) -> int:
     state = 0xFFFFFFFF
     for start in range(0, len(data), BLOCK):
         part = data[start : start + BLOCK]
-        if len(part) < 4:
+        if len(part) < 32:
             for byte in part.tolist():
                 state = int(_TABLE[(state ^ byte) & 0xFF]) ^ (state >> 8)
             continue
@@ -96,7 +96,7 @@ def unframed(raw: bytes, size: int) -> memoryview:
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once per distinct pre-token; ids of a text are its pre-tokens' ids in order."""
+    """The tokenizers library's model, asked once per distinct pre-token; a text's ids are those of its pre-tokens."""
 
     def __init__(self, file: str):
         self.library = Tokenizer.from_str(file)
@@ -104,11 +104,17 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.special = [token.content for token in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.model, self.letters = self.library.model, byte_symbols()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        letters = self.letters
+        return self._bytes([token.id for token in self.model.tokenize("".join([letters[byte] for byte in word.encode()]))])
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian numbers."""
         # Texts that hold a special token's name are left to the library whole.
@@ -116,10 +122,9 @@ class LibraryEncoder:
         parts = [[] if odd else words_of(text) for odd, text in zip(whole, texts, strict=True)]
         wanted = {word for words in parts for word in words}
         if len(self.known) + len(wanted) > REMEMBERED_WORDS:
-            self.known = {word: self.known[word] for word in wanted if word in self.known}
-        new = list(wanted - self.known.keys())
-        for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = self._bytes(found.ids)
+            self.older, self.known = self.known, {}
+        for word in wanted - self.known.keys():
+            self.known[word] = self.older.get(word) or self._word(word)
         known = self.known
         return [
             self._bytes(self.library.encode(text, add_special_tokens=False).ids) if odd else b"".join([known[w] for w in words])
