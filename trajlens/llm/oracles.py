@@ -18,8 +18,8 @@ shared as (
 links as (
   select x, y from shared join sets a on a.r = x join sets b on b.r = y where 100 * i >= 90 * (len(a.s) + len(b.s) - i)
 ),
-both as (select x, y from links union all select y, x from links),
-reach as (select r as a, r as b from sets union select reach.a, both.y from reach join both on both.x = reach.b)
+ways as (select x, y from links union all select y, x from links),
+reach as (select r as a, r as b from sets union select reach.a, ways.y from reach join ways on ways.x = reach.b)
 select sets.doc_id, cast(len(s) as bigint) as n_shingles, min(other.doc_id) as component_id
 from sets join reach on reach.a = sets.r join sets other on other.r = reach.b group by sets.r, sets.doc_id, len(s)
 """
