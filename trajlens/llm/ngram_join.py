@@ -11,12 +11,12 @@ overlap of at least c = ceil(T (n + m) / (100 + T)), or a symmetric difference o
   largest symmetric difference of the size class, hence two linked sets agree on some whole block.
 * The **boundary** is the size up to which enumerating costs less than scanning and verifying (``cost_boundary``).
 
-A list is scanned without pairing all its members: its hub (the member found in most lists) is compared with each
-other member. What is left are pairs of which one side at least does not link to the hub. Such a pair can only
-link if both differ from the hub in a common shingle (``_verify`` gives the bound), so the next round scans lists
-keyed by (hub, differing shingle), of which only the prefix that the bound requires is written, shingles new
-to the hub first. Rounds end when no list has two members; after ``ROUNDS`` the few lists that remain are paired
-in full, so no link is lost.
+A list is scanned in two steps. First its hub, the member found in most lists, is compared with each other member;
+links to hubs hold most of a group of near copies together. What may be left are links between members of
+different classes. For these, members are dealt into blocks of bounded size, and pairs of blocks are scanned by
+parity sketches: every shingle flips one of ``SKETCH_BITS`` bits, so two sketches differ in no more bits than the sets
+in shingles, and a pair beyond the difference allowed cannot link. Only pairs that pass are compared. Links inside a
+class that other links hold together are not listed; no class is missed.
 """
 
 from __future__ import annotations
@@ -31,14 +31,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trajlens.llm.common import discard, keep, packed, pieces, unpacked
 from trajlens.llm.components import components
 
-ROUNDS = 5
 #: Relative costs: a list or subset entry (shuffled twice), and fetching and comparing one candidate.
 ENTRY_COST, CANDIDATE_COST, CANDIDATE_RATE = 2.0, 60.0, 0.33
+SKETCH_BITS = 512
+#: Members of a list that are scanned as one block.
+BLOCK_MEMBERS = 256
 #: Words whose hash a worker remembers.
 REMEMBERED_WORDS = 400_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -176,11 +177,12 @@ def _arrays(values: list[np.ndarray], kind) -> pa.ListArray:
 def _profiles(width: int, sizes: Sizes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            nodes, counts, lists, subsets, roles = [], [], [], [], []
+            nodes, counts, sketches, lists, subsets, roles = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 items = shingle_set(text, width)
                 counts.append(len(items))
                 nodes.append(_node(items))
+                sketches.append(sketch_of(items))
                 lists.append(block_keys(items, sizes))
                 keys, kinds = subset_keys(items, sizes)
                 subsets.append(keys)
@@ -188,9 +190,9 @@ def _profiles(width: int, sizes: Sizes):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"), batch.column("row_key"), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()),
-                    _arrays(lists, None), _arrays(subsets, None), _arrays(roles, np.int8),
+                    pa.array(sketches, pa.binary()), _arrays(lists, None), _arrays(subsets, None), _arrays(roles, np.int8),
                 ],
-                ["id", "row_key", "node", "n_shingles", "lists", "subsets", "roles"],
+                ["id", "row_key", "node", "n_shingles", "sketch", "lists", "subsets", "roles"],
             )
 
     return run
@@ -214,48 +216,79 @@ def _sets(width: int):
 
 
 def _verify(sizes: Sizes):
-    """Compare hub and member; list the shingles by which another member could still link to this one.
-
-    For D = symmetric difference to the hub, members x and y link only if |D_x ^ D_y| is at most
-    b = (100 - T)(n_x + n_y) / (100 + T), that is |D_x & D_y| >= (|D_x| + |D_y| - b) / 2. One of them does not link
-    to the hub. If x does not, |D_y| >= |D_x & D_y| gives |D_x & D_y| >= |D_x| - b. If x does, y does not, and
-    |D_y| > (100 - T)(n_y + hub) / (100 + T) gives more than (|D_x| + (100 - T)(hub - n_x) / (100 + T)) / 2.
-    With at least ``need`` common elements, prefixes of |D| - need + 1 in one common order must meet.
-    """
-    low, high = 100 - sizes.t, 100 + sizes.t
+    """Keep the pairs that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, apart = [], []
+            linked = []
             for hub, items in zip(batch.column("hub_items"), batch.column("items"), strict=True):
                 hub = np.frombuffer(hub.as_buffer(), np.uint64)
                 items = np.frombuffer(items.as_buffer(), np.uint64)
-                place = np.minimum(np.searchsorted(hub, items), len(hub) - 1)
-                common = hub[place] == items
-                both = int(common.sum())
-                links = sizes.links(both, len(hub) + len(items) - both)
-                missing = np.ones(len(hub), bool)
-                missing[place[common]] = False
-                differ = np.concatenate([items[~common], hub[missing]])
-                if links:
-                    need = max(1, (high * len(differ) + low * (len(hub) - len(items))) // (2 * high) + 1)
-                else:
-                    need = max(1, len(differ) - sizes.most_apart(len(items)))
-                linked.append(links)
-                apart.append(differ[: max(0, len(differ) - need + 1)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("hub"), batch.column("node"), pa.array(linked, pa.bool_()), _arrays(apart, None)],
-                ["hub", "node", "linked", "apart"],
-            )
+                both = int((hub[np.minimum(np.searchsorted(hub, items), len(hub) - 1)] == items).sum())
+                linked.append(sizes.links(both, len(hub) + len(items) - both))
+            chosen = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("hub").filter(chosen), batch.column("node").filter(chosen)], ["a", "b"])
 
     return run
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, sizes: Sizes) -> DataFrame:
-    """``hub, node, linked, apart`` for pairs of nodes."""
+def _linked(pairs: DataFrame, sets: DataFrame, sizes: Sizes) -> DataFrame:
+    """The pairs (``hub, node``) that link, as ``a, b``."""
     hubs = sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items"))
     both = pairs.join(sets, "node").join(hubs, "hub").select("hub", "node", "hub_items", "items")
-    return keep(both.mapInArrow(_verify(sizes), "hub long, node long, linked boolean, apart array<long>"))
+    return keep(both.mapInArrow(_verify(sizes), "a long, b long"))
+
+
+def sketch_of(items: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of SKETCH_BITS slots."""
+    counts = np.bincount((items & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits(counts.astype(np.uint8) & 1).tobytes()
+
+
+def _near_pairs(sizes: Sizes):
+    """Pairs of a block, or of two, that differ in few sketch bits and are of different classes."""
+    low, high = 100 - sizes.t, 100 + sizes.t
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for group in batch.column("found"):
+                found = group.values.flatten()
+                side, node, size, root = (column.to_numpy() for column in found[:4])
+                bits = np.frombuffer(b"".join(found[4].to_pylist()), np.uint64).reshape(len(node), -1)
+                rows = np.flatnonzero(side == side.min())
+                columns = np.flatnonzero(side == side.max())
+                apart = np.zeros((len(rows), len(columns)), np.int64)
+                for word in range(bits.shape[1]):
+                    apart += np.bitwise_count(bits[rows, word][:, None] ^ bits[columns, word][None, :])
+                total = size[rows][:, None] + size[columns][None, :]
+                near = (high * apart <= low * total) & (root[rows][:, None] != root[columns][None, :])
+                near &= np.abs(size[rows][:, None] - size[columns][None, :]) * high <= low * total
+                x, y = np.nonzero(near)
+                left.append(node[rows[x]])
+                right.append(node[columns[y]])
+            left = np.concatenate(left) if left else np.empty(0, np.int64)
+            right = np.concatenate(right) if right else np.empty(0, np.int64)
+            pairs = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["hub", "node"])
+
+    return run
+
+
+def _rest(members: DataFrame, roots: DataFrame, about: DataFrame, sizes: Sizes) -> DataFrame:
+    """Pairs (``hub, node``) that could link although their classes differ so far."""
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # With two members, the pair has been compared.
+    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("low"), F.max("root").alias("top")).where(
+        "low < top and held > 2"
+    ).select("key", F.ceil(F.col("held") / BLOCK_MEMBERS).cast("long").alias("blocks"))
+    dealt = placed.join(mixed, "key").join(about, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # A member goes to every pair of blocks that its own is part of; blocks * members rows.
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    groups = spread.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
+        F.collect_list(F.struct("own", "node", "n_shingles", "root", "sketch")).alias("found")
+    )
+    return groups.select("found").mapInArrow(_near_pairs(sizes), "hub long, node long").distinct()
 
 
 def shingle_classes(
@@ -307,7 +340,7 @@ def _placed(
     profiles = keep(
         source.mapInArrow(
             _profiles(width, sizes),
-            f"id {kind}, row_key long, node long, n_shingles long, lists array<long>, subsets array<long>, roles array<tinyint>",
+            f"id {kind}, row_key long, node long, n_shingles long, sketch binary, lists array<long>, subsets array<long>, roles array<tinyint>",
         )
     )
 
@@ -316,10 +349,8 @@ def _placed(
         "node", F.col("z.subsets").alias("key"), F.col("z.roles").alias("role")
     )
     meet = subsets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.bit_or("role").alias("r"))
-    links = [
-        subsets.join(meet.where("hub < top and r = 3").select("key", "hub"), "key")
-        .where("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    ]
+    light = subsets.join(meet.where("hub < top and r = 3").select("key", "hub"), "key").where("hub != node")
+    links = [keep(light.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())]
 
     # Heavy sets: members of lists that hold two different sets.
     entries = profiles.select("node", F.explode("lists").alias("key"))
@@ -334,32 +365,16 @@ def _placed(
         sets.mapInArrow(_sets(width), "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
     )
 
-    for turn in range(ROUNDS + 1):
-        if turn == ROUNDS:
-            # Pairs of what is left, in full.
-            other = members.select("key", F.col("node").alias("hub"))
-            pairs = members.join(other, "key").where("hub < node").select("hub", "node").distinct()
-        else:
-            reach = members.groupBy("node").agg(F.count(F.lit(1)).alias("reach"))
-            hubs = members.join(reach, "node").groupBy("key").agg(F.max(F.struct("reach", "node"))["node"].alias("hub"))
-            pairs = members.join(hubs, "key").where("hub != node").select("hub", "node").distinct()
-        compared = _compared(pairs, sets, sizes)
-        discard(members)
-        links.append(compared.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        if turn == ROUNDS:
-            break
-        entries = compared.select("hub", "node", "linked", F.explode("apart").alias("e")).select(
-            "node", "linked", F.xxhash64("hub", "e").alias("key")
-        )
-        open_lists = entries.groupBy("key").agg(
-            F.min("node").alias("low"), F.max("node").alias("top"), F.bool_and("linked").alias("done")
-        ).where("low < top and not done")
-        members = keep(entries.select("key", "node").join(open_lists.select("key"), "key", "left_semi").distinct())
-        if members.isEmpty():
-            discard(members)
-            break
-
-    roots = components(reduce(DataFrame.unionByName, links))
+    reach = members.groupBy("node").agg(F.count(F.lit(1)).alias("reach"))
+    hubs = members.join(reach, "node").groupBy("key").agg(F.max(F.struct("reach", "node"))["node"].alias("hub"))
+    pairs = members.join(hubs, "key").where("hub != node").select("hub", "node").distinct()
+    links.append(_linked(pairs, sets, sizes))
+    roots = keep(components(reduce(DataFrame.unionByName, links)))
+    about = profiles.select("node", "n_shingles", "sketch").join(needed, "node", "left_semi").dropDuplicates(["node"])
+    late = _linked(_rest(members, roots, about, sizes), sets, sizes)
+    if not late.isEmpty():
+        roots = keep(components(reduce(DataFrame.unionByName, [*links, late])))
+    discard(members)
     discard(sets)
     return profiles.select("id", "row_key", "node", "n_shingles").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node")

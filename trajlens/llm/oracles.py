@@ -20,8 +20,8 @@ links as (
 ),
 ways as (select x, y from links union all select y, x from links),
 reach as (select r as a, r as b from sets union select reach.a, ways.y from reach join ways on ways.x = reach.b)
-select sets.doc_id, cast(len(s) as bigint) as n_shingles, min(other.doc_id) as component_id
-from sets join reach on reach.a = sets.r join sets other on other.r = reach.b group by sets.r, sets.doc_id, len(s)
+select sets.doc_id, cast(len(sets.s) as bigint) as n_shingles, min(other.doc_id) as component_id
+from sets join reach on reach.a = sets.r join sets other on other.r = reach.b group by sets.r, sets.doc_id, len(sets.s)
 """
 
 _HOST = _LOWER.format("coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")
