@@ -32,12 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlens.llm.common import discard, keep, packed, pieces, unpacked
+from trajlens.llm.common import discard, keep, packed, pieces, release, unpacked
 from trajlens.llm.components import components
 
 #: Relative costs: a list or subset entry (shuffled twice), and fetching and comparing one candidate.
 ENTRY_COST, CANDIDATE_COST, CANDIDATE_RATE = 2.0, 60.0, 0.33
-SKETCH_BITS = 512
+SKETCH_BITS = 4096
+#: Passes over the list keys, and over the hubs of candidate pairs.
+KEY_RANGES = 4
+#: Row keys (8 bytes each) up to this number are broadcast, more are joined by shuffle.
+BROADCAST_KEYS = 100_000
 #: Members of a list that are scanned as one block.
 BLOCK_MEMBERS = 256
 #: Words whose hash a worker remembers.
@@ -190,7 +194,7 @@ def _profiles(width: int, sizes: Sizes):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"), batch.column("row_key"), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()),
-                    pa.array(sketches, pa.binary()), _arrays(lists, None), _arrays(subsets, None), _arrays(roles, np.int8),
+                    _arrays(sketches, None), _arrays(lists, None), _arrays(subsets, None), _arrays(roles, np.int8),
                 ],
                 ["id", "row_key", "node", "n_shingles", "sketch", "lists", "subsets", "roles"],
             )
@@ -232,17 +236,48 @@ def _verify(sizes: Sizes):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, sizes: Sizes) -> DataFrame:
-    """The pairs (``hub, node``) that link, as ``a, b``."""
+def _could_link(pairs: DataFrame, about: DataFrame, sizes: Sizes) -> DataFrame:
+    """The pairs whose sizes and sketches allow a link."""
+    low, high = 100 - sizes.t, 100 + sizes.t
+    hubs = about.select(F.col("node").alias("hub"), F.col("n_shingles").alias("m"), F.col("sketch").alias("other"))
+    both = pairs.join(about, "node").join(hubs, "hub")
+    apart = sum(F.bit_count(F.col("sketch")[word].bitwiseXOR(F.col("other")[word])) for word in range(SKETCH_BITS // 64))
+    near = F.greatest(apart, F.abs(F.col("n_shingles") - F.col("m"))) * high <= (F.col("n_shingles") + F.col("m")) * low
+    return both.where(near).select("hub", "node")
+
+
+def _linked(pairs: DataFrame, profiles: DataFrame, source: DataFrame, width: int, sizes: Sizes) -> DataFrame:
+    """The pairs (``hub, node``) that link, as ``a, b``; only the texts that pairs ask for are read again."""
+    pairs = keep(pairs)
+    needed = pairs.select("node").union(pairs.select("hub")).distinct()
+    chosen = keep(
+        profiles.select("node", "row_key").join(needed, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
+        .select("row_key")
+    )
+    if chosen.count() <= BROADCAST_KEYS:
+        texts = source.select("row_key", "text").join(F.broadcast(chosen), "row_key", "left_semi")
+    else:
+        texts = source.select("row_key", "text").join(chosen, "row_key", "left_semi")
+    sets = keep(
+        texts.select("text").mapInArrow(_sets(width), "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
+    )
     hubs = sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items"))
-    both = pairs.join(sets, "node").join(hubs, "hub").select("hub", "node", "hub_items", "items")
-    return keep(both.mapInArrow(_verify(sizes), "a long, b long"))
-
-
-def sketch_of(items: np.ndarray) -> bytes:
+    # Pairs are taken in ranges of hubs, so that the sets shuffled for one range at a time are on disk.
+    found = []
+    for part in range(KEY_RANGES):
+        mine = F.pmod(F.xxhash64("hub"), F.lit(KEY_RANGES)) == part
+        both = pairs.where(mine).join(sets, "node").join(hubs.where(mine), "hub").select("hub", "node", "hub_items", "items")
+        found.append(keep(both.mapInArrow(_verify(sizes), "a long, b long")))
+        del both
+        release(profiles.sparkSession)
+    discard(pairs, chosen, sets)
+    return reduce(DataFrame.unionByName, found)
+
+
+def sketch_of(items: np.ndarray) -> np.ndarray:
     """Parity of the number of shingles in each of SKETCH_BITS slots."""
     counts = np.bincount((items & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
-    return np.packbits(counts.astype(np.uint8) & 1).tobytes()
+    return np.packbits(counts.astype(np.uint8) & 1).view(np.uint64)
 
 
 def _near_pairs(sizes: Sizes):
@@ -255,7 +290,7 @@ def _near_pairs(sizes: Sizes):
             for group in batch.column("found"):
                 found = group.values.flatten()
                 side, node, size, root = (column.to_numpy() for column in found[:4])
-                bits = np.frombuffer(b"".join(found[4].to_pylist()), np.uint64).reshape(len(node), -1)
+                bits = found[4].flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
                 rows = np.flatnonzero(side == side.min())
                 columns = np.flatnonzero(side == side.max())
                 apart = np.zeros((len(rows), len(columns)), np.int64)
@@ -340,7 +375,7 @@ def _placed(
     profiles = keep(
         source.mapInArrow(
             _profiles(width, sizes),
-            f"id {kind}, row_key long, node long, n_shingles long, sketch binary, lists array<long>, subsets array<long>, roles array<tinyint>",
+            f"id {kind}, row_key long, node long, n_shingles long, sketch array<long>, lists array<long>, subsets array<long>, roles array<tinyint>",
         )
     )
 
@@ -352,30 +387,28 @@ def _placed(
     light = subsets.join(meet.where("hub < top and r = 3").select("key", "hub"), "key").where("hub != node")
     links = [keep(light.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())]
 
-    # Heavy sets: members of lists that hold two different sets.
-    entries = profiles.select("node", F.explode("lists").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top")
-    members = keep(entries.join(shared.select("key"), "key", "left_semi").distinct())
+    # Heavy sets: members of lists that hold two different sets. Keys are taken in ranges, one after the other, so that
+    # the shuffled entries of one range at a time are on disk.
+    found = []
+    for part in range(KEY_RANGES):
+        entries = profiles.select("node", F.explode("lists").alias("key")).where(F.pmod("key", F.lit(KEY_RANGES)) == part)
+        shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top")
+        found.append(keep(entries.join(shared.select("key"), "key", "left_semi").distinct()))
+        del entries, shared
+        release(profiles.sparkSession)
+    members = reduce(DataFrame.unionByName, found)
     needed = members.select("node").distinct()
-    chosen = profiles.select("node", "row_key").join(needed, "node", "left_semi").groupBy("node").agg(
-        F.min("row_key").alias("row_key")
-    )
-    sets = source.select("row_key", "text").join(chosen.select("row_key"), "row_key", "left_semi").select("text")
-    sets = keep(
-        sets.mapInArrow(_sets(width), "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
-    )
-
+    about = keep(profiles.select("node", "n_shingles", "sketch").join(needed, "node", "left_semi").dropDuplicates(["node"]))
     reach = members.groupBy("node").agg(F.count(F.lit(1)).alias("reach"))
     hubs = members.join(reach, "node").groupBy("key").agg(F.max(F.struct("reach", "node"))["node"].alias("hub"))
     pairs = members.join(hubs, "key").where("hub != node").select("hub", "node").distinct()
-    links.append(_linked(pairs, sets, sizes))
+    links.append(_linked(_could_link(pairs, about, sizes), profiles, source, width, sizes))
+    release(profiles.sparkSession)
     roots = keep(components(reduce(DataFrame.unionByName, links)))
-    about = profiles.select("node", "n_shingles", "sketch").join(needed, "node", "left_semi").dropDuplicates(["node"])
-    late = _linked(_rest(members, roots, about, sizes), sets, sizes)
+    late = _linked(_rest(members, roots, about, sizes), profiles, source, width, sizes)
     if not late.isEmpty():
         roots = keep(components(reduce(DataFrame.unionByName, [*links, late])))
-    discard(members)
-    discard(sets)
+    discard(*found, about)
     return profiles.select("id", "row_key", "node", "n_shingles").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node")
     )
