@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from trajlens.session import store
 
-INDEX_BUCKETS = 4096
-
 
 def salted_lookup(
     left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str], salts: int = 8, how: str = "left",
@@ -32,8 +30,8 @@ def hash_text(*parts: Column) -> Column:
 
 
 def hash_draw(text: Column, count: Column) -> Column:
-    """Integer in [0, count) from the first 32 bits of the md5 of ``text``."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % count
+    """Integer in [0, count) from the first 60 bits of the md5 of ``text``."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint") % count
 
 
 def global_index(df: DataFrame, order_hash: Column, tie: Column) -> DataFrame:

@@ -270,7 +270,7 @@ def _policy_rows(preferences: DataFrame, names: tuple[str, ...]) -> DataFrame:
         rewards.alias("reward"),
         F.transform(c, lambda _a, i: 1.0 / ((i + 1) * total)).alias("prior"),
         (F.array_position(c, F.col("preferred_action")) - 1).cast("int").alias("preferred"),
-        (F.array_position(c, F.col("rejected_action")) - 1).cast("int").alias("rejected"),
+        F.coalesce(F.array_position(c, F.col("rejected_action")) - 1, F.lit(-1)).cast("int").alias("rejected"),
         F.coalesce(F.try_element_at(weights, F.col("certificate_level")), F.lit(0.5)).alias("weight"),
     )
 

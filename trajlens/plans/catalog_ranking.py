@@ -287,11 +287,11 @@ QUERIES["split_summary"] = (
 # ---------------------------------------------------------------- bootstrap
 
 _DRAW = """nb as (select *, row_number() over (order by md5(cluster), cluster) - 1 as idx, count(*) over () as total from cl),
- dr as (select b, ('0x' || substr(md5(concat('0:', b, ':', idx)), 1, 8))::bigint % total as idx from nb, range({n}) r(b)),
+ dr as (select b, ('0x' || substr(md5(concat('0:', b, ':', idx)), 1, 15))::bigint % total as idx from nb, range({n}) r(b)),
  wt as (select -1 as b, 1 as w, nb.* from nb union all
    select dr.b, 1 as w, nb.* from dr join nb on nb.idx = dr.idx)"""
 _POISSON = "wt as (select -1 as b, 1 as w, cl.* from cl union all select * from (select b, " + " + ".join(
-    f"(case when ('0x' || substr(md5(concat('0:', b, ':', cluster)), 1, 8))::bigint / 4294967296.0 >= {limit!r} then 1 else 0 end)"
+    f"(case when ('0x' || substr(md5(concat('0:', b, ':', cluster)), 1, 15))::bigint % 4294967296 / 4294967296.0 >= {limit!r} then 1 else 0 end)"
     for limit in B.POISSON_STEPS
 ) + " as w, cl.* from cl, range({n}) r(b)) where w > 0)"
 _CLUSTERS = """cl0 as (select task_id || ':seed' || seed as cluster, *, original_outcome = 'fail' as f from led),

@@ -1,4 +1,4 @@
-"""Session construction and lineage cutting."""
+"""Session construction and intermediate tables."""
 
 from __future__ import annotations
 
@@ -42,12 +42,6 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def store(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write an intermediate table that several branches read, and return a scan of it.
 

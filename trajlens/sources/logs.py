@@ -12,12 +12,14 @@ from trajlens.functions.spread import ordered_index
 from trajlens.functions.tasks import path_stem, seed_in_name
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Log text with ``ord``: one row per line of .jsonl, one per file otherwise.
+def read_lines(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """Log text with ``ord``: one row per line, or one per file with ``multi_line``.
 
+    Folders and compressed files are read line by line. Unless told otherwise, only paths that name ``.json`` files
+    are taken for one document per file.
     ``ord`` orders rows by file, split and place inside the split, so first and last records are well defined.
     """
-    whole = not path.rstrip("*").endswith((".jsonl", ".ndjson"))
+    whole = path.endswith(".json") if multi_line is None else multi_line
     rows = spark.read.text(path, wholetext=whole)
     place = F.struct(
         F.col("_metadata.file_path").alias("file"),
