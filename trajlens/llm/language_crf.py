@@ -175,7 +175,7 @@ def _spliced(texts: list[list[str]], labels: np.ndarray, draw: np.random.Generat
     return words, truth, groups
 
 
-def _improve(model: Model, texts: list[list[str]], labels: np.ndarray, seed: int, batch: int = 20_000) -> Model:
+def _improve(model: Model, texts: list[list[str]], labels: np.ndarray, seed: int, batch: int = 3_000) -> Model:
     """One pass of AdaGrad over a shard."""
     draw = np.random.default_rng(seed)
     weights, moves = model.weights.copy(), model.moves.copy()
