@@ -86,6 +86,22 @@ def test_ngram_rows_kept_and_empty_tables(spark):
     assert ngram_join.shingle_classes(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [70, 80, 90])
+def test_linked_sets_share_a_block_key(threshold):
+    draw, sizes = np.random.default_rng(3), ngram_join.Sizes(threshold, 0)
+    for _ in range(400):
+        n = int(np.exp(draw.uniform(np.log(2), np.log(1500))))
+        whole = np.unique(draw.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        # As many shingles go as the threshold allows, from as many different blocks as there are.
+        left = sizes.smallest(n)
+        count = sizes.blocks(sizes.size_class(left))
+        block = ((whole >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+        order = np.lexsort((np.arange(n) - np.searchsorted(block, block), ))
+        part = np.sort(whole[order[n - left :]])
+        assert sizes.links(left, n)
+        assert np.intersect1d(ngram_join.block_keys(whole, sizes), ngram_join.block_keys(part, sizes)).size
+
+
 def test_sketch_never_overstates_difference():
     draw = np.random.default_rng(1)
     for _ in range(50):

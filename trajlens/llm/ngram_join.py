@@ -7,8 +7,10 @@ overlap of at least c = ceil(T (n + m) / (100 + T)), or a symmetric difference o
 * **Light sets** (pairs whose smaller side has at most ``boundary`` shingles) enumerate all subsets of the fixed
   size c. Two sets link exactly if they meet in a subset, so nothing is verified.
 * **Heavy sets** are found by scanning inverted lists. Lists of single shingles would hold every document that
-  quotes a shared passage, so the lists are keyed by blocks: the shingle space is cut into one block more than the
-  largest symmetric difference of the size class, hence two linked sets agree on some whole block.
+  quotes a shared passage, so the lists are keyed by blocks: the shingle space is cut into more blocks than the
+  largest symmetric difference of the size class, hence two linked sets agree on some whole block. Empty blocks say
+  little and would make long lists. A set that has shingles in more blocks than it can differ in agrees with each
+  linked set on a block with shingles too, so only the rare other sets list their empty blocks.
 * The **boundary** is the size up to which enumerating costs less than scanning and verifying (``cost_boundary``).
 
 A list is scanned in two steps. First its hub, the member found in most lists, is compared with each other member;
@@ -39,7 +41,7 @@ from trajlens.llm.components import components
 ENTRY_COST, CANDIDATE_COST, CANDIDATE_RATE = 2.0, 60.0, 0.33
 SKETCH_BITS = 4096
 #: Passes over the list keys, and over the hubs of candidate pairs.
-KEY_RANGES = 4
+KEY_RANGES = 2
 #: Row keys (8 bytes each) up to this number are broadcast, more are joined by shuffle.
 BROADCAST_KEYS = 100_000
 #: Members of a list that are scanned as one block.
@@ -92,6 +94,7 @@ class Sizes:
         while edges[-1] < 2**40:
             edges.append(edges[-1] * 3 // 2 + 1)
         self.edges = np.array(edges)
+        self._blocks: dict[int, int] = {}
         self.boundary = self.cost_boundary() if boundary is None else boundary
 
     def links(self, both: int, union: int) -> bool:
@@ -111,7 +114,26 @@ class Sizes:
         return (100 - self.t) * (n + self.largest(n)) // (100 + self.t)
 
     def blocks(self, size_class: int) -> int:
-        return self.most_apart(int(self.edges[size_class + 1]) - 1) + 1
+        """Fewest blocks of which most sets of the class fill more than they can differ in."""
+        if size_class not in self._blocks:
+            self._blocks[size_class] = self._fewest_blocks(size_class)
+        return self._blocks[size_class]
+
+    def _fewest_blocks(self, size_class: int) -> int:
+        largest = int(self.edges[size_class + 1]) - 1
+        apart = self.most_apart(largest)
+        count = apart + 1
+        while True:
+            empty = (1 - 1 / count) ** largest
+            if count * (1 - empty) - (count * empty * (1 - empty)) ** 0.5 >= apart + 1 or empty > 0.5:
+                return count
+            count += 1 + count // 200
+
+    def apart_within(self, n: int, size_class: int) -> int:
+        """Largest symmetric difference between a set of n and a linked one, the smaller of them of the size class."""
+        if size_class == self.size_class(n):
+            return self.most_apart(n)
+        return (100 - self.t) * (int(self.edges[size_class + 1]) - 1 + n) // (100 + self.t)
 
     def size_class(self, n: int) -> int:
         return int(np.searchsorted(self.edges, n, "right")) - 1
@@ -148,16 +170,21 @@ class Sizes:
 
 
 def block_keys(items: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """One list key per block and size class: a hash of the shingles that fall into the block."""
+    """One list key per filled block and size class: a hash of the shingles that fall into the block.
+
+    Sets that fill no more blocks than they can differ in have a key for each empty block as well.
+    """
     n, out = len(items), []
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(items))])
     for k in sizes.classes(n):
         count = sizes.blocks(k)
         # Items are sorted, so equal high halves scaled to the count are consecutive.
         block = ((items >> _SHIFT) * np.uint64(count)) >> _SHIFT
-        ends = np.searchsorted(block, np.arange(count, dtype=np.uint64), "right")
-        content = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
-        seed = _mix(np.arange(count, dtype=np.uint64) + np.array([k << 40], np.uint64))
+        place = np.unique(block)
+        if len(place) <= sizes.apart_within(n, k):
+            place = np.arange(count, dtype=np.uint64)
+        content = sums[np.searchsorted(block, place, "right")] - sums[np.searchsorted(block, place, "left")]
+        seed = _mix(place + np.array([k << 40], np.uint64))
         out.append(_mix(content + seed))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
