@@ -64,10 +64,10 @@ def test_text_rows(spark):
     got = rows(M.pointwise_rows(record).orderBy("pos"))
     assert [r["label"] for r in got] == [0.0, 1.0]
     assert "Recent executed actions" in got[0]["context"] and "1. look" in got[0]["context"]
-    seen = record.withColumn("initial_observation", F.lit("put the key on the table")).withColumn("observation", F.lit("The table is here"))
+    seen = record.withColumn("initial_observation", F.lit("water the fern in the hall")).withColumn("observation", F.lit("A dry fern stands beside the stairs"))
     text = rows(M.pointwise_rows(seen, max_observation_chars=120))[0]["context"]
     assert "Objective/state excerpt" in text and "Current observation excerpt" in text
-    assert "table" not in rows(M.pointwise_rows(seen))[0]["context"]
+    assert "fern" not in rows(M.pointwise_rows(seen))[0]["context"]
 
 
 SCORED = "task_id string, seed bigint, step_index int, history array<string>, candidates array<string>, scores map<string,double>, gate_probability double, trajectory_id string, state int"

@@ -61,7 +61,7 @@ def test_strip_trace(spark):
     moves = [("n", 0, 1), ("look", 1, 1), ("e", 1, 2), ("w", 2, 1), ("s", 1, 0), ("take", 0, 5)]
     frame = spark.createDataFrame([("t", "g", 0, i, a, p, q) for i, (a, p, q) in enumerate(moves)], STEPS)
     row = one(I.strip_trace(frame))
-    assert row["normalized_actions"] == ["take"] and (row["remove_noop"], row["remove_inverse_pair"]) == (1, 2)
+    assert row["normalized_actions"] == ["take"] and [row[name] for name in I.REWRITES] == [0, 1, 2]
     assert row["state_preserved"] and row["first_state"] == 0
     again = spark.createDataFrame([("t", "g", 0, 0, "take", 0, 5)], STEPS)
     assert one(I.strip_trace(again))["normalized_actions"] == ["take"]
@@ -69,6 +69,24 @@ def test_strip_trace(spark):
     assert (total["compressed_traces"], total["avg_original_len"]) == (1, 6.0)
 
 
+def test_invalid_and_absorbed_steps(spark):
+    moves = [("look", 0, 0, True), ("north", 0, 1, True), ("eat rock", 1, 1, False), ("look", 1, 1, True), ("south", 1, 0, True), ("look", 0, 0, None)]
+    frame = spark.createDataFrame([("t", "g", 0, i, a, p, q, v) for i, (a, p, q, v) in enumerate(moves)], STEPS + ", valid boolean")
+    row = one(I.strip_trace(frame))
+    # The invalid step stays and keeps north and south apart.
+    assert row["normalized_actions"] == ["north", "eat rock", "south"]
+    assert [row[name] for name in I.REWRITES] == [2, 1, 0]
+    assert (row["original_valid"], row["normalized_valid"], row["state_preserved"]) == (False, False, True)
+    total = one(I.normal_form_summary(I.strip_trace(frame)))
+    assert (total["original_valid"], total["normalized_valid"], total["remove_absorbed_second"]) == (0, 0, 1)
+
+
+def test_q_values_leave_conflicting_keys_out(spark):
+    log = [("g", 0, 0, "a", 1, 0.0, False, True), ("g", 0, 0, "a", 2, 0.0, False, True), ("g", 0, 1, "b", 2, 1.0, True, True), ("g", 0, 3, "c", 1, 0.0, False, True)]
+    got = rows(I.fitted_q(spark.createDataFrame(log * 2, T), 0.5, 1.0, 4))
+    assert {(r["state"], r["action"]): r["q"] for r in got} == {(1, "b"): 1.0, (3, "c"): 0.5} and len(got) == 2
+
+
 def test_q_values_and_policies(spark):
     found = table(spark, (0, "a", 1, False, True), (1, "b", 2, True, True), (0, "c", 0, False, True))
     q = {(r["state"], r["action"]): r["q"] for r in rows(I.fitted_q(found, 0.9, 1.0, 3))}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -280,21 +282,34 @@ def run_preference_summary(records: DataFrame) -> DataFrame:
 
 
 def method_table(summaries: dict[str, DataFrame]) -> DataFrame:
-    """Raw and oracle rows of the first summary, then the learned row of every named one."""
-    def row(source: DataFrame, name: Column, prefix: str) -> DataFrame:
-        learned = prefix == "learned"
+    """Raw row of the first summary and the oracle row, then the learned row of every named summary.
+
+    Reference rows by definition: the raw order corrects no first candidate and never abstains, the oracle corrects
+    all and has no abstention rate.
+    """
+    def row(source: DataFrame, name: str, *values: Column | float | None) -> DataFrame:
+        named = zip(("mrr", "ndcg", "top1_correction", "abstain_rate"), values, strict=True)
         return source.select(
-            name.alias("method"),
-            F.col(f"{prefix}_mrr").alias("mrr"),
-            F.col(f"{prefix}_ndcg").alias("ndcg"),
-            (F.col("learned_top1_correction_rate") if learned else (
-                safe_div(F.col("preferred_top1_before"), F.col("preferences")) if prefix == "raw"
-                else F.col("candidate_coverage_rate"))).alias("top1"),
-            (F.col("learned_abstain_rate") if learned else F.lit(0.0)).alias("abstain_rate"),
+            F.lit(name).alias("method"),
+            *[(value if isinstance(value, Column) else F.lit(value)).cast("double").alias(column) for column, value in named],
         )
 
     first = next(iter(summaries.values()))
-    out = row(first, F.lit("raw"), "raw").unionByName(row(first, F.lit("oracle"), "oracle"))
+    out = row(first, "raw", F.col("raw_mrr"), F.col("raw_ndcg"), 0.0, 0.0).unionByName(row(first, "oracle", 1.0, 1.0, 1.0, None))
+    learned = ("learned_mrr", "learned_ndcg", "learned_top1_correction_rate", "learned_abstain_rate")
     for name, summary in summaries.items():
-        out = out.unionByName(row(summary, F.lit(name), "learned"))
+        out = out.unionByName(row(summary, name, *[F.col(column) for column in learned]))
     return out
+
+
+def retention_table(summaries: dict[str, DataFrame]) -> DataFrame:
+    """One row per margin from the summaries of :func:`gold_demotion`."""
+    rows = [
+        summary.select(
+            F.lit(margin).alias("margin"), "abstain_rate", "intervention_rate",
+            F.col("gold_demotion_rate_over_all_predicted").alias("gold_demotion_rate"),
+            F.col("gold_retention_rate_with_abstention").alias("gold_retention_rate"),
+        )
+        for margin, summary in summaries.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from trajlens.functions.actions import is_recent_repeat
 from trajlens.functions.ranks import safe_div
+from trajlens.operators.datasets import optional
 from trajlens.session import store
 
 PLACE = ["task_id", "seed"]
 KEY = [*PLACE, "state", "action"]
 TRACE = ["trajectory_id", *PLACE]
+REWRITES = ("remove_noop", "remove_absorbed_second", "remove_inverse_pair")
 
 
 def build_transitions(steps: DataFrame) -> DataFrame:
@@ -169,27 +171,34 @@ def branch_outcomes(transitions: DataFrame, max_steps: int = 12) -> DataFrame:
 # ---------------------------------------------------------------- trace stripping
 
 def strip_trace(steps: DataFrame) -> DataFrame:
-    """Actions left after removing no-ops and inverse pairs until none is left.
+    """Actions left after removing no-ops, absorbed actions and inverse pairs until none is left.
 
-    One pass over the ordered steps with a stack: a step that does not change the state is dropped, a step
-    that returns to where the top of the stack started removes that top, anything else is pushed.
+    One pass over the ordered steps with a stack. A valid step that does not change the state is dropped: absorbed by a
+    valid action on top of the stack, else a no-op. A valid step that returns to where the valid top started removes
+    that top. Anything else is pushed. Invalid steps (``valid`` false) are kept, and nothing is paired with them;
+    without the column, or where it is null, a step is valid.
     """
-    item = F.struct("step_index", "action", F.col("pre_state").alias("pre"), F.col("post_state").alias("post"))
+    valid = F.coalesce(optional(steps, "valid", "boolean"), F.lit(True))
+    item = F.struct(
+        "step_index", "action", F.col("pre_state").alias("pre"), F.col("post_state").alias("post"), valid.alias("valid")
+    )
     ordered = steps.groupBy(*TRACE).agg(F.array_sort(F.collect_list(item)).alias("items"))
     kind = steps.schema["pre_state"].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<action:string,pre:{kind},post:{kind}>>")
-    start = F.struct(empty.alias("stack"), F.lit(0).alias("noops"), F.lit(0).alias("inverse"))
+    empty = F.array().cast(f"array<struct<action:string,pre:{kind},post:{kind},valid:boolean>>")
+    counts = ("noops", "absorbed", "inverse")
+    start = F.struct(empty.alias("stack"), *[F.lit(0).alias(name) for name in counts])
 
     def fold(acc: Column, step: Column) -> Column:
         stack = acc["stack"]
         top = F.get(stack, F.size(stack) - 1)
-        noop = step["post"] == step["pre"]
-        back = ~noop & F.coalesce(top["pre"] == step["post"], F.lit(False))
-        pushed = F.concat(stack, F.array(F.struct(step["action"].alias("action"), step["pre"].alias("pre"), step["post"].alias("post"))))
+        paired = F.coalesce(top["valid"], F.lit(False))
+        still = step["valid"] & F.coalesce(step["post"] == step["pre"], F.lit(False))
+        back = step["valid"] & ~still & paired & F.coalesce(top["pre"] == step["post"], F.lit(False))
+        pushed = F.concat(stack, F.array(F.struct(*[step[name].alias(name) for name in ("action", "pre", "post", "valid")])))
+        hits = dict(zip(counts, (still & ~paired, still & paired, back), strict=True))
         return F.struct(
-            F.when(noop, stack).when(back, F.slice(stack, F.lit(1), F.size(stack) - 1)).otherwise(pushed).alias("stack"),
-            (acc["noops"] + F.when(noop, 1).otherwise(0)).alias("noops"),
-            (acc["inverse"] + F.when(back, 1).otherwise(0)).alias("inverse"),
+            F.when(still, stack).when(back, F.slice(stack, F.lit(1), F.size(stack) - 1)).otherwise(pushed).alias("stack"),
+            *[(acc[name] + hit.cast("int")).alias(name) for name, hit in hits.items()],
         )
 
     rows = ordered.withColumn("r", F.aggregate("items", start, fold))
@@ -201,7 +210,10 @@ def strip_trace(steps: DataFrame) -> DataFrame:
         F.transform("r.stack", lambda s: s["action"]).alias("normalized_actions"),
         F.size("r.stack").alias("normalized_len"),
         F.col("r.noops").alias("remove_noop"),
+        F.col("r.absorbed").alias("remove_absorbed_second"),
         F.col("r.inverse").alias("remove_inverse_pair"),
+        F.forall("items", lambda s: s["valid"]).alias("original_valid"),
+        F.forall("r.stack", lambda s: s["valid"]).alias("normalized_valid"),
         first_state.alias("first_state"),
         (F.coalesce(last["post"], first_state) == F.get("items", F.size("items") - 1)["post"]).alias("state_preserved"),
     )
@@ -219,8 +231,8 @@ def normal_form_summary(stripped: DataFrame) -> DataFrame:
         F.sum("original_len").alias("_before"),
         F.sum("normalized_len").alias("_after"),
         F.count_if(F.col("normalized_len") < F.col("original_len")).alias("compressed_traces"),
-        F.sum("remove_noop").alias("remove_noop"),
-        F.sum("remove_inverse_pair").alias("remove_inverse_pair"),
+        *[F.count_if(name).alias(name) for name in ("original_valid", "normalized_valid")],
+        *[F.sum(name).alias(name) for name in REWRITES],
     ).select(
         "traces",
         "state_preserved",
@@ -229,8 +241,9 @@ def normal_form_summary(stripped: DataFrame) -> DataFrame:
         safe_div(F.col("_after"), F.col("traces")).alias("avg_normalized_len"),
         safe_div(F.col("_after"), F.col("_before")).alias("compression_ratio"),
         "compressed_traces",
-        "remove_noop",
-        "remove_inverse_pair",
+        "original_valid",
+        "normalized_valid",
+        *REWRITES,
     )
 
 
@@ -264,16 +277,18 @@ def fitted_q(transitions: DataFrame, gamma: float = 0.95, alpha: float = 0.5, it
     """Q values by repeated batch updates over the logged transitions, all starting from zero.
 
     The value of the next state is the best logged action there, zero when there is none or the step ended.
-    Each round is written before the next one reads it, because it is read twice.
+    Keys with conflicting outcomes are left out, so there is one row per key. The value rides along in the row of its
+    transition; each round is one join and is written before the next one reads it, because it is read twice.
     """
-    table = store(usable(transitions).select(*KEY, "next_state", "reward", "done").distinct())
-    q = table.select(*KEY, F.lit(0.0).alias("q"))
+    keyed = transitions if "conflict" in transitions.columns else build_transitions(transitions)
+    outcome = [*KEY, "next_state", "reward", "done"]
+    q = store(usable(keyed).select(*outcome, F.lit(0.0).alias("q")))
     for _ in range(iterations):
-        best = q.groupBy(*PLACE, "state").agg(F.max("q").alias("v")).withColumnRenamed("state", "next_state")
-        rows = table.join(q, KEY).join(best, [*PLACE, "next_state"], "left")
+        best = q.groupBy(*PLACE, F.col("state").alias("next_state")).agg(F.max("q").alias("v"))
         target = F.col("reward") + gamma * F.when(F.col("done"), 0.0).otherwise(F.coalesce("v", F.lit(0.0)))
-        q = store(rows.select(*KEY, (F.col("q") + alpha * (target - F.col("q"))).alias("q")))
-    return q
+        rows = q.join(best, [*PLACE, "next_state"], "left")
+        q = store(rows.select(*outcome, (F.col("q") + alpha * (target - F.col("q"))).alias("q")))
+    return q.select(*KEY, "q")
 
 
 def greedy_policy(q: DataFrame, blocked: DataFrame | None = None, mode: str = "none") -> DataFrame:

@@ -213,13 +213,12 @@ def event_stream(t):
 
 
 QUERIES["stream_ledger_counts"] = (
-    lambda t: S.run_available(S.stream_ledger_counts(L.step_ledger(event_stream(t), None, "gold"))).select(
+    lambda t: S.run_complete(S.stream_ledger_counts(L.step_ledger(event_stream(t), None, "gold"))).select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "status", "steps"),
     f"""with e as (select ts, list_transform(range(0, 5), lambda j: ({O.V})[cast((event_id * 7 + j * 3) % 20 as int) + 1]) as c,
           ({O.V})[cast((event_id * 7 + (case when event_id % 5 = 0 then 3 else 0 end)) % 20 as int) + 1] as act,
           case when event_id % 11 = 0 then null else ({O.V})[cast((event_id * 7 + 3 * ((event_id * 13 + user_id) % 8)) % 20 as int) + 1] end as gold from events)
-        select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, {_STREAM_STATUS} as status, cast(count(*) as bigint) as steps from e
-        where date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 hour from e) group by 1, 2""",
+        select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, {_STREAM_STATUS} as status, cast(count(*) as bigint) as steps from e group by 1, 2""",
 )
 
 

@@ -81,9 +81,9 @@ QUERIES["method_table"] = (
     lambda t: R.method_table({"scores": R.ranking_summary(R.evaluate_ranking(t.preferences(), t.predictions))}),
     _ranking_sql(
         ", s as (select " + _SUMMARY + " from rk) select " + cols(
-            raw="method", dbls="mrr; ndcg; top1; abstain_rate") +
-        """ from (select 'raw' as method, raw_mrr as mrr, raw_ndcg as ndcg, preferred_top1_before / preferences as top1, 0.0 as abstain_rate from s
-            union all select 'oracle', oracle_mrr, oracle_ndcg, candidate_coverage_rate, 0.0 from s
+            raw="method", dbls="mrr; ndcg; top1_correction; abstain_rate") +
+        """ from (select 'raw' as method, raw_mrr as mrr, raw_ndcg as ndcg, 0.0 as top1_correction, 0.0 as abstain_rate from s
+            union all select 'oracle', 1.0, 1.0, 1.0, null from s
             union all select 'scores', learned_mrr, learned_ndcg, learned_top1_correction_rate, learned_abstain_rate from s)"""
     ),
 )
@@ -125,12 +125,13 @@ QUERIES["retention_summary"] = (
     ),
 )
 _RET_IN = "rin as (select *, gold_action as pref, candidates[2] as rej from ret where skip is null)"
+_DEMOTED = """, z as (select count(*) as n, count(*) filter (where has_p) as p, count(*) filter (where has_p and abstain) as ab,
+            count(*) filter (where act) as iv, count(*) filter (where act and r = 1 and coalesce(lr, 0) <> 1) as de,
+            count(*) filter (where act and r = 1 and lr = 1) as held from rk) """
 QUERIES["gold_demotion"] = (
     lambda t: R.gold_demotion(_retention(t), t.predictions),
     O.with_history(
-        """, z as (select count(*) as n, count(*) filter (where has_p) as p, count(*) filter (where has_p and abstain) as ab,
-            count(*) filter (where act) as iv, count(*) filter (where act and r = 1 and coalesce(lr, 0) <> 1) as de,
-            count(*) filter (where act and r = 1 and lr = 1) as held from rk) select """[0:] + cols(
+        _DEMOTED + "select " + cols(
             ints="retention_records := n; predicted_records := p; abstained := ab; intervened := iv; gold_demotions := de",
             dbls="prediction_coverage_rate := p / n; abstain_rate := ab / nullif(p, 0); intervention_rate := iv / nullif(p, 0);"
             "gold_demotion_rate_over_all_predicted := de / nullif(p, 0); gold_demotion_rate_when_intervened := de / nullif(iv, 0);"
@@ -139,6 +140,16 @@ QUERIES["gold_demotion"] = (
         _SKIP, _RET_IN, O.PREDS, (_RECORDS % "rin")[2:],
     ),
 )
+QUERIES["retention_table"] = (
+    lambda t: R.retention_table({"0": R.gold_demotion(_retention(t), t.predictions)}),
+    O.with_history(
+        _DEMOTED + "select " + cols(
+            raw="margin := '0'", dbls="abstain_rate := ab / nullif(p, 0); intervention_rate := iv / nullif(p, 0);"
+            "gold_demotion_rate := de / nullif(p, 0); gold_retention_rate := (ab + held) / nullif(p, 0)",
+        ) + " from z",
+        _SKIP, _RET_IN, O.PREDS, (_RECORDS % "rin")[2:],
+    ),
+)
 
 # ---------------------------------------------------------------- preferences against a recorded run
 

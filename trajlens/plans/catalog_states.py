@@ -114,28 +114,38 @@ QUERIES["branch_outcomes"] = (
     lambda t: I.branch_outcomes(transitions(t)),
     O.with_transitions("select " + cols(raw="task_id; action; valid; success := ln is not null", ints="seed; state; suffix_len := coalesce(ln, 13)") + " from bo", _T, _DIST),
 )
-_STRIP = """rs(trajectory_id, i, stack, nn, ni) as (select distinct trajectory_id, -1, []::struct(action varchar, pre int, post int)[], 0, 0 from steps
-   union all select s.trajectory_id, s.step_index, case when post_state = pre_state then stack
-       when len(stack) > 0 and stack[len(stack)].pre = post_state then stack[1:len(stack) - 1]
-       else list_append(stack, {'action': s.action, 'pre': pre_state, 'post': post_state}) end,
-     nn + (post_state = pre_state)::int, ni + (post_state <> pre_state and len(stack) > 0 and coalesce(stack[len(stack)].pre = post_state, false))::int
-   from rs join steps s on s.trajectory_id = rs.trajectory_id and s.step_index = rs.i + 1),
- sr as (select rs.*, i + 1 as n, f.task_id, f.seed, f.pre_state as first_state from rs join (select trajectory_id, max(step_index) as m from steps group by 1) e on e.trajectory_id = rs.trajectory_id and e.m = rs.i
+def some_invalid(t):
+    """The log with a third of the steps that change nothing marked invalid."""
+    return t.steps.withColumn("valid", F.expr("not (post_state = pre_state and event_id % 3 = 0)"))
+
+
+_STRIP = """vs as (select *, not (post_state = pre_state and event_id % 3 = 0) as ok from steps),
+ rs(trajectory_id, i, stack, nn, na, ni) as (select distinct trajectory_id, -1, []::struct(action varchar, pre int, post int, ok boolean)[], 0, 0, 0 from steps
+   union all select trajectory_id, step_index, case when still then stack when back then stack[1:len(stack) - 1]
+       else list_append(stack, {'action': action, 'pre': pre_state, 'post': post_state, 'ok': ok}) end,
+     nn + (still and not paired)::int, na + (still and paired)::int, ni + back::int
+   from (select s.*, stack, nn, na, ni, ok and post_state = pre_state as still, coalesce(stack[len(stack)].ok, false) as paired,
+       ok and post_state <> pre_state and coalesce(stack[len(stack)].ok and stack[len(stack)].pre = post_state, false) as back
+     from rs join vs s on s.trajectory_id = rs.trajectory_id and s.step_index = rs.i + 1)),
+ sr as (select rs.*, i + 1 as n, f.task_id, f.seed, f.pre_state as first_state, e.fine, len(list_filter(stack, lambda x: not x.ok)) = 0 as kept_fine
+   from rs join (select trajectory_id, max(step_index) as m, bool_and(ok) as fine from vs group by 1) e on e.trajectory_id = rs.trajectory_id and e.m = rs.i
    join (select * from steps where step_index = 0) f on f.trajectory_id = rs.trajectory_id)"""
 QUERIES["strip_trace"] = (
-    lambda t: I.strip_trace(t.steps),
-    O.with_transitions("select " + cols(raw="trajectory_id; task_id; state_preserved := true", ints="seed; original_len := n; normalized_len := len(stack); remove_noop := nn; remove_inverse_pair := ni; first_state",
+    lambda t: I.strip_trace(some_invalid(t)),
+    O.with_transitions("select " + cols(raw="trajectory_id; task_id; state_preserved := true; original_valid := fine; normalized_valid := kept_fine",
+                                        ints="seed; original_len := n; normalized_len := len(stack); remove_noop := nn; remove_absorbed_second := na; remove_inverse_pair := ni; first_state",
                                         arrs="normalized_actions := list_transform(stack, lambda x: x.action)") + " from sr", _STRIP),
 )
 QUERIES["normal_form_summary"] = (
-    lambda t: I.normal_form_summary(I.strip_trace(t.steps)),
+    lambda t: I.normal_form_summary(I.strip_trace(some_invalid(t))),
     O.with_transitions("select " + cols(
-        ints="traces := count(*); state_preserved := count(*); compressed_traces := count(*) filter (where len(stack) < n); remove_noop := sum(nn); remove_inverse_pair := sum(ni)",
+        ints="traces := count(*); state_preserved := count(*); compressed_traces := count(*) filter (where len(stack) < n); remove_noop := sum(nn); remove_absorbed_second := sum(na);"
+        "remove_inverse_pair := sum(ni); original_valid := count(*) filter (where fine); normalized_valid := count(*) filter (where kept_fine)",
         dbls="state_preservation_rate := 1; avg_original_len := avg(n); avg_normalized_len := avg(len(stack)); compression_ratio := sum(len(stack)) / sum(n)") + " from sr", _STRIP),
 )
 QUERIES["unique_traces"] = (
-    lambda t: I.unique_traces(t.history.select("task_id", "seed", F.slice("history", 1, 2).alias("prefix_actions"))),
-    O.with_history("select distinct " + cols(raw="task_id", ints="seed", arrs="prefix_actions := history[1:2]") + " from hist where len(history) > 0"),
+    lambda t: I.unique_traces(t.history.select("task_id", "seed", F.col("history").alias("prefix_actions"))),
+    O.with_history("select distinct " + cols(raw="task_id", ints="seed", arrs="prefix_actions := history") + " from hist where len(history) > 0"),
 )
 QUERIES["structural_reasons"] = (
     lambda t: I.structural_reasons(t.history.withColumn("valid", F.expr("event_id % 19 <> 0"))),
@@ -150,6 +160,12 @@ QUERIES["fitted_q"] = (
     lambda t: I.fitted_q(t.transitions, 0.9, 0.5, 3),
     O.with_transitions("select " + cols(raw="task_id; action", ints="seed; state", dbls="q") + " from q3", _Q),
 )
+_CERTAIN = """cv as (select task_id, seed, state, split_part(action, ' ', 1) as action, min(next_state) as next_state, max(reward) as reward, bool_and(done) as done from trans
+   group by task_id, seed, state, split_part(action, ' ', 1) having count(distinct next_state::varchar || done::varchar) = 1)"""
+QUERIES["fitted_q_conflicts"] = (
+    lambda t: I.fitted_q(t.transitions.withColumn("action", F.expr("split_part(action, ' ', 1)")), 0.9, 0.5, 3),
+    O.with_transitions("select " + cols(raw="task_id; action", ints="seed; state", dbls="q") + " from q3", _CERTAIN, _Q.replace("from trans)", "from cv)")),
+)
 _BLOCKED = "(state + length(action)) % 3 = 0"
 for _mode, _order in (("none", "q desc, action"), ("soft", f"q - (case when {_BLOCKED} then 0.3 else 0 end) desc, action"), ("hard", f"({_BLOCKED})::int, q desc, action")):
     _value = f"q - (case when {_BLOCKED} then 0.3 else 0 end)" if _mode == "soft" else "q"

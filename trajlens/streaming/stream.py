@@ -12,9 +12,9 @@ from trajlens.sources.logs import trajectory_key
 
 
 def stream_trajectories(spark: SparkSession, folder: str, schema: str, watermark: str = "1 hour", time: str = "ts") -> DataFrame:
-    """Failure-free trajectories from a growing JSON-lines folder, first record per key.
+    """Failure-free trajectories from a growing JSON-lines folder, one record per key.
 
-    De-duplication state is bounded by the watermark: a copy that arrives later than that is not caught; the
+    Of copies that arrive together any one may stay; the batch merge decides by position. De-duplication state is bounded by the watermark: a copy that arrives later than that is not caught; the
     batch merge catches all.
     """
     rows = spark.readStream.schema(schema).json(folder)
@@ -27,7 +27,11 @@ def stream_trajectories(spark: SparkSession, folder: str, schema: str, watermark
 
 
 def stream_ledger_counts(ledger: DataFrame, window: str = "1 day", watermark: str = "1 hour", time: str = "ts") -> DataFrame:
-    """Step statuses per tumbling window; a window is emitted once the watermark has passed its end."""
+    """Step statuses per tumbling window.
+
+    In append mode a window is emitted once the watermark has passed its end; :func:`run_complete` also gives the
+    windows that are still open.
+    """
     return (
         ledger.withWatermark(time, watermark)
         .groupBy(F.window(time, window).alias("w"), "status")
@@ -47,3 +51,26 @@ def run_available(stream: DataFrame, output_mode: str = "append") -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/table")
+
+
+def run_complete(stream: DataFrame) -> DataFrame:
+    """Process what is there now and return the whole result of an aggregation, open windows included.
+
+    Every batch writes the result so far to a folder of its own, named by its number; the newest one is returned.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/table/{number}")
+        done.append(number)
+
+    query = (
+        stream.writeStream.outputMode("complete").foreachBatch(write)
+        .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{base}/table/{max(done)}")
