@@ -245,6 +245,7 @@ def action_summaries(traces: DataFrame, edits: DataFrame) -> DataFrame:
     )
 
 
+# Label names that logs and reports already use.
 METRIC_LABELS = {
     "repair_candidates": "repair_candidate",
     "policy_repair_candidates": "policy_repair_candidate",
@@ -391,6 +392,7 @@ def trace_feedback(
         .join(redundant, TRACE, "left")
         .join(failed_trace_diagnostics(traces), TRACE, "left")
     )
+    # The sentences of the feedback text.
     sequence_tail = F.when(F.size("actions") > max_items, F.lit("; ...")).otherwise(F.lit("."))
     lines = F.array_compact(
         F.array(
