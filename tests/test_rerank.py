@@ -112,6 +112,8 @@ def test_prior_controller(spark):
     got = {r["action"]: r for r in rows(G.rerank_prior(context, table))}
     assert got["a"]["reasons"] == ["noop", "seen_state", "absorbed_after_previous"] and got["a"]["score"] == 5 - 6 - 4 - 3
     assert got["go south"]["reasons"] == ["seen_state", "inverse_with_previous"]
+    after_invalid = {r["action"]: r["reasons"] for r in rows(G.rerank_prior(context.withColumn("previous_valid", F.lit(False)), table))}
+    assert after_invalid["a"] == ["noop", "seen_state"] and after_invalid["go south"] == ["seen_state"]
     assert got["x"]["reasons"] == ["invalid"] and got["x"]["score"] == -98.0 and got["b"]["rank"] == 1 and got["n"]["reasons"] == []
 
 

@@ -22,6 +22,7 @@ from trajlens.functions.actions import (
 from trajlens.functions.ranks import rank_of
 from trajlens.functions.spread import hash_text, salted_lookup
 from trajlens.functions.tasks import path_stem
+from trajlens.operators.datasets import optional
 
 STEP = ["task_id", "seed", "step_index"]
 
@@ -172,11 +173,13 @@ def rerank_prior(
 
     ``contexts``: step key, state, previous_state, history, seen_states, admissible, candidates, scores. One
     lookup gives the next state; whether the previous action absorbs or is undone follows from it, since the
-    previous action led from ``previous_state`` to ``state``.
+    previous action led from ``previous_state`` to ``state``. After an invalid action (``previous_valid`` false)
+    neither is known, and neither is penalised; without the column, or where it is null, it was valid.
     """
     w = PRIOR_WEIGHTS | (weights or {})
     long = contexts.select(
         *STEP, "state", "previous_state", "history", "seen_states", "admissible",
+        F.coalesce(optional(contexts, "previous_valid", "boolean"), F.lit(True)).alias("previous_valid"),
         F.posexplode(F.arrays_zip("candidates", "scores")).alias("pos", "c"),
     ).select("*", F.col("c.candidates").alias("action"), F.col("c.scores").alias("base"))
     table = transitions.filter("valid")
@@ -186,7 +189,7 @@ def rerank_prior(
     rows = long.join(table, ["task_id", "seed", "state", "action"], "left")
     following, state, previous = F.col("_next"), F.col("state"), F.col("previous_state")
     barred = (F.size("admissible") > 0) & ~F.array_contains("admissible", F.col("action"))
-    has_pair = F.lit(pair_penalties) & (F.size("history") > 0)
+    has_pair = F.lit(pair_penalties) & (F.size("history") > 0) & F.col("previous_valid")
     checks = [
         ("noop", "noop", following == state),
         ("seen_state", "seen_state", F.array_contains("seen_states", following)),

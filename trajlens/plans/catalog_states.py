@@ -232,13 +232,13 @@ QUERIES["rerank_preference_bonus"] = (
 _PRIOR = """lk as (select cc.*, tv.next_state as nx, len(adm) > 0 and not list_contains(adm, cand) as barred from cc left join tv on tv.task_id = cc.task_id and tv.seed = cc.seed
      and tv.state = cc.pre_state and tv.action = cc.cand and tv.valid),
  pr as (select *, coalesce(nx = pre_state, false) as noop, coalesce(list_contains(seen, nx), false) as sn, coalesce(list_contains(history[-4:], cand), false) as rp,
-     coalesce(len(history) > 0 and prev_state <> pre_state and nx = prev_state, false) as iv from lk),
+     coalesce(len(history) > 0 and event_id % 4 <> 1 and prev_state <> pre_state and nx = prev_state, false) as iv from lk),
  ps_ as (select *, s - (case when barred then 100 else (case when noop then 6 else 0 end) + (case when sn then 4 else 0 end) + (case when rp then 2 else 0 end)
-     + (case when noop and len(history) > 0 then 3 else 0 end) + (case when iv then 4 else 0 end) end) as fs,
+     + (case when noop and len(history) > 0 and event_id % 4 <> 1 then 3 else 0 end) + (case when iv then 4 else 0 end) end) as fs,
      case when barred then ['invalid'] else list_filter([case when noop then 'noop' end, case when sn then 'seen_state' end, case when rp then 'recent_repeat' end,
-       case when noop and len(history) > 0 then 'absorbed_after_previous' end, case when iv then 'inverse_with_previous' end], lambda x: x is not null) end as reasons from pr)"""
+       case when noop and len(history) > 0 and event_id % 4 <> 1 then 'absorbed_after_previous' end, case when iv then 'inverse_with_previous' end], lambda x: x is not null) end as reasons from pr)"""
 QUERIES["rerank_prior"] = (
-    lambda t: G.rerank_prior(contexts(t), transitions(t)),
+    lambda t: G.rerank_prior(contexts(t).withColumn("previous_valid", F.expr("event_id % 4 <> 1")), transitions(t)),
     _cx_sql("select " + cols(raw="task_id; action := cand", ints="seed; step_index; pos; rank := row_number() over (partition by task_id, seed, step_index order by fs desc, cand)",
                              dbls="score := fs", arrs="reasons") + " from ps_", _PRIOR),
 )
