@@ -1,6 +1,7 @@
 """Corpus operators against brute force, exact round trips and held-out accuracy, with the awkward cases of each."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -301,6 +302,36 @@ def test_url_parts_and_rules(spark):
     assert url_rules.judge(pages.limit(0), labels).count() == 0
 
 
+def test_url_rules_of_any_length_against_brute_force(spark):
+    """Labels follow four tokens at once, so that the best rules name more than three."""
+    draw = random.Random(5)
+    sets = [sorted(f"p:{name}" for name in "abcdef" if draw.random() < 0.7) for _ in range(400)]
+    bad = [len(tokens) > 3 and set(tokens) >= {"p:a", "p:b", "p:c", "p:d"} for tokens in sets]
+    has, blocked = Counter(), Counter()
+    for tokens, block in zip(sets, bad, strict=True):
+        for size in range(1, len(tokens) + 1):
+            for needs in itertools.combinations(tokens, size):
+                has[needs] += 1
+                blocked[needs] += block
+    want = {}
+    for needs, n in has.items():
+        for verdict, both in (("block", blocked[needs]), ("allow", n - blocked[needs])):
+            share = (sum(bad) if verdict == "block" else len(bad) - sum(bad)) / len(bad)
+            if both >= 0.005 * len(bad) and both / n >= 0.4 and both / n / share >= 1.1:
+                want[" ".join(needs), verdict] = (both / n, both / len(bad))
+    rows = [(tokens, url_rules.BLOCK if block else url_rules.ALLOW) for tokens, block in zip(sets, bad, strict=True)]
+    rules = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, class string")).collect()
+    got = {(r["rule_id"], r["verdict"]): (r["confidence"], r["support"]) for r in rules}
+    assert max(len(name.split()) for name, _verdict in want) == 6 and len(rules) == len(got) and got.keys() == want.keys()
+    assert all(np.allclose(got[key], want[key]) for key in want)
+    pages = spark.createDataFrame([(n, "x:///" + "/".join(t[2:] for t in tokens)) for n, tokens in enumerate(sets)], "page_id long, url string")
+    labels = spark.createDataFrame([(n, int(not block), 0) for n, block in enumerate(bad)], "doc_id long, quality int, toxic int")
+    ranked = sorted((-sure, -support, -len(name.split()), name, verdict) for (name, verdict), (sure, support) in want.items())
+    for page in url_rules.judge(pages, labels, rules=()).collect():
+        best = next((rule for rule in ranked if set(rule[3].split()) <= set(sets[page["page_id"]])), (None, 0, 0, None, "allow"))
+        assert (page["learned_rule"], page["verdict"]) == best[3:], page
+
+
 def test_mix_meets_budgets(spark):
     rows = [(n, "w " * (1 + n % 5), "en" if n % 3 else None, f"src{n % 4}", None, "c", 1, 2) for n in range(300)] + [(1, None, None, None, None, "c", 1, 2)]
     docs = spark.createDataFrame(rows, SCHEMA)

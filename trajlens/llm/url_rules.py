@@ -61,19 +61,17 @@ def url_tokens(url: Column) -> Column:
     )
 
 
-def mine_rules(
-    tokens: DataFrame, min_support: float = 0.005, min_confidence: float = 0.4, min_lift: float = 1.1, max_tokens: int = 3
-) -> DataFrame:
+def mine_rules(tokens: DataFrame, min_support: float = 0.005, min_confidence: float = 0.4, min_lift: float = 1.1) -> DataFrame:
     """``rule_id, anchor, needs, verdict, confidence, support`` from rows of ``tokens`` and ``class``.
 
-    ``max_tokens`` bounds the tokens a rule may name. The support bound also bounds what FP-growth keeps: at most
-    tokens per row over ``min_support`` frequent tokens.
+    A rule may name any number of tokens. The support bound also bounds what FP-growth keeps: at most tokens per row
+    over ``min_support`` frequent tokens.
     """
     baskets = tokens.select(F.concat("tokens", F.array("class")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = (
         model.associationRules.where(F.col("consequent")[0].isin(BLOCK, ALLOW))
-        .where(f"size(antecedent) <= {max_tokens} and lift >= {min_lift}")
+        .where(f"lift >= {min_lift}")
         .select(
             F.array_sort("antecedent").alias("needs"), F.substring(F.col("consequent")[0], 3, 16).alias("verdict"),
             "confidence", "support",
