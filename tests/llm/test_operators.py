@@ -247,6 +247,19 @@ def test_language_held_out_accuracy_and_odd_rows(spark):
     assert {r["lang_pred"] for r in language_crf.predict(table(spark, ODD), nothing, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_with_many_copies_is_learned(spark):
+    """Nearly all rows of one language are copies of one text: its other texts teach all the same."""
+    draw = random.Random(2)
+    words = {"aa": "lorem dolor amet elit magna", "bb": "kiitos huomenta yksi kaksi hyvin"}
+    texts = {name: [" ".join(draw.choices(pool.split(), k=30)) for _ in range(40)] for name, pool in words.items()}
+    rows = spark.createDataFrame([(name, text) for name, own in texts.items() for text in own], "lang string, text string")
+    copied = spark.range(50_000).select(F.lit("bb").alias("lang"), F.lit(texts["bb"][0]).alias("text"))
+    model = language_crf.train(rows.union(copied), F.lit(True), sample=50)
+    assert model.labels == ["aa", "bb"]
+    found = language_crf.predict(rows, model, ["lang"]).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in found)
+
+
 def test_main_text():
     page = (
         "<html><head><title>t</title></head><body><header>Top</header><nav><a href=/>Home</a></nav><div class='ad'>Buy now</div>"

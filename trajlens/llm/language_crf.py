@@ -5,8 +5,8 @@ with word boundaries), affixes (up to four characters) and lexicon entries (the
 languages are learned too, from training sequences spliced out of chunks of different languages. Forward-backward
 gives each word's posterior; a document gets the language of highest mean posterior over its words.
 
-Training takes a bounded sample of the labelled rows (about ``sample`` documents per language, chosen by a hash of
-the text) and runs on Spark: in each round every shard improves the shared weights on its own rows (AdaGrad), and
+Training takes a bounded sample of the labelled rows (about ``sample`` distinct texts per language, chosen by a hash
+of the text) and runs on Spark: in each round every shard improves the shared weights on its own rows (AdaGrad), and
 the results are averaged. Weights and sample size do not grow with the input.
 """
 
@@ -27,6 +27,8 @@ from trajlens.llm.common import keep, packed, pieces, ship, unpacked
 
 FEATURES = 1 << 16
 SHARDS, ROUNDS = 6, 3
+#: Texts are drawn by a hash of so many values: shares stay exact for labels of any size.
+PICKS = 1 << 48
 REMEMBERED_WORDS = 400_000
 BLOCK = 32
 _WORD = re.compile(r"[^\W\d_]+")
@@ -216,7 +218,7 @@ def _shard_step(held, labels: list[str], turn: int):
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         weights, moves = held.value
-        frame = frame.sort_values(["pick", "text"])
+        frame = frame.sort_values(["pick", "text", "label"])
         texts = [words_of(text) for text in frame["text"]]
         truth = np.array([number[label] for label in frame["label"]])
         full = [place for place, words in enumerate(texts) if words]
@@ -234,18 +236,21 @@ def _shard_step(held, labels: list[str], turn: int):
 def train(docs: DataFrame, usable: Column, label_column: str = "lang", text_column: str = "text", sample: int = 600) -> Model:
     """Fit on rows where ``usable`` holds and label and text are given.
 
-    At most about ``sample`` rows per label are used, all with equal chance whatever the label's share.
+    At most about ``sample`` distinct texts per label are used, all with equal chance whatever the label's share and
+    however often one is copied.
     """
     ship(docs.sparkSession)
     given = docs.where(usable).select(F.col(label_column).alias("label"), F.col(text_column).alias("text")).where(
         r"label is not null and text rlike '\\p{L}'"
-    ).withColumn("pick", F.pmod(F.xxhash64("text"), F.lit(1_000_000)))
-    counts = {row["label"]: row["n"] for row in given.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ).withColumn("pick", F.pmod(F.xxhash64("text"), F.lit(PICKS)))
+    # Copies are one draw, so they count once; whole rows would starve a label of which most rows are copies.
+    drawn = given.select("label", F.xxhash64("text").alias("text")).distinct()
+    counts = {row["label"]: row["n"] for row in drawn.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     labels = sorted(counts)
     share = F.lit(0)
     for label in labels:
-        share = F.when(F.col("label") == label, int(1_000_000 * min(1.0, sample / counts[label]))).otherwise(share)
-    chosen = keep(given.where(F.col("pick") < share).dropDuplicates(["text"]).withColumn("shard", F.col("pick") % SHARDS))
+        share = F.when(F.col("label") == label, int(PICKS * min(1.0, sample / counts[label]))).otherwise(share)
+    chosen = keep(given.where(F.col("pick") < share).dropDuplicates(["label", "text"]).withColumn("shard", F.col("pick") % SHARDS))
     size = len(labels)
     weights, moves = np.zeros((FEATURES, size), np.float32), np.zeros((size, size))
     kind = "rows long, model binary"
