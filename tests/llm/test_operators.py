@@ -274,6 +274,19 @@ def test_main_text():
     assert text_density.main_text("plain words") == "plain words"
 
 
+def test_main_text_inside_wrappers_with_telling_names():
+    story = "<h1>The headline</h1><p>A first paragraph that is long enough, by far, to count as the text.</p><p>Another one, of like length, follows it.</p>"
+    text = "The headline A first paragraph that is long enough, by far, to count as the text. Another one, of like length, follows it."
+    links = "<ul><li><a href=/>One of the links</a></li><li><a href=/>Another of the links</a></li></ul>"
+    for given in ('style="overflow:hidden"', 'class="post overflow-hidden"', 'aria-hidden="false"', 'class="main side"', 'id=search class="reviews"', 'data-x="hidden"'):
+        assert text_density.main_text(f"<body><div {given}>{story}</div><div class=related>{links}</div></body>") == text, given
+    head, body = story.split("<p>", 1)
+    assert text_density.main_text(f'<body><article><div class="article-header">{head}</div><p>{body}</article></body>') == text
+    for given in ("hidden", 'aria-hidden="true"', 'style="color:red; display: none"', "class=ad", 'class="box related"'):
+        inner = links if "related" in given else "<p>This is a text that nobody is to see, though it is long enough for one.</p>"
+        assert text_density.main_text(f"<body><article>{story}<div {given}>{inner}</div></article></body>") == text, given
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts_against_library_offsets(spark, rule):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))

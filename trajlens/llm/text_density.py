@@ -7,8 +7,10 @@ has the density
 
 (characters per tag, adjusted by links; counts below one count as one). Nodes are rated by the sum of their children's
 densities. The lowest density between the best node and the body is the threshold; from the body down, every node
-above it marks its best descendant, whose subtree is taken. Elements that hold no article text by their kind or by
-their class names (menus, forms, scripts, adverts, comments and the like) are left out of tree and text.
+above it marks its best descendant, whose subtree is taken. Elements that hold no article text by their kind (menus,
+forms, scripts and the like), hidden ones and those of an advert class are left out of tree and text. Other class and
+id names (comments, related, header and the like) only raise a doubt: the subtree is left out where a third of its text
+is in links, or where its text per tag is below the page's and it holds neither the headline nor half of the page.
 """
 
 from __future__ import annotations
@@ -29,7 +31,10 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+#: Whole class, id and role names of adverts.
+_ADVERT = re.compile(r"(?:^|\s)(?:ads?|advert\w*|sponsor\w*)(?:$|\s)", re.I)
 #: Elements without an end tag.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that stand in a line of text.
@@ -41,7 +46,7 @@ _INLINE = frozenset(
 _LEFT_OUT = frozenset(
     "nav header footer aside form head script style noscript template button select option textarea iframe svg object dialog menu".split()
 )
-#: Parts of class and id names that mark the same.
+#: Parts of class and id names that raise a doubt.
 _MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|aside|"
     r"footer\w*|masthead|topbar|header|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|signup|login|comments?|"
@@ -62,22 +67,66 @@ _SCOPE = frozenset("body article main section div td th table ul ol dl blockquot
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "out", "link", "c", "t", "lc", "lt", "density", "total", "best", "marked")
+    __slots__ = ("tag", "parent", "children", "out", "doubt", "link", "c", "t", "lc", "lt", "density", "total", "best", "marked")
 
     def __init__(self, tag: str, parent: _Node | None, out: bool, link: bool):
         self.tag, self.parent, self.out, self.link = tag, parent, out, link
+        self.doubt = False
         self.children: list[_Node | str] = []
         self.c = self.t = self.lc = self.lt = 0
         self.density = self.total = 0.0
         self.best, self.marked = self, False
 
 
-def _left_out(tag: str, attributes: str) -> bool:
+def _left_out(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is left out, and whether its names raise a doubt."""
     if tag in _LEFT_OUT:
-        return True
-    if tag in _KEPT or not attributes or "=" not in attributes:
-        return False
-    return any(_MARKS.search(a or b or c) for a, b, c in _NAMES.findall(attributes)) or bool(re.search(r"\bhidden\b", attributes))
+        return True, False
+    if tag in _KEPT or not attributes:
+        return False, False
+    doubt = False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), values[0] or values[1] or values[2]
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _UNSEEN.search(value):
+            return True, False
+        if name in ("class", "id", "role"):
+            if _ADVERT.search(value):
+                return True, False
+            doubt = doubt or bool(_MARKS.search(value))
+    return False, doubt
+
+
+def _without_doubtful(nodes: list[_Node]) -> list[_Node]:
+    """Takes doubtful subtrees that hold no article text out of the tree; returns the nodes that stay."""
+    if not any(node.doubt for node in nodes):
+        return nodes
+    held = {}
+    for node in reversed(nodes):
+        text = linked = tags = 0
+        headline = node.tag == "h1"
+        for child in node.children:
+            if isinstance(child, str):
+                size = len("".join(child.split()))
+                text, linked = text + size, linked + size * node.link
+            else:
+                c, lc, t, h = held[id(child)]
+                text, linked, tags, headline = text + c, linked + lc, tags + t + 1, headline or h
+        held[id(node)] = text, linked, tags, headline
+    whole, _linked, all_tags, _headline = held[id(next((node for node in nodes if node.tag == "body"), nodes[0]))]
+    stay, shortened = [], {}
+    for node in nodes:
+        node.out = node.parent is not None and node.parent.out
+        if node.doubt and not node.out:
+            c, lc, t, headline = held[id(node)]
+            sparse = c * max(all_tags, 1) < whole * max(t, 1) and not headline and 2 * c < whole
+            node.out = 3 * lc >= c or sparse
+            if node.out:
+                shortened[id(node.parent)] = node.parent
+        if not node.out:
+            stay.append(node)
+    for node in shortened.values():
+        node.children = [child for child in node.children if isinstance(child, str) or not child.out]
+    return stay
 
 
 def parse(html: str) -> tuple[_Node, list[_Node]]:
@@ -107,8 +156,10 @@ def parse(html: str) -> tuple[_Node, list[_Node]]:
                 here = node.parent
                 break
             node = node.parent
-        out = here.out or _left_out(tag, match[4])
+        left_out, doubt = (True, False) if here.out else _left_out(tag, match[4])
+        out = here.out or left_out
         node = _Node(tag, here, out, here.link or tag == "a")
+        node.doubt = doubt
         if not out:
             here.children.append(node)
             nodes.append(node)
@@ -116,7 +167,7 @@ def parse(html: str) -> tuple[_Node, list[_Node]]:
             here = node
     if at < len(html) and not here.out:
         here.children.append(html[at:])
-    return root, nodes
+    return root, _without_doubtful(nodes)
 
 
 def _rate(root: _Node, nodes: list[_Node]) -> _Node:
