@@ -138,4 +138,115 @@ select domain, lang, source, doc_id, cast(tokens as bigint) as tokens, cast(epoc
 from taken
 """
 
-ORACLES = {"op1_url_rules": OP1, "op2_ngram_jaccard": OP2, "op8_source_mixing": OP8}
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, bit by bit."""
+    step = "case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end"
+    bits = f"list_reduce(list_prepend(xor(c, b), [cast(0 as ubigint) for z in range(8)]), lambda a, z: {step})"
+    codes = f"[cast(ascii(x) as ubigint) for x in string_split({text}, '')]"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as ubigint), {codes}), lambda c, b: {bits}), 4294967295)"
+
+
+OP12 = rf"""
+with recursive base as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {_crc32("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as fate
+  from conversations
+),
+turns as (
+  select conv_id, turn, case fate when 4 then 'user' else role end as role,
+    case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case fate when 3 then [1, 2] else [1] end) as copy
+  from base where fate <> 0
+),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from turns),
+seen as (
+  select *, row_number() over (partition by conv_id, role, text order by i) > 1 as repeated,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') as seen_text
+  from placed
+),
+faults as (
+  select conv_id, turn, role, text, i, left(role, 1) as sign, lag(left(role, 1)) over (partition by conv_id order by i) as before,
+    case when seen_text = '' then 'blank' when repeated then 'duplicate' when right(seen_text, 1) not in ('.', '!', '?') then
+    'truncated' end as fault
+  from seen
+),
+figures as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (before is not null and before || sign not in ('su', 'ua', 'au')) as illegal, count(*) as n
+  from faults group by conv_id
+),
+inserts(q, letters, q_mid, added, lines) as (
+  select q, '', q, 0, cast([] as varchar[]) from (values (0), (1), (2), (3)) t(q) union all values
+  (0, 'I', 2, 5, ['user:']), (1, 'I', 2, 5, ['user:']), (2, 'I', 3, 5, ['assistant:']), (3, 'I', 2, 5, ['user:']),
+  (0, 'II', 3, 10, ['user:', 'assistant:']), (1, 'II', 3, 10, ['user:', 'assistant:']), (2, 'II', 2, 10, ['assistant:', 'user:']),
+  (3, 'II', 3, 10, ['user:', 'assistant:'])
+),
+signs(q_mid, sign, q_next, role) as (values
+  (0, 's', 1, null), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (2, 'a', 3, 'assistant'), (3, 'u', 2, 'user')
+),
+edits as (
+  select conv_id, i, q_mid, q_next, 'K' as letter, case when fault = 'truncated' then 5 else 0 end as cost, [f.role || ':' || text] as line
+  from faults f join signs using (sign) where fault is null or fault = 'truncated' union all
+  select conv_id, i, q_mid, q_next, 'R', case when fault = 'truncated' then 6 else 1 end, [s.role || ':' || text]
+  from faults f join signs s on s.role is not null where fault is null or fault = 'truncated' union all
+  select conv_id, i, q, q, 'D', 2, cast([] as varchar[]) from faults, (values (0), (1), (2), (3)) t(q)
+),
+paths as (
+  select conv_id, cast(0 as bigint) as i, 0 as q, 0 as cost, '' as audit, cast([] as varchar[]) as lines from figures union all
+  select conv_id, i, q, cost, audit, lines from (
+    select p.conv_id, e.i, e.q_next as q, p.cost + n.added + e.cost as cost, p.audit || n.letters || e.letter as audit,
+      p.lines || n.lines || e.line as lines,
+      row_number() over (partition by p.conv_id, e.q_next order by p.cost + n.added + e.cost, p.audit || n.letters || e.letter) as k
+    from paths p join inserts n on n.q = p.q
+    join edits e on e.conv_id is not distinct from p.conv_id and e.i = p.i + 1 and e.q_mid = n.q_mid
+  ) where k = 1
+),
+ends as (
+  select p.conv_id, p.cost + n.added as cost, p.audit || n.letters as audit, p.lines || n.lines as lines, f.gaps, f.blank, f.duplicate,
+    f.truncated, f.illegal,
+    row_number() over (partition by p.conv_id order by p.cost + n.added, p.audit || n.letters) as k
+  from paths p join figures f on f.conv_id is not distinct from p.conv_id and f.n = p.i join inserts n on n.q = p.q
+  where n.q_mid in (0, 3)
+)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(coalesce(cost, 0) as bigint) as cost,
+  coalesce(audit, '') as audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join (select * from ends where k = 1) e on e.conv_id is not distinct from c.conv_id
+"""
+
+OP13 = f"""
+with turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as place,
+    {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} as t
+  from conversations where conv_id is not null
+),
+own as (
+  select conv_id, list(t order by place) as turns, cast({_crc32("cast(conv_id as varchar)")} % 6 as bigint) as h from turns group by conv_id
+),
+members as (
+  select o.conv_id, list_concat(coalesce(b.turns, [])[1:o.h], o.turns[o.h + 1:len(o.turns)]) as path
+  from own o left join own b on b.conv_id = o.conv_id - o.conv_id % 100
+),
+nodes as (
+  select path[1:d] as path, d, min(conv_id) as conv_id, count(*) as n_convs,
+    coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (len(m.path) = d), '') as ids,
+    (count(*) - 1) * coalesce(any_value(length(m.path[d].text)) filter (d > 0), 0) as saved
+  from (select conv_id, path, unnest(range(0, len(path) + 1)) as d from members) m group by path[1:d], d
+),
+kids as (select path[1:d - 1] as up, d - 1 as up_d, count(*) as n from nodes where d > 0 group by all),
+full_nodes as (select nodes.*, coalesce(kids.n, 0) as n_children from nodes left join kids on up = path and up_d = d),
+under as (
+  select path[1:e] as up, e, count(*) filter (n_children = 0) as n_leaves, sum(saved) as saved_tokens
+  from (select *, unnest(range(0, d + 1)) as e from full_nodes) group by all
+)
+select n.conv_id, n.d as depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, u.n_leaves,
+  cast(u.saved_tokens as bigint) as saved_tokens, sha256(n.ids) as ends_sha256
+from full_nodes n join under u on u.up = n.path and u.e = n.d left join nodes p on n.d > 0 and p.path = n.path[1:n.d - 1] and p.d = n.d - 1
+"""
+
+ORACLES = {
+    "op1_url_rules": OP1, "op2_ngram_jaccard": OP2, "op8_source_mixing": OP8, "op12_conversation_repair": OP12,
+    "op13_conversation_trie": OP13,
+}

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlens.llm import (
-    language_crf, media_columns, ngram_join, segment_bpe, source_mixing, text_density, token_counts, token_records, url_rules,
+    conversation_repair, language_crf, media_columns, ngram_join, prefix_trie, segment_bpe, source_mixing, text_density, token_counts, token_records, url_rules,
     weighted_fingerprints,
 )
 from trajlens.llm.common import ship, table
@@ -73,6 +73,15 @@ def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
     return token_records.round_trip(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = conversation_repair.damaged(table(spark, folder, "conversations"))
+    return conversation_repair.summaries(conversation_repair.repaired(turns))
+
+
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, folder, "conversations")))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +92,8 @@ QUERIES = {
     build.__name__: build
     for build in (
         op1_url_rules, op2_ngram_jaccard, op3_token_counts, op4_language_crf, op5_segment_bpe, op6_weighted_fingerprints,
-        op7_text_density, op8_source_mixing, op9_media_columns, op10_token_records, pipeline,
+        op7_text_density, op8_source_mixing, op9_media_columns, op10_token_records,
+        op12_conversation_repair, op13_conversation_trie, pipeline,
     )
 }
 
