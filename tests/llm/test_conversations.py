@@ -79,10 +79,12 @@ def test_repair_is_the_least_of_all(monkeypatch):
         assert (sum(edit[4] for edit in edits), "".join(edit[3] for edit in edits), lines) == least_repair(rows, costs)
 
 
-def test_long_conversations_are_not_held():
-    repair, open_rows = conversation_repair.Repair(), 0
+@pytest.mark.parametrize("noise", [0, 0.1, 0.5])
+def test_long_conversations_are_not_held(noise):
+    draw, repair, open_rows = random.Random(2), conversation_repair.Repair(), 0
     for turn in range(20_000):
-        repair.add((turn, ("user", "assistant", "tool")[turn * turn % 3], "x.", None))
+        role = "user" if turn % 2 == 0 or draw.random() < noise else "assistant"
+        repair.add((turn, role, "x.", None))
         open_rows = max(open_rows, len(repair.rows) + len(repair.waiting))
     repair.finish()
     assert open_rows <= 2 * conversation_repair.WINDOW

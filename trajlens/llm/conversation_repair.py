@@ -7,7 +7,8 @@ letters D, I, K, R, so the least integer is the cheapest repair, and of equally
 decision is a plain minimum of integers.
 
 Rows stream through a task in order of turn. What all open paths agree on is handed out and taken off the weights every
-``WINDOW`` rows, so a very long conversation needs neither its rows nor its weights at once.
+``WINDOW`` rows, so a long conversation needs neither its rows nor its weights at once (unless its end alone decides
+between repairs that differ from the start, as in an odd number of turns that each fit either way).
 """
 
 from __future__ import annotations
@@ -103,6 +104,7 @@ class Repair:
             for (state, inserts), value in paths.items()
         }
         self.rows += rows
+        self._drop_hopeless()
         texts = [letters for _, letters in self.open.values()]
         low, high = min(texts), max(texts)
         agreed = next((at for at, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
@@ -126,6 +128,22 @@ class Repair:
             best[state] = min(best.get(state, value), value)
         return {key: value for key, value in paths.items() if value >> 3 * width == best[key[0]] >> 3 * width}
 
+    def _drop_hopeless(self) -> None:
+        """Leave out paths that cost more than another one that could still follow them at its own expense."""
+        insert, delete = self.costs.insert, self.costs.delete
+        # What it takes at most to go on from one state as from another: inserts, or deleting the system turn.
+        detours = {
+            (3, 2): insert, (2, 3): insert, (0, 2): insert, (0, 3): 2 * insert, (1, 2): insert, (1, 3): 2 * insert, (3, 0): delete,
+            (2, 0): insert + delete, (3, 1): 0, (2, 1): insert, (0, 1): 0, (1, 0): 2 * insert + delete,
+        }
+        cheapest: dict[int, int] = {}
+        for (state, _), (cost, _) in self.open.items():
+            cheapest[state] = min(cheapest.get(state, cost), cost)
+        self.open = {
+            (state, inserts): (cost, letters) for (state, inserts), (cost, letters) in self.open.items()
+            if all(cost <= other + detours[at, state] for at, other in cheapest.items() if at != state)
+        }
+
     def _inserts(self, paths: dict, place: int, width: int) -> dict:
         out, fresh = dict(paths), paths
         for _ in range(2):
