@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlens.llm import (
-    conversation_repair, language_crf, media_columns, ngram_join, prefix_trie, segment_bpe, source_mixing, text_density, token_counts, token_records, url_rules,
+    contextual_pii, conversation_repair, language_crf, media_columns, ngram_join, prefix_trie, segment_bpe, source_mixing, text_density, token_counts, token_records, url_rules,
     weighted_fingerprints,
 )
 from trajlens.llm.common import ship, table
@@ -73,6 +73,10 @@ def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
     return token_records.round_trip(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op11_contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return contextual_pii.digests(contextual_pii.personal_data(table(spark, folder, "documents")))
+
+
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     turns = conversation_repair.damaged(table(spark, folder, "conversations"))
     return conversation_repair.summaries(conversation_repair.repaired(turns))
@@ -93,7 +97,7 @@ QUERIES = {
     for build in (
         op1_url_rules, op2_ngram_jaccard, op3_token_counts, op4_language_crf, op5_segment_bpe, op6_weighted_fingerprints,
         op7_text_density, op8_source_mixing, op9_media_columns, op10_token_records,
-        op12_conversation_repair, op13_conversation_trie, pipeline,
+        op11_contextual_pii, op12_conversation_repair, op13_conversation_trie, pipeline,
     )
 }
 
