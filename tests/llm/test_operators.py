@@ -241,7 +241,7 @@ def test_language_held_out_accuracy_and_odd_rows(spark):
     odd = {r["doc_id"]: r for r in language_crf.predict(table(spark, [*ODD, "² 12 !"]), model, ["doc_id"]).collect()}
     assert all(odd[n]["lang_pred"] == "und" and odd[n]["score"] == 0 for n in (0, 1, 2, 10))
     assert all(odd[n]["lang_pred"] in model.labels and 0 < odd[n]["score"] <= 1 for n in (3, 4, 6, 7, 8))
-    kept = language_crf.accepted(table(spark, ODD), model, least=0.0)
+    kept = language_crf.accepted(table(spark, ODD), model, least=0.0, nearness=0.0)
     assert kept.columns == table(spark, []).columns and kept.count() == 7
     nothing = language_crf.train(docs.limit(0), F.lit(True))
     assert {r["lang_pred"] for r in language_crf.predict(table(spark, ODD), nothing, ["doc_id"]).collect()} == {"und"}
@@ -385,3 +385,27 @@ def test_pipeline_keeps_one_of_each_class(spark):
     assert sorted(r["doc_id"] for r in unique.collect()) == [ids[n] for n, (_size, root) in classes.items() if root == n]
     result = corpus_pipeline.run(spark, FOLDER)
     assert result.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < result.count()
+
+
+def test_language_stage_rejects_other_text_and_keeps_clean_rows(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    draw = random.Random(8)
+    russian = "привет мир это текст на другом языке который модель не знает сегодня завтра".split()
+    finnish = "hyvää päivää kaikille ystäville tämä teksti on suomea eikä mikään muu vaikka kirjaimet ovat samoja yhdeksän".split()
+    junk = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(draw.randrange(80, 500))) for _ in range(60)]
+    junk += [" ".join(draw.choice(words) for _ in range(30)) for words in (russian, finnish) for _ in range(40)]
+    junk += ["zzz qqq xxx " * 10, None, "", "1234 !!"]
+    strange = spark.createDataFrame([(-1 - n, text, None, "web", 0) for n, text in enumerate(junk)], docs.schema)
+    both = docs.unionByName(strange)
+    kept = {row["doc_id"] for row in corpus_pipeline.language_id(spark, both, FOLDER).select("doc_id").collect()}
+    clean = {row["doc_id"] for row in docs.select("doc_id").collect()}
+    assert clean <= kept
+    assert sum(number < 0 for number in kept) <= 2
+
+
+def test_language_of_an_empty_table(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = language_crf.train(docs.limit(0), F.lit(True))
+    assert language_crf.predict(docs.limit(0), model, ["doc_id"]).count() == 0
+    assert {tuple(row)[1:] for row in language_crf.predict(docs.limit(3), model, ["doc_id"]).collect()} == {("und", 0.0)}
+    assert language_crf.accepted(docs.limit(3), model).count() == 0

@@ -46,6 +46,20 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+_remembering: list = []
+
+
+def remember(*caches) -> None:
+    """Name the caches that the task at hand uses; those of an operator that this Python worker served before are emptied."""
+    others = [cache for cache in _remembering if not any(cache is own for own in caches)]
+    _remembering[:] = caches
+    if others:
+        for cache in others:
+            cache.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -5,6 +5,9 @@ with word boundaries), affixes (up to four characters) and lexicon entries (the
 languages are learned too, from training sequences spliced out of chunks of different languages. Forward-backward
 gives each word's posterior; a document gets the language of highest mean posterior over its words.
 
+Posteriors compare the known languages only, so text of another kind also gets one. ``accepted`` therefore asks as well
+how many of a text's letter triples the sample has seen in that language, against what is usual for held-out texts.
+
 Training takes a bounded sample of the labelled rows (about ``sample`` distinct texts per language, chosen by a hash
 of the text) and runs on Spark: in each round every shard improves the shared weights on its own rows (AdaGrad), and
 the results are averaged. Weights and sample size do not grow with the input.
@@ -23,9 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlens.llm.common import keep, packed, pieces, ship, unpacked
+from trajlens.llm.common import keep, pieces, remember, ship
 
 FEATURES = 1 << 16
+#: Slots for the letter triples seen per language.
+TRIPLES = 1 << 18
 SHARDS, ROUNDS = 6, 3
 #: Texts are drawn by a hash of so many values: shares stay exact for labels of any size.
 PICKS = 1 << 48
@@ -80,11 +85,34 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(owners)
 
 
+def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, word) of each letter triple, word ends included."""
+    codes = np.frombuffer("".join([f"\x02{word}\x03" for word in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.cumsum(codes == _START) - 1
+    base = np.uint64(1 << 21)
+    inside = owner[:-2] == owner[2:]
+    values = ((codes[:-2] * base + codes[1:-1]) * base + codes[2:])[inside] * _STEP
+    return ((values ^ (values >> np.uint64(29))) * _STEP >> np.uint64(46)).astype(np.int64) & (TRIPLES - 1), owner[:-2][inside]
+
+
 @dataclass
 class Model:
     labels: list[str]
     weights: np.ndarray  # features x labels
     moves: np.ndarray  # transition scores, from x to
+    seen: np.ndarray | None = None  # labels x triples, packed bits
+    usual: float = 0.0  # share of seen triples that all but one in a hundred held-out texts reach
+
+    def seen_triples(self, words: list[str]) -> np.ndarray:
+        """Per word: triples seen in each language, then all triples."""
+        out = np.zeros((len(words), len(self.labels) + 1))
+        if words:
+            slot, owner = triples(words)
+            for label in range(len(self.labels)):
+                known = self.seen[label, slot >> 3] >> (slot & 7).astype(np.uint8) & 1
+                out[:, label] = np.bincount(owner, known, len(words))
+            out[:, -1] = np.bincount(owner, minlength=len(words))
+        return out
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Emission scores of words; features count one over their number."""
@@ -264,7 +292,39 @@ def train(docs: DataFrame, usable: Column, label_column: str = "lang", text_colu
         cut = FEATURES * size * 4
         weights = sum(np.frombuffer(r["model"][:cut], np.float32) * (r["rows"] / total) for r in found).reshape(-1, size).astype(np.float32)
         moves = sum(np.frombuffer(r["model"][cut:]) * (r["rows"] / total) for r in found).reshape(size, size)
-    return Model(labels, weights, moves)
+    seen, usual = _seen(chosen, labels)
+    return Model(labels, weights, moves, seen, usual)
+
+
+def _seen(chosen: DataFrame, labels: list[str]) -> tuple[np.ndarray, float]:
+    """Letter triples of the sample per language, and the share of them that a shard's texts have in the other shards."""
+    number = {label: place for place, label in enumerate(labels)}
+
+    def marks(frame: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros((len(number), TRIPLES), np.uint8)
+        for label, text in zip(frame["label"], frame["text"], strict=True):
+            bits[number[label], triples(words_of(text))[0]] = 1
+        return pd.DataFrame({"shard": [frame["shard"].iloc[0]], "bits": [np.packbits(bits, axis=1, bitorder="little").tobytes()]})
+
+    # One small bitmap per shard, whatever the number of rows.
+    found = {r["shard"]: np.frombuffer(r["bits"], np.uint8) for r in chosen.groupBy("shard").applyInPandas(marks, "shard long, bits binary").collect()}
+    if not found:
+        return np.zeros((len(labels), TRIPLES >> 3), np.uint8), 0.0
+
+    def shares(frame: pd.DataFrame) -> pd.DataFrame:
+        others = [bits for shard, bits in found.items() if shard != frame["shard"].iloc[0]]
+        if not others:
+            return pd.DataFrame({"share": pd.Series([], dtype=float)})
+        model = Model(labels, None, None, np.bitwise_or.reduce(others).reshape(len(labels), -1))
+        out = []
+        for label, text in zip(frame["label"], frame["text"], strict=True):
+            total = model.seen_triples(words_of(text)).sum(axis=0)
+            out.append(total[number[label]] / max(total[-1], 1))
+        return pd.DataFrame({"share": out})
+
+    # The sample is bounded, and so is this quantile's input.
+    usual = chosen.groupBy("shard").applyInPandas(shares, "share double").agg(F.percentile("share", F.lit(0.01)).alias("usual")).first()
+    return np.bitwise_or.reduce(list(found.values())).reshape(len(labels), -1), float(usual["usual"] or 0.0)
 
 
 class _Tagger:
@@ -276,7 +336,7 @@ class _Tagger:
 
     def reset(self):
         self.place: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.model.labels)))
+        self.table = np.zeros((1024, 2 * len(self.model.labels) + 1))
 
     def learn(self, words: set[str]) -> None:
         if len(self.place) + len(words) > REMEMBERED_WORDS:
@@ -286,12 +346,13 @@ class _Tagger:
             return
         start = len(self.place)
         if start + len(new) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros((len(self.table) + len(new), len(self.model.labels)))])
-        self.table[start : start + len(new)] = self.model.scores(new)
+            self.table = np.concatenate([self.table, np.zeros((len(self.table) + len(new), self.table.shape[1]))])
+        self.table[start : start + len(new)] = np.concatenate([self.model.scores(new), self.model.seen_triples(new)], axis=1)
         self.place.update(zip(new, range(start, start + len(new)), strict=True))
 
-    def documents(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, sure = ["und"] * len(texts), [0.0] * len(texts)
+    def documents(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, mean posterior, and how far the share of seen triples reaches the usual one (1 or more: it does)."""
+        names, sure, near = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         found = [words_of(text) for text in texts]
         # Other alphanumeric signs, such as superscript digits, are not letters.
         odd = {w for words in found for w in words if not w.isalpha()}
@@ -300,26 +361,30 @@ class _Tagger:
             found = [[w for w in words if w not in odd] for words in found]
         full = [place for place, words in enumerate(found) if words]
         if not full or not self.model.labels:
-            return names, sure
+            return names, sure, near
         self.learn({word for place in full for word in found[place]})
         lengths = np.array([len(found[place]) for place in full])
         index = np.fromiter((self.place[w] for place in full for w in found[place]), np.int64, int(lengths.sum()))
-        given = posteriors(self.table[index], lengths, self.model.moves)
-        means = np.add.reduceat(given, np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
+        starts, labels = np.cumsum(lengths) - lengths, len(self.model.labels)
+        given = posteriors(self.table[index, :labels], lengths, self.model.moves)
+        means = np.add.reduceat(given, starts, axis=0) / lengths[:, None]
+        known = np.add.reduceat(self.table[index, labels:], starts, axis=0)
         best = means.argmax(axis=1)
-        for place, label, row in zip(full, best, means, strict=True):
+        for place, label, row, seen in zip(full, best, means, known, strict=True):
             names[place], sure[place] = self.model.labels[label], float(min(1.0, row[label]))
-        return names, sure
+            # A short text may miss the usual share by chance.
+            near[place] = float((seen[label] + 1) / (seen[-1] + 1) + 1 / np.sqrt(seen[-1] + 1)) / max(self.model.usual, 1e-9)
+        return names, sure, near
 
 
 _taggers: dict[int, _Tagger] = {}
 
 
 def _tagger(number: int, held) -> _Tagger:
+    remember(_taggers)
     if number not in _taggers:
         _taggers.clear()
-        labels, weights, moves = held.value
-        _taggers[number] = _Tagger(Model(labels, weights, moves))
+        _taggers[number] = _Tagger(Model(*held.value))
     return _taggers[number]
 
 
@@ -327,7 +392,7 @@ def _predict(number: int, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = _tagger(number, held)
         for batch in pieces(batches, "text", 1_000_000):
-            names, sure = tagger.documents(batch.column("text").to_pylist())
+            names, sure, _ = tagger.documents(batch.column("text").to_pylist())
             kept = [name for name in batch.schema.names if name != "text"]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(name) for name in kept] + [pa.array(names, pa.string()), pa.array(sure, pa.float64())],
@@ -338,7 +403,7 @@ def _predict(number: int, held):
 
 
 def _held(docs: DataFrame, model: Model):
-    held = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.moves))
+    held = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.moves, model.seen, model.usual))
     return held._jbroadcast.id(), held
 
 
@@ -350,20 +415,27 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text_column: str
     return rows.mapInArrow(_predict(*_held(docs, model)), f"{kinds}, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_column: str = "text") -> DataFrame:
-    """Rows whose language is recognised with a score of ``least`` or more, with all their columns."""
+def accepted(docs: DataFrame, model: Model, least: float = 0.3, nearness: float = 0.65, text_column: str = "text") -> DataFrame:
+    """Rows in one of the model's languages, with all their columns.
+
+    The mean posterior is ``least`` or more, and the share of letter triples that the sample has seen in that language is
+    at least ``nearness`` of what is usual for held-out texts (short texts get an allowance of one over the root of their
+    number of triples). A null text or one without letters goes. Only the text is sent to Python.
+    """
     ship(docs.sparkSession)
-    rows = docs.select(packed(docs), F.col(text_column).alias("text"))
+    number, held = _held(docs, model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def spoken(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tagger = _tagger(number, held)
-        for batch in pieces(batches, "text", 1_000_000):
-            names, sure = tagger.documents(batch.column("text").to_pylist())
-            good = pa.array([name != "und" and value >= least for name, value in zip(names, sure, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("_row").filter(good)], ["_row"])
-
-    number, held = _held(docs, model)
-    return unpacked(rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}"), docs.columns)
+        for texts in batches:
+            out = []
+            for part in pieces([pa.record_batch([texts], ["text"])], "text", 1_000_000):
+                found = zip(*tagger.documents(part.column("text").to_pylist()), strict=True)
+                out += [name != "und" and sure >= least and near >= nearness for name, sure, near in found]
+            yield pa.array(out, pa.bool_())
+
+    return docs.where(spoken(F.col(f"`{text_column}`")))
 
 
 def model_text(model: Model) -> str:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlens.llm.common import discard, keep, packed, pieces, release, unpacked
+from trajlens.llm.common import discard, keep, packed, pieces, release, remember, unpacked
 from trajlens.llm.components import components
 
 #: Relative costs: a list or subset entry (shuffled twice), and fetching and comparing one candidate.
@@ -207,6 +207,7 @@ def _arrays(values: list[np.ndarray], kind) -> pa.ListArray:
 
 def _profiles(width: int, sizes: Sizes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember(_hashes)
         for batch in pieces(batches, "text"):
             nodes, counts, sketches, lists, subsets, roles = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -236,6 +237,7 @@ def _node(items: np.ndarray) -> int | None:
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember(_hashes)
         for batch in pieces(batches, "text"):
             found = [shingle_set(text, width) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -250,6 +252,7 @@ def _verify(sizes: Sizes):
     """Keep the pairs that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember(_hashes)
         for batch in batches:
             linked = []
             for hub, items in zip(batch.column("hub_items"), batch.column("items"), strict=True):
@@ -312,6 +315,7 @@ def _near_pairs(sizes: Sizes):
     low, high = 100 - sizes.t, 100 + sizes.t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember(_hashes)
         for batch in batches:
             left, right = [], []
             for group in batch.column("found"):

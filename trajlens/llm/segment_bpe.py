@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlens.llm.common import packed, pieces, ship, unpacked
+from trajlens.llm.common import packed, pieces, remember, ship, unpacked
 
 REMEMBERED_WORDS = 300_000
 #: Symbols that rows of trees of one call may hold.
@@ -200,6 +200,7 @@ class SegmentBpe:
 
 def _loaded(file) -> SegmentBpe:
     """One coder per worker and tokenizer file."""
+    remember(_coders)
     if file.id not in _coders:
         _coders.clear()
         _coders[file.id] = SegmentBpe(file.value)
