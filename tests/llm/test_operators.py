@@ -358,6 +358,24 @@ def test_url_rules_of_any_length_against_brute_force(spark):
         assert (page["learned_rule"], page["verdict"]) == best[3:], page
 
 
+def test_url_template_of_many_parts_is_one_item(spark):
+    """A template of 25 parts has 2^25 subsets; a page with some of its parts gets the rule of these."""
+    parts = [f"part{chr(97 + n)}" for n in range(25)]
+    path = "/".join(parts)
+    pages = [(n, f"x://site{chr(97 + n % 3)}/{path}") for n in range(60)] + [(100 + n, f"x://other{chr(97 + n % 2)}/free") for n in range(60)]
+    pages += [(500, "x://elsewhere/partc/parta/none")]
+    labels = [(n, int(n >= 100), 0) for n, _ in pages if n < 500]
+    found = {
+        row["page_id"]: row for row in url_rules.judge(
+            spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rules=()
+        ).collect()
+    }
+    assert all(found[n]["verdict"] == ("block" if n < 100 else "allow") for n, _ in pages[:-1])
+    # The host halves the support, so the template alone is the better rule.
+    assert found[0]["learned_rule"] == " ".join(f"p:{part}" for part in parts)
+    assert (found[500]["verdict"], found[500]["learned_rule"]) == ("block", "p:parta p:partc")
+
+
 def test_mix_meets_budgets(spark):
     rows = [(n, "w " * (1 + n % 5), "en" if n % 3 else None, f"src{n % 4}", None, "c", 1, 2) for n in range(300)] + [(1, None, None, None, None, "c", 1, 2)]
     docs = spark.createDataFrame(rows, SCHEMA)

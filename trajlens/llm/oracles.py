@@ -37,7 +37,7 @@ def _fits(host: str, path: str) -> str:
 
 
 OP1 = f"""
-with urls as (
+with recursive urls as (
   select row_number() over () as r, page_id, {_HOST} as host, {_PATH} as path, case when contains(url, '://') then
     list_sort(list_distinct({_parts(_HOST, '.', 'h:')} || {_parts(_PATH, '/', 'p:')}
       || {_parts("coalesce(regexp_extract(url, '[?]([^#]*)', 1), '')", '&', 'q:')}
@@ -50,14 +50,21 @@ bad as (
 taught as (select r, case when bad = 1 then 'block' else 'allow' end as class from urls join bad on page_id = doc_id where bad is not null),
 total as (select count(*) as n from taught),
 one as (select r, unnest(tokens) as t from urls),
-combined as (
-  select r, [t] as needs from one
-  union all select a.r, [a.t, b.t] from one a join one b on a.r = b.r and a.t < b.t
-  union all select a.r, [a.t, b.t, c.t] from one a join one b on a.r = b.r and a.t < b.t join one c on c.r = b.r and b.t < c.t
+lists as (
+  select r, class, needs from (
+    select r, class, [t] as needs, count(*) filter (class = 'block') over w as n_block, count(*) filter (class = 'allow') over w as n_allow
+    from one join taught using (r) window w as (partition by t)
+  ) where greatest(n_block, n_allow) >= (select ceil(0.005 * n) from total)
+  union all
+  select r, class, needs from (
+    select l.r, l.class, list_append(l.needs, o.t) as needs, count(*) filter (l.class = 'block') over w as n_block,
+      count(*) filter (l.class = 'allow') over w as n_allow
+    from lists l join one o on o.r = l.r and o.t > l.needs[len(l.needs)] window w as (partition by list_append(l.needs, o.t))
+  ) where greatest(n_block, n_allow) >= (select ceil(0.005 * n) from total)
 ),
 counted as (
   select needs, count(*) as n_needs, count(*) filter (class = 'block') as n_block, count(*) filter (class = 'allow') as n_allow
-  from combined join taught using (r) group by 1
+  from lists group by 1
 ),
 classes as (select class, count(*) as n_class from taught group by 1),
 ruled as (
@@ -72,7 +79,7 @@ rules as (
 best as (
   select r, first(struct_pack(rule_id := array_to_string(needs, ' '), class := class, confidence := confidence)
     order by confidence desc, support desc, len(needs) desc, array_to_string(needs, ' '), class) as best
-  from combined join rules using (needs) group by 1
+  from urls join rules on list_has_all(tokens, needs) group by 1
 ),
 housed as (
   select *, case when {_fits('www.example.com', '/en/')} then 'www.example.com/en/' when {_fits('example.com', '/en/')} then 'example.com/en/'

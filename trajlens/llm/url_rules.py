@@ -4,6 +4,9 @@ Spark's FP-growth mines frequent combinations of URL tokens and a class token fr
 class and reach the confidence, support and lift asked for are put into an inverted index under their rarest
 token. A URL looks up its tokens and keeps the rules whose other tokens it has too; the best one decides. Fixed rules
 for a host (with its subdomains) and a path prefix come first.
+
+Tokens that occur on the same labelled pages, such as the parts of one template, are mined as one item; a rule with such
+an item stands for the rules of all its parts, and a URL that has only some of them gets the longest rule it fits.
 """
 
 from __future__ import annotations
@@ -61,41 +64,60 @@ def url_tokens(url: Column) -> Column:
     )
 
 
+def token_groups(tokens: DataFrame, min_support: float) -> DataFrame:
+    """``token, item`` of the frequent tokens; tokens on the same rows share an item, the first of them by name.
+
+    Same rows: equal counts and equal sums of two hashes of the rows. At most tokens per row over ``min_support`` rows.
+    """
+    def mark(seed: int) -> Column:
+        return F.sum(F.pmod(F.xxhash64("tokens", F.lit(seed)), F.lit(1 << 31)))
+
+    least = F.ceil(F.lit(min_support) * F.lit(tokens.count()))
+    seen = tokens.select("tokens", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("freq"), mark(1).alias("a"), mark(2).alias("b")
+    ).where(F.col("freq") >= least)
+    groups = seen.groupBy("freq", "a", "b").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    return groups.select("freq", F.col("members")[0].alias("item"), "members")
+
+
 def mine_rules(tokens: DataFrame, min_support: float = 0.005, min_confidence: float = 0.4, min_lift: float = 1.1) -> DataFrame:
     """``rule_id, anchor, needs, verdict, confidence, support`` from rows of ``tokens`` and ``class``.
 
-    A rule may name any number of tokens. The support bound also bounds what FP-growth keeps: at most tokens per row
-    over ``min_support`` frequent tokens.
+    ``needs`` lists items, each the array of its tokens; a rule may have any number of them. ``anchor`` is the array of the rarest
+    item. The support bound also bounds what FP-growth keeps: at most tokens per row over ``min_support`` frequent items.
     """
-    baskets = tokens.select(F.concat("tokens", F.array("class")).alias("items"))
+    groups = keep(token_groups(tokens, min_support))
+    shapes = tokens.select("tokens").distinct().select("tokens", F.explode("tokens").alias("item"))
+    items = shapes.join(groups.select("item"), "item", "left_semi").groupBy("tokens").agg(F.collect_list("item").alias("found"))
+    baskets = tokens.join(items, "tokens", "left").select(
+        F.concat(F.coalesce("found", F.array().cast("array<string>")), F.array("class")).alias("items")
+    )
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = (
-        model.associationRules.where(F.col("consequent")[0].isin(BLOCK, ALLOW))
-        .where(f"lift >= {min_lift}")
-        .select(
-            F.array_sort("antecedent").alias("needs"), F.substring(F.col("consequent")[0], 3, 16).alias("verdict"),
-            "confidence", "support",
-        )
-        .withColumn("rule_id", F.array_join("needs", " "))
+    rules = model.associationRules.where(F.col("consequent")[0].isin(BLOCK, ALLOW)).where(f"lift >= {min_lift}").select(
+        F.array_join(F.array_sort("antecedent"), " ").alias("mined"), "antecedent",
+        F.substring(F.col("consequent")[0], 3, 16).alias("verdict"), "confidence", "support",
     )
-    single = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("token"), "freq")
-    anchors = (
-        rules.select("rule_id", F.explode(F.array_distinct("needs")).alias("token")).distinct().join(single, "token")
-        .groupBy("rule_id").agg(F.min(F.struct("freq", "token"))["token"].alias("anchor"))
+    whole = rules.select("mined", F.explode("antecedent").alias("item")).distinct().join(groups, "item").groupBy("mined").agg(
+        F.array_sort(F.collect_list("members")).alias("needs"), F.min(F.struct("freq", "item", "members"))["members"].alias("anchor")
     )
-    return keep(rules.join(anchors, "rule_id"))
+    rules = rules.drop("antecedent").join(whole, "mined").drop("mined")
+    return keep(rules.withColumn("rule_id", F.array_join(F.array_sort(F.flatten("needs")), " ")))
 
 
 def match_rules(shapes: DataFrame, rules: DataFrame) -> DataFrame:
     """``shape, best`` for rows of ``shape`` and ``tokens`` that some rule fits.
 
-    The best rule has the highest confidence, then support, then most tokens, then the first name in order.
+    A rule fits with at least one token of each of its items. The best rule has the highest confidence, then support, then
+    most tokens, then the first name in order.
     """
-    looked_up = shapes.select("shape", "tokens", F.explode("tokens").alias("anchor")).join(rules, "anchor")
-    fitting = looked_up.where(F.size(F.array_except("needs", "tokens")) == 0)
+    index = rules.withColumn("token", F.explode("anchor"))
+    looked_up = shapes.select("shape", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    fitting = looked_up.where(F.forall("needs", lambda item: F.arrays_overlap(item, F.col("tokens")))).withColumn(
+        "used", F.array_sort(F.array_intersect("tokens", F.flatten("needs")))
+    )
     rank = F.struct(
-        (-F.col("confidence")).alias("a"), (-F.col("support")).alias("b"), (-F.size("needs")).alias("c"), "rule_id", "verdict",
-        "confidence",
+        (-F.col("confidence")).alias("a"), (-F.col("support")).alias("b"), (-F.size("used")).alias("c"),
+        F.array_join("used", " ").alias("rule_id"), "verdict", "confidence",
     )
     return fitting.groupBy("shape").agg(F.min(rank).alias("best"))
 
