@@ -2,13 +2,18 @@
 
 ``traces`` holds one row per trajectory: trajectory_id, task_id, seed, actions (array), success, ord.
 Replaying an edit is left to the environment; its result arrives as the ``outcomes`` table.
+
+Edits are symbolic: place, replacement, and the hash and length of the edited sequence. The hash follows from those
+of the trace before and after the place (:mod:`trajlens.functions.rolling`), so an edit takes the same few bytes at any length
+of the trace. Sequences are written out only for the environment (:func:`work_list`, :func:`with_sequences`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajlens.functions import rolling as R
 from trajlens.functions.ranks import replacement_candidates, safe_div, step_candidates
 from trajlens.functions.spread import salted_lookup
 from trajlens.functions.tasks import path_stem
@@ -16,8 +21,10 @@ from trajlens.functions.tasks import path_stem
 TRACE = ["trajectory_id", "task_id", "seed"]
 EDIT_COLUMNS = [
     *TRACE, "edit_type", "index", "edit_pos", "action", "second_index", "second_action", "replacement",
-    "repair_suffix", "suffix_index", "prefix_len", "edited_actions",
+    "repair_suffix", "suffix_index", "prefix_len", "hash_a", "hash_b", "edited_len",
 ]
+#: What tells edited sequences of one task apart.
+SEQUENCE = ["task_id", "seed", "hash_a", "hash_b", "edited_len"]
 # Order in which the edit types are listed in a report.
 EDIT_ORDER = ("delete", "swap_adjacent", "replace", "policy_suffix", "suffix_match_policy", "candidate_policy_suffix")
 # Ignored prefixes of task-changing actions, and inverse directions.
@@ -37,13 +44,49 @@ def traces_of(steps: DataFrame) -> DataFrame:
     )
 
 
-def _edit(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
+def symbols(traces: DataFrame) -> DataFrame:
+    """One row per place of a trace, its end included: ``i``, ``size``, ``act``, ``following``, and the hashes around it.
+
+    ``before`` is the hash of the items before the place, ``after`` that of the items behind it, ``reach`` the base to the power
+    of the place (arrays of lanes). At the end ``act`` is the last action, since edits there follow it. Whoever derives
+    several kinds of edits stores this table and hands it on in place of the traces.
+    """
+    if "reach" in traces.columns:
+        return traces
+    # One more item stands for the end.
+    rows = traces.select(
+        *TRACE, F.size("actions").alias("size"),
+        F.posexplode(F.concat("actions", F.array(F.lit(None).cast("string")))).alias("i", "act"),
+    )
+    inside = F.col("i") < F.col("size")
+    rows = rows.withColumn("reach", F.array(*R.power(F.col("i"))))
+    term = R.times(R.item(F.col("act")), R.lanes(F.col("reach")))
+    rows = rows.select("*", *[F.when(inside, value).otherwise(0).alias(f"_t{lane}") for lane, value in enumerate(term)])
+    trace = Window.partitionBy(*TRACE)
+    upto = trace.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = trace.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    names = [f"_t{lane}" for lane in range(len(R.PRIMES))]
+    rows = rows.select(
+        *TRACE, "size", "i", "act", "reach", F.lag("act").over(trace.orderBy("i")).alias("previous"),
+        F.lead("act").over(trace.orderBy("i")).alias("following"),
+        F.array(*[(F.sum(name).over(upto) - F.col(name)) % prime for name, prime in zip(names, R.PRIMES)]).alias("before"),
+        F.array(*[(F.sum(name).over(whole) - F.sum(name).over(upto)) % prime for name, prime in zip(names, R.PRIMES)]).alias("rest"),
+    )
+    return rows.select(
+        *TRACE, "size", "i", "act", "previous", "following", "reach", "before",
+        F.array(*R.times(R.lanes(F.col("rest")), R.power(F.col("i") + 1, inverse=True))).alias("after"),
+    )
+
+
+def _edit(df: DataFrame, kind: str, tail: R.Lanes, length: Column, **columns: Column) -> DataFrame:
+    """``tail`` is the hash of what the edit puts behind the items before its place."""
     empty = {
         "edit_pos": F.lit(0), "second_index": F.lit(None).cast("int"), "second_action": F.lit(None).cast("string"),
         "replacement": F.lit(None).cast("string"), "repair_suffix": F.array().cast("array<string>"),
         "suffix_index": F.lit(None).cast("int"), "prefix_len": F.lit(None).cast("int"),
     }
-    values = empty | {"edit_type": F.lit(kind)} | columns
+    edited = R.packed(R.plus(R.lanes(F.col("before")), R.times(R.lanes(F.col("reach")), tail)))
+    values = empty | {"edit_type": F.lit(kind), "hash_a": edited[0], "hash_b": edited[1], "edited_len": length} | columns
     return df.select(*TRACE, *[values[name].alias(name) for name in EDIT_COLUMNS if name not in TRACE])
 
 
@@ -57,52 +100,51 @@ def _from(actions: Column, start: Column) -> Column:
 
 
 def deletion_edits(traces: DataFrame) -> DataFrame:
-    rows = traces.select("*", F.posexplode("actions").alias("i", "act"))
-    actions, i = F.col("actions"), F.col("i")
-    return _edit(
-        rows, "delete", index=i, action=F.col("act"),
-        edited_actions=F.concat(_upto(actions, i), _from(actions, i + 1)),
-    )
+    rows = symbols(traces).filter("i < size")
+    return _edit(rows, "delete", R.lanes(F.col("after")), F.col("size") - 1, index=F.col("i"), action=F.col("act"))
 
 
 def swap_edits(traces: DataFrame) -> DataFrame:
-    rows = traces.select("*", F.posexplode("actions").alias("i", "act")).filter(F.col("i") < F.size("actions") - 1)
-    actions, i = F.col("actions"), F.col("i")
-    following = F.get(actions, i + 1)
+    rows = symbols(traces).filter("i < size - 1")
+    act, following = R.item(F.col("act")), R.item(F.col("following"))
+    # What follows the pair stands one place behind the pair's second item.
+    tail = R.plus(following, R.shifted(R.plus(act, R.minus(R.lanes(F.col("after")), following))))
     return _edit(
-        rows, "swap_adjacent", index=i, action=F.col("act"), second_index=i + 1, second_action=following,
-        edited_actions=F.concat(_upto(actions, i), F.array(following, F.col("act")), _from(actions, i + 2)),
+        rows, "swap_adjacent", tail, F.col("size"), index=F.col("i"), action=F.col("act"), second_index=F.col("i") + 1,
+        second_action=F.col("following"),
     )
 
 
-def _steps_with_trace(steps: DataFrame, traces: DataFrame) -> DataFrame:
+def _steps_in_trace(steps: DataFrame, traces: DataFrame) -> DataFrame:
     before = F.col("candidates_before") if "candidates_before" in steps.columns else F.lit(None).cast("array<string>")
-    return steps.select(
-        *TRACE, F.col("step_index").alias("i"), F.col("action").alias("act"),
-        step_candidates(before, F.col("candidates")).alias("options"),
-    ).join(traces.select(*TRACE, "actions"), TRACE)
+    options = steps.select(
+        *TRACE, F.col("step_index").alias("i"), step_candidates(before, F.col("candidates")).alias("options"),
+    )
+    return options.join(symbols(traces).filter("i < size"), [*TRACE, "i"])
+
+
+def _with_suffix(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("suffix_hash", R.sequence(F.col("suffix")))
 
 
 def replacement_edits(steps: DataFrame, traces: DataFrame, limit: int = 5) -> DataFrame:
     options = replacement_candidates(F.col("options"), F.col("act"), limit)
-    rows = _steps_with_trace(steps, traces).select("*", F.posexplode(options).alias("k", "other"))
-    actions, i = F.col("actions"), F.col("i")
+    rows = _steps_in_trace(steps, traces).select("*", F.posexplode(options).alias("k", "other"))
+    tail = R.plus(R.item(F.col("other")), R.shifted(R.lanes(F.col("after"))))
     return _edit(
-        rows, "replace", index=i, edit_pos=F.col("k"), action=F.col("act"), replacement=F.col("other"),
-        edited_actions=F.concat(_upto(actions, i), F.array("other"), _from(actions, i + 1)),
+        rows, "replace", tail, F.col("size"), index=F.col("i"), edit_pos=F.col("k"), action=F.col("act"), replacement=F.col("other"),
     )
 
 
 def policy_suffix_edits(traces: DataFrame, suffixes: DataFrame) -> DataFrame:
     """Every prefix followed by the policy's suffix; ``suffixes``: task_id, seed, prefix_len, suffix, done."""
-    rows = traces.withColumn("n", F.explode(F.sequence(F.lit(0), F.size("actions"))))
-    known = suffixes.select("task_id", "seed", F.col("prefix_len").alias("n"), "suffix", F.col("done").alias("_done"))
-    rows = rows.join(known, ["task_id", "seed", "n"]).filter((F.size("suffix") > 0) | F.col("_done"))
-    actions, n = F.col("actions"), F.col("n")
+    known = suffixes.select("task_id", "seed", F.col("prefix_len").alias("i"), "suffix", F.col("done").alias("_done"))
+    known = _with_suffix(known.filter((F.size("suffix") > 0) | F.col("_done")))
+    rows = symbols(traces).join(known, ["task_id", "seed", "i"])
     return _edit(
-        rows, "policy_suffix", index=n - 1, prefix_len=n, repair_suffix=F.col("suffix"),
-        action=F.coalesce(F.get(actions, n - 1), F.lit("<start>")),
-        edited_actions=F.concat(_upto(actions, n), F.col("suffix")),
+        rows, "policy_suffix", R.lanes(F.col("suffix_hash")), F.col("i") + F.size("suffix"), index=F.col("i") - 1,
+        prefix_len=F.col("i"), repair_suffix=F.col("suffix"),
+        action=F.when(F.col("i") > 0, F.col("previous")).otherwise(F.lit("<start>")),
     )
 
 
@@ -110,8 +152,8 @@ def suffix_match_edits(
     steps: DataFrame, traces: DataFrame, suffixes: DataFrame, limit: int = 10, per_step: int = 3
 ) -> DataFrame:
     """Logged candidates found in the known suffix; the latest positions first, ``per_step`` of them."""
-    known = suffixes.select("task_id", "seed", F.col("prefix_len").alias("i"), "suffix")
-    rows = _steps_with_trace(steps, traces).join(known, ["task_id", "seed", "i"]).filter(F.size("suffix") > 0)
+    known = suffixes.select("task_id", "seed", F.col("prefix_len").alias("i"), "suffix").filter(F.size("suffix") > 0)
+    rows = _steps_in_trace(steps, traces).join(known, ["task_id", "seed", "i"])
     options = replacement_candidates(F.col("options"), F.col("act"), limit)
     found = F.filter(
         F.transform(
@@ -122,46 +164,73 @@ def suffix_match_edits(
     )
     best = F.slice(F.reverse(F.array_sort(found)), 1, per_step)
     rows = rows.select("*", F.posexplode(best).alias("k", "m"))
-    suffix, at, i = F.col("suffix"), F.col("m.at"), F.col("i")
+    rows = rows.withColumn("taken", _from(F.col("suffix"), F.col("m.at")))
+    rows = rows.withColumn("suffix_hash", R.sequence(F.col("taken")))
     return _edit(
-        rows, "suffix_match_policy", index=i, edit_pos=F.col("k"), action=F.col("act"), replacement=F.col("m.other"),
-        suffix_index=at, repair_suffix=_from(suffix, at + 1),
-        edited_actions=F.concat(_upto(F.col("actions"), i), _from(suffix, at)),
+        rows, "suffix_match_policy", R.lanes(F.col("suffix_hash")), F.col("i") + F.size("taken"), index=F.col("i"),
+        edit_pos=F.col("k"), action=F.col("act"), replacement=F.col("m.other"), suffix_index=F.col("m.at"),
+        repair_suffix=_from(F.col("taken"), F.lit(1)),
     )
 
 
 def candidate_branch_edits(steps: DataFrame, traces: DataFrame, branches: DataFrame, limit: int = 10) -> DataFrame:
     """Each candidate, then the policy's suffix; ``branches``: task_id, seed, step_index, candidate, suffix, valid, done."""
     options = replacement_candidates(F.col("options"), F.col("act"), limit)
-    rows = _steps_with_trace(steps, traces).select("*", F.posexplode(options).alias("k", "candidate"))
+    rows = _steps_in_trace(steps, traces).select("*", F.posexplode(options).alias("k", "candidate"))
     known = branches.filter("valid").filter((F.size("suffix") > 0) | F.col("done")).select(
         "task_id", "seed", F.col("step_index").alias("i"), "candidate", "suffix"
     )
-    rows = rows.join(known, ["task_id", "seed", "i", "candidate"])
+    rows = rows.join(_with_suffix(known), ["task_id", "seed", "i", "candidate"])
+    tail = R.plus(R.item(F.col("candidate")), R.shifted(R.lanes(F.col("suffix_hash"))))
     return _edit(
-        rows, "candidate_policy_suffix", index=F.col("i"), edit_pos=F.col("k"), action=F.col("act"),
-        replacement=F.col("candidate"), repair_suffix=F.col("suffix"),
-        edited_actions=F.concat(_upto(F.col("actions"), F.col("i")), F.array("candidate"), F.col("suffix")),
+        rows, "candidate_policy_suffix", tail, F.col("i") + 1 + F.size("suffix"), index=F.col("i"), edit_pos=F.col("k"),
+        action=F.col("act"), replacement=F.col("candidate"), repair_suffix=F.col("suffix"),
+    )
+
+
+def with_sequences(edits: DataFrame, traces: DataFrame) -> DataFrame:
+    """``edits`` with ``edited_actions``, the sequence an environment replays."""
+    actions, i, kind = F.col("_actions"), F.col("index"), F.col("edit_type")
+    one = F.array("replacement")
+    sequence = (
+        F.when(kind == "delete", F.concat(_upto(actions, i), _from(actions, i + 1)))
+        .when(kind == "swap_adjacent", F.concat(_upto(actions, i), F.array("second_action", "action"), _from(actions, i + 2)))
+        .when(kind == "replace", F.concat(_upto(actions, i), one, _from(actions, i + 1)))
+        .when(kind == "policy_suffix", F.concat(_upto(actions, F.col("prefix_len")), "repair_suffix"))
+        .otherwise(F.concat(_upto(actions, i), one, "repair_suffix"))
+    )
+    rows = edits.join(traces.select(*TRACE, F.col("actions").alias("_actions")), TRACE)
+    return rows.withColumn("edited_actions", sequence).drop("_actions")
+
+
+def work_list(edits: DataFrame, traces: DataFrame) -> DataFrame:
+    """task_id, seed, hash_a, hash_b, edited_len, edited_actions: every distinct sequence of a task, once."""
+    parts = [name for name in EDIT_COLUMNS if name not in SEQUENCE]
+    # Edits of one hash and length have one sequence, so any of them will do.
+    one = edits.groupBy(*SEQUENCE).agg(F.any_value(F.struct(*parts)).alias("_edit")).select(*SEQUENCE, "_edit.*")
+    return with_sequences(one, traces).select(*SEQUENCE, "edited_actions")
+
+
+def sequence_keys(outcomes: DataFrame) -> DataFrame:
+    """``outcomes`` with hash_a, hash_b and edited_len of its ``edited_actions``, where they are not there yet."""
+    if {"hash_a", "hash_b", "edited_len"} <= set(outcomes.columns):
+        return outcomes
+    hashed = outcomes.withColumn("_lanes", R.sequence(F.col("edited_actions")))
+    return hashed.select(
+        *outcomes.columns, *R.packed(R.lanes(F.col("_lanes"))), F.size("edited_actions").alias("edited_len")
     )
 
 
 def label_edits(edits: DataFrame, outcomes: DataFrame, originals: DataFrame) -> DataFrame:
     """Labels from replay outcomes; repair edits without a label are dropped.
 
-    ``outcomes``: task_id, seed, edited_actions, valid, success, total_reward, signature.
+    ``outcomes``: task_id, seed, valid, success, total_reward, signature, and the sequence replayed: its keys as in the work-list,
+    or ``edited_actions``.
     ``originals``: trajectory key, original_success, original_len, signature of the replayed original.
     """
     first = originals.select(*TRACE, "original_success", "original_len", F.col("signature").alias("_start"))
-    # The hash makes a short sort key; the sequences themselves are still compared.
-    known = outcomes.select(
-        F.col("task_id").alias("_task"), F.col("seed").alias("_seed"), F.xxhash64("edited_actions").alias("_hash"),
-        F.col("edited_actions").alias("_sequence"), "valid", "success", "total_reward", "signature",
-    )
-    same_sequence = (
-        (F.col("task_id") == F.col("_task")) & (F.col("seed") == F.col("_seed"))
-        & (F.xxhash64("edited_actions") == F.col("_hash")) & (F.col("edited_actions") == F.col("_sequence"))
-    )
-    rows = edits.join(known, same_sequence).drop("_task", "_seed", "_hash", "_sequence").join(first, TRACE)
+    known = sequence_keys(outcomes).select(*SEQUENCE, "valid", "success", "total_reward", "signature")
+    rows = edits.join(known, SEQUENCE).join(first, TRACE)
     won, lost = F.col("original_success"), ~F.col("original_success")
     good = F.col("success")
     same = F.col("signature") == F.col("_start")

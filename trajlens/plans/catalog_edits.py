@@ -44,12 +44,11 @@ def _signature(column):
     return total % 6
 
 
-def outcomes(edits):
+def outcomes(edits, traced):
     """Replay outcome per edited sequence: a signature from its text, success for two signatures in six."""
-    distinct = edits.select("task_id", "seed", "edited_actions").distinct()
-    return distinct.withColumn("signature", _signature("edited_actions")).select(
-        "*", F.lit(True).alias("valid"), (F.col("signature") % 3 == 0).alias("success"),
-        F.size("edited_actions").cast("double").alias("total_reward"),
+    return E.work_list(edits, traced).withColumn("signature", _signature("edited_actions")).select(
+        *E.SEQUENCE, "signature", F.lit(True).alias("valid"), (F.col("signature") % 3 == 0).alias("success"),
+        F.col("edited_len").cast("double").alias("total_reward"),
     )
 
 
@@ -60,8 +59,8 @@ def originals(t):
     )
 
 
-def all_edits(t):
-    tr, su = traces(t), suffixes(t)
+def all_edits(t, tr):
+    su = suffixes(t)
     out = E.deletion_edits(tr)
     for part in (
         E.swap_edits(tr), E.replacement_edits(t.steps, tr), E.policy_suffix_edits(tr, su),
@@ -73,8 +72,14 @@ def all_edits(t):
 
 def labelled(t):
     """The work-list is written before it is replayed, as it would be for a real environment."""
-    edits = store(all_edits(t))
-    return E.label_edits(edits, outcomes(edits), originals(t))
+    traced = traces(t)
+    edits = store(all_edits(t, store(E.symbols(traced))))
+    return E.label_edits(edits, outcomes(edits, traced), originals(t))
+
+
+def written_out(build):
+    """A kind of edits with its sequences."""
+    return lambda t: E.with_sequences(build(t), traces(t)).drop("hash_a", "hash_b", "edited_len")
 
 
 # ---------------------------------------------------------------- the same in DuckDB
@@ -140,7 +145,7 @@ for _name, _build, _text in (
     ("suffix_match_edits", lambda t: E.suffix_match_edits(t.steps, traces(t), suffixes(t)), _E5),
     ("candidate_branch_edits", lambda t: E.candidate_branch_edits(t.steps, traces(t), branches(t)), _E6),
 ):
-    QUERIES[_name] = (_build, f"with {O._STEPS}, {_TR}, al as ({_text}) select {_EDIT_OUT} from al")
+    QUERIES[_name] = (written_out(_build), f"with {O._STEPS}, {_TR}, al as ({_text}) select {_EDIT_OUT} from al")
 
 QUERIES["label_edits"] = (
     lambda t: labelled(t).select("trajectory_id", "edit_type", "index", "edit_pos", "replacement", "labels", "success", "final_equivalent_to_original"),
