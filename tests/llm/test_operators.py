@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -427,3 +428,34 @@ def test_language_of_an_empty_table(spark):
     assert language_crf.predict(docs.limit(0), model, ["doc_id"]).count() == 0
     assert {tuple(row)[1:] for row in language_crf.predict(docs.limit(3), model, ["doc_id"]).collect()} == {("und", 0.0)}
     assert language_crf.accepted(docs.limit(3), model).count() == 0
+
+
+def test_splitting_follows_the_library_on_every_code_point():
+    library = Tokenizer.from_file(WORDS)
+    splitter = segment_bpe.Splitter(open(WORDS, encoding="utf-8").read())
+    odd = 0
+    for start in range(0x20, 0x30000, 1):
+        if 0xD800 <= start < 0xE000 or (start > 0x3000 and start % 5):
+            continue
+        text = f"x{chr(start)} 1{chr(start)}b"
+        want = splitter.by_library(text)
+        odd += want != segment_bpe.words_of(text)
+        assert splitter.words(text) == want, hex(start)
+    assert odd > 50
+    encoder, coder = token_records.LibraryEncoder(library.to_str()), segment_bpe.SegmentBpe(open(WORDS, "rb").read())
+    texts = ["\u0558a", "\u088f", "x\u1c89y", "\ua7cf 1", "a\U00010d56b"]
+    for text, ids in zip(texts, encoder.encode_batch(texts), strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert coder.encode(text) == want and np.frombuffer(ids, f"<u{encoder.width}").tolist() == want
+
+
+def test_long_words_are_quick_and_right():
+    library = Tokenizer.from_file(WORDS)
+    coder = segment_bpe.SegmentBpe(open(WORDS, "rb").read())
+    draw = random.Random(6)
+    for size in (511, 512, 513, 1024, 3000):
+        word = "".join(draw.choice("etaoinshrdlu") for _ in range(size))
+        assert coder.encode(word) == library.encode(word, add_special_tokens=False).ids
+    start = time.perf_counter()
+    coder.encode("".join(draw.choice("etaoinshrdlu") for _ in range(200_000)))
+    assert time.perf_counter() - start < 20

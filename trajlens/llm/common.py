@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -58,6 +59,8 @@ def remember(*caches) -> None:
             cache.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        # Where the C library can, it hands free memory back; elsewhere it stays for this worker's next task.
+        getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

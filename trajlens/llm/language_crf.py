@@ -34,7 +34,7 @@ TRIPLES = 1 << 18
 SHARDS, ROUNDS = 6, 3
 #: Texts are drawn by a hash of so many values: shares stay exact for labels of any size.
 PICKS = 1 << 48
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 150_000
 BLOCK = 32
 _WORD = re.compile(r"[^\W\d_]+")
 _START, _END = 2, 3

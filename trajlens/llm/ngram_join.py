@@ -47,7 +47,7 @@ BROADCAST_KEYS = 100_000
 #: Members of a list that are scanned as one block.
 BLOCK_MEMBERS = 256
 #: Words whose hash a worker remembers.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 150_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)
 

@@ -21,10 +21,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from trajlens.llm.common import packed, pieces, remember, ship, unpacked
 
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 120_000
+#: Words of so many bytes or more get a tree of their own.
+LONG_WORD = 512
 #: Symbols that rows of trees of one call may hold.
 TREE_SYMBOLS = 1 << 17
 _NONE = np.iinfo(np.int64).max
@@ -57,11 +60,42 @@ def words_of(text: str) -> list[str]:
     return _ANY.findall(low)
 
 
+class Splitter:
+    """Pre-tokens as the tokenizer's own normalizer and splitter give them.
+
+    The rules above agree with these on ASCII and Latin-1. Any other character is tried once next to a letter, a digit,
+    a sign, a space and itself; a text with a character on which the two differ, such as letters newer than the library's
+    tables, is split by the library.
+    """
+
+    def __init__(self, file: str):
+        library = Tokenizer.from_str(file)
+        self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
+        self.values = {letter: byte for byte, letter in enumerate(byte_symbols())}
+        self.alike: dict[str, bool] = {}
+
+    def by_library(self, text: str) -> list[str]:
+        found = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
+        return [bytes(self.values[letter] for letter in word).decode() for word, _ in found]
+
+    def _agrees(self, sign: str) -> bool:
+        if sign not in self.alike:
+            tries = [sign, f"a{sign}a", f"1{sign}1", f"!{sign}!", f" {sign} ", sign * 2, f"{sign}a", f"a{sign}"]
+            self.alike[sign] = sign.isascii() or all(words_of(text) == self.by_library(text) for text in tries)
+        return self.alike[sign]
+
+    def words(self, text: str) -> list[str]:
+        if text.isascii() or all(map(self._agrees, {sign for sign in set(text) if sign > "\xff"})):
+            return words_of(text)
+        return self.by_library(text)
+
+
 class SegmentBpe:
     """Encoder and decoder of one tokenizer file."""
 
     def __init__(self, file: bytes):
         spec = json.loads(file)
+        self.splitter = Splitter(file.decode())
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
@@ -80,6 +114,7 @@ class SegmentBpe:
         #: Per word: number of tokens, ids as text, tokens as text.
         self.always: dict[str, tuple[int, str, str]] = {token: (1, str(n), token) for token, n in self.special.items()}
         self.known, self.older = dict(self.always), {}
+        self.ranked: dict[int, int] = {}
 
     def _pair_values(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
         """Leaf values: rank times width plus place, or _NONE where the pair has no merge."""
@@ -128,13 +163,58 @@ class SegmentBpe:
             rows = rows[tree[rows, 1] != _NONE]
         return symbols
 
+    def _merge_long(self, symbols: list[int]) -> list[int]:
+        """The same for one long word, with plain numbers: arrays pay off for many words at a time only."""
+        if not self.ranked:
+            self.ranked.update(zip(self.pairs.tolist(), self.ranks.tolist()))
+        ranked, merged, none = self.ranked, self.merged, _NONE
+        count = len(symbols)
+        width = 1 << (count - 1).bit_length()
+
+        def leaf(place: int) -> int:
+            following = after[place]
+            rank = ranked.get(symbols[place] << 32 | symbols[following]) if following < count else None
+            return none if rank is None else rank * width + place
+
+        after, before = list(range(1, count + 1)), list(range(-1, count - 1))
+        tree = [none] * width + [leaf(place) for place in range(count)] + [none] * (width - count)
+        for node in range(width - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+        while tree[1] != none:
+            rank, place = divmod(tree[1], width)
+            gone = after[place]
+            symbols[place] = int(merged[rank])
+            after[place] = after[gone]
+            if after[gone] < count:
+                before[after[gone]] = place
+            tree[width + gone], tree[width + place] = none, leaf(place)
+            changed = [gone, place]
+            if before[place] >= 0:
+                tree[width + before[place]] = leaf(before[place])
+                changed.append(before[place])
+            for node in changed:
+                node += width
+                while node > 1:
+                    node >>= 1
+                    low = min(tree[2 * node], tree[2 * node + 1])
+                    if tree[node] == low:
+                        break
+                    tree[node] = low
+            symbols[gone] = -1
+        return [symbol for symbol in symbols if symbol >= 0]
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each pre-token."""
         raw = [word.encode("utf-8", "surrogatepass") for word in words]
         out: list[list[int]] = [[]] * len(words)
         lengths = np.array([len(value) for value in raw], np.int64)
         widths = 1 << np.maximum(1, np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64))
-        for width in np.unique(widths):
+        for place in np.flatnonzero(lengths >= LONG_WORD).tolist():
+            symbols = self.inner[np.frombuffer(raw[place], np.uint8)].tolist()
+            symbols[-1] = int(self.last[raw[place][-1]])
+            out[place] = self._merge_long(symbols)
+        widths[lengths >= LONG_WORD] = 0
+        for width in np.unique(widths[widths > 0]):
             members = np.flatnonzero((widths == width) & (lengths > 0))
             step = max(1, TREE_SYMBOLS // int(width))
             for start in range(0, len(members), step):
@@ -168,10 +248,10 @@ class SegmentBpe:
 
     def pre_tokens(self, text: str) -> list[str]:
         if "<|" not in text:
-            return words_of(text)
+            return self.splitter.words(text)
         out: list[str] = []
         for part in self.split.split(text):
-            out += [part] if part in self.special else words_of(part)
+            out += [part] if part in self.special else self.splitter.words(part)
         return out
 
     def encode(self, text: str | None) -> list[int]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from trajlens.llm.common import keep, pieces, shard_edges, shard_of, ship
-from trajlens.llm.segment_bpe import byte_symbols, words_of
+from trajlens.llm.segment_bpe import Splitter, byte_symbols
 from trajlens.session import shared_folder
 
 END_ID = 1
@@ -100,6 +100,7 @@ class LibraryEncoder:
 
     def __init__(self, file: str):
         self.library = Tokenizer.from_str(file)
+        self.splitter = Splitter(file)
         self.library.no_padding()
         self.library.no_truncation()
         self.special = [token.content for token in self.library.get_added_tokens_decoder().values()]
@@ -119,7 +120,7 @@ class LibraryEncoder:
         """Ids of each text as little-endian numbers."""
         # Texts that hold a special token's name are left to the library whole.
         whole = [any(name in text for name in self.special) if "<|" in text else False for text in texts]
-        parts = [[] if odd else words_of(text) for odd, text in zip(whole, texts, strict=True)]
+        parts = [[] if odd else self.splitter.words(text) for odd, text in zip(whole, texts, strict=True)]
         wanted = {word for words in parts for word in words}
         if len(self.known) + len(wanted) > REMEMBERED_WORDS:
             self.older, self.known = self.known, {}
