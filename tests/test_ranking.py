@@ -133,3 +133,31 @@ def test_multinomial_replicates_draw_exactly_n(spark):
     clusters = spark.createDataFrame([(f"c{i}", 1) for i in range(40)], "cluster string, n int")
     sums = rows(B.replicate_sums(clusters, 20, 5, "multinomial"))
     assert len(sums) == 21 and {r["n"] for r in sums} == {40}
+
+
+def test_split_draws_follow_the_multinomial_law(spark):
+    """Totals are exact; means, variances and covariances of bucket counts are those of n draws among n clusters."""
+    n, levels, iterations = 1000, 3, 3000
+    found = B.bucket_draws(spark, n, levels, iterations, 5).toPandas().pivot(index="replicate", columns="bucket", values="draws")
+    assert found.shape == (iterations, 8) and (found.sum(axis=1) == n).all()
+    share = 1 / 8
+    assert abs(found.mean() - n * share).max() < 5 * (n * share * (1 - share) / iterations) ** 0.5
+    spread = found.cov().to_numpy()
+    want = -n * share * share
+    assert all(abs(spread[a][a] / (n * share * (1 - share)) - 1) < 0.15 for a in range(8))
+    others = [spread[a][b] for a in range(8) for b in range(a)]
+    assert abs(sum(others) / len(others) / want - 1) < 0.1
+    # Unequal children: 3 clusters under the left child, 4 under the right one.
+    small = B.bucket_draws(spark, 7, 1, 4000, 1).where("bucket = 0").toPandas()["draws"]
+    assert abs(small.mean() - 3) < 0.1 and abs(small.var() - 7 * 3 / 7 * 4 / 7) < 0.15
+
+
+def test_replicates_are_the_same_law_whatever_the_buckets(spark):
+    clusters = spark.createDataFrame([(f"c{i:03d}", 1, float(i)) for i in range(300)], "cluster string, n int, value double")
+    for capacity in (7, 300):
+        sums = B.multinomial_sums(clusters, 800, 2, capacity).toPandas()
+        assert len(sums) == 800 and (sums["n"] == 300).all()
+        mean, variance = 299 / 2, (300**2 - 1) / 12
+        assert abs(sums["value"].mean() / 300 - mean) < 5 * (variance / 300 / 800) ** 0.5
+        assert abs(sums["value"].var() / (300 * variance) - 1) < 0.2
+    assert B.replicate_sums(clusters.limit(0), 3, 0, "multinomial").where("replicate >= 0").count() == 0

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlens.functions.ranks import ratio_or_null, safe_div
@@ -27,60 +27,132 @@ DECOMPOSITION_METRICS = (
 # Cumulative Poisson(1) probabilities; twelve terms exceed the 32-bit resolution of the draw.
 POISSON_STEPS = tuple(math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(k + 1)) for k in range(12))
 
+#: Clusters that are drawn from in one place.
+BUCKET_CLUSTERS = 128
+
 
 def cluster_id() -> Column:
     return F.concat(F.col("task_id"), F.lit(":seed"), F.col("seed").cast("string"))
 
 
-def replicate_weights(clusters: DataFrame, iterations: int, seed: int, method: str) -> DataFrame:
-    """Rows (replicate, weight, statistics); replicate -1 is the unweighted table.
+def poisson_weights(clusters: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """Rows (replicate, weight, statistics): an independent Poisson(1) count per cluster, from a hash of its id.
 
-    ``multinomial`` draws exactly n clusters with replacement per replicate: slot i of replicate b takes the
-    cluster numbered hash(seed, b, i) mod n, and the draws meet their clusters in one equi-join on that
-    evenly spread number. ``poisson`` gives every cluster an independent Poisson(1) count from a hash of its
-    id: no join and no shuffle beyond the final sums, for very many clusters.
+    Counts come from a uniform number of 32 bits and stop at twelve.
     """
-    original = clusters.withColumn("replicate", F.lit(-1)).withColumn("weight", F.lit(1))
-    all_replicates = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))
     # A cluster row is small but stands for ``iterations`` draws: spread rows evenly before multiplying them.
     tasks = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if method == "poisson":
-        limits = F.array(*[F.lit(limit) for limit in POISSON_STEPS])
-
-        def draw(replicate: Column) -> Column:
-            text = F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), F.col("cluster"))
-            uniform = hash_draw(text, F.lit(2**32)) / F.lit(float(2**32))
-            # The one-item array makes the hash a bound value, computed once per draw.
-            count = F.transform(F.array(uniform), lambda u: F.size(F.filter(limits, lambda limit: limit <= u)))
-            return F.struct(replicate.alias("replicate"), F.get(count, 0).alias("weight"))
-
-        draws = F.transform(F.sequence(F.lit(0), F.lit(iterations - 1)), draw)
-        drawn = clusters.repartition(tasks, "cluster").select("*", F.inline(F.filter(draws, lambda d: d["weight"] > 0)))
-        return original.unionByName(drawn)
-    if method != "multinomial":
-        raise ValueError(f"unknown bootstrap method: {method}")
-    numbered = store(global_index(clusters, hash_text(F.col("cluster")), F.col("cluster")))
-    slots = numbered.select("_index", "_total").repartition(tasks, "_index").select(
-        "_index", "_total", all_replicates.alias("replicate")
-    )
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("_index").cast("string"))
-    draws = (
-        slots.select("replicate", hash_draw(text, F.col("_total")).alias("_index"))
-        .groupBy("_index", "replicate")
-        .agg(F.count(F.lit(1)).cast("int").alias("weight"))
+    limits = F.array(*[F.lit(limit) for limit in POISSON_STEPS])
+
+    def draw(replicate: Column) -> Column:
+        text = F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), F.col("cluster"))
+        uniform = hash_draw(text, F.lit(2**32)) / F.lit(float(2**32))
+        # The one-item array makes the hash a bound value, computed once per draw.
+        count = F.transform(F.array(uniform), lambda u: F.size(F.filter(limits, lambda limit: limit <= u)))
+        return F.struct(replicate.alias("replicate"), F.get(count, 0).alias("weight"))
+
+    draws = F.transform(F.sequence(F.lit(0), F.lit(iterations - 1)), draw)
+    return clusters.repartition(tasks, "cluster").select("*", F.inline(F.filter(draws, lambda d: d["weight"] > 0)))
+
+
+def _binomial(text: Column, trials: Column, part: Column, whole: Column) -> Column:
+    """How many of ``trials`` fall into the first ``part`` of ``whole`` equally likely places.
+
+    Each trial is a uniform number whose binary digits are drawn only until it differs from part / whole: about
+    two bits a trial, sixty from one hash. Trials still open after 62 digits (one in 2^62) count as outside.
+    """
+    def ones(count: Column, digit: Column) -> Column:
+        def word(total: Column, at: Column) -> Column:
+            bits = F.conv(F.substring(F.md5(F.concat_ws(":", text, digit, at)), 1, 15), 16, 10).cast("bigint")
+            left = count - at * 60
+            used = F.when(left >= 60, bits).otherwise(bits.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), left.cast("int")) - 1))
+            return total + F.bit_count(used)
+
+        words = F.sequence(F.lit(0).cast("bigint"), F.floor((count - 1) / 60).cast("bigint"))
+        return F.aggregate(words, F.lit(0), word).cast("bigint")
+
+    def step(held: Column, digit: Column) -> Column:
+        twice = held["rest"] * 2
+        inside = twice >= whole
+        rest = F.when(inside, twice - whole).otherwise(twice)
+        decided = F.transform(
+            F.array(ones(held["open"], digit)),
+            lambda k: F.struct(
+                F.when(rest == 0, F.lit(0).cast("bigint")).when(inside, k).otherwise(held["open"] - k).alias("open"),
+                (held["won"] + F.when(inside, held["open"] - k).otherwise(0)).alias("won"), rest.alias("rest"),
+            ),
+        )
+        return F.when(held["open"] == 0, held).otherwise(F.get(decided, 0))
+
+    start = F.struct(trials.cast("bigint").alias("open"), F.lit(0).cast("bigint").alias("won"), part.cast("bigint").alias("rest"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(61)), start, step, lambda held: held["won"])
+
+
+def bucket_draws(spark: SparkSession, clusters: int, levels: int, iterations: int, seed: int) -> DataFrame:
+    """``replicate, bucket, draws``: how many of a replicate's draws fall into each of 2^levels ranges of clusters.
+
+    The draws are split down a binary tree: at a node the left child gets a binomial share by its number of clusters. A
+    node's share depends on seed, replicate and node only, so this needs no data but the number of clusters.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(0, iterations, 1, tasks).select(
+        F.col("id").cast("int").alias("replicate"), F.lit(0).cast("bigint").alias("bucket"), F.lit(clusters).cast("bigint").alias("draws")
     )
-    drawn = draws.join(numbered.drop("_total"), "_index").drop("_index")
-    return numbered.drop("_index", "_total").withColumn("replicate", F.lit(-1)).withColumn(
-        "weight", F.lit(1)
-    ).unionByName(drawn)
+    for level in range(levels):
+        def edge(at: Column, depth: int) -> Column:
+            return F.shiftright(at * clusters, depth)
+
+        here = F.col("bucket")
+        low, middle, high = edge(here, level), edge(here * 2 + 1, level + 1), edge(here + 1, level)
+        text = F.concat_ws(":", F.lit(f"{seed}:split"), "replicate", F.lit(level), here)
+        split = rows.withColumn("_left", _binomial(text, F.col("draws"), middle - low, high - low))
+        rows = split.select("replicate", F.inline(F.array(
+            F.struct((here * 2).alias("bucket"), F.col("_left").alias("draws")),
+            F.struct((here * 2 + 1).alias("bucket"), (F.col("draws") - F.col("_left")).alias("draws")),
+        )))
+    return rows
+
+
+def multinomial_sums(clusters: DataFrame, iterations: int, seed: int, capacity: int = BUCKET_CLUSTERS) -> DataFrame:
+    """Sums per replicate over exactly n draws with replacement among n clusters.
+
+    Clusters are numbered and kept in buckets of at most ``capacity``; how many draws a bucket gets comes from
+    :func:`bucket_draws`, and the draws are made where the bucket's clusters are. What is shuffled is one small row per bucket and
+    replicate, and one row of sums per task and replicate; single draws are not.
+    """
+    statistics = [name for name in clusters.columns if name != "cluster"]
+    numbered = store(global_index(clusters, hash_text(F.col("cluster")), F.col("cluster")))
+    count = numbered.count()
+    levels = max(0, math.ceil(math.log2(max(count, 1) / capacity)))
+    # At most ``capacity`` small rows in an array.
+    buckets = numbered.select(
+        F.expr(f"((_index + 1) * {1 << levels} - 1) div {max(count, 1)}").alias("bucket"),
+        F.struct("_index", *statistics).alias("item"),
+    ).groupBy("bucket").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    drawn = bucket_draws(clusters.sparkSession, count, levels, iterations, seed).where("draws > 0").join(buckets, "bucket")
+    text = F.concat_ws(":", F.lit(str(seed)), "replicate", "bucket", "draw")
+    one = drawn.select("replicate", "bucket", "items", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("draws") - 1)).alias("draw"))
+    one = one.select("replicate", F.get("items", hash_draw(text, F.size("items")).cast("int")).alias("item"))
+    return one.groupBy("replicate").agg(*[F.sum(f"item.{name}").alias(name) for name in statistics])
 
 
 def replicate_sums(clusters: DataFrame, iterations: int, seed: int, method: str) -> DataFrame:
-    weighted = replicate_weights(clusters, iterations, seed, method)
+    """Sums of all statistics per replicate; replicate -1 is the table as it is.
+
+    ``multinomial`` draws exactly n clusters with replacement per replicate; ``poisson`` gives each cluster an independent
+    Poisson(1) count.
+    """
     statistics = [name for name in clusters.columns if name != "cluster"]
-    return weighted.groupBy("replicate").agg(
-        *[F.sum(F.col("weight") * F.col(name)).alias(name) for name in statistics]
-    )
+    if method == "multinomial":
+        drawn = multinomial_sums(clusters, iterations, seed)
+    elif method == "poisson":
+        drawn = poisson_weights(clusters, iterations, seed).groupBy("replicate").agg(
+            *[F.sum(F.col("weight") * F.col(name)).alias(name) for name in statistics]
+        )
+    else:
+        raise ValueError(f"unknown bootstrap method: {method}")
+    original = clusters.agg(*[F.sum(name).alias(name) for name in statistics])
+    return original.select(F.lit(-1).alias("replicate"), *statistics).unionByName(drawn)
 
 
 def intervals(sums: DataFrame, metrics: dict[str, Column], null_as_zero: bool) -> DataFrame:

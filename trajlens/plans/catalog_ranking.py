@@ -12,7 +12,7 @@ from trajlens.plans.catalog_ledger import _BRANCH, multiplicity
 from trajlens.plans.shape import cols
 
 QUERIES: dict = {}
-REPLICATES = 200
+REPLICATES = 1000
 
 # ---------------------------------------------------------------- ranking records and summaries
 
@@ -297,10 +297,26 @@ QUERIES["split_summary"] = (
 
 # ---------------------------------------------------------------- bootstrap
 
-_DRAW = """nb as (select *, row_number() over (order by md5(cluster), cluster) - 1 as idx, count(*) over () as total from cl),
- dr as (select b, ('0x' || substr(md5(concat('0:', b, ':', idx)), 1, 15))::bigint % total as idx from nb, range({n}) r(b)),
+# Draws are split down a tree of ranges of clusters (bt: one digit of one node at a time), then made inside a range.
+_DRAW = """nb as (select *, row_number() over (order by md5(cluster), cluster) - 1 as idx from cl),
+ sz as (select count(*) as total, greatest(0, ceil(log2(greatest(count(*), 1) / {size}.0)))::int as levels from cl),
+ bt as (select levels, total, unnest([struct_pack(b := r.b, level := 0, node := 0::bigint, draws := total, digit := 0, o := total, won := 0::bigint,
+     rest := (total // 2)::bigint, whole := total::bigint)], recursive := true) from sz, range({n}) r(b)
+   union all select levels, total, unnest(case when o > 0 then [struct_pack(b := b, level := level, node := node, draws := draws, digit := digit + 1,
+         o := case when r2 = 0 then 0 when bit then k else o - k end, won := won + case when bit then o - k else 0 end, rest := r2, whole := whole)]
+       else [struct_pack(b := b, level := level + 1, node := c, draws := case when c % 2 = 0 then won else draws - won end, digit := 0,
+         o := case when c % 2 = 0 then won else draws - won end, won := 0::bigint,
+         rest := (((c * 2 + 1) * total) >> (level + 2)) - ((c * total) >> (level + 1)),
+         whole := (((c + 1) * total) >> (level + 1)) - ((c * total) >> (level + 1))) for c in [node * 2, node * 2 + 1]] end, recursive := true)
+     from (select *, rest * 2 >= whole as bit, case when rest * 2 >= whole then rest * 2 - whole else rest * 2 end as r2,
+         coalesce(list_sum([bit_count(('0x' || substr(md5(concat('0:split:', b, ':', level, ':', node, ':', digit, ':', w)), 1, 15))::bigint
+           & case when o - w * 60 >= 60 then -1 else (1::bigint << (o - w * 60)::int) - 1 end) for w in range((o + 59) // 60)]), 0)::bigint as k
+       from bt where level < levels)),
+ dr as (select b, lo + ('0x' || substr(md5(concat('0:', b, ':', node, ':', j)), 1, 15))::bigint % (hi - lo) as idx
+   from (select b, node, draws, (node * total) >> levels as lo, ((node + 1) * total) >> levels as hi from bt where level = levels), range(draws) r(j)),
  wt as (select -1 as b, 1 as w, nb.* from nb union all
    select dr.b, 1 as w, nb.* from dr join nb on nb.idx = dr.idx)"""
+_DRAW = _DRAW.replace("{size}", str(B.BUCKET_CLUSTERS))
 _POISSON = "wt as (select -1 as b, 1 as w, cl.* from cl union all select * from (select b, " + " + ".join(
     f"(case when ('0x' || substr(md5(concat('0:', b, ':', cluster)), 1, 15))::bigint % 4294967296 / 4294967296.0 >= {limit!r} then 1 else 0 end)"
     for limit in B.POISSON_STEPS

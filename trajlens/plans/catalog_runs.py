@@ -11,7 +11,7 @@ from trajlens.operators.bootstrap import DECOMPOSITION_METRICS
 from trajlens.plans.shape import cols
 
 QUERIES: dict = {}
-REPLICATES = 200
+REPLICATES = 1000
 EPISODE = ["trajectory_id", "task_id", "seed", "rollout", "success"]
 
 
@@ -140,7 +140,7 @@ _P = """, rh as (select count(*) filter (where bs = 0 and ts = 1) as r, count(*)
 
 
 def _pair_sql(key):
-    return f"with {O._STEPS}, {_LOG}, {_EP}, {_PAIR.format(key=key)}, {_DELTA} {_P} select " + cols(
+    return f"with recursive {O._STEPS}, {_LOG}, {_EP}, {_PAIR.format(key=key)}, {_DELTA} {_P} select " + cols(
         ints="episodes := count(*); rescued_failures := any_value(pv.r); harmed_successes := any_value(pv.h)",
         dbls="baseline_success_rate := avg(bs); treatment_success_rate := avg(ts); success_delta := avg(ts) - avg(bs);"
         "success_delta_ci_low := any_value(di.lo); success_delta_ci_high := any_value(di.hi); paired_sign_p_value := any_value(pv.p);"
@@ -158,7 +158,7 @@ QUERIES["paired_rows"] = (
 QUERIES["paired_comparison"] = (lambda t: R.paired_comparison(_pairs(t), REPLICATES), _pair_sql(_USER))
 QUERIES["bootstrap_delta"] = (
     lambda t: R.bootstrap_delta(_pairs(t), REPLICATES),
-    f"with {O._STEPS}, {_LOG}, {_EP}, {_PAIR.format(key=_USER)}, {_DELTA} select " + cols(
+    f"with recursive {O._STEPS}, {_LOG}, {_EP}, {_PAIR.format(key=_USER)}, {_DELTA} select " + cols(
         dbls="success_delta := point; ci_low := lo; ci_high := hi") + " from di",
 )
 QUERIES["gold_diagnostics"] = (

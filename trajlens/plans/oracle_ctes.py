@@ -112,7 +112,7 @@ def with_edits(body: str, *more: str) -> str:
 
 def with_ledger(body: str, source: str = "both", limit: int | None = None, *more: str) -> str:
     parts = [_STEPS, _HISTORY, _EDITS, _REPAIRS, _ledger("led", source, limit), *more]
-    return "with " + ",".join(parts) + " " + body
+    return "with recursive " + ",".join(parts) + " " + body
 
 
 def with_transitions(body: str, *more: str) -> str:
