@@ -1,9 +1,11 @@
+import gzip
 import json
 
 import pytest
 from conftest import one, rows
 
 from trajlens.functions.tasks import task_attributes
+from trajlens.sources import located
 from trajlens.sources import logs as S
 
 EPISODE = {"task_id": "games/g_seed3.z8", "seed": 2, "success": True, "steps": [
@@ -95,3 +97,71 @@ def test_written_splits_are_partitioned(spark, tmp_path):
     frame = spark.createDataFrame([(1, "train"), (2, "test")], "id int, split string")
     S.write_table(frame, str(tmp_path / "out"), "parquet")
     assert {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {"split=train", "split=test"}
+
+
+def numbered(count):
+    return [json.dumps({**EPISODE, "seed": n, "note": "é" * (n % 5)}, ensure_ascii=False) for n in range(count)]
+
+
+def test_located_lines_of_any_split_size(spark, tmp_path):
+    lines = [*numbered(20), "", "x" * 70, "last without end é"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("\n".join(lines), encoding="utf-8")
+    (tmp_path / "in" / "b.jsonl.gz").write_bytes(gzip.compress("\r\n".join(lines).encode() + b"\n"))
+    (tmp_path / "in" / "_hidden").write_text("no")
+    want = {}
+    for name, end in (("a.jsonl", 1), ("b.jsonl.gz", 2)):
+        place = 0
+        for line in lines:
+            want[name, place] = line
+            place += len(line.encode()) + end
+    located.register(spark)
+    for size in (1, 37, 300, 1 << 20):
+        found = rows(spark.read.format("located_lines").option("path", str(tmp_path / "in")).option("split_bytes", size).load())
+        assert len(found) == len(want)
+        assert {(r["file"].rsplit("/", 1)[1], r["place"]): r["value"] for r in found} == want
+    assert len(located.splits({"a": 100, "c.gz": 7}, 30)) == 5
+
+
+def test_unreadable_records_raise_or_are_listed(spark, tmp_path):
+    good = json.dumps(EPISODE)
+    broken = ['{"task_id": "g", "steps": [', '{"other": 1}', '[1, 2]', json.dumps([EPISODE, {"x": 1}])]
+    (tmp_path / "log.jsonl").write_text("\n".join([good, *broken, json.dumps({"episodes": []}), "[]"]))
+    path = str(tmp_path / "log.jsonl")
+    with pytest.raises(Exception, match="log.jsonl at byte .*no episodes found"):
+        S.read_trajectories(spark, path).select("trajectory_id").collect()
+    # A count must not pass over them either.
+    with pytest.raises(Exception, match="no episodes found"):
+        S.read_trajectories(spark, path).count()
+    listed = rows(S.read_trajectories(spark, path, bad="keep"))
+    assert {r["value"] for r in listed} == set(broken)
+    assert f"{path} at byte {len(good) + 1}" in {r["source"] for r in listed}
+    assert S.read_trajectories(spark, path, bad="drop").count() == 1
+    (tmp_path / "p.jsonl").write_text("\n".join(['{"task_id": "a", "seed": 1}', '{"task_id": "b"', "no json", '{"seed": 3}', '{"task_id": "c", "seed": "x"}']))
+    path = str(tmp_path / "p.jsonl")
+    for read in (S.read_preferences, S.read_predictions):
+        assert sorted(r["problem"] for r in rows(read(spark, path, bad="keep"))) == ["no task_id", "not a record", "not a record", "not a record"]
+        assert [r["task_id"] for r in rows(read(spark, path, bad="drop"))] == ["a"]
+        with pytest.raises(Exception, match="p.jsonl at byte"):
+            read(spark, path).collect()
+    with pytest.raises(FileNotFoundError):
+        located._sizes({"path": str(tmp_path / "nothing")})
+
+
+def test_located_lines_stream_takes_each_line_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    file = tmp_path / "in" / "grow.jsonl"
+    located.register(spark)
+    stream = spark.readStream.format("located_lines").option("path", str(tmp_path / "in")).option("split_bytes", 16).load()
+
+    def take():
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "state")).trigger(once=True).start()
+        query.awaitTermination()
+        return sorted(r["value"] for r in rows(spark.read.parquet(str(tmp_path / "out"))))
+
+    file.write_text("one\ntwo\nunfin")
+    assert take() == ["one", "two"]
+    with file.open("a") as out:
+        out.write("ished\nthree\n")
+    assert take() == ["one", "three", "two", "unfinished"]

@@ -287,6 +287,23 @@ for _by, _key in (
         O.with_ledger("select " + cols(raw="task_id; split_group := g; split", ints="seed; step_index") + " from sp",
                       "both", None, O.PREFS, _SPLIT.format(key=_key)),
     )
+
+
+def seed_splits(t):
+    return _splits(t, "seed")
+
+
+SPLIT_ORACLE = O.with_ledger("select " + cols(raw="task_id; split", ints="seed; step_index") + " from sp", "both", None, O.PREFS,
+                             _SPLIT.format(key="coalesce(nullif(game_seed, 0), seed)"))
+
+
+def checked_splits(t):
+    splits = seed_splits(t)
+    D.assert_no_leakage(splits)
+    return splits.select("task_id", "seed", "step_index", "split")
+
+
+QUERIES["assert_no_leakage"] = (checked_splits, SPLIT_ORACLE)
 QUERIES["split_summary"] = (
     lambda t: D.split_summary(_splits(t, "seed")),
     O.with_ledger(

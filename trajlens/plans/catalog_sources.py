@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from trajlens.functions.tasks import task_attributes
 from trajlens.plans import oracle_ctes as O
+from trajlens.plans.catalog_ranking import SPLIT_ORACLE, seed_splits
 from trajlens.plans.shape import cols
+from trajlens.session import new_table_path
 from trajlens.sources import logs as S
 
 QUERIES: dict = {}
@@ -25,8 +27,17 @@ def trajectory_lines(t):
         " when 3 then concat('[', doc, ']') else concat('{\"runs\":{\"episodes\":[', doc, ']},\"note\":\"x\"}') end").alias("value"))
 
 
+def written(t, lines):
+    """Log text written as a folder of plain and of compressed line files; its path."""
+    path = new_table_path(t.spark)
+    even = F.pmod(F.xxhash64("value"), F.lit(2)) == 0
+    lines.filter(even).select("value").write.text(f"{path}/plain")
+    lines.filter(~even).select("value").write.option("compression", "gzip").text(f"{path}/packed")
+    return path
+
+
 QUERIES["read_trajectories"] = (
-    lambda t: S.parse_trajectories(trajectory_lines(t)).select(
+    lambda t: S.read_trajectories(t.spark, written(t, trajectory_lines(t))).select(
         "trajectory_id", "task_id", "seed", "game_seed", "success", F.size("steps").alias("num_steps"),
         F.transform("steps", lambda s: s["action"]).alias("actions")),
     O.with_steps("select " + cols(raw="trajectory_id; task_id; success", ints="seed; game_seed; num_steps := count(*)", arrs="actions := list(action order by step_index)")
@@ -47,7 +58,7 @@ def report_lines(t):
 
 
 QUERIES["read_reports"] = (
-    lambda t: S.report_edits(S.parse_reports(report_lines(t))).groupBy("task_id", "seed", "edit_type", "original_success").agg(
+    lambda t: S.report_edits(S.read_reports(t.spark, written(t, report_lines(t)))).groupBy("task_id", "seed", "edit_type", "original_success").agg(
         F.count(F.lit(1)).alias("edits"), F.sum(F.size("repair_suffix")).alias("suffix_actions"), F.count_if("success").alias("good"),
         F.min("index").alias("first_index")),
     O.with_edits("select " + cols(raw="task_id; edit_type; original_success", ints="seed; edits := count(*); good := count(*) filter (where edit_success);"
@@ -55,25 +66,61 @@ QUERIES["read_reports"] = (
                  + " from edits group by task_id, seed, edit_type, original_success"),
 )
 QUERIES["read_predictions"] = (
-    lambda t: S.parse_predictions(t.predictions.select("ord", F.to_json(F.struct(
+    lambda t: S.read_predictions(t.spark, written(t, t.predictions.select("ord", F.to_json(F.struct(
         "task_id", "seed", "step_index", F.when(F.col("ord") % 3 == 0, F.col("scores")).alias("scores"),
         F.when(F.col("ord") % 3 == 1, F.col("scores")).alias("candidate_scores"),
         F.when(F.col("ord") % 3 == 2, F.transform(F.map_entries("scores"), lambda e: F.struct(e["key"].alias("action"), e["value"].alias("score")))).alias("scores"),
         F.when(F.col("ord") % 2 == 0, F.col("abstain")).alias("abstain"), F.when(F.col("ord") % 2 == 1, F.col("abstain")).alias("abstained"),
-    ), {"ignoreNullFields": "true"}).alias("value"))).select(
+    ), {"ignoreNullFields": "true"}).alias("value")))).select(
         "task_id", "seed", "step_index", "abstain", F.size("scores").alias("n_scores"),
         F.aggregate(F.map_values("scores"), F.lit(0.0), lambda a, v: a + v).alias("total")),
 
     O.with_history("select " + cols(raw="task_id; abstain", ints="seed; step_index; n_scores := 5", dbls="total := list_sum(scores)") + " from preds", O.PREDS),
 )
 QUERIES["read_preferences"] = (
-    lambda t: S.parse_preferences(t.preferences(history=True).select(F.col("event_id").alias("ord"), F.to_json(F.struct(
-        "task_id", "seed", "history", "candidates", "preferred_action", "rejected_action", "certificate_level")).alias("value"))).select(
+    lambda t: S.read_preferences(t.spark, written(t, t.preferences(history=True).select(F.col("event_id").alias("ord"), F.to_json(F.struct(
+        "task_id", "seed", "history", "candidates", "preferred_action", "rejected_action", "certificate_level")).alias("value")))).select(
         "task_id", "seed", "step_index", "preferred_action", "rejected_action", "certificate_level", "candidates"),
     O.with_ledger("select " + cols(raw="task_id; preferred_action := preferred; rejected_action := action; certificate_level := level",
                                    ints="seed; step_index := len(history)", arrs="candidates") + " from prefs", "both", None, O.PREFS),
 )
 
+# Every seventh line is cut short, every eleventh has another shape: both are listed, and both stop a plain read.
+def broken_lines(t):
+    return trajectory_lines(t).withColumn("value", F.expr(
+        "case when ord % 7 = 0 then concat('cut ', ord, '{') when ord % 11 = 0 then concat('{\"other\": ', ord, '}') else value end"))
+
+
+_TRAJ = "tj as (select trajectory_id, min(event_id) as ord, count(*) as n from steps group by all)"
+QUERIES["unreadable_records"] = (
+    lambda t: S.read_trajectories(t.spark, written(t, broken_lines(t)), bad="keep").select("problem", "value"),
+    O.with_history("select 'no episodes found' as problem, case when ord % 7 = 0 then concat('cut ', ord, '{') else concat('{\"other\": ', ord, '}') end as value"
+                   " from tj where ord % 7 = 0 or ord % 11 = 0", _TRAJ),
+)
+QUERIES["readable_records"] = (
+    lambda t: S.read_trajectories(t.spark, written(t, broken_lines(t)), bad="drop").select("trajectory_id", F.size("steps").alias("num_steps")),
+    O.with_history("select " + cols(raw="trajectory_id", ints="num_steps := n") + " from tj where ord % 7 <> 0 and ord % 11 <> 0", _TRAJ),
+)
+
+
+def written_splits(t):
+    """Preferences written by split and read back, the split from the folder names."""
+    path = new_table_path(t.spark)
+    S.write_table(seed_splits(t).select("task_id", "seed", "step_index", "split"), path, "json")
+    return t.spark.read.schema("task_id string, seed bigint, step_index bigint, split string").json(path)
+
+
+QUERIES["write_table"] = (written_splits, SPLIT_ORACLE)
+
+
+def verifier_requests(t):
+    """What the verifier would be asked at each step; its history is what has been done so far."""
+    return t.steps.select(
+        "task_id", F.lit("verifier").alias("model"), F.expr("concat('state ', pre_state)").alias("observation"),
+        F.expr("array(candidates[0], candidates[1])").alias("candidates"), F.expr("candidates[0]").alias("raw_action"),
+        F.expr("candidates[1]").alias("proposed_action"),
+    )
+
 
 def shards(t):
     """Two overlapping shards: the second repeats every third trajectory, changed, and some records failed."""
@@ -163,3 +210,9 @@ QUERIES["dedupe_requests"] = (
     O.with_steps("select " + cols(raw="task_id; model := 'm'", ints="step_index; requests := count(*)", arrs="admissible_actions := candidates")
                  + " from steps group by task_id, step_index, candidates"),
 )
+QUERIES["dedupe_verifier_requests"] = (
+    lambda t: S.dedupe_requests(verifier_requests(t), "verifier").drop("request_key"),
+    O.with_steps("select " + cols(raw="task_id; model := 'verifier'; observation := concat('state ', pre_state); raw_action := candidates[1];"
+                                  "proposed_action := candidates[2]", ints="requests := count(*)", arrs="candidates := [candidates[1], candidates[2]]")
+                 + " from steps group by task_id, pre_state, candidates[1], candidates[2]"),
+)

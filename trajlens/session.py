@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +68,17 @@ def input_state(spark: SparkSession, path: str) -> tuple[int, int]:
 def still_stored(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers on any machine; once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_package_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = f"{tempfile.mkdtemp()}/{root.name}_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(archive)
+    context._package_shipped = True

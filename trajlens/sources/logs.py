@@ -10,45 +10,84 @@ from pyspark.sql import functions as F
 from trajlens import schemas as S
 from trajlens.functions.spread import ordered_index
 from trajlens.functions.tasks import path_stem, seed_in_name
+from trajlens.session import ship_package
+from trajlens.sources import located
 
 
-def read_lines(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """Log text with ``ord``: one row per line, or one per file with ``multi_line``.
+def read_lines(spark: SparkSession, path: str, multi_line: bool | None = None, split_bytes: int = 64 << 20) -> DataFrame:
+    """Log text with ``ord`` and ``source``: one row per line, or one per file with ``multi_line``.
 
     Folders and compressed files are read line by line. Unless told otherwise, only paths that name ``.json`` files
     are taken for one document per file.
-    ``ord`` orders rows by file, split and place inside the split, so first and last records are well defined.
+    ``ord`` orders rows by file and byte, so first and last records are well defined; ``source`` names them to a reader.
     """
     whole = path.endswith(".json") if multi_line is None else multi_line
-    rows = spark.read.text(path, wholetext=whole)
-    place = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    return rows.select("value", place.alias("ord")).filter(F.trim("value") != "")
+    if whole:
+        rows = spark.read.text(path, wholetext=True).select(
+            "value", F.struct(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("bigint").alias("place")).alias("ord")
+        )
+    else:
+        ship_package(spark)
+        located.register(spark)
+        lines = spark.read.format("located_lines").option("path", path).option("split_bytes", split_bytes).load()
+        rows = lines.select("value", F.struct("file", "place").alias("ord"))
+    return rows.filter(F.trim("value") != "").withColumn("source", F.concat_ws(" at byte ", "ord.file", "ord.place"))
+
+
+def _source(lines: DataFrame) -> Column:
+    return F.col("source") if "source" in lines.columns else F.concat(F.lit("record "), F.to_json(F.struct("ord")))
 
 
-def _records(lines: DataFrame, plural: str, singular: str, fields: str, marker: str, run_key: str | None) -> DataFrame:
-    """Records from a list, ``{plural: [...]}``, ``{singular: {...}}``, a bare record or one nested container."""
+def _checked(rows: DataFrame, bad: str) -> DataFrame:
+    """Rows with ``_problem`` (null if readable), ``_source`` and ``_text`` treated as asked.
+
+    ``raise`` fails the query that reads them, naming the first such record met; ``keep`` returns only them, as source,
+    problem and value; ``drop`` leaves them out.
+    """
+    if bad == "keep":
+        return rows.where("_problem is not null").select(
+            F.col("_source").alias("source"), F.col("_problem").alias("problem"), F.col("_text").alias("value")
+        )
+    if bad == "drop":
+        return rows.where("_problem is null").drop("_problem", "_source", "_text")
+    if bad != "raise":
+        raise ValueError(f"unknown treatment of unreadable records: {bad}")
+    message = F.concat("_source", F.lit(": "), "_problem", F.lit(": "), F.substring("_text", 1, 200))
+    # The test is part of the key that every reader keeps, so no plan can prune it away.
+    ok = F.when(F.col("_problem").isNull(), F.col("ord")).otherwise(F.raise_error(message).cast(rows.schema["ord"].dataType))
+    return rows.withColumn("ord", ok).where("ord is not null").drop("_problem", "_source", "_text")
+
+
+def _records(
+    lines: DataFrame, plural: str, singular: str, fields: str, marker: str, run_key: str | None, bad: str
+) -> DataFrame:
+    """Records from a list, ``{plural: [...]}``, ``{singular: {...}}``, a bare record or one nested container.
+
+    Text of another shape is unreadable, also where only one item of a list is, and also where the run asked for is missing.
+    """
     record = f"struct<{fields}>"
     text = F.col("value")
     if run_key is not None:
         text = F.try_element_at(F.from_json(text, "map<string,string>"), F.lit(run_key))
-    lines = lines.withColumn("value", text)
+    lines = lines.withColumn("_source", _source(lines)).withColumn("_text", F.col("value")).withColumn("value", text)
     shape = f"array<struct<{plural}:array<{record}>,{singular}:{record},{fields}>>"
     parsed = lines.withColumn("docs", F.from_json("value", shape))
 
+    def bare(doc: Column) -> Column:
+        return doc["task_id"].isNotNull() & doc[marker].isNotNull()
+
     def records_of(doc: Column) -> Column:
-        bare = F.struct(*[doc[name].alias(name) for name in _names(fields)])
         return (
             F.when(doc[plural].isNotNull(), doc[plural])
             .when(doc[singular].isNotNull(), F.array(doc[singular]))
-            .when(doc["task_id"].isNotNull() & doc[marker].isNotNull(), F.array(bare))
+            .when(bare(doc), F.array(F.struct(*[doc[name].alias(name) for name in _names(fields)])))
             .otherwise(F.array().cast(f"array<{record}>"))
         )
 
-    found = F.flatten(F.transform("docs", records_of))
+    known = F.coalesce(
+        F.forall("docs", lambda doc: F.coalesce(doc[plural].isNotNull() | doc[singular].isNotNull() | bare(doc), F.lit(False))), F.lit(False)
+    )
+    found = F.coalesce(F.flatten(F.transform("docs", records_of)), F.array().cast(f"array<{record}>"))
     containers = F.filter(
         F.transform(
             F.map_values(F.from_json("value", "map<string,string>")),
@@ -56,12 +95,15 @@ def _records(lines: DataFrame, plural: str, singular: str, fields: str, marker:
         ),
         lambda inner: inner.isNotNull(),
     )
-    nested = F.when(F.size(containers) == 1, F.get(containers, 0))
     # The container shape is only parsed for documents in which nothing else was found.
-    rows = F.when(F.size(found) > 0, found).otherwise(F.coalesce(nested, found))
-    return parsed.select("ord", F.posexplode(rows).alias("pos", "record")).select(
-        F.struct("ord", "pos").alias("ord"), "record.*"
+    nested = F.when(~known & (F.size(containers) == 1), F.get(containers, 0))
+    rows = parsed.withColumn("_nested", nested).withColumn("_records", F.when(known, found).otherwise(F.col("_nested"))).select(
+        "ord", "_source", "_text", F.when(F.col("_records").isNull(), F.lit(f"no {plural} found")).alias("_problem"),
+        # An empty list has no rows, an unreadable record has one without a record.
+        F.posexplode(F.coalesce("_records", F.array(F.lit(None).cast(record)))).alias("pos", "record"),
     )
+    checked = _checked(rows, bad)
+    return checked if bad == "keep" else checked.select(F.struct("ord", "pos").alias("ord"), "record.*")
 
 
 def _names(fields: str) -> list[str]:
@@ -74,9 +116,11 @@ def _names(fields: str) -> list[str]:
     return names
 
 
-def parse_trajectories(lines: DataFrame, run_key: str | None = None) -> DataFrame:
-    """Trajectories from log text (columns ``value`` and ``ord``)."""
-    rows = _records(lines, "episodes", "episode", S.TRAJECTORY_FIELDS, "steps", run_key)
+def parse_trajectories(lines: DataFrame, run_key: str | None = None, bad: str = "raise") -> DataFrame:
+    """Trajectories from log text (columns ``value`` and ``ord``); ``bad`` as in :func:`_checked`."""
+    rows = _records(lines, "episodes", "episode", S.TRAJECTORY_FIELDS, "steps", run_key, bad)
+    if bad == "keep":
+        return rows
     seed = F.coalesce("seed", F.lit(0).cast("bigint"))
     fallback = F.concat(path_stem(F.col("task_id")), F.lit(":seed"), seed.cast("string"))
     return (
@@ -87,8 +131,9 @@ def parse_trajectories(lines: DataFrame, run_key: str | None = None) -> DataFram
     )
 
 
-def read_trajectories(spark: SparkSession, path: str, run_key: str | None = None) -> DataFrame:
-    return parse_trajectories(read_lines(spark, path), run_key)
+def read_trajectories(spark: SparkSession, path: str, run_key: str | None = None, bad: str = "raise") -> DataFrame:
+    """Trajectories of files. Unreadable records stop the query; ``bad="keep"`` lists them, ``bad="drop"`` passes over them."""
+    return parse_trajectories(read_lines(spark, path), run_key, bad)
 
 
 def explode_steps(trajectories: DataFrame) -> DataFrame:
@@ -117,15 +162,17 @@ def explode_steps(trajectories: DataFrame) -> DataFrame:
     )
 
 
-def parse_reports(lines: DataFrame) -> DataFrame:
-    rows = _records(lines, "reports", "report", S.REPORT_FIELDS, "edits", None)
+def parse_reports(lines: DataFrame, bad: str = "raise") -> DataFrame:
+    rows = _records(lines, "reports", "report", S.REPORT_FIELDS, "edits", None, bad)
+    if bad == "keep":
+        return rows
     return rows.withColumn("seed", F.coalesce("seed", F.lit(0).cast("bigint"))).withColumn(
         "original_success", F.coalesce("original_success", F.lit(False))
     )
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    return parse_reports(read_lines(spark, path))
+def read_reports(spark: SparkSession, path: str, bad: str = "raise") -> DataFrame:
+    return parse_reports(read_lines(spark, path), bad)
 
 
 def report_edits(reports: DataFrame) -> DataFrame:
@@ -164,15 +211,29 @@ def parse_scores(text: Column) -> Column:
     return F.when(is_list, as_list).otherwise(F.from_json(text, "map<string,double>"))
 
 
-def parse_preferences(lines: DataFrame) -> DataFrame:
-    rows = lines.select("ord", F.from_json("value", S.PREFERENCE_FIELDS).alias("r")).select("ord", "r.*")
+def _flat_records(lines: DataFrame, fields: str, bad: str) -> DataFrame:
+    """One record per line; text that is no JSON object, or one with a field of another type or without a task, is unreadable."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    record = F.from_json("value", f"{fields}, _broken string", options)
+    rows = lines.select("ord", _source(lines).alias("_source"), F.col("value").alias("_text"), record.alias("r"))
+    problem = F.when(F.col("r").isNull() | F.col("r._broken").isNotNull(), "not a record").when(F.col("r.task_id").isNull(), "no task_id")
+    checked = _checked(rows.withColumn("_problem", problem), bad)
+    return checked if bad == "keep" else checked.select("ord", "r.*").drop("_broken")
+
+
+def parse_preferences(lines: DataFrame, bad: str = "raise") -> DataFrame:
+    rows = _flat_records(lines, S.PREFERENCE_FIELDS, bad)
+    if bad == "keep":
+        return rows
     return rows.withColumn("seed", F.coalesce("seed", F.lit(0).cast("bigint"))).withColumn(
         "step_index", F.coalesce("step_index", F.greatest(F.size("history"), F.lit(0)), F.lit(0))
     )
 
 
-def parse_predictions(lines: DataFrame) -> DataFrame:
-    rows = lines.select("ord", F.from_json("value", S.PREDICTION_FIELDS).alias("r")).select("ord", "r.*")
+def parse_predictions(lines: DataFrame, bad: str = "raise") -> DataFrame:
+    rows = _flat_records(lines, S.PREDICTION_FIELDS, bad)
+    if bad == "keep":
+        return rows
     text = F.coalesce("scores", "candidate_scores")
     return (
         rows.withColumn("scores", parse_scores(text))
@@ -183,12 +244,12 @@ def parse_predictions(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_preferences(spark: SparkSession, path: str) -> DataFrame:
-    return parse_preferences(read_lines(spark, path))
+def read_preferences(spark: SparkSession, path: str, bad: str = "raise") -> DataFrame:
+    return parse_preferences(read_lines(spark, path), bad)
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return parse_predictions(read_lines(spark, path))
+def read_predictions(spark: SparkSession, path: str, bad: str = "raise") -> DataFrame:
+    return parse_predictions(read_lines(spark, path), bad)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:
