@@ -228,11 +228,19 @@ def online_policy_states(states: DataFrame, pool_limit: int, max_depth: int, for
 
 
 def online_policy_records(
-    states: DataFrame, pool_limit: int = 8, max_depth: int = 8, force_gold: bool = True, gold_reward: float = 1.0,
-    suffix_reward: float = 1.0, **penalties: float,
+    states: DataFrame, pool_limit: int = 40, max_depth: int = 5, force_gold: bool = False, gold_reward: float = 2.0,
+    suffix_reward: float = 0.8, max_trajectories: int | None = None, max_records: int | None = None, **penalties: float,
 ) -> DataFrame:
-    """Candidate pools with shaped rewards; gold is forced into the pool unless told otherwise."""
+    """Candidate pools with shaped rewards; ``force_gold`` puts gold into a pool that lacks it.
+
+    ``max_trajectories`` and ``max_records`` take the first ones by ``ord`` (of a trajectory its smallest) and step.
+    """
+    if max_trajectories is not None:
+        first = states.groupBy("trajectory_id").agg(F.min("ord").alias("_first")).orderBy("_first", "trajectory_id").limit(max_trajectories)
+        states = states.join(first.select("trajectory_id"), "trajectory_id", "left_semi")
     rows = online_policy_states(states, pool_limit, max_depth, force_gold).filter("skip is null")
+    if max_records is not None:
+        rows = rows.orderBy("ord", "trajectory_id", "step_index").limit(max_records)
     gold = F.get("policy", 0)
     objective = F.coalesce(optional(states, "objective", "string"), F.lit(""))
     rejected = F.get(F.array_remove("candidates", gold), 0)
@@ -255,7 +263,7 @@ def online_policy_records(
     )
 
 
-def online_policy_summary(states: DataFrame, pool_limit: int = 8, max_depth: int = 8, force_gold: bool = True) -> DataFrame:
+def online_policy_summary(states: DataFrame, pool_limit: int = 40, max_depth: int = 5, force_gold: bool = False) -> DataFrame:
     rows = online_policy_states(states, pool_limit, max_depth, force_gold)
     used = F.col("skip").isNull()
     rank = F.when(used, rank_of(F.col("candidates"), F.get("policy", 0)))

@@ -522,7 +522,7 @@ def split_robustness(
     """Split, train and evaluate repeatedly; mean, population deviation, minimum and maximum per metric.
 
     ``reranker(train, valid, test)`` returns predictions for ``test``. The loop runs on the driver; each turn
-    contributes one summary row.
+    writes one summary row, so that no plan holds more than one split.
     """
     metrics = ("train_preferences", "valid_preferences", "test_preferences", "raw_mrr", "learned_mrr", "raw_ndcg",
                "learned_ndcg", "learned_top1_correction_rate")
@@ -536,6 +536,7 @@ def split_robustness(
             *[sizes.select(name).scalar().cast("double").alias(f"{name}_preferences") for name in ("train", "valid", "test")],
             *[F.col(name).cast("double").alias(name) for name in metrics[3:]],
         )
+        row = store(row)
         rows = row if rows is None else rows.unionByName(row)
     total = rows.agg(
         *[

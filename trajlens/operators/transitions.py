@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from trajlens.functions.actions import is_recent_repeat
 from trajlens.functions.ranks import safe_div
 from trajlens.operators.datasets import optional
-from trajlens.session import store
+from trajlens.session import store, store_bucketed
 
 PLACE = ["task_id", "seed"]
 KEY = [*PLACE, "state", "action"]
@@ -133,7 +133,9 @@ def state_distances(transitions: DataFrame, max_steps: int = 12) -> DataFrame:
     Breadth-first search backwards from terminal transitions. Each round joins only the newest states with
     the transition table and is written before the next, so plans do not grow; it stops when nothing is new.
     """
-    table = store(usable(transitions).filter("valid").select(*PLACE, "state", "next_state", "done").distinct())
+    table = usable(transitions).filter("valid").select(*PLACE, "state", "next_state", "done").distinct()
+    # In buckets of the state that links lead to, which every round joins on: links are shuffled once in all.
+    table = store_bucketed(table, [*PLACE, "next_state"])
     frontier = store(table.filter("done").select(*PLACE, "state").distinct().withColumn("distance", F.lit(1)))
     found = frontier
     links = table.filter(~F.col("done"))
@@ -273,21 +275,32 @@ def structural_reasons(steps: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- Q values over the log
 
-def fitted_q(transitions: DataFrame, gamma: float = 0.95, alpha: float = 0.5, iterations: int = 5) -> DataFrame:
+def fitted_q(
+    transitions: DataFrame, gamma: float = 0.95, alpha: float = 0.5, iterations: int | None = 5, tolerance: float | None = None
+) -> DataFrame:
     """Q values by repeated batch updates over the logged transitions, all starting from zero.
 
     The value of the next state is the best logged action there, zero when there is none or the step ended.
-    Keys with conflicting outcomes are left out, so there is one row per key. The value rides along in the row of its
-    transition; each round is one join and is written before the next one reads it, because it is read twice.
+    Keys with conflicting outcomes are left out, so there is one row per key. With ``tolerance`` rounds go on until no value
+    changes by more, at most ``iterations`` of them if given.
+
+    The table lies in buckets of the next state. A round reduces it to one value per state, shuffles these only, and writes the
+    next table from where its rows are; transitions are shuffled once in all.
     """
+    if iterations is None and tolerance is None:
+        raise ValueError("give a number of iterations or a tolerance")
     keyed = transitions if "conflict" in transitions.columns else build_transitions(transitions)
-    outcome = [*KEY, "next_state", "reward", "done"]
-    q = store(usable(keyed).select(*outcome, F.lit(0.0).alias("q")))
-    for _ in range(iterations):
+    outcome, target_state = [*KEY, "next_state", "reward", "done"], [*PLACE, "next_state"]
+    q = store_bucketed(usable(keyed).select(*outcome, F.lit(0.0).alias("q"), F.lit(0.0).alias("change")), target_state)
+    done = 0
+    while iterations is None or done < iterations:
         best = q.groupBy(*PLACE, F.col("state").alias("next_state")).agg(F.max("q").alias("v"))
         target = F.col("reward") + gamma * F.when(F.col("done"), 0.0).otherwise(F.coalesce("v", F.lit(0.0)))
-        rows = q.join(best, [*PLACE, "next_state"], "left")
-        q = store(rows.select(*outcome, (F.col("q") + alpha * (target - F.col("q"))).alias("q")))
+        rows = q.join(best.hint("shuffle_merge"), target_state, "left").select(*outcome, "q", (alpha * (target - F.col("q"))).alias("change"))
+        q = store_bucketed(rows.withColumn("q", F.col("q") + F.col("change")), target_state, dealt=True)
+        done += 1
+        if tolerance is not None and (q.agg(F.max(F.abs("change"))).first()[0] or 0.0) <= tolerance:
+            break
     return q.select(*KEY, "q")
 
 

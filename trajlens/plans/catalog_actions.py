@@ -136,13 +136,15 @@ QUERIES["rank_pool"] = (
 # ---------------------------------------------------------------- plans and suffixes
 
 _PLAN = "reverse(candidates)"
+# One step of the greedy match per item of the plan (five here, all of it).
+_MATCH = "".join(
+    f""", m{k} as (select *, {'case when p' + str(k - 1) + ' > 0 then' if k > 1 else ''} coalesce(list_position(history[{' + '.join(f'p{j}' for j in range(1, k)) or '0'} + 1:], plan[{k}]), 0)
+      {'else 0 end' if k > 1 else ''} as p{k} from m{k - 1})""" for k in range(1, 6)
+)
 QUERIES["remaining_suffix"] = (
-    lambda t: t.history.select(*KEY, U.remaining_suffix(F.expr(f"slice({_PLAN}, 1, 3)"), F.col("history")).alias("left_over")),
-    O.with_history(""", a as (select trajectory_id, step_index, history, list_reverse(candidates)[1:3] as plan from hist),
-      b as (select *, coalesce(list_position(history, plan[1]), 0) as p1 from a),
-      c2 as (select *, case when p1 > 0 then coalesce(list_position(history[p1 + 1:], plan[2]), 0) else 0 end as p2 from b),
-      d2 as (select *, case when p2 > 0 then coalesce(list_position(history[p1 + p2 + 1:], plan[3]), 0) else 0 end as p3 from c2)
-      select """ + cols(raw="trajectory_id", ints="step_index", arrs="left_over := plan[1 + (p1 > 0)::int + (p2 > 0)::int + (p3 > 0)::int:]") + " from d2"),
+    lambda t: t.history.select(*KEY, U.remaining_suffix(F.expr(_PLAN), F.col("history")).alias("left_over")),
+    O.with_history(", m0 as (select trajectory_id, step_index, history, list_reverse(candidates) as plan from hist)" + _MATCH + " select " + cols(
+        raw="trajectory_id", ints="step_index", arrs="left_over := plan[1 + " + " + ".join(f"(p{k} > 0)::int" for k in range(1, 6)) + ":]") + " from m5"),
 )
 _SUFFIX = """case event_id % 7 when 0 then {a}'open door to hall', 'go to hall', action{z} when 1 then {a}'go to hall', action{z}
    when 2 then {a}'use thermometer in inventory on pot', 'wait'{z} when 3 then {a}'focus on seed in inventory'{z} when 4 then {a}'examine desk', action{z}
@@ -180,10 +182,11 @@ _STATES = f"""ps0 as (select *, list_transform(range(0, 10), lambda j: ({O.V})[c
      event_id % 129 = 0 as done, event_id % 17 <> 0 as valid, {_OBJ_SQL} as goal from hist),
  ps1 as (select *, coalesce(max(done::int) over (partition by trajectory_id order by step_index rows between unbounded preceding and 1 preceding), 0) as over_,
      (list_filter(adm, lambda a: not (coalesce(list_contains(history[-4:], a), false) or a in ('look', 'inventory')))
-      || list_filter(adm, lambda a: coalesce(list_contains(history[-4:], a), false) or a in ('look', 'inventory')))[1:6] as pool from ps0),
- ps2 as (select *, case when len(policy) > 0 and not list_contains(pool, policy[1]) then pool[1:5] || [policy[1]] else pool end as cs from ps1 where over_ = 0),
- ps as (select *, case when done then 'done_prefix' when not valid then 'invalid_replay' when len(policy) = 0 then 'no_policy' end as skip from ps2),
- pc0 as (select ps.*, i as pos, cs[i] as cand, history[-1] as prev, history[-3:] as h3 from ps, range(1, 7) r(i) where skip is null),
+      || list_filter(adm, lambda a: coalesce(list_contains(history[-4:], a), false) or a in ('look', 'inventory')))[1:40] as pool from ps0),
+ ps2 as (select *, case when (FORCED) and len(policy) > 0 and not list_contains(pool, policy[1]) then pool[1:39] || [policy[1]] else pool end as cs from ps1 where over_ = 0),
+ ps as (select *, case when done then 'done_prefix' when not valid then 'invalid_replay' when len(policy) = 0 then 'no_policy'
+     when not (FORCED) and not list_contains(pool, policy[1]) then 'gold_absent' end as skip from ps2),
+ pc0 as (select ps.*, i as pos, cs[i] as cand, history[-1] as prev, history[-3:] as h3 from ps, range(1, len(cs) + 1) r(i) where skip is null),
  pc1 as (select pc0.*, {_overlap('cand')} as overlap, split_part(cand, ' ', 1) as verb, coalesce(list_contains(history[-4:], cand), false) as rep, coalesce(u1.inv, false) as inv,
      coalesce((select bool_or(undo) from und where und.c = pc0.cand and list_contains(pc0.h3, und.p)), false) as undone
    from pc0 left join und u1 on u1.p = pc0.prev and u1.c = pc0.cand),
@@ -192,23 +195,24 @@ _STATES = f"""ps0 as (select *, list_transform(range(0, 10), lambda j: ({O.V})[c
      - (case when undone then 1.5 else 0 end) - (case when verb in ('look', 'inventory', 'examine') then 0.5 else 0 end) + 0.7 * overlap
      + (case when cand like 'go %' then 0.3 else 0 end)
      - (case when verb in ('take', 'drop', 'put', 'open', 'close', 'unlock', 'lock', 'insert', 'eat') and overlap <= 0 then 0.9 else 0 end) as reward from pc1)"""
-QUERIES["online_policy_records"] = (
-    lambda t: D.online_policy_records(policy_states(t), 6, 8, True, 2.0, 1.0, **PENALTIES).select(
-        *KEY, "preferred_action", "rejected_action", "preferred_rank_before", "rejected_rank_before", "candidate_count",
-        F.posexplode(F.map_entries("candidate_rewards")).alias("pos", "e")).select(
-        *KEY, "preferred_action", "rejected_action", "preferred_rank_before", "rejected_rank_before", "candidate_count", "pos",
-        F.col("e.key").alias("candidate"), F.col("e.value").alias("reward")),
-    O.with_history("select " + cols(
-        raw="trajectory_id; preferred_action := policy[1]; rejected_action := list_filter(cs, lambda a: a <> policy[1])[1]; candidate := cand",
-        ints="step_index; preferred_rank_before := list_position(cs, policy[1]);"
-        "rejected_rank_before := list_position(cs, list_filter(cs, lambda a: a <> policy[1])[1]); candidate_count := len(cs); pos := pos - 1", dbls="reward") + " from pc",
-        UNDO, _STATES),
-)
-QUERIES["online_policy_summary"] = (
-    lambda t: D.online_policy_summary(policy_states(t), 6, 8, True),
-    O.with_history("select " + cols(
-        ints="trajectories := count(distinct trajectory_id); records := count(*) filter (where skip is null);"
-        + ";".join(f"skipped_{r} := count(*) filter (where skip = '{r}')" for r in ("done_prefix", "invalid_replay", "no_policy", "gold_absent", "single_candidate")),
-        dbls="avg_gold_rank := avg(list_position(cs, policy[1])) filter (where skip is null);"
-        "gold_top1_rate := avg((cs[1] = policy[1])::int) filter (where skip is null)") + " from ps", UNDO, _STATES),
-)
+for _suffix, _forced in (("", False), ("_forced", True)):
+    QUERIES["online_policy_records" + _suffix] = (
+            lambda t, forced=_forced: D.online_policy_records(policy_states(t), force_gold=forced, suffix_reward=1.0, **PENALTIES).select(
+            *KEY, "preferred_action", "rejected_action", "preferred_rank_before", "rejected_rank_before", "candidate_count",
+            F.posexplode(F.map_entries("candidate_rewards")).alias("pos", "e")).select(
+            *KEY, "preferred_action", "rejected_action", "preferred_rank_before", "rejected_rank_before", "candidate_count", "pos",
+            F.col("e.key").alias("candidate"), F.col("e.value").alias("reward")),
+        O.with_history("select " + cols(
+            raw="trajectory_id; preferred_action := policy[1]; rejected_action := list_filter(cs, lambda a: a <> policy[1])[1]; candidate := cand",
+            ints="step_index; preferred_rank_before := list_position(cs, policy[1]);"
+            "rejected_rank_before := list_position(cs, list_filter(cs, lambda a: a <> policy[1])[1]); candidate_count := len(cs); pos := pos - 1", dbls="reward") + " from pc",
+            UNDO, _STATES.replace("FORCED", str(_forced).lower())),
+    )
+    QUERIES["online_policy_summary" + _suffix] = (
+            lambda t, forced=_forced: D.online_policy_summary(policy_states(t), force_gold=forced),
+        O.with_history("select " + cols(
+            ints="trajectories := count(distinct trajectory_id); records := count(*) filter (where skip is null);"
+            + ";".join(f"skipped_{r} := count(*) filter (where skip = '{r}')" for r in ("done_prefix", "invalid_replay", "no_policy", "gold_absent", "single_candidate")),
+            dbls="avg_gold_rank := avg(list_position(cs, policy[1])) filter (where skip is null);"
+            "gold_top1_rate := avg((cs[1] = policy[1])::int) filter (where skip is null)") + " from ps", UNDO, _STATES.replace("FORCED", str(_forced).lower())),
+    )

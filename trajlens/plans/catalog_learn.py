@@ -59,10 +59,10 @@ QUERIES["pairwise_rows"] = (
 QUERIES["context_text"] = (
     lambda t: D.attach_context(t.preferences(history=True), observations(t)).select(
         "task_id", "seed", "step_index", P.context_text(
-            F.col("task_id"), F.col("history"), F.col("candidates"), F.col("initial_observation"), F.col("observation"), 8, 12).alias("context")),
+            F.col("task_id"), F.col("history"), F.col("candidates"), F.col("initial_observation"), F.col("observation"), 8, 1000).alias("context")),
     O.with_ledger("""select p.task_id, p.seed, cast(p.step_index as bigint) as step_index, 'Task: ' || p.task_id
-        || (case when i.observation is not null then chr(10) || chr(10) || 'Objective/state excerpt:' || chr(10) || substr(i.observation, 1, 12) else '' end)
-        || (case when o.valid then chr(10) || chr(10) || 'Current observation excerpt:' || chr(10) || substr(o.observation, 1, 12) else '' end)
+        || (case when i.observation is not null then chr(10) || chr(10) || 'Objective/state excerpt:' || chr(10) || i.observation else '' end)
+        || (case when o.valid then chr(10) || chr(10) || 'Current observation excerpt:' || chr(10) || o.observation else '' end)
         || substr(""" + _CTX.replace("task_id", "p.task_id") + """, length('Task: ' || p.task_id) + 1) as context from prefs p
         left join (select * from obs where step_index = 0) i on i.task_id = p.task_id and i.seed = p.seed
         left join obs o on o.task_id = p.task_id and o.seed = p.seed and o.step_index = p.step_index""", "both", None, O.PREFS,
@@ -108,7 +108,7 @@ def feature_reranker(t, **options):
 
 QUERIES["feature_reranker_pairwise"] = (lambda t: feature_reranker(t), None)
 QUERIES["feature_reranker_rejected_only"] = (lambda t: feature_reranker(t, negative_scope="rejected", certificate_weight=False), None)
-QUERIES["feature_reranker_listwise"] = (lambda t: feature_reranker(t, loss="listwise", epochs=8), None)
+QUERIES["feature_reranker_listwise"] = (lambda t: feature_reranker(t, loss="listwise"), None)
 QUERIES["feature_reranker_rank_only"] = (lambda t: feature_reranker(t, feature_set="rank-only"), None)
 
 
@@ -134,7 +134,7 @@ QUERIES["embedding_reranker"] = (_embedding, None)
 def _policy(t):
     train, test = train_test(t)
     fit, held_out = train.filter("game_seed % 3 = 1"), train.filter("game_seed % 3 = 2")
-    return evaluated(test, M.score_predictions(test, M.train_support_policy(fit, held_out, epochs=6)))
+    return evaluated(test, M.score_predictions(test, M.train_support_policy(fit, held_out)))
 
 
 QUERIES["support_policy"] = (_policy, None)
@@ -189,7 +189,7 @@ for _mode, _order in (("coverage", "c desc, i desc, d, threshold"), ("safety", "
         O.with_steps(_TH + f" select {_TH_COLS} from th order by {_order} limit 1"),
     )
 QUERIES["split_robustness"] = (
-    lambda t: M.split_robustness(store(t.preferences()), lambda train, _valid, test: G.rerank_verb_prior(train, test), 3), None,
+    lambda t: M.split_robustness(store(t.preferences()), lambda train, _valid, test: G.rerank_verb_prior(train, test)), None,
 )
 
 # ---------------------------------------------------------------- streams

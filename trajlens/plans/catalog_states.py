@@ -153,27 +153,39 @@ QUERIES["structural_reasons"] = (
         case when event_id % 19 = 0 then 'invalid' end, case when event_id % 19 <> 0 and post_state = pre_state then 'noop' end,
         case when event_id % 19 <> 0 and list_contains(seen, post_state) then 'seen_state' end], lambda x: x is not null)""") + " from cx"),
 )
-_Q = "q0 as (select *, 0.0::double as q from trans)" + "".join(
-    f""",\n q{k} as (select p.* replace (p.q + 0.5 * (p.reward + 0.9 * (case when p.done then 0.0 else coalesce(v.m, 0.0) end) - p.q) as q) from q{k - 1} p
-   left join (select task_id, seed, state, max(q) as m from q{k - 1} group by all) v on v.task_id = p.task_id and v.seed = p.seed and v.state = p.next_state)""" for k in (1, 2, 3))
+# Without cycles that pay, full updates settle after as many rounds as the longest way to the goal; twelve are more than that.
+_ROUNDS = 12
+
+
+def _q_sql(alpha, rounds):
+    return "q0 as (select *, 0.0::double as q from trans)" + "".join(
+        f""",\n q{k} as materialized (select p.* replace (p.q + {alpha} * (p.reward + 0.9 * (case when p.done then 0.0 else coalesce(v.m, 0.0) end) - p.q) as q) from q{k - 1} p
+   left join (select task_id, seed, state, max(q) as m from q{k - 1} group by all) v on v.task_id = p.task_id and v.seed = p.seed and v.state = p.next_state)""" for k in range(1, rounds + 1))
+
+
+_Q, _Q_SETTLED = _q_sql(0.5, 5), _q_sql(1.0, _ROUNDS)
 QUERIES["fitted_q"] = (
-    lambda t: I.fitted_q(t.transitions, 0.9, 0.5, 3),
-    O.with_transitions("select " + cols(raw="task_id; action", ints="seed; state", dbls="q") + " from q3", _Q),
+    lambda t: I.fitted_q(t.transitions, 0.9, 0.5),
+    O.with_transitions("select " + cols(raw="task_id; action", ints="seed; state", dbls="q") + " from q5", _Q),
+)
+QUERIES["settled_q"] = (
+    lambda t: I.fitted_q(t.transitions, 0.9, 1.0, None, 1e-12),
+    O.with_transitions("select " + cols(raw="task_id; action", ints="seed; state", dbls="q") + f" from q{_ROUNDS}", _Q_SETTLED),
 )
 _CERTAIN = """cv as (select task_id, seed, state, split_part(action, ' ', 1) as action, min(next_state) as next_state, max(reward) as reward, bool_and(done) as done from trans
    group by task_id, seed, state, split_part(action, ' ', 1) having count(distinct next_state::varchar || done::varchar) = 1)"""
 QUERIES["fitted_q_conflicts"] = (
-    lambda t: I.fitted_q(t.transitions.withColumn("action", F.expr("split_part(action, ' ', 1)")), 0.9, 0.5, 3),
-    O.with_transitions("select " + cols(raw="task_id; action", ints="seed; state", dbls="q") + " from q3", _CERTAIN, _Q.replace("from trans)", "from cv)")),
+    lambda t: I.fitted_q(t.transitions.withColumn("action", F.expr("split_part(action, ' ', 1)")), 0.9, 0.5),
+    O.with_transitions("select " + cols(raw="task_id; action", ints="seed; state", dbls="q") + " from q5", _CERTAIN, _Q.replace("from trans)", "from cv)")),
 )
 _BLOCKED = "(state + length(action)) % 3 = 0"
 for _mode, _order in (("none", "q desc, action"), ("soft", f"q - (case when {_BLOCKED} then 0.3 else 0 end) desc, action"), ("hard", f"({_BLOCKED})::int, q desc, action")):
     _value = f"q - (case when {_BLOCKED} then 0.3 else 0 end)" if _mode == "soft" else "q"
     QUERIES[f"greedy_policy_{_mode}"] = (
         lambda t, m=_mode: I.greedy_policy(
-            I.fitted_q(t.transitions, 0.9, 0.5, 1),
+            I.fitted_q(t.transitions, 0.9, 1.0, None, 1e-12),
             t.transitions.filter(_BLOCKED).select("task_id", "seed", "state", "action").distinct().withColumn("penalty", F.lit(0.3)), m),
-        O.with_transitions(f"select {cols(raw='task_id; action', ints='seed; state', dbls='value := ' + _value)} from (select *, row_number() over (partition by task_id, seed, state order by {_order}) as rn from q1) where rn = 1", _Q),
+        O.with_transitions(f"select {cols(raw='task_id; action', ints='seed; state', dbls='value := ' + _value)} from (select *, row_number() over (partition by task_id, seed, state order by {_order}) as rn from q{_ROUNDS}) where rn = 1", _Q_SETTLED),
     )
 
 # ---------------------------------------------------------------- baselines

@@ -54,6 +54,21 @@ def store(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_bucketed(df: DataFrame, keys: list[str], dealt: bool = False) -> DataFrame:
+    """Write a table in buckets of ``keys``, so that joins and groupings on them read it without a shuffle.
+
+    There are as many buckets as shuffle partitions, and one file each. ``dealt`` says that the rows are already dealt
+    out by these keys into that many partitions, as after a join with such a table.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df if dealt else df.repartition(buckets, *keys)
+    path = new_table_path(spark)
+    name = f"stored_{path.rsplit('/', 1)[1]}"
+    rows.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def new_table_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
 
