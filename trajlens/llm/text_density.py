@@ -8,9 +8,14 @@ has the density
 (characters per tag, adjusted by links; counts below one count as one). Nodes are rated by the sum of their children's
 densities. The lowest density between the best node and the body is the threshold; from the body down, every node
 above it marks its best descendant, whose subtree is taken. Elements that hold no article text by their kind (menus,
-forms, scripts and the like), hidden ones and those of an advert class are left out of tree and text. Other class and
-id names (comments, related, header and the like) only raise a doubt: the subtree is left out where a third of its text
-is in links, or where its text per tag is below the page's and it holds neither the headline nor half of the page.
+forms, scripts and the like; a header only outside of an article) and hidden ones are left out of tree and text. Class and id
+names raise doubts. A subtree named as an advert, a notice or comments is left out, whatever its size, unless it alone
+holds the page's headline or article. Other names (related, header, side and the like) leave a subtree out where a third of its
+text is in links, or where its text per tag is below the page's and it holds neither the headline nor half of the page. If nothing
+would be left, doubts do not count.
+
+Tags are read in one pass: what looks like a tag but meets another ``<`` before its end is text, end tags without an open element
+are passed over by a count, and optional end tags look at enclosing blocks only, so that hostile pages take linear time too.
 """
 
 from __future__ import annotations
@@ -26,15 +31,20 @@ from pyspark.sql import functions as F
 
 from trajlens.llm.common import pieces, ship
 
+_INSIDE = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)\b{_INSIDE}>.*?(?:</\1\s*+>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/<>]*+)({_INSIDE})>|<[!?][^<>]*+>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
-#: Whole class, id and role names of adverts.
-_ADVERT = re.compile(r"(?:^|\s)(?:ads?|advert\w*|sponsor\w*)(?:$|\s)", re.I)
+#: Class, id and role names of adverts, notices and reader comments: whole names, or parts of names.
+_FIRM = re.compile(
+    r"(?:^|\s)(?:ads?|advert\w*|sponsor\w*)(?:$|\s)|(?:^|[\s_-])(?:comments?|disqus|respond|replies|notices?|cookies?|consent|gdpr|"
+    r"popup|modal|newsletter|subscribe|signup|login)(?:$|[\s_-])",
+    re.I,
+)
 #: Elements without an end tag.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that stand in a line of text.
@@ -49,8 +59,7 @@ _LEFT_OUT = frozenset(
 #: Parts of class and id names that raise a doubt.
 _MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|aside|"
-    r"footer\w*|masthead|topbar|header|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|signup|login|comments?|"
-    r"disqus|respond|replies|reviews?|share|sharing|social|related|recommended|widget\w*|toolbar|pagination|pager|contentinfo|"
+    r"footer\w*|masthead|topbar|header|alert|reviews?|share|sharing|social|related|recommended|widget\w*|toolbar|pagination|pager|contentinfo|"
     r"complementary|search)(?:$|[\s_-])",
     re.I,
 )
@@ -67,33 +76,39 @@ _SCOPE = frozenset("body article main section div td th table ul ol dl blockquot
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "out", "doubt", "link", "c", "t", "lc", "lt", "density", "total", "best", "marked")
+    __slots__ = (
+        "tag", "parent", "children", "out", "doubt", "link", "block", "article", "c", "t", "lc", "lt", "density", "total", "best", "marked"
+    )
 
     def __init__(self, tag: str, parent: _Node | None, out: bool, link: bool):
         self.tag, self.parent, self.out, self.link = tag, parent, out, link
-        self.doubt = False
+        #: 0 none, 1 a name that is often harmless, 2 a name of what never belongs to an article.
+        self.doubt = 0
+        #: The nearest node, itself included, that an optional end tag could close or that it must not cross.
+        self.block = self if parent is None or tag in _SCOPE or tag in _CLOSED_BY else parent.block
+        self.article = tag in ("article", "main") or parent is not None and parent.article
         self.children: list[_Node | str] = []
         self.c = self.t = self.lc = self.lt = 0
         self.density = self.total = 0.0
         self.best, self.marked = self, False
 
 
-def _left_out(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is left out, and whether its names raise a doubt."""
-    if tag in _LEFT_OUT:
-        return True, False
-    if tag in _KEPT or not attributes:
-        return False, False
-    doubt = False
+def _left_out(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
+    """Whether an element is left out, and the doubt that its names raise."""
+    if tag in _LEFT_OUT and not (tag == "header" and in_article):
+        return True, 0
+    if not attributes:
+        return False, 0
+    doubt = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), values[0] or values[1] or values[2]
+        if tag in _KEPT and name not in ("class", "id", "role"):
+            continue
         if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _UNSEEN.search(value):
-            return True, False
+            return True, 0
         if name in ("class", "id", "role"):
-            if _ADVERT.search(value):
-                return True, False
-            doubt = doubt or bool(_MARKS.search(value))
-    return False, doubt
+            doubt = max(doubt, 2 if _FIRM.search(value) else int(bool(_MARKS.search(value))))
+    return False, 0 if tag in ("html", "body") else doubt
 
 
 def _without_doubtful(nodes: list[_Node]) -> list[_Node]:
@@ -103,27 +118,35 @@ def _without_doubtful(nodes: list[_Node]) -> list[_Node]:
     held = {}
     for node in reversed(nodes):
         text = linked = tags = 0
-        headline = node.tag == "h1"
+        # Headlines and articles below, and those of them that no firm name stands over.
+        heads = clear = int(node.tag in ("h1", "article", "main"))
         for child in node.children:
             if isinstance(child, str):
                 size = len("".join(child.split()))
                 text, linked = text + size, linked + size * node.link
             else:
-                c, lc, t, h = held[id(child)]
-                text, linked, tags, headline = text + c, linked + lc, tags + t + 1, headline or h
-        held[id(node)] = text, linked, tags, headline
-    whole, _linked, all_tags, _headline = held[id(next((node for node in nodes if node.tag == "body"), nodes[0]))]
-    stay, shortened = [], {}
+                c, lc, t, h, free = held[id(child)]
+                text, linked, tags, heads, clear = text + c, linked + lc, tags + t + 1, heads + h, clear + free
+        held[id(node)] = text, linked, tags, heads, 0 if node.doubt == 2 else clear
+    whole, _linked, all_tags, _heads, clear = held[id(next((node for node in nodes if node.tag == "body"), nodes[0]))]
+    stay, shortened, left = [], {}, 0
     for node in nodes:
         node.out = node.parent is not None and node.parent.out
         if node.doubt and not node.out:
-            c, lc, t, headline = held[id(node)]
-            sparse = c * max(all_tags, 1) < whole * max(t, 1) and not headline and 2 * c < whole
-            node.out = 3 * lc >= c or sparse
+            c, lc, t, heads, _clear = held[id(node)]
+            if node.doubt == 2:
+                # Its headline counts only where no other place has one.
+                node.out = bool(clear) or not heads
+            else:
+                sparse = c * max(all_tags, 1) < whole * max(t, 1) and not heads and 2 * c < whole
+                node.out = 3 * lc >= c or sparse
             if node.out:
                 shortened[id(node.parent)] = node.parent
         if not node.out:
             stay.append(node)
+            left += sum(len(child.strip()) for child in node.children if isinstance(child, str))
+    if not left:
+        return nodes
     for node in shortened.values():
         node.children = [child for child in node.children if isinstance(child, str) or not child.out]
     return stay
@@ -133,6 +156,16 @@ def parse(html: str) -> tuple[_Node, list[_Node]]:
     """The root and all nodes in page order. Left-out elements stay in the tree while open, their text does not."""
     root = _Node("html", None, False, False)
     here, nodes, at = root, [root], 0
+    open_tags: dict[str, int] = {}
+
+    def close(node: _Node) -> _Node:
+        """Ends everything from the innermost open element up to this one; each element is ended once."""
+        inner = here
+        while inner is not node.parent:
+            open_tags[inner.tag] -= 1
+            inner = inner.parent
+        return node.parent
+
     for match in _TOKEN.finditer(html):
         if match.start() > at and not here.out:
             here.children.append(html[at : match.start()])
@@ -142,21 +175,21 @@ def parse(html: str) -> tuple[_Node, list[_Node]]:
             continue
         tag = name.lower()
         if match[2]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if open_tags.get(tag):
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = close(node)
             continue
         if tag == "html":
             continue
-        node = here
+        node = here.block
         while node is not root and node.tag not in _SCOPE:
-            if tag in _CLOSED_BY.get(node.tag, ()):
-                here = node.parent
+            if tag in _CLOSED_BY[node.tag]:
+                here = close(node)
                 break
-            node = node.parent
-        left_out, doubt = (True, False) if here.out else _left_out(tag, match[4])
+            node = node.parent.block
+        left_out, doubt = (True, 0) if here.out else _left_out(tag, match[4], here.article)
         out = here.out or left_out
         node = _Node(tag, here, out, here.link or tag == "a")
         node.doubt = doubt
@@ -165,6 +198,7 @@ def parse(html: str) -> tuple[_Node, list[_Node]]:
             nodes.append(node)
         if tag not in _VOID and not match[4].endswith("/"):
             here = node
+            open_tags[tag] = open_tags.get(tag, 0) + 1
     if at < len(html) and not here.out:
         here.children.append(html[at:])
     return root, _without_doubtful(nodes)
