@@ -95,3 +95,88 @@ def test_q_values_and_policies(spark):
     blocked = spark.createDataFrame([("g", 0, 0, "a", 5.0), ("g", 0, 1, "b", 5.0)], "task_id string, seed bigint, state int, action string, penalty double")
     pick = lambda mode: {r["state"]: r["action"] for r in rows(I.greedy_policy(table_q, blocked, mode))}
     assert pick("none") == {0: "a", 1: "b"} and pick("soft") == {0: "c", 1: "b"} and pick("hard") == {0: "c", 1: "b"}
+
+
+def plain_normal_form(actions, states, oks, legs, max_passes=20):
+    """The same rewriting with every leg at hand, one rule at a time."""
+    actions, states, oks, counts = list(actions), list(states), list(oks), dict.fromkeys(I.RULES, 0)
+    for _ in range(max_passes):
+        changed, at = False, 0
+        while at < len(actions):
+            a, s, s1 = actions[at], states[at], states[at + 1]
+            pair = at + 1 < len(actions) and oks[at] and oks[at + 1]
+            b, s2 = (actions[at + 1], states[at + 2]) if pair else (None, None)
+            middle = legs.get((s, b)) if pair else None
+            if oks[at] and s == s1:
+                actions[at:at + 1], states[at + 1:at + 2], oks[at:at + 1] = [], [], []
+                rule, back = "remove_noop", at
+            elif pair and s2 == s:
+                actions[at:at + 2], states[at + 1:at + 3], oks[at:at + 2] = [], [], []
+                rule, back = "remove_inverse_pair", at
+            elif pair and s2 == s1:
+                actions[at + 1:at + 2], states[at + 2:at + 3], oks[at + 1:at + 2] = [], [], []
+                rule, back = "remove_absorbed_second", at + 1
+            elif pair and a > b and middle is not None and legs.get((middle, a)) == s2:
+                actions[at:at + 2], states[at + 1] = [b, a], middle
+                rule, back = "swap_commuting_pair", at
+            else:
+                at += 1
+                continue
+            counts[rule] += 1
+            changed, at = True, max(back - 1, 0)
+        if not changed:
+            break
+    return actions, counts
+
+
+def test_canonical_traces_against_every_order(spark):
+    """On a grid where all moves commute, every order of a trace has one normal form, found only from legs the log has."""
+    import itertools
+    import random
+
+    moves = {"east": (1, 0), "north": (0, 1), "up": (2, 0), "wait": (0, 0)}
+    draw, logged, traces = random.Random(4), {}, []
+
+    def place(state, action):
+        x, y = map(int, state.split(","))
+        return f"{x + moves[action][0]},{y + moves[action][1]}"
+
+    orders = sorted(set(itertools.permutations(["north", "east", "up", "wait"])))
+    for order in orders:
+        traces.append((order, 0))
+    for _ in range(40):
+        traces.append((tuple(draw.choice(list(moves)) for _ in range(draw.randrange(1, 8))), draw.randrange(1, 4)))
+    steps = []
+    for number, (actions, seed) in enumerate(traces):
+        state = "0,0"
+        for index, action in enumerate(actions):
+            steps.append((f"t{number}", "g", seed, index, action, state, place(state, action), True))
+            logged[seed, state, action] = place(state, action)
+            state = place(state, action)
+    frame = spark.createDataFrame(steps, "trajectory_id string, task_id string, seed bigint, step_index int, action string, pre_state string, post_state string, valid boolean")
+    moved = spark.createDataFrame(
+        [("g", seed, state, action, to, 0.0, False, True) for (seed, state, action), to in logged.items()],
+        "task_id string, seed bigint, state string, action string, next_state string, reward double, done boolean, valid boolean")
+    found = {r["trajectory_id"]: r for r in rows(I.canonical_traces(frame, moved))}
+    assert len(found) == len(traces)
+    for number, (actions, seed) in enumerate(traces):
+        states = ["0,0"]
+        for action in actions:
+            states.append(place(states[-1], action))
+        legs = {(state, action): to for (s, state, action), to in logged.items() if s == seed}
+        want, counts = plain_normal_form(actions, states, [True] * len(actions), legs)
+        row = found[f"t{number}"]
+        assert row["normalized_actions"] == want and {rule: row[rule] for rule in I.RULES} == counts
+        assert row["last_state"] == states[-1]
+    assert all(found[f"t{number}"]["normalized_actions"] == ["east", "north", "up"] for number in range(len(orders)))
+    assert sum(row["swap_commuting_pair"] for row in found.values()) > 20
+
+
+def test_canonical_traces_keep_invalid_steps_and_unseen_orders(spark):
+    steps = spark.createDataFrame(
+        [("t", "g", 0, 0, "b", "0", "1", True), ("t", "g", 0, 1, "a", "1", "2", True), ("u", "g", 0, 0, "b", "0", "0", False), ("u", "g", 0, 1, "a", "0", "0", True)],
+        "trajectory_id string, task_id string, seed bigint, step_index int, action string, pre_state string, post_state string, valid boolean")
+    moved = spark.createDataFrame([("g", 0, "0", "a", "3", 0.0, False, True)], "task_id string, seed bigint, state string, action string, next_state string, reward double, done boolean, valid boolean")
+    found = {r["trajectory_id"]: r["normalized_actions"] for r in rows(I.canonical_traces(steps, moved))}
+    assert found == {"t": ["b", "a"], "u": ["b"]}
+    assert I.canonical_traces(steps.limit(0), moved).count() == 0

@@ -6,13 +6,16 @@ outcomes are marked by :func:`build_transitions` and left out by the operators t
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlens.functions.actions import is_recent_repeat
 from trajlens.functions.ranks import safe_div
 from trajlens.operators.datasets import optional
-from trajlens.session import store, store_bucketed
+from trajlens.session import ship_package, store, store_bucketed
 
 PLACE = ["task_id", "seed"]
 KEY = [*PLACE, "state", "action"]
@@ -221,6 +224,138 @@ def strip_trace(steps: DataFrame) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- canonical traces
+
+RULES = ("remove_noop", "remove_inverse_pair", "remove_absorbed_second", "swap_commuting_pair")
+_LEG = "struct<state:string,action:string,next:string,ok:boolean>"
+_WORK = (
+    "trajectory_id string, task_id string, seed bigint, original array<string>, actions array<string>, states array<string>, "
+    f"oks array<boolean>, at int, changed boolean, passes int, {', '.join(f'{rule} int' for rule in RULES)}, legs array<{_LEG}>, "
+    "needed array<struct<state:string,action:string>>"
+)
+
+
+def rewrite_trace(row: dict, max_passes: int) -> dict:
+    """Go on rewriting one trace until it is in normal form or needs a leg that has not been looked up.
+
+    ``states`` holds the state before each action and the last one. At a place the rules are tried in the order of RULES, and
+    the walk steps back by one after each hit; passes end when one changes nothing. Two actions out of text order are
+    swapped if both orders are valid and lead to the same state.
+    """
+    actions, states, oks = list(row["actions"]), list(row["states"]), list(row["oks"])
+    legs = {(leg["state"], leg["action"]): (leg["next"], leg["ok"]) for leg in row["legs"] or ()}
+    counts = {rule: row[rule] for rule in RULES}
+    at, changed, passes, needed = row["at"], row["changed"], row["passes"], None
+
+    def drop(place: int, count: int) -> None:
+        # The state after what is dropped is the one before it, so the later of the two goes.
+        del actions[place : place + count], oks[place : place + count], states[place + 1 : place + 1 + count]
+
+    def ahead() -> list[dict]:
+        """Legs that are missing at this place and, as the order now stands, at later ones; asked for together."""
+        wanted = {}
+        for place in range(at, len(actions) - 1):
+            first, second = actions[place], actions[place + 1]
+            if first > second and oks[place] and oks[place + 1]:
+                other = (states[place], second)
+                last = (legs[other][0], first) if other in legs and legs[other][1] else other
+                if last not in legs:
+                    wanted[last] = {"state": last[0], "action": last[1]}
+        return list(wanted.values())
+
+    while passes < max_passes and needed is None:
+        if at >= len(actions):
+            passes += 1
+            if not changed:
+                break
+            at, changed = 0, False
+            continue
+        rule = None
+        start, after = states[at], states[at + 1]
+        if oks[at] and after == start:
+            rule, back = "remove_noop", at
+            drop(at, 1)
+        elif at + 1 < len(actions) and oks[at] and oks[at + 1]:
+            first, second, end = actions[at], actions[at + 1], states[at + 2]
+            if end == start:
+                rule, back = "remove_inverse_pair", at
+                drop(at, 2)
+            elif end == after:
+                rule, back = "remove_absorbed_second", at + 1
+                drop(at + 1, 1)
+            elif first > second:
+                other = (start, second)
+                if other not in legs:
+                    needed = ahead()
+                elif legs[other][1]:
+                    last = (legs[other][0], first)
+                    if last not in legs:
+                        needed = ahead()
+                    elif legs[last][1] and legs[last][0] == end:
+                        rule, back = "swap_commuting_pair", at
+                        actions[at], actions[at + 1], states[at + 1] = second, first, legs[other][0]
+        if rule:
+            counts[rule] += 1
+            at, changed = max(back - 1, 0), True
+        elif needed is None:
+            at += 1
+    return row | counts | {
+        "actions": actions, "states": states, "oks": oks, "at": at, "changed": changed, "passes": passes,
+        "needed": needed or [],
+    }
+
+
+def canonical_traces(steps: DataFrame, transitions: DataFrame, max_passes: int = 20) -> DataFrame:
+    """Normal form of each trace: no no-ops, inverse pairs and absorbed actions, and commuting neighbours in text order.
+
+    Whether two actions commute is asked of the log: all four legs must have been seen, without conflict, and be valid.
+    Traces walk on until they need a leg; the legs wanted by all waiting traces, here and ahead of them, are looked up in one
+    join, and so on until no trace waits. Only waiting traces are read again. Invalid steps stay and pair with nothing.
+    """
+    ship_package(steps.sparkSession)
+    valid = F.coalesce(optional(steps, "valid", "boolean"), F.lit(True))
+    item = F.struct("step_index", "action", F.col("pre_state").cast("string").alias("pre"), F.col("post_state").cast("string").alias("post"), valid.alias("ok"))
+    ordered = steps.groupBy(*TRACE).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    actions = F.transform("items", lambda x: F.coalesce(x["action"], F.lit("")))
+    work = ordered.select(
+        *[F.col(name).cast(kind) for name, kind in zip(TRACE, ("string", "string", "bigint"), strict=True)],
+        actions.alias("original"), actions.alias("actions"),
+        F.concat(F.transform("items", lambda x: x["pre"]), F.array(F.element_at("items", -1)["post"])).alias("states"),
+        F.transform("items", lambda x: x["ok"]).alias("oks"), F.lit(0).alias("at"), F.lit(False).alias("changed"), F.lit(0).alias("passes"),
+        *[F.lit(0).alias(rule) for rule in RULES], F.array().cast(f"array<{_LEG}>").alias("legs"),
+        F.array().cast("array<struct<state:string,action:string>>").alias("needed"),
+    )
+    keyed = transitions if "conflict" in transitions.columns else build_transitions(transitions)
+    seen = store(usable(keyed).select(
+        *PLACE, F.col("state").cast("string").alias("state"), "action", F.col("next_state").cast("string").alias("next"), F.col("valid").alias("ok")
+    ))
+
+    def walk(batches):
+        for batch in batches:
+            rows = [rewrite_trace(row, max_passes) for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+
+    finished: list[DataFrame] = []
+    while True:
+        walked = store(work.mapInArrow(walk, _WORK))
+        finished.append(walked.where("size(needed) = 0"))
+        waiting = walked.where("size(needed) > 0")
+        if waiting.isEmpty():
+            break
+        asked = waiting.select(*TRACE, F.inline("needed"))
+        # Traces of one task share legs; each is looked up once.
+        found = asked.select(*PLACE, "state", "action").distinct().join(seen, [*PLACE, "state", "action"], "left").select(
+            *PLACE, "state", "action", F.struct("state", "action", "next", F.coalesce("ok", F.lit(False)).alias("ok")).alias("_found")
+        )
+        answers = asked.join(found, [*PLACE, "state", "action"]).groupBy(*TRACE).agg(F.collect_list("_found").alias("_legs"))
+        work = waiting.join(answers, TRACE).withColumn("legs", F.concat("legs", "_legs")).select(*walked.columns)
+    rows = reduce(DataFrame.unionByName, finished)
+    return rows.select(
+        *TRACE, F.size("original").alias("original_len"), F.col("actions").alias("normalized_actions"), F.size("actions").alias("normalized_len"),
+        *RULES, "passes", F.get("states", F.size("states") - 1).alias("last_state"),
+    )
+
+
 def unique_traces(records: DataFrame) -> DataFrame:
     """Distinct non-empty prefixes per (task, seed)."""
     return records.filter(F.size("prefix_actions") > 0).select(*PLACE, "prefix_actions").distinct()

@@ -153,6 +153,29 @@ QUERIES["structural_reasons"] = (
         case when event_id % 19 = 0 then 'invalid' end, case when event_id % 19 <> 0 and post_state = pre_state then 'noop' end,
         case when event_id % 19 <> 0 and list_contains(seen, post_state) then 'seen_state' end], lambda x: x is not null)""") + " from cx"),
 )
+# One decision of one trace per turn of the recursion; the lists are cut and joined around its place.
+_CANON = """tr as (select trajectory_id, task_id, seed, list(action order by step_index) as acts,
+     list(pre_state order by step_index) || [arg_max(post_state, step_index)] as sts from steps group by all),
+ cn as (select trajectory_id, task_id, seed, acts as cur, sts as st, 1 as i, false as ch, 0 as ps, 0 as c1, 0 as c2, 0 as c3, 0 as c4, 'go' as r from tr
+   union all select trajectory_id, task_id, seed,
+     case r when 'n' then cur[1:i - 1] || cur[i + 1:] when 'v' then cur[1:i - 1] || cur[i + 2:] when 'b' then cur[1:i] || cur[i + 2:]
+       when 's' then cur[1:i - 1] || [cur[i + 1], cur[i]] || cur[i + 2:] else cur end,
+     case r when 'n' then st[1:i] || st[i + 2:] when 'v' then st[1:i] || st[i + 3:] when 'b' then st[1:i + 1] || st[i + 3:]
+       when 's' then st[1:i] || [t] || st[i + 2:] else st end,
+     case r when 'n' then greatest(i - 1, 1) when 'v' then greatest(i - 1, 1) when 'b' then i when 's' then greatest(i - 1, 1) when 'p' then 1 else i + 1 end,
+     case when r in ('n', 'v', 'b', 's') then true when r = 'p' then false else ch end, ps + (r in ('p', 'end'))::int,
+     c1 + (r = 'n')::int, c2 + (r = 'v')::int, c3 + (r = 'b')::int, c4 + (r = 's')::int, case when r = 'end' then 'end' else 'go' end
+   from (select cn.* exclude (r), x.next_state as t, case when i > len(cur) then case when ch and ps + 1 < 20 then 'p' else 'end' end
+       when st[i] = st[i + 1] then 'n' when i = len(cur) then 'go' when st[i] = st[i + 2] then 'v' when st[i + 1] = st[i + 2] then 'b'
+       when cur[i] > cur[i + 1] and x.next_state is not null and y.next_state = st[i + 2] then 's' else 'go' end as r
+     from cn left join trans x on x.task_id = cn.task_id and x.seed = cn.seed and x.state = st[i] and x.action = cur[i + 1]
+     left join trans y on y.task_id = cn.task_id and y.seed = cn.seed and y.state = x.next_state and y.action = cur[i] where cn.r <> 'end'))"""
+QUERIES["canonical_traces"] = (
+    lambda t: I.canonical_traces(t.steps, t.transitions).drop("passes", "last_state"),
+    O.with_transitions("select " + cols(
+        raw="trajectory_id; task_id", ints="seed; original_len := len(tr.acts); normalized_len := len(cur); remove_noop := c1; remove_inverse_pair := c2;"
+        "remove_absorbed_second := c3; swap_commuting_pair := c4", arrs="normalized_actions := cur") + " from cn join tr using (trajectory_id, task_id, seed) where r = 'end'", _CANON),
+)
 # Without cycles that pay, full updates settle after as many rounds as the longest way to the goal; twelve are more than that.
 _ROUNDS = 12
 
