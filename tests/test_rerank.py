@@ -168,3 +168,42 @@ def test_sign_test_matches_exact(spark):
         else:
             want = min(1.0, 2 * sum(comb(a + b, k) for k in range(min(a, b) + 1)) / 2 ** (a + b))
             assert abs(p - want) < 1e-8 * max(1.0, want)
+
+
+def test_similar_sets_against_all_pairs(spark, monkeypatch):
+    import random
+
+    draw = random.Random(6)
+    words = [f"w{n}" for n in range(14)]
+
+    def some(count):
+        # A word that nearly all sets hold, and groups of near copies.
+        out = []
+        for n in range(count):
+            size = draw.choice([1, 2, 3, 5, 8, 11])
+            tokens = set(draw.sample(words, size)) | ({"hot"} if draw.random() < 0.9 else set())
+            out.append((f"s{n}", draw.choice("xy"), sorted(tokens)))
+        return out
+
+    left, right = some(90), some(160)
+    queries = spark.createDataFrame(left, "query_id string, action string, tokens array<string>")
+    sets = spark.createDataFrame(right, "set_id string, action string, tokens array<string>")
+    for radius in (0.2, 0.5, 0.6, 0.8, 1.0):
+        monkeypatch.setattr(M, "LIST_SETS", draw.choice([3, 5000]))
+        want = set()
+        for q, x, a in left:
+            for s, y, b in right:
+                both = len(set(a) & set(b))
+                if x == y and both / (len(a) + len(b) - both) >= radius - 1e-9:
+                    want.add((q, s, round(both / (len(a) + len(b) - both), 9)))
+        got = [(r["query_id"], r["set_id"], round(r["similarity"], 9)) for r in rows(M.similar_sets(queries, sets, ["action"], radius))]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_nearest_memory_uses_whole_histories_and_ties(spark):
+    long = ["go east"] + [f"step {n}" for n in range(30)]
+    train = prefs(spark, ("t", long, ["a", "b"], "a", "b"), ("t2", ["zzz"], ["a", "b"], "b", "a"), ("t3", ["zzz"], ["a", "b"], "b", "a"))
+    near = one(M.rerank_nn_memory(train, prefs(spark, ("u", long[:-1] + ["step x"], ["b", "a"], "a", "b")), 1))
+    far = one(M.rerank_nn_memory(train, prefs(spark, ("u", ["other"], ["a", "b"], "a", "b")), 1))
+    assert near["ranked_actions"] == ["a", "b"] and far["ranked_actions"] == ["b", "a"]
+    assert one(M.rerank_nn_memory(train.limit(0), prefs(spark, ("u", ["x"], ["a", "b"], "a", "b"))))["ranked_actions"] == ["a", "b"]

@@ -15,7 +15,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import HashingTF, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlens.functions.actions import (
@@ -369,44 +369,93 @@ def rerank_embedding(train: DataFrame, test: DataFrame, size: int = 1 << 12) ->
     return _model_predictions(scored)
 
 
-def rerank_nn_memory(train: DataFrame, test: DataFrame, neighbors: int = 5, depth: int = 8) -> DataFrame:
+def history_tokens(history: Column) -> Column:
+    """Sorted distinct pairs of neighbouring actions, the start and the end of the history included."""
+    ahead = F.concat(history, F.array(F.lit("$")))
+    pairs = F.transform(ahead, lambda action, i: F.concat_ws(">", F.when(i == 0, F.lit("^")).otherwise(F.get(history, i - 1)), action))
+    return F.array_sort(F.array_distinct(pairs))
+
+
+#: Sets with one prefix token that are scanned together; a token with more of them is dealt out.
+LIST_SETS = 5_000
+
+
+def similar_sets(queries: DataFrame, sets: DataFrame, on: list[str], radius: float) -> DataFrame:
+    """All pairs (``query_id, set_id``, similarity) of the same ``on`` columns with a Jaccard similarity of ``radius`` or more.
+
+    Both tables hold an id, the ``on`` columns and ``tokens``. Two sets that alike share one of the first
+    size - ceil(radius * size) + 1 tokens of each, in an order that puts rare tokens first; only these are joined, sizes that cannot
+    reach the radius are passed over, and a pair counts at the first token that both beginnings share. The few lists of many
+    sets are dealt out by a hash, and their queries copied as often.
+    """
+    def exploded(df: DataFrame) -> DataFrame:
+        return df.select(*df.columns, F.explode("tokens").alias("token"))
+
+    both = exploded(queries.select("query_id", "tokens")).select("token").unionByName(exploded(sets.select("set_id", "tokens")).select("token"))
+    held = store(both.groupBy("token").agg(F.count(F.lit(1)).alias("held")))
+
+    def beginnings(df: DataFrame, key: str) -> DataFrame:
+        # A set's tokens come back together; they are bounded by the history they come from.
+        ordered = salted_lookup(exploded(df.select(key, "tokens").distinct()), held, ["token"], [key], how="inner").groupBy(key).agg(
+            F.array_sort(F.collect_list(F.struct("held", "token"))).alias("ordered")
+        )
+        size = F.size("ordered")
+        count = (size - F.ceil(size * F.lit(radius) - 1e-9) + 1).cast("int")
+        first = ordered.select(key, F.transform(F.slice("ordered", F.lit(1), count), lambda x: x["token"]).alias("begin"))
+        return df.join(first, key).select("*", F.explode("begin").alias("token"))
+
+    left, right = beginnings(queries, "query_id"), store(beginnings(sets, "set_id"))
+    key = [*on, "token"]
+    parts = right.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / LIST_SETS).cast("int").alias("parts"))
+    left = left.join(parts, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    right = right.join(parts, key).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")).drop("parts")
+    right = right.withColumnsRenamed({"tokens": "other_tokens", "begin": "other_begin"})
+    pairs = left.join(right, [*key, "part"])
+    small, large = F.least(F.size("tokens"), F.size("other_tokens")), F.greatest(F.size("tokens"), F.size("other_tokens"))
+    pairs = pairs.filter(small >= F.lit(radius) * large - 1e-9).filter(
+        F.get(F.array_intersect("begin", "other_begin"), 0) == F.col("token")
+    )
+    shared = F.size(F.array_intersect("tokens", "other_tokens"))
+    similarity = shared / (F.size("tokens") + F.size("other_tokens") - shared)
+    return pairs.select("query_id", "set_id", *on, similarity.alias("similarity")).filter(F.col("similarity") >= F.lit(radius) - 1e-9)
+
+
+def rerank_nn_memory(train: DataFrame, test: DataFrame, neighbors: int = 5, radius: float = 0.5) -> DataFrame:
     """Votes of the training exemplars with the nearest histories.
 
-    Preferred actions are positive and rejected ones negative exemplars. Nearness is the length of the common
-    history ending, up to ``depth``. For a candidate, the longest ending shared with at least ``neighbors``
-    exemplars of that action decides (all exemplars if there are fewer), by their mean vote. Exemplars are
-    counted per ending first, so this is a lookup of at most ``depth`` + 1 rows per candidate, not a pairing of
-    histories; the short endings everybody shares are spread by a salt.
+    Preferred actions are positive and rejected ones negative exemplars. Nearness is the Jaccard similarity of the
+    histories' :func:`history_tokens`, over whole histories. For a candidate, the exemplars of that action as near as the
+    ``neighbors``-th nearest decide by their mean vote, ties included; none is farther than ``radius``. Without any, all
+    exemplars of the action decide; an action never seen has 0.
+
+    Equal histories are one set with summed votes. See :func:`similar_sets` for the join; nothing is paired beyond it.
     """
-    def endings(df: DataFrame, *keep: str) -> DataFrame:
-        lengths = F.sequence(F.lit(0), F.least(F.size("history"), F.lit(depth)))
-        tail = F.slice("history", F.greatest(F.size("history") - F.col("m") + 1, F.lit(1)), F.col("m"))
-        return df.withColumn("m", F.explode(lengths)).select(*keep, "m", F.array_join(tail, "|").alias("ending"))
-
-    exemplars = train.select(
-        "history",
-        F.explode(
-            F.array(
-                F.struct(F.col("preferred_action").alias("action"), F.lit(1).alias("vote")),
-                F.struct(F.col("rejected_action").alias("action"), F.lit(-1).alias("vote")),
-            )
-        ).alias("r"),
-    ).select("history", "r.action", "r.vote")
-    memory = endings(exemplars, "action", "vote").groupBy("m", "ending", "action").agg(
-        F.sum("vote").alias("votes"), F.count(F.lit(1)).alias("exemplars")
+    def keyed(df: DataFrame, *columns) -> DataFrame:
+        rows = df.withColumn("tokens", history_tokens(F.col("history")))
+        return rows.select(*columns, "tokens", F.sha2(F.array_join("tokens", "|"), 256).alias("id"))
+
+    votes = F.array(
+        F.struct(F.col("preferred_action").alias("action"), F.lit(1).alias("vote")),
+        F.struct(F.col("rejected_action").alias("action"), F.lit(-1).alias("vote")),
     )
-    long = test.select(*STEP, "history", F.posexplode("candidates").alias("pos", "action"))
-    looked = salted_lookup(
-        endings(long, *STEP, "pos", "action"), memory, ["m", "ending", "action"], [*STEP, "pos", "m"],
-        hot=F.col("m") <= 1,
+    exemplars = keyed(train, F.explode(votes).alias("r")).groupBy("id", "r.action").agg(
+        F.any_value("tokens").alias("tokens"), F.sum("r.vote").alias("votes"), F.count(F.lit(1)).alias("exemplars")
     )
-    enough = (F.col("exemplars") >= neighbors) | (F.col("m") == 0)
-    vote = F.struct("votes", "exemplars")
-    best = looked.groupBy(*STEP, "pos", "action").agg(
-        F.max_by(F.when(enough, vote), F.when(enough & F.col("exemplars").isNotNull(), F.col("m"))).alias("v")
+    exemplars = store(exemplars.withColumnRenamed("id", "set_id"))
+    long = store(keyed(test, *STEP, F.posexplode("candidates").alias("pos", "action")).withColumnRenamed("id", "query_id"))
+    queries = long.groupBy("query_id", "action").agg(F.any_value("tokens").alias("tokens"))
+    pairs = similar_sets(queries, exemplars.select("set_id", "action", "tokens"), ["action"], radius)
+    # By value of the similarity, of which there are few, before anything is ranked.
+    near = pairs.join(exemplars.drop("tokens"), ["set_id", "action"]).groupBy("query_id", "action", "similarity").agg(
+        F.sum("votes").alias("votes"), F.sum("exemplars").alias("exemplars")
     )
-    scored = best.withColumn("score", F.coalesce(F.col("v.votes") / F.col("v.exemplars"), F.lit(0.0)))
-    return _model_predictions(scored)
+    down = Window.partitionBy("query_id", "action").orderBy(F.col("similarity").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("_before", F.coalesce(F.sum("exemplars").over(down), F.lit(0))).filter(F.col("_before") < neighbors)
+    near = near.groupBy("query_id", "action").agg((F.sum("votes") / F.sum("exemplars")).alias("score"))
+    overall = exemplars.groupBy("action").agg((F.sum("votes") / F.sum("exemplars")).alias("overall"))
+    scored = long.join(near, ["query_id", "action"], "left")
+    scored = salted_lookup(scored, overall, ["action"], [*STEP, "pos"])
+    return _model_predictions(scored.select(*STEP, "pos", "action", F.coalesce("score", "overall", F.lit(0.0)).alias("score")))
 
 
 # ---------------------------------------------------------------- intervention gate

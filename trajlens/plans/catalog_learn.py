@@ -138,14 +138,20 @@ def _policy(t):
 
 
 QUERIES["support_policy"] = (_policy, None)
-_TT = """tn as (select *, preferred as pref, action as rej from prefs where game_seed % 3 <> 0),
- ex as (select history, pref as a, 1 as v from tn union all select history, rej, -1 from tn),
- en as (select m, array_to_string(history[len(history) - m + 1:], '|') as e, a, v from ex, range(0, 9) r(m) where m <= len(history)),
- me as (select m, e, a, sum(v) as votes, count(*) as n from en group by all),
- te as (select p.task_id, p.seed, p.step_index, p.history, i - 1 as pos, candidates[i] as cand from prefs p, range(1, 6) r(i) where game_seed % 3 = 0),
- tq as (select te.*, m, array_to_string(history[len(history) - m + 1:], '|') as e from te, range(0, 9) r(m) where m <= len(history)),
- tv_ as (select tq.task_id, tq.seed, tq.step_index, pos, cand, arg_max(votes / n, tq.m) filter (where n >= 5 or (tq.m = 0 and n is not null)) as s
-   from tq left join me on me.m = tq.m and me.e = tq.e and me.a = tq.cand group by 1, 2, 3, 4, 5)"""
+_TOKENS = """list_sort(list_distinct(list_transform(range(1, len(history) + 2),
+     lambda i: (case when i = 1 then '^' else history[i - 1] end) || '>' || (case when i = len(history) + 1 then '$' else history[i] end))))"""
+_TT = f"""tn as (select {_TOKENS} as tok, preferred as pref, action as rej from prefs where game_seed % 3 <> 0),
+ ex as (select tok, a, sum(v) as votes, count(*) as n from (select tok, pref as a, 1 as v from tn union all select tok, rej, -1 from tn) group by all),
+ te as (select p.task_id, p.seed, p.step_index, {_TOKENS} as tok, i - 1 as pos, candidates[i] as cand from prefs p, range(1, 6) r(i) where game_seed % 3 = 0),
+ tq as (select distinct tok, cand from te),
+ pr as (select tq.tok, tq.cand, len(list_intersect(tq.tok, ex.tok))::double / (len(tq.tok) + len(ex.tok) - len(list_intersect(tq.tok, ex.tok))) as sim, votes, n
+   from tq join ex on ex.a = tq.cand and len(ex.tok) * 2 >= len(tq.tok) and len(tq.tok) * 2 >= len(ex.tok)),
+ ps as (select tok, cand, sim, sum(votes) as votes, sum(n) as n from pr where sim >= 0.5 - 1e-9 group by all),
+ pk as (select *, coalesce(sum(n) over (partition by tok, cand order by sim desc rows between unbounded preceding and 1 preceding), 0) as b from ps),
+ sc as (select tok, cand, sum(votes) / sum(n) as s from pk where b < 5 group by all),
+ ov as (select a, sum(votes) / sum(n) as o from ex group by a),
+ tv_ as (select te.task_id, te.seed, te.step_index, te.pos, te.cand, coalesce(sc.s, ov.o, 0) as s from te left join sc on sc.tok = te.tok and sc.cand = te.cand
+   left join ov on ov.a = te.cand)"""
 QUERIES["rerank_nn_memory"] = (
     lambda t: M.rerank_nn_memory(*split_preferences(t, history=True), 5),
     O.with_ledger("select " + cols(raw="task_id; abstain := false", ints="seed; step_index; ord := 0", arrs="ranked_actions := list(cand order by coalesce(s, 0) desc, pos)")
