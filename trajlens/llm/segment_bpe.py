@@ -85,9 +85,13 @@ class Splitter:
         return self.alike[sign]
 
     def words(self, text: str) -> list[str]:
-        if text.isascii() or all(map(self._agrees, {sign for sign in set(text) if sign > "\xff"})):
-            return words_of(text)
-        return self.by_library(text)
+        if text.isascii():
+            return _ASCII.findall(text.lower())
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return words_of(text) if all(map(self._agrees, {*text})) else self.by_library(text)
+        return _LATIN.findall(text.lower())
 
 
 class SegmentBpe:
