@@ -184,3 +184,9 @@ def test_every_step_has_one_status_whatever_the_partitioning(spark):
     assert count(direct) == count(shuffled)
     assert direct.count() == t.steps.count() == direct.select("task_id", "seed", "step_index").distinct().count()
     assert direct.filter(F.col("status").isNull()).isEmpty()
+
+
+def test_history_with_and_without_empty_actions(spark):
+    steps = spark.createDataFrame([("t", n, a) for n, a in enumerate(["x", "", None, "y"])], "trajectory_id string, step_index int, action string")
+    assert [r["history"] for r in rows(L.with_history(steps).orderBy("step_index"))][-1] == ["x"]
+    assert [r["history"] for r in rows(L.with_history(steps, keep_empty=True).orderBy("step_index"))][-1] == ["x", "", ""]

@@ -7,6 +7,7 @@ from conftest import one, rows
 from trajlens.functions.tasks import task_attributes
 from trajlens.sources import located
 from trajlens.sources import logs as S
+from trajlens.streaming.stream import run_first_records, stream_trajectories
 
 EPISODE = {"task_id": "games/g_seed3.z8", "seed": 2, "success": True, "steps": [
     {"action": "look", "candidates": ["look", "go"]}, {"action": ""}, {"action": "go", "step_index": 9}]}
@@ -165,3 +166,17 @@ def test_located_lines_stream_takes_each_line_once(spark, tmp_path):
     with file.open("a") as out:
         out.write("ished\nthree\n")
     assert take() == ["one", "three", "two", "unfinished"]
+
+
+def test_stream_keeps_the_first_record_of_a_key(spark, tmp_path):
+    """Copies that differ, in one batch and in later ones: the stream ends with what the batch merge keeps."""
+    schema = "trajectory_id string, task_id string, seed bigint, rollout_seed bigint, game_seed bigint, success boolean, error string"
+    (tmp_path / "feed").mkdir()
+    lines = [{"trajectory_id": f"t{n % 4}", "task_id": "g", "seed": n, "success": n % 2 == 0} for n in range(12)] + [{"trajectory_id": "t9", "task_id": "g", "error": "boom"}]
+    (tmp_path / "feed" / "b.jsonl").write_text("".join(json.dumps(line) + "\n" for line in lines))
+    (tmp_path / "feed" / "a.jsonl").write_text(json.dumps({"trajectory_id": "t3", "task_id": "g", "seed": 77}) + "\n")
+    found = {r["trajectory_id"]: r["seed"] for r in rows(run_first_records(stream_trajectories(spark, str(tmp_path / "feed"), schema)))}
+    assert found == {"t0": 0, "t1": 1, "t2": 2, "t3": 77}
+    (tmp_path / "feed" / "c.jsonl").write_text("no json\n")
+    with pytest.raises(Exception, match="not a record"):
+        run_first_records(stream_trajectories(spark, str(tmp_path / "feed"), schema))

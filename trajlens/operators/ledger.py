@@ -28,12 +28,17 @@ STATUS_COLUMNS = {
 }
 
 
-def with_history(steps: DataFrame) -> DataFrame:
-    """Add the executed actions before each step; an episode is bounded, so its window is too."""
+def with_history(steps: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """Add the executed actions before each step; an episode is bounded, so its window is too.
+
+    Empty and missing actions are left out, as compiling does; the retention and online policy builders count every step,
+    so they want them kept, as empty texts.
+    """
     before = Window.partitionBy("trajectory_id").orderBy("step_index").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    return steps.withColumn("history", F.collect_list(F.nullif("action", F.lit(""))).over(before))
+    action = F.coalesce("action", F.lit("")) if keep_empty else F.nullif("action", F.lit(""))
+    return steps.withColumn("history", F.collect_list(action).over(before))
 
 
 def latest_reports(edits: DataFrame) -> DataFrame:
@@ -221,12 +226,17 @@ def status_counts_map(count_of) -> Column:
     )
 
 
+#: Fields of a nested ledger row, the step first, since rows are sorted by it.
+NESTED_FIELDS = (
+    "step_index", "trajectory_id", "task_id", "seed", "status", "executed_action", "executed_action_norm", "repair_action",
+    "repair_action_norm", "repair_in_candidates", "repair_rank_before", "rejected_rank_before", "candidate_count",
+    "has_logged_candidates", "certificate_level", "repair_suffix_len", "original_outcome", "repaired_outcome", "status_reason",
+)
+
+
 def trajectory_ledger(ledger: DataFrame, trajectories: DataFrame | None = None, nested: bool = True) -> DataFrame:
-    """Counters per trajectory; ``trajectories`` adds those without any step."""
-    row = F.struct(
-        "step_index", "status", "executed_action", "repair_action", "repair_rank_before", "candidate_count",
-        "certificate_level", "repair_suffix_len", "repaired_outcome",
-    )
+    """Counters per trajectory, with its whole ledger rows nested; ``trajectories`` adds those without any step."""
+    row = F.struct(*[name for name in NESTED_FIELDS if name in ledger.columns])
     counts = [
         F.count_if(F.col("status") == status).alias(name) for status, name in STATUS_COLUMNS.items()
     ]

@@ -25,8 +25,9 @@ _REASON = """case status when 'repair_not_in_candidates' then 'verified repair a
  when 'no_candidates_logged' then 'no candidate actions were logged for this step' end as status_reason"""
 
 
-def _ledger_rows(ledger):
+def _ledger_rows(ledger, *more):
     return ledger.select(
+        *more,
         "trajectory_id", "task_id", "seed", "step_index", "status", "executed_action", "executed_action_norm",
         "repair_action", "repair_action_norm", "repair_in_candidates", "repair_rank_before",
         "rejected_rank_before", "candidate_count", "certificate_level", "repair_suffix_len", "original_outcome",
@@ -113,6 +114,12 @@ QUERIES["trajectory_ledger_nested_steps"] = (
     ),
 )
 
+QUERIES["trajectory_ledger_nested_rows"] = (
+    lambda t: _ledger_rows(L.normalize_step_ledger(L.trajectory_ledger(t.ledger("both")).select(
+        "trajectory_id", "task_id", "seed", "outcome", "step_statuses")), "has_logged_candidates"),
+    O.with_ledger(f"select {_LEDGER_COLUMNS}, candidate_count > 0 as has_logged_candidates, {_REASON} from led", "both", None),
+)
+
 QUERIES["preference_summary"] = (
     lambda t: L.preference_summary(t.preferences()),
     O.with_ledger(

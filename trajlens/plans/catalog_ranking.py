@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trajlens.operators import bootstrap as B
 from trajlens.operators import datasets as D
+from trajlens.operators import ledger as L
 from trajlens.operators import ranking as R
 from trajlens.plans import oracle_ctes as O
 from trajlens.plans.catalog_ledger import _BRANCH, multiplicity
@@ -95,7 +96,7 @@ _SKIP = """ret as (select *, case when not success then 'failed_trajectory' when
 
 
 def _retention(t, cap=None):
-    return D.retention_dataset(t.history.withColumn("ord", F.col("event_id")), max_records=cap)
+    return D.retention_dataset(L.with_history(t.steps, keep_empty=True).withColumn("ord", F.col("event_id")), max_records=cap)
 
 
 QUERIES["retention_dataset"] = (

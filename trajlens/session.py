@@ -81,7 +81,11 @@ def input_state(spark: SparkSession, path: str) -> tuple[int, int]:
 
 
 def still_stored(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return still_there(spark, f"{path}/_SUCCESS")
+
+
+def still_there(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
