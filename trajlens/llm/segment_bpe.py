@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 
 from trajlens.llm.common import packed, pieces, remember, ship, unpacked
 
-REMEMBERED_WORDS = 120_000
+REMEMBERED_WORDS = 200_000
 #: Words of so many bytes or more get a tree of their own.
 LONG_WORD = 512
 #: Symbols that rows of trees of one call may hold.
