@@ -370,10 +370,14 @@ def rerank_embedding(train: DataFrame, test: DataFrame, size: int = 1 << 12) ->
 
 
 def history_tokens(history: Column) -> Column:
-    """Sorted distinct pairs of neighbouring actions, the start and the end of the history included."""
+    """Sorted distinct runs of three neighbouring actions, with the start and the end of the history marked."""
     ahead = F.concat(history, F.array(F.lit("$")))
-    pairs = F.transform(ahead, lambda action, i: F.concat_ws(">", F.when(i == 0, F.lit("^")).otherwise(F.get(history, i - 1)), action))
-    return F.array_sort(F.array_distinct(pairs))
+
+    def earlier(i: Column, back: int) -> Column:
+        return F.when(i < back, F.lit("^")).otherwise(F.get(history, i - back))
+
+    runs = F.transform(ahead, lambda action, i: F.concat_ws(">", earlier(i, 2), earlier(i, 1), action))
+    return F.array_sort(F.array_distinct(runs))
 
 
 #: Sets with one prefix token that are scanned together; a token with more of them is dealt out.
@@ -402,19 +406,20 @@ def similar_sets(queries: DataFrame, sets: DataFrame, on: list[str], radius: flo
         size = F.size("ordered")
         count = (size - F.ceil(size * F.lit(radius) - 1e-9) + 1).cast("int")
         first = ordered.select(key, F.transform(F.slice("ordered", F.lit(1), count), lambda x: x["token"]).alias("begin"))
-        return df.join(first, key).select("*", F.explode("begin").alias("token"))
+        return df.join(first, key).select("*", F.posexplode("begin").alias("at", "token"))
 
     left, right = beginnings(queries, "query_id"), store(beginnings(sets, "set_id"))
     key = [*on, "token"]
     parts = right.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / LIST_SETS).cast("int").alias("parts"))
     left = left.join(parts, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     right = right.join(parts, key).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")).drop("parts")
-    right = right.withColumnsRenamed({"tokens": "other_tokens", "begin": "other_begin"})
-    pairs = left.join(right, [*key, "part"])
-    small, large = F.least(F.size("tokens"), F.size("other_tokens")), F.greatest(F.size("tokens"), F.size("other_tokens"))
-    pairs = pairs.filter(small >= F.lit(radius) * large - 1e-9).filter(
-        F.get(F.array_intersect("begin", "other_begin"), 0) == F.col("token")
-    )
+    right = right.withColumnsRenamed({"tokens": "other_tokens", "begin": "other_begin", "at": "other_at"})
+    # Sizes first, then what the places of the shared token leave possible; both are cheap, the sets are compared last.
+    n, m = F.size("tokens"), F.size("other_tokens")
+    most = F.least(n - F.col("at"), m - F.col("other_at"))
+    pairs = left.join(right, [*key, "part"]).filter(F.least(n, m) >= F.lit(radius) * F.greatest(n, m) - 1e-9)
+    pairs = pairs.filter(most >= F.lit(radius) * (n + m - most) - 1e-9)
+    pairs = pairs.filter(F.get(F.array_intersect("begin", "other_begin"), 0) == F.col("token"))
     shared = F.size(F.array_intersect("tokens", "other_tokens"))
     similarity = shared / (F.size("tokens") + F.size("other_tokens") - shared)
     return pairs.select("query_id", "set_id", *on, similarity.alias("similarity")).filter(F.col("similarity") >= F.lit(radius) - 1e-9)
@@ -431,8 +436,10 @@ def rerank_nn_memory(train: DataFrame, test: DataFrame, neighbors: int = 5, radi
     Equal histories are one set with summed votes. See :func:`similar_sets` for the join; nothing is paired beyond it.
     """
     def keyed(df: DataFrame, *columns) -> DataFrame:
-        rows = df.withColumn("tokens", history_tokens(F.col("history")))
-        return rows.select(*columns, "tokens", F.sha2(F.array_join("tokens", "|"), 256).alias("id"))
+        rows = df.withColumn("_runs", history_tokens(F.col("history")))
+        # As numbers of 64 bits the sets are quick to compare.
+        numbers = F.transform("_runs", lambda run: F.xxhash64(run)).alias("tokens")
+        return rows.select(*columns, numbers, F.sha2(F.array_join("_runs", "|"), 256).alias("id"))
 
     votes = F.array(
         F.struct(F.col("preferred_action").alias("action"), F.lit(1).alias("vote")),

@@ -138,8 +138,8 @@ def _policy(t):
 
 
 QUERIES["support_policy"] = (_policy, None)
-_TOKENS = """list_sort(list_distinct(list_transform(range(1, len(history) + 2),
-     lambda i: (case when i = 1 then '^' else history[i - 1] end) || '>' || (case when i = len(history) + 1 then '$' else history[i] end))))"""
+_TOKENS = """list_sort(list_distinct(list_transform(range(1, len(history) + 2), lambda i: (case when i <= 2 then '^' else history[i - 2] end) || '>'
+     || (case when i = 1 then '^' else history[i - 1] end) || '>' || (case when i = len(history) + 1 then '$' else history[i] end))))"""
 _TT = f"""tn as (select {_TOKENS} as tok, preferred as pref, action as rej from prefs where game_seed % 3 <> 0),
  ex as (select tok, a, sum(v) as votes, count(*) as n from (select tok, pref as a, 1 as v from tn union all select tok, rej, -1 from tn) group by all),
  te as (select p.task_id, p.seed, p.step_index, {_TOKENS} as tok, i - 1 as pos, candidates[i] as cand from prefs p, range(1, 6) r(i) where game_seed % 3 = 0),
