@@ -161,3 +161,19 @@ def test_replicates_are_the_same_law_whatever_the_buckets(spark):
         assert abs(sums["value"].mean() / 300 - mean) < 5 * (variance / 300 / 800) ** 0.5
         assert abs(sums["value"].var() / (300 * variance) - 1) < 0.2
     assert B.replicate_sums(clusters.limit(0), 3, 0, "multinomial").where("replicate >= 0").count() == 0
+
+
+def test_values_at_any_rank(spark):
+    import random
+
+    from trajlens.operators import runs
+
+    draw = random.Random(2)
+    for values in ([5], [3, 3, 9], [draw.randrange(-(2**63), 2**63) for _ in range(300)], [draw.randrange(20) for _ in range(500)]):
+        counts = spark.createDataFrame([(v, 1) for v in values], "value bigint, n bigint").groupBy("value").sum("n").withColumnRenamed("sum(n)", "n")
+        ranks = sorted({0, len(values) // 2, len(values) - 1, draw.randrange(len(values))})
+        ordered = sorted(values)
+        assert runs.values_at(counts, ranks) == {rank: ordered[rank] for rank in ranks}
+    frame = spark.createDataFrame([(v,) for v in [1, 2, 3, 10, None]], "x int")
+    assert one(runs.number_summary(frame, "x")) == {"mean": 4.0, "median": 2.5, "p90": 10.0}
+    assert one(runs.number_summary(frame.limit(0), "x")) == {"mean": 0.0, "median": 0.0, "p90": 0.0}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trajlens.functions.ranks import rank_of, ratio_or_null, safe_div
 from trajlens.operators.bootstrap import bootstrap_delta
+from trajlens.session import store
 
 RECENT = 4
 
@@ -359,36 +360,60 @@ def rl_run_summary(summaries: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- whole-run report
 
+#: Ranges that an interval of values is cut into per pass of a rank selection.
+RANGES = 256
+
+
+def values_at(counts: DataFrame, ranks: list[int]) -> dict[int, int]:
+    """The values at 0-based places of the sorted multiset ``value, n`` (integers), exactly.
+
+    Every pass counts what falls into ``RANGES`` equal ranges of each place's interval and goes on in the range that holds it,
+    so a pass brings a few hundred numbers to the driver whatever the number of values, and 64 bits take eight passes at most.
+    """
+    bounds = counts.agg(F.min("value").alias("low"), F.max("value").alias("high")).first()
+    # Place -> lowest and highest value it can have, and how many values lie below.
+    spans = {rank: (bounds["low"], bounds["high"], 0) for rank in ranks}
+    while any(low < high for low, high, _ in spans.values()):
+        open_spans = sorted({span for span in spans.values() if span[0] < span[1]})
+        hits = F.array_compact(F.array(*[
+            F.when(
+                F.col("value").between(low, high),
+                F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"),
+                         F.expr(f"(cast(value as decimal(20, 0)) - {low}) div {(high - low) // RANGES + 1}").cast("int").alias("range")),
+            )
+            for low, high, _ in open_spans
+        ]))
+        held: dict[tuple[int, int], dict[int, int]] = {}
+        for row in counts.select("n", F.inline(hits)).groupBy("low", "high", "range").agg(F.sum("n").alias("n")).collect():
+            held.setdefault((row["low"], row["high"]), {})[row["range"]] = row["n"]
+        for rank, (low, high, below) in spans.items():
+            if low == high:
+                continue
+            width = (high - low) // RANGES + 1
+            for place in sorted(held[low, high]):
+                count = held[low, high][place]
+                if below + count > rank:
+                    spans[rank] = (low + place * width, min(low + (place + 1) * width - 1, high), below)
+                    break
+                below += count
+    return {rank: low for rank, (low, _, _) in spans.items()}
+
+
 def number_summary(df: DataFrame, column: str) -> DataFrame:
-    """Mean, median and nearest-rank 90 % point of an integer column.
+    """Mean, median and nearest-rank 90 % point of an integer column; zeros where it has no value.
 
-    Values are counted first, so the ordered part works on distinct values only.
+    Values are counted and written once; the points are selected by :func:`values_at`, so no sorted list is ever in one place.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(
-        F.coalesce(F.sum(F.col("value") * F.col("n")) / F.nullif(F.sum("n").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.percentile("value", 0.5, F.col("n")), F.lit(0.0)).alias("median"),
-        F.sum("n").alias("total"),
-        F.array_sort(F.collect_list(F.struct("value", "n"))).alias("_counts"),
-    ).select(
-        "mean",
-        "median",
-        F.coalesce(
-            F.aggregate(
-                "_counts",
-                F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("hit")),
-                lambda acc, item: F.struct(
-                    (acc["seen"] + item["n"]).alias("seen"),
-                    F.coalesce(
-                        acc["hit"],
-                        F.when(acc["seen"] + item["n"] > F.bround(F.lit(0.9) * (F.col("total") - 1)), item["value"].cast("double")),
-                    ).alias("hit"),
-                ),
-                lambda acc: acc["hit"],
-            ),
-            F.lit(0.0),
-        ).alias("p90"),
-    )
+    values = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("bigint").alias("value"))
+    counts = store(values.groupBy("value").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n").alias("n"), F.sum(F.col("value") * F.col("n")).alias("sum")).first()
+    mean = median = p90 = 0.0
+    if total["n"]:
+        n = total["n"]
+        low, high, far = (n - 1) // 2, n // 2, round(0.9 * (n - 1))
+        found = values_at(counts, sorted({low, high, far}))
+        mean, median, p90 = total["sum"] / n, (found[low] + found[high]) / 2, float(found[far])
+    return df.sparkSession.createDataFrame([(mean, median, p90)], "mean double, median double, p90 double")
 
 
 def run_report(
