@@ -459,3 +459,54 @@ def test_long_words_are_quick_and_right():
     start = time.perf_counter()
     coder.encode("".join(draw.choice("etaoinshrdlu") for _ in range(200_000)))
     assert time.perf_counter() - start < 20
+
+
+def test_empty_tables_give_empty_results(spark):
+    none = table(spark, [])
+    fields = [("source", F.col("source")), ("body", F.col("text"))]
+    assert token_counts.field_token_counts(none, P.path(queries.BYTE_RANKS), P.PATTERN, fields).count() == 0
+    assert media_columns.describe(media_columns.media_table(none)).count() == 0
+    assert segment_bpe.encoded_digests(none, WORDS).count() == 0
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.mixing, corpus_pipeline.tokenization):
+        assert stage(spark, none, FOLDER).count() == 0
+
+
+def test_media_features_against_a_plain_count(spark):
+    texts = [*ODD, "abc" * 700]
+    stored = media_columns.media_table(table(spark, texts))
+    rows = {row["id"]: row for row in media_columns.describe(stored).collect()}
+    for n, text in enumerate(texts):
+        raw = (text or "").encode()
+        payload = list(raw) + [255] * (-len(raw) % 576 if raw else 576)
+        mean = sum(payload) / len(payload)
+        spread = (sum((value - mean) ** 2 for value in payload) / len(payload)) ** 0.5
+        shares = [payload.count(value) / len(payload) for value in set(payload)]
+        entropy = -sum(share * np.log2(share) for share in shares)
+        found = [float(part) for part in rows[n]["feature"].split(" ")]
+        assert np.allclose(found[:3], [mean, spread, entropy], atol=0.002)
+        assert found[3:] == [sum(value // 16 == part for value in payload) * 1000 // len(payload) for part in range(16)]
+        assert rows[n]["tail_crc32"] == zlib.crc32(bytes(payload[-32:])) and rows[n]["payload_bytes"] == len(payload)
+
+
+def test_pipeline_stages_of_their_own(spark):
+    """Mixing keeps whole rows, once per epoch drawn; tokenization gives one row per row, as the library does."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    given = {row["doc_id"]: tuple(row) for row in docs.collect()}
+    mixed = corpus_pipeline.mixing(spark, docs, FOLDER)
+    assert mixed.columns == docs.columns
+    drawn = [tuple(row) for row in mixed.collect()]
+    assert drawn and all(given[row[0]] == row for row in drawn)
+    budget = {row["doc_id"]: 0 for row in source_mixing.mix(docs, queries.MIX_WEIGHTS).collect()}
+    assert {row[0] for row in drawn} == set(budget)
+    library = Tokenizer.from_file(WORDS)
+    library.no_truncation()
+    library.no_padding()
+    few = docs.orderBy("n_chars").limit(30)
+    found = {row["doc_id"]: row for row in corpus_pipeline.tokenization(spark, few, FOLDER).collect()}
+    assert len(found) == 30
+    for row in few.collect():
+        ids = library.encode(row["text"] or "", add_special_tokens=False).ids
+        assert found[row["doc_id"]]["n_tokens"] == len(ids)
+        assert found[row["doc_id"]]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert found[row["doc_id"]]["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
