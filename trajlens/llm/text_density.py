@@ -6,7 +6,7 @@ has the density
     C / T * log_base(C / LC * T / LT),   base = ln(C / (C - LC) * LC + LC_body / C_body * C + e)
 
 (characters per tag, adjusted by links; counts below one count as one). Nodes are rated by the sum of their children's
-densities. The lowest density between the best node and the body is the threshold; from the body down, every node
+densities, markup inside a line of text (links, bold and the like) not counting as a child. The lowest density between the best node and the body is the threshold; from the body down, every node
 above it marks its best descendant, whose subtree is taken. Elements that hold no article text by their kind (menus,
 forms, scripts and the like; a header only outside of an article) and hidden ones are left out of tree and text. Class and id
 names raise doubts. A subtree named as an advert, a notice or comments is left out, whatever its size, unless it alone
@@ -77,7 +77,7 @@ _SCOPE = frozenset("body article main section div td th table ul ol dl blockquot
 
 class _Node:
     __slots__ = (
-        "tag", "parent", "children", "out", "doubt", "link", "block", "article", "c", "t", "lc", "lt", "density", "total", "best", "marked"
+        "tag", "parent", "children", "out", "doubt", "link", "block", "article", "flat", "c", "t", "lc", "lt", "density", "total", "best", "marked"
     )
 
     def __init__(self, tag: str, parent: _Node | None, out: bool, link: bool):
@@ -87,6 +87,8 @@ class _Node:
         #: The nearest node, itself included, that an optional end tag could close or that it must not cross.
         self.block = self if parent is None or tag in _SCOPE or tag in _CLOSED_BY else parent.block
         self.article = tag in ("article", "main") or parent is not None and parent.article
+        #: Markup of a line of text, without blocks inside.
+        self.flat = False
         self.children: list[_Node | str] = []
         self.c = self.t = self.lc = self.lt = 0
         self.density = self.total = 0.0
@@ -217,6 +219,7 @@ def _rate(root: _Node, nodes: list[_Node]) -> _Node:
                 node.t += child.t + 1
                 node.lc += child.lc
                 node.lt += child.lt + (child.tag == "a")
+        node.flat = (node.tag in _INLINE or node.tag == "br") and all(isinstance(child, str) or child.flat for child in node.children)
     body = next((node for node in nodes if node.tag == "body"), root)
     linked = max(body.lc, 1) / max(body.c, 1)
     for node in reversed(nodes):
@@ -224,9 +227,11 @@ def _rate(root: _Node, nodes: list[_Node]) -> _Node:
             c, t, lc, lt = node.c, max(node.t, 1), max(node.lc, 1), max(node.lt, 1)
             base = log(c / max(c - node.lc, 1) * lc + linked * c + e)
             node.density = c / t * log(max(c / lc * t / lt, 1.0)) / log(max(base, 1.0001)) if base > 1 else 0.0
-        node.total = sum(child.density for child in node.children if not isinstance(child, str)) or node.density
-        for child in node.children:
-            if not isinstance(child, str) and child.best.total > node.best.total:
+        # Markup inside a line is no place of its own: it would raise a paragraph over the article that holds it.
+        inner = [child for child in node.children if not isinstance(child, str) and not child.flat]
+        node.total = sum(child.density for child in inner) or node.density
+        for child in inner:
+            if child.best.total > node.best.total:
                 node.best = child.best
     return body
 
