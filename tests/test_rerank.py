@@ -207,3 +207,26 @@ def test_nearest_memory_uses_whole_histories_and_ties(spark):
     far = one(M.rerank_nn_memory(train, prefs(spark, ("u", ["other"], ["a", "b"], "a", "b")), 1))
     assert near["ranked_actions"] == ["a", "b"] and far["ranked_actions"] == ["b", "a"]
     assert one(M.rerank_nn_memory(train.limit(0), prefs(spark, ("u", ["x"], ["a", "b"], "a", "b"))))["ranked_actions"] == ["a", "b"]
+
+
+def test_pairwise_training_ends_at_the_minimum(spark):
+    import random
+
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    draw = random.Random(4)
+    data = [(draw.choice([1.0, 0.4]), [draw.gauss(0.3 * k, 1.0) for k in range(4)]) for _ in range(300)]
+    frame = spark.createDataFrame(data, "weight double, delta array<double>")
+    at, worst = M.newton_pairwise(frame, 4, 1e-3)
+    x, w = np.array([d for _, d in data]), np.array([v for v, _ in data])
+    gradient = -(w / (1 + np.exp(x @ at))) @ x / w.sum() + 1e-3 * at
+    assert worst <= 1e-9 and np.abs(gradient).max() < 1e-8
+    both = frame.select("weight", "delta", F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("s")).select(
+        "weight", F.when(F.col("s") > 0, 1.0).otherwise(0.0).alias("label"), array_to_vector(F.transform("delta", lambda v: v * F.col("s"))).alias("features"))
+    other = LogisticRegression(regParam=1e-3, fitIntercept=False, standardization=False, weightCol="weight", maxIter=200, tol=1e-12).fit(both)
+    assert np.allclose(other.coefficients.toArray(), at, atol=1e-4)
+    nothing, none = M.newton_pairwise(frame.limit(0), 4, 1e-3)
+    assert none == 0.0 and not nothing.any()
