@@ -26,7 +26,7 @@ from trajlens.llm.segment_bpe import Splitter, byte_symbols
 from trajlens.session import shared_folder
 
 END_ID = 1
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 600_000
 MASK = 0xA282EAD8
 #: Bytes whose checksums are made together.
 BLOCK = 2048
