@@ -461,6 +461,15 @@ def test_long_words_are_quick_and_right():
     assert time.perf_counter() - start < 20
 
 
+def test_words_remembered_bound_memory_not_results(spark):
+    file = open(WORDS, "rb").read()
+    small, usual = segment_bpe.SegmentBpe(file, 5), segment_bpe.SegmentBpe(file)
+    for text in (f"word{a} word{b} qx{a}z{b}" for a in range(6) for b in range(6)):
+        assert small.encode(text) == usual.encode(text) and len(small.known) <= 5 + 6 + len(small.always)
+    few = segment_bpe.encoded_digests(table(spark, ODD), WORDS, remembered=3, chars=10).collect()
+    assert sorted(few) == sorted(segment_bpe.encoded_digests(table(spark, ODD), WORDS).collect())
+
+
 def test_empty_tables_give_empty_results(spark):
     none = table(spark, [])
     fields = [("source", F.col("source")), ("body", F.col("text"))]

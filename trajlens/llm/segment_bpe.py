@@ -97,10 +97,12 @@ class Splitter:
 class SegmentBpe:
     """Encoder and decoder of one tokenizer file."""
 
-    def __init__(self, file: bytes):
+    def __init__(self, file: bytes, remembered: int | None = None):
         spec = json.loads(file)
-        self.splitter = Splitter(file.decode())
         model = spec["model"]
+        # The library normalizes and splits only, and so needs no merges.
+        self.splitter = Splitter(json.dumps(spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": []}))
+        self.remembered = remembered or REMEMBERED_WORDS
         self.suffix = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
         self.special = {token["content"]: token["id"] for token in spec["added_tokens"]}
@@ -240,7 +242,7 @@ class SegmentBpe:
 
     def learn(self, words: set[str]) -> None:
         """Have the encodings of these words at hand. Of older words, those used since the last turn stay."""
-        if len(self.known) + len(words) > REMEMBERED_WORDS:
+        if len(self.known) + len(words) > self.remembered:
             self.older, self.known = self.known, dict(self.always)
         missing = words - self.known.keys()
         again = missing & self.older.keys()
@@ -282,16 +284,17 @@ class SegmentBpe:
         return out.decode("utf-8", "replace").rstrip(" ")
 
 
-def _loaded(file) -> SegmentBpe:
-    """One coder per worker and tokenizer file."""
+def _loaded(file, remembered: int | None = None) -> SegmentBpe:
+    """One coder per worker, tokenizer file and number of words remembered."""
     remember(_coders)
-    if file.id not in _coders:
+    key = file.id, remembered
+    if key not in _coders:
         _coders.clear()
-        _coders[file.id] = SegmentBpe(file.value)
-    return _coders[file.id]
+        _coders[key] = SegmentBpe(file.value, remembered)
+    return _coders[key]
 
 
-_coders: dict[int, SegmentBpe] = {}
+_coders: dict[tuple[int, int | None], SegmentBpe] = {}
 
 
 def tokenizer_file(df: DataFrame, path: str):
@@ -311,10 +314,10 @@ class _File:
         return self.held.value
 
 
-def _texts(file: _File):
+def _texts(file: _File, remembered: int | None = None, chars: int = 1_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _loaded(file)
-        for batch in pieces(batches, "text", 1_000_000):
+        coder = _loaded(file, remembered)
+        for batch in pieces(batches, "text", chars):
             parts = [coder.pre_tokens(text or "") for text in batch.column("text").to_pylist()]
             coder.learn({word for words in parts for word in words})
             counts, ids, texts = [], [], []
@@ -351,14 +354,18 @@ def _whole(file: _File):
     return run
 
 
-def encoded_digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encoded_digests(
+    docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", remembered: int | None = None,
+    chars: int = 1_000_000,
+) -> DataFrame:
     """Per row: id, ``n_tokens``, and digests of the ids and of the decoded text. Null texts count as empty (0 tokens);
-    repeated rows, long words and long texts are encoded whole."""
+    repeated rows, long words and long texts are encoded whole. ``remembered`` words and texts of ``chars`` at a time bound
+    a worker's memory, not the result."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     file = _File(tokenizer_file(docs, path))
-    out = rows.mapInArrow(_texts(file), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = rows.mapInArrow(_texts(file, remembered, chars), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_column)
 
 
