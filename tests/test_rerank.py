@@ -200,6 +200,20 @@ def test_similar_sets_against_all_pairs(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_similar_sets_go_through_the_join_once_whatever_their_keys(spark, monkeypatch):
+    # Nine keys fit one row, so the set is one row per token of its beginning.
+    kept = []
+    monkeypatch.setattr(M, "store", lambda df: kept.append(df) or df)
+    tokens = [f"t{n}" for n in range(8)]
+    table = spark.createDataFrame([("s", f"k{n}", tokens) for n in range(9)] + [("s", None, tokens)], "id string, action string, tokens array<string>")
+    queries, sets = table.withColumnRenamed("id", "query_id"), table.withColumnRenamed("id", "set_id")
+    found = M.similar_sets(queries, sets, ["action"], 0.5)
+    assert sorted(r["action"] for r in rows(found)) == [f"k{n}" for n in range(9)]
+    assert [df.count() for df in kept if "at" in df.columns] == [5]
+    monkeypatch.setattr(M, "ROW_KEYS", 2)
+    assert sorted(map(tuple, rows(M.similar_sets(queries, sets, ["action"], 0.5)))) == sorted(map(tuple, rows(found)))
+
+
 def test_nearest_memory_uses_whole_histories_and_ties(spark):
     long = ["go east"] + [f"step {n}" for n in range(30)]
     train = prefs(spark, ("t", long, ["a", "b"], "a", "b"), ("t2", ["zzz"], ["a", "b"], "b", "a"), ("t3", ["zzz"], ["a", "b"], "b", "a"))
