@@ -117,6 +117,16 @@ def test_prior_controller(spark):
     assert got["x"]["reasons"] == ["invalid"] and got["x"]["score"] == -98.0 and got["b"]["rank"] == 1 and got["n"]["reasons"] == []
 
 
+def test_prior_shuffles_no_history_with_candidates(spark):
+    context = spark.createDataFrame([("g", 0, 0, 1, None, [], [1], [], ["p"], [9.0], [4])], CONTEXT)
+    table = spark.createDataFrame([("g", 0, 1, "p", 2, True)], "task_id string, seed bigint, state int, action string, next_state int, valid boolean")
+    plan = G.rerank_prior(context, table)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(n for n, line in enumerate(plan) if "Join" in line)
+    # What the join reads is projected first; neither list is in it.
+    carried = next(line for line in plan[join + 1 :] if "Project" in line)
+    assert "seen_states" in carried and not [line for line in plan[: join + 1] if "history" in line or "admissible" in line]
+
+
 def test_verified_proposals_and_replay(spark):
     context = spark.createDataFrame([("g", 0, 0, 1, None, [], [1], [], ["p", "q", "r", "w"], [9.0, 8.0, 7.0, 6.0], [4, 1, 2, 3])], CONTEXT)
     branches = spark.createDataFrame([("g", 0, 1, "p", True, 4), ("g", 0, 1, "q", True, 6), ("g", 0, 1, "r", True, 2), ("g", 0, 1, "w", False, 13)],
