@@ -60,3 +60,22 @@ def test_suffixes(spark):
     ], "s array<string>, adm array<string>")
     assert [r[0] for r in frame.select(U.adapt_suffix(F.col("s"), F.col("adm"))).collect()] == [
         ["teleport to hall", "x"], ["open door to hall", "look"], ["look at jar"], ["wait"], []]
+
+
+def test_texts_are_read_once_per_row(spark):
+    frame = spark.createDataFrame([(["take key", "Drop  KEY!"], ["take key"], "find key")], "pool array<string>, history array<string>, goal string")
+    found = frame.select(A.rank_pool(F.col("pool"), F.col("history"), F.col("goal"), "progress").alias("r"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(goal") == 1
+    assert plan.count("slice(history") <= 2
+    weights = {"recent_repeat": 1.0, "semantic_undo": 1.5, "overlap_bonus": 0.7, "off_objective": 0.9, "static": 0.5}
+    got = frame.select(F.transform("pool", lambda a: A.structural_penalty(a, F.col("history"), F.col("goal"), **weights))).first()[0]
+    assert got == [1.0 - 0.7 * 0.5, 1.5 - 0.7 * 0.5]
+
+
+def test_undo_of_odd_texts(spark):
+    data = [
+        ("put a in on b", "take a"), ("take  red-key from box", "drop red key"), ("open", "close"), ("GO NORTH", "go south"), ("lock", "unlock"),
+        ("take Ä-x", "drop ä x"), ("open a  b", "close a b"), ("unlock the door", "lock a the"), ("take from box", "drop"), ("", ""),
+    ]
+    assert pairs(spark, A.is_semantic_undo, data) == [True, True, True, True, False, True, False, False, False, False]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlens.functions.actions import normalize_action, rank_pool, structural_penalty
+from trajlens.functions.actions import bound, judged_actions, judged_penalty, normalize_action, penalty_terms, rank_pool
 from trajlens.functions.ranks import rank_of, safe_div, step_candidates_strict
 from trajlens.functions.spread import global_index, hash_text, salted_lookup
 from trajlens.functions.tasks import parent_name, path_stem, seed_in_name
@@ -187,18 +187,20 @@ def shaped_rewards(
     **penalties: float,
 ) -> Column:
     """Map candidate → reward: discounted place in the policy, gold bonus, minus structural penalties."""
-    reverse = F.reverse(policy)
+    judged = judged_actions(candidates, history, objective, penalty_terms(**penalties))
 
-    def reward(action: Column) -> Column:
-        from_end = F.array_position(reverse, action)
-        place = F.when(from_end > 0, F.size(policy) - from_end + 1)
-        return (
-            F.coalesce(F.lit(suffix_reward) / place, F.lit(0.0))
-            + F.when(action == F.get(policy, 0), gold_reward).otherwise(0.0)
-            - structural_penalty(action, history, objective, **penalties)
-        )
+    def rewards(reverse: Column) -> Column:
+        def reward(item: Column) -> Column:
+            place = F.size(reverse) - F.nullif(F.array_position(reverse, item["action"]), F.lit(0)) + 1
+            return (
+                F.coalesce(F.lit(suffix_reward) / place, F.lit(0.0))
+                + F.when(item["action"] == F.get(reverse, F.size(reverse) - 1), gold_reward).otherwise(0.0)
+                - judged_penalty(item, **penalties)
+            )
+
+        return F.transform(judged, reward)
 
-    return F.map_from_arrays(candidates, F.transform(candidates, reward))
+    return F.map_from_arrays(candidates, bound(F.reverse(policy), rewards))
 
 
 def online_policy_states(states: DataFrame, pool_limit: int, max_depth: int, force_gold: bool) -> DataFrame:

@@ -118,10 +118,8 @@ OVER = f"""ov as (select cd.*, {_OBJ_SQL} as goal from cd),
      - (case when cand like 'go %' then 0.3 else 0 end) as penalty from ox)"""
 PENALTIES = dict(recent_repeat=1.0, inverse=2.0, static=0.5, semantic_undo=1.5, overlap_bonus=0.7, navigation_bonus=0.3, off_objective=0.9)
 QUERIES["candidate_priorities"] = (
-    lambda t: t.history.select(*KEY, "history", F.expr(OBJECTIVE).alias("objective"), F.posexplode("candidates").alias("pos", "cand")).select(
-        *KEY, "pos", A.objective_overlap(F.col("cand"), F.col("objective")).alias("overlap"),
-        A.pool_priority(F.col("cand"), F.col("history"), F.col("objective")).alias("priority"),
-        A.structural_penalty(F.col("cand"), F.col("history"), F.col("objective"), **PENALTIES).alias("penalty")),
+    lambda t: t.history.select(*KEY, F.inline(A.judged_actions(F.col("candidates"), F.col("history"), F.expr(OBJECTIVE)))).select(
+        *KEY, "pos", "overlap", A.judged_priority(F.struct("*")).alias("priority"), A.judged_penalty(F.struct("*"), **PENALTIES).alias("penalty")),
     O.with_history("select " + cols(raw="trajectory_id", ints="step_index; pos := pos - 1", dbls="overlap; priority := prio; penalty") + " from op", UNDO, CAND, OVER),
 )
 QUERIES["rank_pool"] = (
