@@ -1,4 +1,5 @@
 from conftest import one, rows
+from pyspark.sql import functions as F
 
 from trajlens.operators import bootstrap as B
 from trajlens.operators import datasets as D
@@ -177,3 +178,24 @@ def test_values_at_any_rank(spark):
     frame = spark.createDataFrame([(v,) for v in [1, 2, 3, 10, None]], "x int")
     assert one(runs.number_summary(frame, "x")) == {"mean": 4.0, "median": 2.5, "p90": 10.0}
     assert one(runs.number_summary(frame.limit(0), "x")) == {"mean": 0.0, "median": 0.0, "p90": 0.0}
+
+
+def test_multinomial_draws_are_never_rows(spark):
+    from hashlib import md5
+
+    data = [(f"c{i}", i % 7, None if i % 3 else i / 4) for i in range(300)]
+    clusters = spark.createDataFrame(data, "cluster string, n int, part double")
+    sums = B.multinomial_sums(clusters, 20, 5, capacity=64)
+    assert "explode(sequence" not in sums._jdf.queryExecution().analyzed().toString()
+    order = sorted(data, key=lambda row: (md5(row[0].encode()).hexdigest(), row[0]))
+    want = {b: [0, 0.0] for b in range(20)}
+    for b, bucket, draws in B.bucket_draws(spark, 300, 3, 20, 5).collect():
+        items = order[bucket * 300 >> 3 : (bucket + 1) * 300 >> 3]
+        for j in range(draws):
+            row = items[int(md5(f"5:{b}:{bucket}:{j}".encode()).hexdigest()[:15], 16) % len(items)]
+            want[b][0] += row[1]
+            want[b][1] += row[2] or 0.0
+    assert {r["replicate"]: [r["n"], round(r["part"], 6)] for r in sums.collect()} == {b: [n, round(p, 6)] for b, (n, p) in want.items()}
+    assert B.multinomial_sums(clusters.limit(0), 20, 5).count() == 0
+    empty = B.multinomial_sums(clusters.withColumn("part", F.lit(None).cast("double")), 3, 5).collect()
+    assert len(empty) == 3 and all(r["part"] is None for r in empty)

@@ -7,7 +7,10 @@ rows only, and every metric is computed from the weighted sums of a replicate.
 from __future__ import annotations
 
 import math
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from trajlens.functions.ranks import ratio_or_null, safe_div
 from trajlens.functions.spread import global_index, hash_draw, hash_text
 from trajlens.operators.ledger import decomposition_metrics, decomposition_stats
 from trajlens.operators.ranking import evaluate_ranking, ranking_sums
-from trajlens.session import store
+from trajlens.session import ship_package, store
 
 DECOMPOSITION_METRICS = (
     "certified_misranking_step_rate",
@@ -113,27 +116,70 @@ def bucket_draws(spark: SparkSession, clusters: int, levels: int, iterations: in
     return rows
 
 
+def _sums_of_draws(statistics: dict[str, str], iterations: int, seed: int):
+    """Draws of whole buckets and their sums per replicate; a task keeps one row of sums per replicate, whatever it reads."""
+    dtypes = [np.int64 if kind == "bigint" else np.float64 for kind in statistics.values()]
+
+    def run(batches):
+        totals = [np.zeros(iterations, dtype) for dtype in dtypes]
+        seen = [np.zeros(iterations, np.int64) for _ in dtypes]
+        places: list[bytes] = []
+        buckets = 0
+        for batch in batches:
+            buckets += batch.num_rows
+            for row in range(batch.num_rows):
+                bucket = batch.column("bucket")[row].as_py()
+                items, draws = batch.column("items")[row].values, batch.column("draws")[row].values
+                replicates, counts = draws.field("replicate").to_numpy(), draws.field("draws").to_numpy()
+                places += [b"%d" % n for n in range(len(places), int(counts.max()))]
+                found = bytearray()
+                for replicate, count in zip(replicates.tolist(), counts.tolist(), strict=True):
+                    start = b"%d:%d:%d:" % (seed, replicate, bucket)
+                    found += b"".join([md5(start + place).digest() for place in places[:count]])
+                # The first 60 bits of each digest, as in :func:`hash_draw`.
+                drawn = (np.frombuffer(found, ">u8")[::2] >> np.uint64(4)) % np.uint64(len(items))
+                cell = np.repeat(np.arange(len(counts)), counts) * len(items) + drawn.astype(np.int64)
+                weights = np.bincount(cell, minlength=len(counts) * len(items)).reshape(len(counts), len(items))
+                for name, dtype, total, known in zip(statistics, dtypes, totals, seen, strict=True):
+                    column = items.field(name)
+                    total[replicates] += weights @ column.fill_null(0).to_numpy(zero_copy_only=False).astype(dtype)
+                    known[replicates] += weights @ column.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+        if not buckets:
+            return
+        arrays = [pa.array(total, mask=known == 0) for total, known in zip(totals, seen, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(iterations, dtype=np.int32)), *arrays], ["replicate", *statistics])
+
+    return run
+
+
 def multinomial_sums(clusters: DataFrame, iterations: int, seed: int, capacity: int = BUCKET_CLUSTERS) -> DataFrame:
     """Sums per replicate over exactly n draws with replacement among n clusters.
 
     Clusters are numbered and kept in buckets of at most ``capacity``; how many draws a bucket gets comes from
     :func:`bucket_draws`, and the draws are made where the bucket's clusters are. What is shuffled is one small row per bucket and
-    replicate, and one row of sums per task and replicate; single draws are not.
+    replicate, and one row of sums per task and replicate; single draws are never rows. Statistics are whole numbers or doubles.
     """
-    statistics = [name for name in clusters.columns if name != "cluster"]
+    ship_package(clusters.sparkSession)
+    whole = ("tinyint", "smallint", "int", "bigint")
+    statistics = {name: "bigint" if kind in whole else "double" for name, kind in clusters.dtypes if name != "cluster"}
     numbered = store(global_index(clusters, hash_text(F.col("cluster")), F.col("cluster")))
     count = numbered.count()
     levels = max(0, math.ceil(math.log2(max(count, 1) / capacity)))
     # At most ``capacity`` small rows in an array.
     buckets = numbered.select(
         F.expr(f"((_index + 1) * {1 << levels} - 1) div {max(count, 1)}").alias("bucket"),
-        F.struct("_index", *statistics).alias("item"),
+        F.struct("_index", *[F.col(name).cast(kind).alias(name) for name, kind in statistics.items()]).alias("item"),
     ).groupBy("bucket").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    drawn = bucket_draws(clusters.sparkSession, count, levels, iterations, seed).where("draws > 0").join(buckets, "bucket")
-    text = F.concat_ws(":", F.lit(str(seed)), "replicate", "bucket", "draw")
-    one = drawn.select("replicate", "bucket", "items", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("draws") - 1)).alias("draw"))
-    one = one.select("replicate", F.get("items", hash_draw(text, F.size("items")).cast("int")).alias("item"))
-    return one.groupBy("replicate").agg(*[F.sum(f"item.{name}").alias(name) for name in statistics])
+    # At most one pair of numbers per replicate in an array.
+    drawn = bucket_draws(clusters.sparkSession, count, levels, iterations, seed).where("draws > 0").groupBy("bucket").agg(
+        F.collect_list(F.struct("replicate", "draws")).alias("draws")
+    )
+    # Buckets are few bytes but much work: the number of tasks is given.
+    tasks = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = buckets.join(drawn, "bucket").repartition(min(tasks, 1 << levels), "bucket")
+    schema = ", ".join(["replicate int", *[f"`{name}` {kind}" for name, kind in statistics.items()]])
+    sums = rows.mapInArrow(_sums_of_draws(statistics, iterations, seed), schema)
+    return sums.groupBy("replicate").agg(*[F.sum(name).alias(name) for name in statistics])
 
 
 def replicate_sums(clusters: DataFrame, iterations: int, seed: int, method: str) -> DataFrame:
