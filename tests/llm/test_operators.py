@@ -176,6 +176,42 @@ def test_webp_transforms_round_trip():
             assert (webp.decode(webp.encode(image, **options)) == image).all(), options
 
 
+def test_media_files_choose_references_and_transforms():
+    draw = np.random.default_rng(1)
+    passage = draw.integers(32, 127, 700)
+    pairs = np.repeat(draw.integers(0, 256, (24, 2)), 192, axis=0)
+    samples = {
+        "references": np.resize(passage, 8 * 576),
+        "palette": draw.integers(0, 2, 8 * 576) * 200,
+        "predictor": np.cumsum(draw.integers(-2, 3, (8, 576)), axis=1).reshape(-1) & 255,
+        "cache": pairs[np.arange(8 * 576), draw.integers(0, 2, 8 * 576)],
+        "groups": np.concatenate([draw.integers(0, 20, 4 * 576), draw.integers(128, 228, 4 * 576)]),
+    }
+    tiles = [value.astype(np.uint8) for value in samples.values()]
+    files = dict(zip(samples, webp.encode_samples(tiles, 576), strict=True))
+    for file, tile in zip(webp.decode_samples(list(files.values())), tiles, strict=True):
+        assert (file == tile).all()
+    assert len(files["references"]) < 1000
+
+    def made(name, **options):
+        grey = samples[name].astype(np.uint8).reshape(8, 576)
+        return webp.encode(np.stack([np.full_like(grey, 255), grey, grey, grey], axis=-1), **options)
+
+    assert files["palette"] == made("palette", palette=True)
+    assert files["predictor"] == made("predictor", green=True, predictor=(1,), cell_bits=9)
+    assert files["cache"] in [made("cache", green=True, cache_bits=bits) for bits in (2, 4)]
+    assert files["groups"] == made("groups", green=True, group_bits=2, groups=[0] * 144 + [1] * 144)
+
+
+def test_media_references_are_where_the_bytes_repeat(spark):
+    texts = [*ODD, "x" * 20_000, "one two three four " * 3 + "five " * 40 + "one two three four", "".join(map(chr, range(300))) * 40]
+    payloads = [media_columns.payload_of(text) for text in texts]
+    media = media_columns.to_media(payloads)
+    assert media_columns.to_payloads(media) == payloads
+    for value, payload in zip(media, payloads, strict=True):
+        assert b"".join(webp.decode(file)[..., 2].tobytes() for file in media_columns.files_of(value)) == payload
+
+
 def test_media_round_trip(spark):
     texts = [*ODD, "\x00\x01" * 9000, "ß" * 700, "abc" * 192]
     payloads = [media_columns.payload_of(text) for text in texts]

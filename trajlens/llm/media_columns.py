@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from trajlens.llm.common import keep, pieces, ship
 from trajlens.llm.webp import decode_samples, encode_samples
 
-UNIT, TILE_ROWS = 576, 16
+UNIT, TILE_ROWS, TOGETHER = 576, 16, 256
 FILL = 255
 TAIL = 32
 
@@ -42,7 +42,9 @@ def files_of(media: bytes) -> list[bytes]:
 def to_media(payloads: list[bytes]) -> list[bytes]:
     step = UNIT * TILE_ROWS
     tiles = [np.frombuffer(p[at : at + step], np.uint8) for p in payloads for at in range(0, len(p), step)]
-    files, out, at = encode_samples(tiles, UNIT), [], 0
+    # Tiles are encoded some at a time, so that the memory of a long text does not grow with it.
+    files = [file for at in range(0, len(tiles), TOGETHER) for file in encode_samples(tiles[at : at + TOGETHER], UNIT)]
+    out, at = [], 0
     for payload in payloads:
         count = -(-len(payload) // step)
         out.append(b"".join(files[at : at + count]))

@@ -498,15 +498,14 @@ def _tokens(pixels: list[int], width: int, cache_bits: int, references: bool) ->
 
 def _write_pixels(
     writer: BitWriter, pixels: np.ndarray, width: int, height: int, main: bool, cache_bits: int = 0, references: bool = False,
-    group_bits: int = 0,
+    group_bits: int = 0, groups: Sequence[int] = (0, 1),
 ) -> None:
     writer.write(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
     across, group_count = _cells(width, group_bits), 1
     if main:
         writer.write(bool(group_bits), 1)
         if group_bits:
-            # Two groups in turns.
-            cells = np.arange(across * _cells(height, group_bits)) % 2
+            cells = np.resize(np.array(groups), across * _cells(height, group_bits))
             group_count = int(cells.max()) + 1
             writer.write(group_bits - 2, 3)
             _write_pixels(writer, cells << 8, across, _cells(height, group_bits), False)
@@ -514,7 +513,7 @@ def _write_pixels(
     counts = [[[0] * size for size in sizes] for _ in range(group_count)]
     stream, at = [], 0
     for token in _tokens(pixels.tolist(), width, cache_bits, references):
-        group = ((at // width >> group_bits) * across + (at % width >> group_bits)) % 2 if group_count > 1 else 0
+        group = int(cells[(at // width >> group_bits) * across + (at % width >> group_bits)]) if group_count > 1 else 0
         if token[0] == "pixel":
             parts = [(0, token[1] >> 8 & 255, 0, 0), (1, token[1] >> 16 & 255, 0, 0), (2, token[1] & 255, 0, 0), (3, token[1] >> 24, 0, 0)]
             at += 1
@@ -551,11 +550,12 @@ def _begin(writer: BitWriter, width: int, height: int, alpha: bool) -> None:
 
 def encode(
     image: np.ndarray, palette: bool = False, predictor: Sequence[int] = (), cross: Sequence[tuple[int, int, int]] = (), green: bool = False,
-    cache_bits: int = 0, references: bool = True, group_bits: int = 0, cell_bits: int = 2,
+    cache_bits: int = 0, references: bool = True, group_bits: int = 0, cell_bits: int = 2, groups: Sequence[int] = (0, 1),
 ) -> bytes:
     """A WebP file of a (height, width, 4) array (alpha, red, green, blue).
 
-    ``predictor`` gives modes and ``cross`` (green to red, green to blue, red to blue) factors, used in turns by cells.
+    ``predictor`` gives modes, ``cross`` (green to red, green to blue, red to blue) factors and ``groups`` the groups of prefix
+    codes, used in turns by cells.
     """
     height, width = image.shape[:2]
     pixels = _packed(image.astype(np.int64)).reshape(-1)
@@ -594,15 +594,13 @@ def encode(
         channels[:, 3] -= channels[:, 2]
         pixels = _packed(channels)
     writer.write(0, 1)
-    _write_pixels(writer, pixels, width, height, True, cache_bits, references, group_bits)
+    _write_pixels(writer, pixels, width, height, True, cache_bits, references, group_bits, groups)
     return file_of(writer.bytes())
 
 
 # --- many one-channel images ------------------------------------------------------------------------------------------
 
 _ALPHABET = LITERALS + LENGTHS
-#: A copy of the pixel before: distance 1 is the second near distance.
-_BEFORE = prefix_of(2)[0]
 #: Orders of bytes by frequency in Latin-script text: plain, with accents (UTF-8), in capitals. What is not named
 #: follows, accents before the rest.
 _ORDERS = (
@@ -612,21 +610,29 @@ _ORDERS = (
 )
 #: Bits by which a shared code may exceed the entropy, relative and absolute, before an image gets its own code.
 _TOLERANCE, _OWN_HEAD = 1.15, 400
+#: Samples by which references are found, the shortest reference and the longest.
+_WINDOW, _SHORTEST, _LONGEST = 8, 12, 4096
+#: Predictors and sizes of the colour cache that are weighed for each image.
+_MODES, _CACHES = (1, 2, 7, 12), (2, 4)
+#: An image leaves the plain form if another is estimated below this share of its bits and saves as many at least.
+_WORTH, _SAVED = 0.95, 200
+#: Bands of four rows between which a second group of prefix codes may begin; further rows belong to the last.
+_BANDS = 4
 
 
 class _Code:
-    """A prefix code of the coded channel, and the file head that announces it."""
+    """Prefix codes of the coded channel and of distances, and the file head that announces them."""
 
-    def __init__(self, counts: Sequence[int]):
-        lengths = code_lengths(counts)
+    def __init__(self, counts: Sequence[int], distances: Sequence[int]):
+        parts = [code_lengths(counts), code_lengths(distances)]
         writer = BitWriter()
         writer.write(1 | GREEN << 1, 3)
         writer.write(0, 3)  # no more transforms, no cache, one group
-        for part in (lengths, [1], [1], [0] * 255 + [1], [0] * _BEFORE + [1]):
+        for part in (parts[0], [1], [1], [0] * 255 + [1], parts[1]):
             write_code(writer, part)
         self.head, self.head_bits = writer.bits()
-        self.codes = canonical(lengths)
-        self.lengths = lengths if sum(map(bool, lengths)) > 1 else [0] * _ALPHABET
+        self.codes = canonical(parts[0]) + canonical(parts[1])
+        self.lengths = [size for part in parts for size in (part if sum(map(bool, part)) > 1 else [0] * len(part))]
 
 
 def _shared_codes() -> list[_Code]:
@@ -637,73 +643,227 @@ def _shared_codes() -> list[_Code]:
         counts = [0] * _ALPHABET
         for rank, byte in enumerate(ranked):
             counts[byte] = max(2, int(4000 * 2 ** (-rank / 6)))
-        counts[LITERALS:] = [2] * LENGTHS
-        out.append(_Code(counts))
+        # Short references are common, long ones are not.
+        counts[LITERALS:] = [2] * 6 + [200] * 4 + [20] * 4 + [2] * (LENGTHS - 14)
+        # Distances grow up to the size of an image.
+        out.append(_Code(counts, [1] * 12 + [2, 2, 4, 4, 8, 8, 16, 16, 16, 16, 8, 8, 8, 8] + [1] * (DISTANCES - 26)))
     return out
 
 
 _SHARED = _shared_codes()
-_SHARED_LENGTHS = np.array([code.lengths[:LITERALS] for code in _SHARED], np.float64).T
+_SHARED_LENGTHS = np.array([code.lengths for code in _SHARED], np.float64).T
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`prefix_of` of many values."""
+    less = values - 1
+    high = np.frexp(np.maximum(less, 1).astype(float))[1] - 1
+    more = np.maximum(high - 1, 0)
+    small = values <= 4
+    symbol = np.where(small, less, 2 * high + (less >> more & 1))
+    return symbol, np.where(small, 0, less & (1 << more) - 1), np.where(small, 0, more)
+
+
+def _references(samples: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(start, length, distance) of repeats inside each image, in order and without overlap.
+
+    A place is matched with the last one before it that has the same window; places next to each other with the same distance
+    make one reference, which is at least ``_SHORTEST`` samples long.
+    """
+    total = len(samples)
+    window = np.ndarray((total,), "<u8", np.concatenate([samples, np.zeros(_WINDOW, np.uint8)]), 0, (1,)).copy()
+    place = np.flatnonzero(ends[owner] - np.arange(total) >= _WINDOW)
+    key = owner[place].astype(np.uint64) << np.uint64(40) | window[place] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)
+    order = np.argsort(key, kind="stable")
+    place, key = place[order], key[order]
+    same = np.flatnonzero((key[1:] == key[:-1]) & (window[place[1:]] == window[place[:-1]]))
+    back = np.zeros(total + 1, np.int64)
+    back[place[same + 1]] = place[same + 1] - place[same]
+    change = np.flatnonzero(np.diff(back, prepend=0))
+    size = np.diff(change, append=total) + _WINDOW - 1
+    found = (back[change] > 0) & (size >= _SHORTEST)
+    out, done = [], 0
+    for start, length, distance in zip(change[found].tolist(), size[found].tolist(), back[change[found]].tolist(), strict=True):
+        start, stop = max(start, done), start + length
+        if stop - start >= _SHORTEST:
+            out += [(at, min(_LONGEST, stop - at), distance) for at in range(start, stop, _LONGEST)]
+            done = stop
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def _uncovered(copies: np.ndarray, total: int) -> np.ndarray:
+    """Places outside all references."""
+    cover = np.zeros(total + 1, np.int64)
+    np.add.at(cover, copies[:, 0], 1)
+    np.add.at(cover, copies[:, 0] + copies[:, 1], -1)
+    return np.flatnonzero(np.cumsum(cover[:-1]) == 0)
+
+
+def _entropy(owner: np.ndarray, symbols: np.ndarray, images: int, alphabet: int) -> np.ndarray:
+    """Bits of each image's symbols under an ideal code of its own."""
+    return _bits(np.bincount(owner * alphabet + symbols, minlength=alphabet * images).reshape(images, alphabet))
+
+
+def _bits(held: np.ndarray) -> np.ndarray:
+    total = np.maximum(held.sum(axis=1), 1)
+    return total * np.log2(total) - (held * np.log2(np.maximum(held, 1))).sum(axis=1)
+
+
+def _cached(symbols: np.ndarray, owner: np.ndarray, bits: int) -> np.ndarray:
+    """Symbols with a colour cache: pixels that their slot holds become the slot's symbol."""
+    grey = np.arange(LITERALS, dtype=np.int64)
+    # What is cached is what is coded after subtract-green: opaque pixels with green only.
+    slots = ((CACHE_FACTOR * (255 << 24 | grey << 8) & 0xFFFFFFFF) >> (32 - bits)).astype(np.int64)[symbols]
+    key = owner << bits | slots
+    # Keys of 16 bits are sorted by counting.
+    key = key.astype(np.uint16) if int(owner[-1] + 1) << bits <= 1 << 16 else key
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    hit = np.zeros(len(symbols), bool)
+    hit[order[1:]] = (ordered[1:] == ordered[:-1]) & (symbols[order[1:]] == symbols[order[:-1]])
+    return np.where(hit, LITERALS + slots, symbols)
+
+
+def _guessed(samples: np.ndarray, at: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """Residuals of many one-channel images under one predictor; ``at`` is the place in the image."""
+    def before(count: int) -> np.ndarray:
+        return np.concatenate([np.zeros(count, samples.dtype), samples[:-count]])[: len(samples)]
+
+    left, top, corner = before(1), before(width), before(width + 1)
+    guess = {1: left, 2: top, 7: left + top >> 1, 12: np.clip(left + top - corner, 0, 255)}[mode]
+    guess = np.where(at < width, left, np.where(at % width == 0, top, guess))
+    return samples - np.where(at == 0, 0, guess) & 0xFF
+
+
+def _choices(symbols: np.ndarray, owner: np.ndarray, sizes: np.ndarray, width: int, literal: np.ndarray) -> dict[int, list[dict]]:
+    """Forms other than the plain one that are worth trying, by image, from estimates of the bits of their literals.
+
+    Estimated are the predictors, colour caches, a second group of prefix codes and, for at most sixteen colours, the palette,
+    whose pixels share bytes.
+    Cross-colour is not: after subtract-green a grey image has no red and blue to be predicted. More than sixteen colours
+    leave a palette's indices with the entropy of the samples, so that only its table is added.
+    """
+    images = len(sizes)
+    at = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    who, what, small = owner[literal], symbols[literal], symbols.astype(np.int16)
+    held = np.bincount(owner * LITERALS + symbols, minlength=LITERALS * images).reshape(images, LITERALS)
+    plain = _entropy(who, what, images, LITERALS)
+    limit = np.minimum(plain * _WORTH, plain - _SAVED)
+    out: dict[int, list[dict]] = {}
+
+    def offer(numbers: np.ndarray, option) -> None:
+        for number in np.flatnonzero(numbers).tolist():
+            out.setdefault(number, []).append(option(number))
+
+    offer(((held > 0).sum(axis=1) <= 16) & (plain > _SAVED), lambda _number: {"palette": True})
+    for mode in _MODES:
+        rest = _guessed(small, at, width, mode)[literal]
+        offer(_entropy(who, rest, images, LITERALS) < limit, lambda _number, mode=mode: {"green": True, "predictor": (mode,), "cell_bits": 9})
+    for bits in _CACHES:
+        rest = _cached(symbols, owner, bits)[literal]
+        offer(_entropy(who, rest, images, LITERALS + (1 << bits)) < limit, lambda _number, bits=bits: {"green": True, "cache_bits": bits})
+    # Two groups of prefix codes, before and after a band of rows.
+    band = who * _BANDS + np.minimum(at[literal] // width >> 2, _BANDS - 1)
+    held = np.bincount(band * LITERALS + what, minlength=LITERALS * _BANDS * images).reshape(images, _BANDS, LITERALS)
+    least, split = plain, np.zeros(images, np.int64)
+    for place in range(1, _BANDS):
+        parts = _bits(held[:, :place].sum(axis=1)) + _bits(held[:, place:].sum(axis=1))
+        least, split = np.minimum(least, parts), np.where(parts < least, place, split)
+    across = _cells(width, 2)
+
+    def banded(number: int) -> dict:
+        rows = np.arange(_cells(int(sizes[number]) // width, 2))
+        return {"green": True, "group_bits": 2, "groups": np.repeat((rows >= split[number]).astype(int), across)}
+
+    offer(least + _OWN_HEAD < limit, banded)
+    return out
 
 
 def encode_samples(images: Sequence[np.ndarray], width: int) -> list[bytes]:
-    """Grey WebP files of one-channel images (flat arrays of whole rows).
+    """Grey WebP files of one-channel images (flat arrays of whole rows), each in the smallest of the forms tried for it.
 
-    Subtract-green leaves one coded channel. The run of equal samples at an image's end becomes a back-reference. An
-    image takes the best of a few shared prefix codes, or one of its own where that is clearly shorter.
+    The plain form is subtract-green, which leaves one coded channel, with back-references and the best of a few shared
+    prefix codes, or codes of its own where they are clearly shorter; it is made for all images at once. Images for which
+    :func:`_choices` expects less of another form are encoded by :func:`encode` as well.
     """
     if not images:
         return []
-    literals, copies = [], []
-    for image in images:
-        last = np.flatnonzero(image != image[-1])
-        tail = len(image) - (int(last[-1]) + 1 if len(last) else 0)
-        copied = tail - 1 if tail > 4 else 0
-        literals.append(image[: len(image) - copied])
-        parts = []
-        while copied:
-            parts.append(prefix_of(min(copied, 4096)))
-            copied -= min(copied, 4096)
-        copies.append(parts)
-    counts = np.array([len(part) for part in literals])
-    owner = np.repeat(np.arange(len(images)), counts)
-    symbols = np.concatenate(literals).astype(np.int64)
-    held = np.bincount(owner * LITERALS + symbols, minlength=LITERALS * len(images)).reshape(-1, LITERALS)
+    sizes = np.array([len(image) for image in images])
+    owner = np.repeat(np.arange(len(images)), sizes)
+    samples = np.concatenate(images)
+    symbols = samples.astype(np.int64)
+    copies = _references(samples, owner, np.cumsum(sizes))
+    literal = _uncovered(copies, len(samples))
+    out = _plain_files(symbols, owner, sizes, width, copies, literal)
+    for number, options in _choices(symbols, owner, sizes, width, literal).items():
+        grey = images[number].reshape(-1, width)
+        image = np.stack([np.full_like(grey, 255), grey, grey, grey], axis=-1)
+        out[number] = min([out[number], *(encode(image, **option) for option in options)], key=len)
+    return out
+
+
+def _plain_files(
+    symbols: np.ndarray, owner: np.ndarray, sizes: np.ndarray, width: int, copies: np.ndarray, literal: np.ndarray
+) -> list[bytes]:
+    images = len(sizes)
+    start, length, distance = copies.T
+    near = {distance_of(code, width): code for code in range(len(NEAR), 0, -1)}
+    known = np.zeros(int(distance.max(initial=0)) + 1, np.int64)
+    for value, code in near.items():
+        if value < len(known):
+            known[value] = code
+    coded = np.where(known[distance] > 0, known[distance], distance + len(NEAR))
+    (size_symbol, size_extra, size_bits), (far_symbol, far_extra, far_bits) = _prefixes(length), _prefixes(coded)
+    # Items in the order of the stream: a literal is one, a reference four (length, its extra bits, distance, its extra bits).
+    weight = np.zeros(len(symbols), np.int64)
+    weight[literal], weight[start] = 1, 4
+    first = np.cumsum(weight) - weight
+    kept, copier = owner[literal], owner[start]
+    total = _ALPHABET + DISTANCES
+    held = np.bincount(
+        np.concatenate([kept * total + symbols[literal], copier * total + LITERALS + size_symbol, copier * total + _ALPHABET + far_symbol]),
+        minlength=total * images,
+    ).reshape(images, total)
     shared = held @ _SHARED_LENGTHS
     choice = shared.argmin(axis=1)
-    share = np.maximum(held, 1e-9) / counts[:, None]
-    least = -(held * np.log2(share)).sum(axis=1)
-    own = np.flatnonzero(shared.min(axis=1) > _TOLERANCE * least + _OWN_HEAD)
+    least = _bits(held[:, :_ALPHABET]) + _bits(held[:, _ALPHABET:])
     codes = list(_SHARED)
-    for number in own.tolist():
-        mine = np.concatenate([held[number], np.zeros(LENGTHS, np.int64)])
-        for symbol, _extra, _bits in copies[number]:
-            mine[LITERALS + symbol] += 1
+    for number in np.flatnonzero(shared.min(axis=1) > _TOLERANCE * least + _OWN_HEAD).tolist():
         choice[number] = len(codes)
-        codes.append(_Code(mine.tolist()))
-    code = np.array([c.codes for c in codes], np.uint64).reshape(-1)
+        mine = held[number].tolist()
+        codes.append(_Code(mine[:_ALPHABET], mine[_ALPHABET:]))
+    code = np.array([c.codes for c in codes], np.int64).reshape(-1)
     size = np.array([c.lengths for c in codes], np.int64).reshape(-1)
-    slot = choice[owner] * _ALPHABET + symbols
-    bits = size[slot]
+    items = int(weight.sum())
+    value, bits = np.zeros(items, np.int64), np.zeros(items, np.int64)
+    for place, who, symbol in ((literal, kept, symbols[literal]), (start, copier, LITERALS + size_symbol)):
+        slot = choice[who] * total + symbol
+        value[first[place]], bits[first[place]] = code[slot], size[slot]
+    slot = choice[copier] * total + _ALPHABET + far_symbol
+    for more, (values, widths) in enumerate(((size_extra, size_bits), (code[slot], size[slot]), (far_extra, far_bits)), 1):
+        value[first[start] + more], bits[first[start] + more] = values, widths
+    # The code of a single symbol is empty.
+    value = np.where(bits > 0, value, 0).astype(np.uint64)
+    holder = np.repeat(owner, weight)
     ends = np.cumsum(bits)
-    until = np.concatenate([[0], ends])[np.cumsum(counts)]
+    until = np.concatenate([[0], ends])[np.cumsum(np.bincount(holder, minlength=images))]
     before = np.concatenate([[0], until[:-1]])
     starts = []
     heads: dict[tuple[int, int], tuple[int, int]] = {}
-    for number, image in enumerate(images):
-        key = (int(choice[number]), len(image) // width)
+    for number in range(images):
+        key = (int(choice[number]), int(sizes[number]) // width)
         if key not in heads:
             writer = BitWriter()
             _begin(writer, width, key[1], False)
-            first, at = writer.bits()
-            heads[key] = (first | codes[key[0]].head << at, at + codes[key[0]].head_bits)
+            opening, at = writer.bits()
+            heads[key] = (opening | codes[key[0]].head << at, at + codes[key[0]].head_bits)
         starts.append(heads[key])
-    start = np.array([at for _value, at in starts])
+    begin = np.array([at for _value, at in starts])
     # Every image begins at a word of its own.
-    room = (start + (until - before) + 40 * np.array([len(part) for part in copies]) + 127) // 32
+    room = (begin + (until - before) + 127) // 32
     base = np.concatenate([[0], np.cumsum(room)])
-    at = ends - bits + (32 * base[:-1] + start - before)[owner]
-    value = code[slot] << (at & 31).astype(np.uint64)
+    at = ends - bits + (32 * base[:-1] + begin - before)[holder]
+    value = value << (at & 31).astype(np.uint64)
     # Bits of different symbols never overlap, so sums stand for unions.
     words = np.bincount(at >> 5, (value & np.uint64(0xFFFFFFFF)).astype(float), int(base[-1]) + 1)
     words += np.bincount((at >> 5) + 1, (value >> np.uint64(32)).astype(float), int(base[-1]) + 1)
@@ -712,12 +872,7 @@ def encode_samples(images: Sequence[np.ndarray], width: int) -> list[bytes]:
     for number, (head, size_of_head) in enumerate(starts):
         end = size_of_head + int(until[number] - before[number])
         body = int.from_bytes(raw[4 * int(base[number]) : 4 * int(base[number + 1])], "little") | head
-        mine = codes[choice[number]]
-        for symbol, extra, more in copies[number]:
-            length = mine.lengths[LITERALS + symbol]
-            body |= ((mine.codes[LITERALS + symbol] if length else 0) | extra << length) << end
-            end += length + more
-        out.append(file_of(body.to_bytes(-(-end // 8), "little")))
+        out.append(file_of(body.to_bytes(4 * int(room[number]), "little")[: -(-end // 8)]))
     return out
 
 
