@@ -172,6 +172,31 @@ def test_canonical_traces_against_every_order(spark):
     assert sum(row["swap_commuting_pair"] for row in found.values()) > 20
 
 
+def test_canonical_traces_of_small_places_walk_once(spark, monkeypatch):
+    states = [("s", "c", "p"), ("p", "b", "q"), ("q", "a", "r"), ("s", "b", "u"), ("u", "c", "q"), ("u", "a", "v"), ("v", "c", "r"), ("s", "a", "w"),
+              ("w", "b", "v"), ("p", "a", "x"), ("x", "b", "r")]
+    steps = spark.createDataFrame(
+        [(f"t{n}", "k", n, i, a, b, c) for n in range(3) for i, (b, a, c) in enumerate(states[:3])],
+        "trajectory_id string, task_id string, seed bigint, step_index int, action string, pre_state string, post_state string")
+    # The log of the last trace has no legs but the trace's own.
+    moved = spark.createDataFrame(
+        [("k", n, b, a, c, 0.0, False, True) for n in range(3) for b, a, c in (states if n < 2 else states[:3])],
+        "task_id string, seed bigint, state string, action string, next_state string, reward double, done boolean, valid boolean")
+    written = []
+    monkeypatch.setattr(I, "store", lambda df, kept=I.store: written.append(df) or kept(df))
+
+    def found():
+        written.clear()
+        return {r["trajectory_id"]: (r["normalized_actions"], r["swap_commuting_pair"]) for r in rows(I.canonical_traces(steps, moved))}
+
+    at_once = found()
+    assert at_once == {"t0": (["a", "b", "c"], 3), "t1": (["a", "b", "c"], 3), "t2": (["c", "b", "a"], 0)}
+    # The legs, and one walk.
+    assert len(written) == 2
+    monkeypatch.setattr(I, "PLACE_LEGS", 4)
+    assert found() == at_once and len(written) > 2
+
+
 def test_canonical_traces_keep_invalid_steps_and_unseen_orders(spark):
     steps = spark.createDataFrame(
         [("t", "g", 0, 0, "b", "0", "1", True), ("t", "g", 0, 1, "a", "1", "2", True), ("u", "g", 0, 0, "b", "0", "0", False), ("u", "g", 0, 1, "a", "0", "0", True)],
