@@ -254,3 +254,14 @@ def test_pairwise_training_ends_at_the_minimum(spark):
     assert np.allclose(other.coefficients.toArray(), at, atol=1e-4)
     nothing, none = M.newton_pairwise(frame.limit(0), 4, 1e-3)
     assert none == 0.0 and not nothing.any()
+
+
+def test_tree_training_holds_equal_rows_once(spark, monkeypatch):
+    many = [(f"g{n}", ["look"], ["look", "open door", "go west"], "open door", "look") for n in range(30)]
+    frame = prefs(spark, *many, ("h", [], ["take key", "look", "go west"], "take key", "look"))
+    seen = []
+    monkeypatch.setattr(M, "_fit", lambda estimator, data, fit=M._fit: seen.append(data.collect()) or fit(estimator, data))
+    ranked = {r["task_id"]: r["ranked_actions"] for r in rows(M.rerank_classifier(frame, frame, "tree"))}
+    # One row for each candidate of the two kinds of steps, with the number of its copies.
+    assert sorted(row["weight"] for row in seen[0]) == [1.0] * 3 + [30.0] * 3
+    assert ranked["g7"][0] == "open door" and ranked["h"][0] == "take key"
