@@ -265,3 +265,15 @@ def test_tree_training_holds_equal_rows_once(spark, monkeypatch):
     # One row for each candidate of the two kinds of steps, with the number of its copies.
     assert sorted(row["weight"] for row in seen[0]) == [1.0] * 3 + [30.0] * 3
     assert ranked["g7"][0] == "open door" and ranked["h"][0] == "take key"
+
+
+def test_policy_rows_hold_equal_steps_once(spark):
+    kinds = [(["look"], ["look", "open door", "go west"], "open door", "look"), ([], ["take key", "look"], "take key", "look")]
+    few = prefs(spark, *[(f"g{n}", *kind) for n, kind in enumerate(kinds)])
+    many = prefs(spark, *[(f"g{n}", *kinds[n % 2]) for n in range(40)])
+    assert sorted(r["steps"] for r in rows(M._policy_rows(many, M.FEATURES))) == [20, 20]
+    one_each, copies = M.train_support_policy(few, few, epochs=3), M.train_support_policy(many, many, epochs=3)
+    assert all(abs(one_each[name] - copies[name]) < 1e-12 for name in M.FEATURES) and any(one_each.values())
+    uneven = [kinds[0]] * 3 + [kinds[1]]
+    skewed = M.train_support_policy(prefs(spark, *[(f"g{n}", *kind) for n, kind in enumerate(uneven)]), epochs=3)
+    assert any(abs(one_each[name] - skewed[name]) > 1e-3 for name in M.FEATURES)
