@@ -1,4 +1,5 @@
 from conftest import one, rows
+from pyspark.ml.feature import Tokenizer
 from pyspark.sql import functions as F
 
 from trajlens.operators import learn as M
@@ -262,8 +263,8 @@ def test_tree_training_holds_equal_rows_once(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(M, "_fit", lambda estimator, data, fit=M._fit: seen.append(data.collect()) or fit(estimator, data))
     ranked = {r["task_id"]: r["ranked_actions"] for r in rows(M.rerank_classifier(frame, frame, "tree"))}
-    # One row for each candidate of the two kinds of steps, with the number of its copies.
-    assert sorted(row["weight"] for row in seen[0]) == [1.0] * 3 + [30.0] * 3
+    # One row for each candidate of the two kinds of steps, with the number of its copies; the last candidate is the same in both.
+    assert sorted(row["weight"] for row in seen[0]) == [1.0, 1.0, 30.0, 30.0, 31.0]
     assert ranked["g7"][0] == "open door" and ranked["h"][0] == "take key"
 
 
@@ -277,3 +278,21 @@ def test_policy_rows_hold_equal_steps_once(spark):
     uneven = [kinds[0]] * 3 + [kinds[1]]
     skewed = M.train_support_policy(prefs(spark, *[(f"g{n}", *kind) for n, kind in enumerate(uneven)]), epochs=3)
     assert any(abs(one_each[name] - skewed[name]) > 1e-3 for name in M.FEATURES)
+
+
+def test_joint_words_are_those_of_the_whole_text(spark):
+    frame = prefs(
+        spark, ("g A", ["Go  west", "look "], ["Open door", "take\tkey ", "", " x", "Élan\n\n"], "look", "look"), ("h", [], ["look"], "look", "look"),
+    ).withColumn("context", M.context_text(F.col("task_id"), F.col("history"), F.col("candidates")))
+    found = frame.select("task_id", F.posexplode(M.joint_words(F.col("context"), F.col("candidates"))).alias("pos", "words"))
+    texts = frame.select("task_id", "context", F.posexplode("candidates").alias("pos", "action"))
+    whole = Tokenizer(inputCol="text", outputCol="words").transform(texts.withColumn("text", M.joint_text(F.col("context"), F.col("action"))))
+    assert {(r["task_id"], r["pos"]): r["words"] for r in rows(found)} == {(r["task_id"], r["pos"]): r["words"] for r in rows(whole)}
+
+
+def test_embedding_training_keeps_no_texts(spark, monkeypatch):
+    frame = prefs(spark, *[(f"g{n}", ["look"], ["look", "open door"], "open door", "look") for n in range(20)])
+    kept = []
+    monkeypatch.setattr(M, "_fit", lambda estimator, data, fit=M._fit: kept.append(data.columns) or fit(estimator, data))
+    assert {tuple(r["ranked_actions"]) for r in rows(M.rerank_embedding(frame, frame))} == {("open door", "look")}
+    assert not any("text" in columns or "words" in columns for columns in kept)
