@@ -225,6 +225,28 @@ def test_similar_sets_go_through_the_join_once_whatever_their_keys(spark, monkey
     assert sorted(map(tuple, rows(M.similar_sets(queries, sets, ["action"], 0.5)))) == sorted(map(tuple, rows(found)))
 
 
+def test_similar_sets_in_long_lists_meet_by_two_tokens(spark, monkeypatch):
+    import random
+
+    draw = random.Random(9)
+    words = [f"w{n}" for n in range(9)]
+    table = [(f"s{n}", draw.choice("xy"), sorted(draw.sample(words, draw.choice([1, 1, 2, 3, 4, 6, 9])))) for n in range(150)]
+    queries = spark.createDataFrame(table[:70], "query_id string, action string, tokens array<string>")
+    sets = spark.createDataFrame(table[70:], "set_id string, action string, tokens array<string>")
+    want = {(q, s) for q, x, a in table[:70] for s, y, b in table[70:] if x == y and len({*a} & {*b}) / len({*a} | {*b}) >= 0.5}
+    monkeypatch.setattr(M, "LIST_SETS", 1)
+    for longest, dealt in ((128, 200_000), (4, 20)):
+        monkeypatch.setattr(M, "PAIRED_TOKENS", longest)
+        monkeypatch.setattr(M, "DEALT_SETS", dealt)
+        found = M.similar_sets(queries, sets, ["action"], 0.5)
+        got = [(r["query_id"], r["set_id"]) for r in rows(found)]
+        assert len(got) == len(set(got)) and set(got) == want
+        # No token lists go through the join that finds the pairs.
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join Inner" in line and "bit_count" in line]
+        assert joins and all("tokens" not in line for line in joins)
+
+
 def test_nearest_memory_uses_whole_histories_and_ties(spark):
     long = ["go east"] + [f"step {n}" for n in range(30)]
     train = prefs(spark, ("t", long, ["a", "b"], "a", "b"), ("t2", ["zzz"], ["a", "b"], "b", "a"), ("t3", ["zzz"], ["a", "b"], "b", "a"))
