@@ -458,6 +458,21 @@ def test_language_stage_rejects_other_text_and_keeps_clean_rows(spark):
     assert sum(number < 0 for number in kept) <= 2
 
 
+def test_language_stage_names_the_language_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    # Labels of held-out rows are missing or wrong; the model does not learn from them.
+    hidden = docs.withColumn("lang", F.when(~queries.held_out(), F.col("lang")).otherwise(F.when(F.col("doc_id") % 2 == 0, "en")))
+    stage = corpus_pipeline.language_id(spark, hidden, FOLDER)
+    assert stage.schema == docs.schema
+    plan = stage._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and plan.count("spoken(") <= 2
+    truth = {r["doc_id"]: tuple(r) for r in docs.collect()}
+    place = docs.columns.index("lang")
+    found = [(tuple(r), truth[r["doc_id"]]) for r in stage.where(queries.held_out()).collect()]
+    assert sum(got[place] == want[place] for got, want in found) >= 0.97 * len(found) > 0
+    assert all(got[:place] + got[place + 1 :] == want[:place] + want[place + 1 :] for got, want in found)
+
+
 def test_language_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     model = language_crf.train(docs.limit(0), F.lit(True))

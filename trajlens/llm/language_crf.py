@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlens.llm.common import keep, pieces, remember, ship
+from trajlens.llm.common import keep, packed, pieces, remember, ship
 
 FEATURES = 1 << 16
 #: Slots for the letter triples seen per language.
@@ -415,8 +415,10 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text_column: str
     return rows.mapInArrow(_predict(*_held(docs, model)), f"{kinds}, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.3, nearness: float = 0.65, text_column: str = "text") -> DataFrame:
-    """Rows in one of the model's languages, with all their columns.
+def accepted(
+    docs: DataFrame, model: Model, least: float = 0.3, nearness: float = 0.65, text_column: str = "text", lang_column: str | None = None
+) -> DataFrame:
+    """Rows in one of the model's languages, with all their columns; ``lang_column`` then names the language found.
 
     The mean posterior is ``least`` or more, and the share of letter triples that the sample has seen in that language is
     at least ``nearness`` of what is usual for held-out texts (short texts get an allowance of one over the root of their
@@ -425,17 +427,21 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.3, nearness: float
     ship(docs.sparkSession)
     number, held = _held(docs, model)
 
-    @F.arrow_udf("boolean")
+    @F.arrow_udf("string")
     def spoken(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tagger = _tagger(number, held)
         for texts in batches:
             out = []
             for part in pieces([pa.record_batch([texts], ["text"])], "text", 1_000_000):
                 found = zip(*tagger.documents(part.column("text").to_pylist()), strict=True)
-                out += [name != "und" and sure >= least and near >= nearness for name, sure, near in found]
-            yield pa.array(out, pa.bool_())
-
-    return docs.where(spoken(F.col(f"`{text_column}`")))
+                out += [name if name != "und" and sure >= least and near >= nearness else None for name, sure, near in found]
+            yield pa.array(out, pa.string())
+
+    # Taken for not deterministic, so that the filter isn't moved below and each text is read once.
+    found = docs.select(packed(docs), spoken.asNondeterministic()(F.col(f"`{text_column}`")).alias("_lang")).where("_lang is not null")
+    return found.select(*[
+        F.col("_lang").alias(name) if name == lang_column else F.col("_row").getField(name).alias(name) for name in docs.columns
+    ])
 
 
 def model_text(model: Model) -> str:
